@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from .bpe import op1_bpe_round_trip
 from .simhash import op5_simhash_near_dedup
+from .tokenfile import op4_token_files
+from .topk import OP9_SQL, op9_exact_topk
+from .urls import OP10_SQL, op10_url_filter
 
-QUERIES = {f.__name__: f for f in (op5_simhash_near_dedup,)}
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op4_token_files, op5_simhash_near_dedup, op9_exact_topk, op10_url_filter)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_exact_topk": OP9_SQL, "op10_url_filter": OP10_SQL}
