@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from .common import bytes_of, doc_columns, read_table, runs, settle
 
-LENGTH, ANCHOR, WIDE = 35, 8, 256
+LENGTH, ANCHOR, WIDE = 35, 8, 1024
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 _BASE, _STEP, _ROLL = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F))
@@ -183,7 +183,8 @@ def _candidates(docs: DataFrame, length: int) -> DataFrame:
     def scan(columns: str) -> DataFrame:
         return docs.mapInArrow(work, "anchor long, content long, doc_id long, mark long, first int, size int").selectExpr(*columns.split())
 
-    often = scan("anchor").groupBy("anchor").count().where("count > 1").select("anchor")
+    # stored, so that both sides of the join are plain exchanges and the part of a hot anchor can be split
+    often = settle(scan("anchor").groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
     return scan("anchor content doc_id mark first size").join(often, "anchor")
 
 
