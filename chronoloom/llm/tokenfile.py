@@ -33,14 +33,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .bpe import vocabulary
+from .bpe import byte_alphabet, vocabulary
 from .common import bytes_of, doc_columns, read_table, shared_dir
 
 #: Fixed values of the seekable format.
 SEEK_MAGIC, FOOTER_MAGIC, DIRECTORY_MAGIC, CHECKED = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50, 0x80
 NO_ID = -(1 << 63)
-#: Entries that a worker keeps for chunks and for words; beyond them it computes anew.
-CHUNKS, WORDS = 400_000, 400_000
+#: Entries that a worker keeps for chunks of plain texts and of others; beyond them it computes anew.
+CHUNKS, OTHERS = 700_000, 100_000
 
 
 def frame(ids: np.ndarray, packer: zstandard.ZstdCompressor) -> tuple[bytes, tuple[int, int, int]]:
@@ -98,56 +98,61 @@ class TokenFile:
             yield self._checked(k, self.source.read(size))
 
 
-class _Words(dict):
-    """Lower-case pre-token -> its ids as little-endian bytes."""
+class _Plain(dict):
+    """Lower-case chunk of plain characters -> its ids as little-endian bytes, word by word from the library's own model."""
+
+    #: Fixed value: the tokenizer file's pattern, for those characters.
+    cut = re.compile("[a-zß-öø-ÿ]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\\s0-9a-zß-öø-ÿ]+").findall
 
     def __init__(self, tokenizer: Tokenizer):
         super().__init__()
-        self.tokenizer = tokenizer
-
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) < WORDS:
-            self[word] = ids
+        self.tokenize, self.pack = tokenizer.model.tokenize, lambda ids: struct.pack(f"<{len(ids)}I", *ids)
+        spelled = {b: c for c, b in byte_alphabet().items()}
+        self.spelling = {c: "".join(spelled[b] for b in chr(c).encode()) for c in range(256)}
+
+    def __missing__(self, chunk: str) -> bytes:
+        words = self.cut(chunk)
+        if len(words) == 1:
+            ids = self.pack([t.id for t in self.tokenize(chunk.translate(self.spelling))])
+        else:
+            ids = b"".join(map(self.__getitem__, words))
+        if len(self) < CHUNKS:
+            self[chunk] = ids
         return ids
 
 
-class ChunkEncoder(dict):
+class TextEncoder(dict):
     """Ids of a text as the tokenizers library gives them, for a tokenizer that drops white space.
 
-    Such a tokenizer never joins what ASCII white space parts, so a text's ids are those of its chunks in order, and
-    a worker encodes each distinct chunk once.  A chunk of plain letters, digits and signs is lower-cased and cut by
-    the tokenizer's own pattern first, so that its words are shared between chunks; the library encodes every word,
-    and every other chunk whole.
+    Such a tokenizer never joins what white space parts, so a text is taken chunk by chunk, and a worker encodes each
+    distinct chunk once: a text of plain characters by the library's model, after lower-casing and the tokenizer's own
+    pattern; any other text by the library whole.
     """
 
-    #: Printable ASCII without < (special tokens), and Latin-1 letters: for these lower() is the normalizer.
-    plain = re.compile("[!-;=-~À-ÿ]+").fullmatch
-    #: Fixed value: the tokenizer file's pattern, for those characters.
-    cut = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|[^\s0-9A-Za-zÀ-ÖØ-öø-ÿ]+").findall
+    #: ASCII without < (special tokens), and Latin-1 letters: for these lower() is the normalizer.
+    plain = re.compile("[\\t-\\r !-;=-~À-ÿ]*").fullmatch
 
     def __init__(self, spec: str):
         super().__init__()
         tokenizer = Tokenizer.from_str(spec)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        self.tokenizer, self.words = tokenizer, _Words(tokenizer)
+        self.tokenizer, self.chunks = tokenizer, _Plain(tokenizer)
 
     def __missing__(self, chunk: bytes) -> bytes:
-        text = chunk.decode("utf-8", "replace")
-        if self.plain(text):
-            ids = b"".join(map(self.words.__getitem__, self.cut(text.lower())))
-        else:
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) < CHUNKS:
+        ids = np.array(self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        if len(self) < OTHERS:
             self[chunk] = ids
         return ids
 
     def encode(self, data: bytes) -> bytes:
+        text = data.decode("utf-8", "replace")
+        if self.plain(text):
+            return b"".join(map(self.chunks.__getitem__, text.lower().split()))
         return b"".join(map(self.__getitem__, data.split()))
 
 
-_ENCODERS: dict[int, ChunkEncoder] = {}
+_ENCODERS: dict[int, TextEncoder] = {}
 
 
 def _open(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -172,12 +177,12 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int)
         directory: list[tuple[int, int]] = []
         entries: list[tuple[int, int, int]] = []
         before, out = 0, None
-        packer = zstandard.ZstdCompressor(level=3, write_checksum=False)
+        packer = zstandard.ZstdCompressor(level=1, write_checksum=False)
         for batch in batches:
             if not batch.num_rows:
                 continue
             key = hash(sent.value)
-            encode = (_ENCODERS.get(key) or _ENCODERS.setdefault(key, ChunkEncoder(sent.value))).encode
+            encode = (_ENCODERS.get(key) or _ENCODERS.setdefault(key, TextEncoder(sent.value))).encode
             out = out or fs.open_output_stream(part)
             for doc_id, data in zip(batch.column("doc_id").to_pylist(), bytes_of(batch)):
                 ids = np.frombuffer(encode(data) + struct.pack("<I", end_id), "<u4")
