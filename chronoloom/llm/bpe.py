@@ -236,6 +236,26 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     return rows.mapInArrow(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def encode_checked(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids and decodes (the ids spell the text, null as empty) of every row."""
+    codec = load_codec(docs.sparkSession, path)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec()
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):  # ids take more room than text
+                part = batch.slice(start, 1000)
+                ids, same = [], []
+                for text in texts_of(part):
+                    ids.append(c.encode(text))
+                    same.append(c.decode(ids[-1].tolist()) == text)
+                columns = [part.column("doc_id"), part.column("lang"), part.column("source"), pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())]
+                yield pa.record_batch(columns, ["doc_id", "lang", "source", "n_tokens", "ids", "decodes"])
+
+    rows = doc_columns(docs, "doc_id", "lang", "source", "text")
+    return rows.mapInArrow(work, "doc_id long, lang string, source string, n_tokens long, ids array<int>, decodes boolean")
+
+
 def vocabulary(name: str) -> str:
     """Where the installed public vocabularies keep a file."""
     import public_tokenizers
