@@ -12,8 +12,10 @@ match them instead:
 3. Otherwise the anchor's different regions form a reference shard.  A suffix automaton over their words, weighted by
    how often each region occurs, gives for each place of a region the longest suffix that occurs twice or more (its
    matching statistics); where that reaches the window length, the window repeats.
-4. An anchor with more than WIDE different regions (a common line amid different texts) would make a hot shard; its
-   windows are counted one by one by 128-bit fingerprints, in a combined aggregation, so no task gathers the shard.
+4. An anchor with more than WIDE different regions (a common line amid different texts) would make a hot shard.  Its
+   windows are taken in parts, PART neighbours at equal places to the anchor; the words that a part's windows have in
+   common are counted by 128-bit fingerprints, and where they repeat, the part's windows are counted likewise.  Both
+   counts are combined before they are dealt out, so no task gathers the shard.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import types as T
 
 from .common import bytes_of, doc_columns, read_table, runs, settle
 
-LENGTH, ANCHOR, WIDE = 35, 8, 1024
+LENGTH, ANCHOR, WIDE, PART = 35, 8, 1024, 4
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 _BASE, _STEP, _ROLL = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F))
@@ -81,16 +83,33 @@ def word_hashes(data: bytes) -> np.ndarray:
     return _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def _grams(words: np.ndarray, k: int) -> np.ndarray:
+    grams = np.zeros(len(words) - k + 1, np.uint64)
+    for j in range(k):
+        grams = grams * _ROLL + words[j : len(words) - k + 1 + j]
+    return _mix(grams)
+
+
+def parts_of(words: list[bytes], size: int, length: int, k: int = ANCHOR) -> list[dict]:
+    """Of a region's words: fingerprints of what each part's windows have in common, and of the windows."""
+    lead = int(_grams(word_hashes(b" ".join(words[:length])), k).argmin())  # where the anchor stands
+    found: dict[int, dict] = {}
+    for i in range(size):
+        p = (lead - i) // PART
+        if p not in found:
+            core = words[lead - PART * p : lead - PART * p - PART + 1 + length]
+            found[p] = {"core": xxhash.xxh3_128_digest(b" ".join(core)), "windows": []}
+        found[p]["windows"].append({"i": i, "print": xxhash.xxh3_128_digest(b" ".join(words[i : i + length]))})
+    return list(found.values())
+
+
 def regions(data: bytes, length: int = LENGTH, k: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a text: each region's anchor, content hash, first window and number of windows."""
     words = word_hashes(data)
     n = len(words) - length + 1
     if n < 1:
         return (np.empty(0, np.int64),) * 4
-    grams = np.zeros(len(words) - k + 1, np.uint64)
-    for j in range(k):
-        grams = grams * _ROLL + words[j : len(words) - k + 1 + j]
-    grams = _mix(grams)
+    grams = _grams(words, k)
     span = length - k + 1
     at = np.empty(n, np.int64)
     for s in range(0, n, 1 << 15):  # by parts, so that very long texts need no more memory
@@ -233,7 +252,9 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame,
     wanted = mixed.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("anchor", "content", "size", "weight", "first", "wide")).alias("regions"))
     parts = settle(_region_texts(_of_document(texts.dropDuplicates(["doc_id", "mark"]), wanted), length), "parts")
     narrow = _shard_masks(parts.where("region is not null").select("anchor", "content", "weight", "region"), length)
-    windows = parts.where("region is null").select("anchor", "content", "weight", F.posexplode("prints").alias("i", "print"))
+    cores = parts.where("region is null").select("anchor", "content", "weight", F.explode("parts").alias("p")).select("anchor", "content", "weight", "p.*")
+    common = cores.groupBy("core").agg(F.sum("weight").alias("n")).where("n > 1").select("core")
+    windows = settle(cores.join(common, "core").select("anchor", "content", "weight", F.explode("windows").alias("w")).select("anchor", "content", "weight", "w.*"), "windows")
     twice = windows.groupBy("print").agg(F.sum("weight").alias("n")).where("n > 1").select("print")
     wide = windows.join(twice, "print").groupBy("anchor", "content").agg(F.expr("bit_or(shiftleft(1L, i))").alias("mask"))
     masks = settle(same.unionByName(narrow).unionByName(wide).where("mask <> 0"), "masks")
@@ -242,7 +263,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame,
 
 
 def _region_texts(rows: DataFrame, length: int) -> DataFrame:
-    """anchor, content, weight, and region (the words, joined by one space) or, of a wide anchor, prints (a fingerprint for each window)."""
+    """anchor, content, weight, and region (the words, joined by one space) or, of a wide anchor, its parts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,16 +272,15 @@ def _region_texts(rows: DataFrame, length: int) -> DataFrame:
                 words = data.split()
                 for r in wanted:
                     own = words[r["first"] : r["first"] + r["size"] + length - 1]
-                    prints = [xxhash.xxh3_128_digest(b" ".join(own[i : i + length])) for i in range(r["size"])] if r["wide"] else None
-                    out.append({"anchor": r["anchor"], "content": r["content"], "weight": r["weight"], "region": None if r["wide"] else b" ".join(own), "prints": prints})
+                    out.append({"anchor": r["anchor"], "content": r["content"], "weight": r["weight"], "region": None if r["wide"] else b" ".join(own), "parts": parts_of(own, r["size"], length) if r["wide"] else None})
                     if len(out) >= 5000:
                         yield pa.RecordBatch.from_pylist(out, schema)
                         out = []
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema)
 
-    schema = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("weight", pa.int64()), ("region", pa.binary()), ("prints", pa.list_(pa.binary()))])
-    return rows.select("text", "regions").mapInArrow(work, "anchor long, content long, weight long, region binary, prints array<binary>")
+    schema = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("weight", pa.int64()), ("region", pa.binary()), ("parts", pa.list_(pa.struct([("core", pa.binary()), ("windows", pa.list_(pa.struct([("i", pa.int32()), ("print", pa.binary())])))])))])
+    return rows.select("text", "regions").mapInArrow(work, "anchor long, content long, weight long, region binary, parts array<struct<core: binary, windows: array<struct<i: int, print: binary>>>>")
 
 
 def keep_words(data: bytes, spans: list[dict], length: int) -> tuple[list[bytes], int]:
