@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from .plans import consensus_queries, growth_queries, text_queries, time_queries, vector_queries  # noqa: F401  they register themselves
+from .plans.base import ORACLES, QUERIES
+
 FLAGSHIP = "emergent"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
