@@ -24,13 +24,14 @@ UNITS = "mm cm m km in ft yd mi mg g kg lb oz t ml cl l gal s sec min h hr hrs d
 EDGES = r"[!-#&-*,.:-@\[\]^-`{-~\u00A1\u00AB\u00BB\u00BF\u2018\u2019\u201C\u201D\u2026]"
 #: A capitalised word (not one all in capitals) behind a word that doesn't end a sentence; a word that begins with a number.
 NAME = r"\p{Lu}(?<=[^\s.!?:]\s{1,3}[\"'(\[]{0,2}\p{Lu})(?!\p{Lu}+[^\p{Ll}\s]*(?:\s|$))\S*"
-NUMBER = r"(?<!\S)[-+$\u20AC\u00A3\"'(\[]{0,3}[0-9]\S*"
+NUMBER = r"(?=[-+$\u20AC\u00A3\"'(\[0-9])(?<!\S)[-+$\u20AC\u00A3\"'(\[]{0,3}[0-9]\S*"
 MARKS = ("\ue000", "\ue001", "\ue002")  # stand for #n, #u, #p, so that the signs at the ends of words can go
 
 
 def _words(text: Column) -> Column:
     """Words without the signs at their ends, in lower case."""
-    bare = F.regexp_replace(F.lower(text), f"(?<!\\S){EDGES}+|{EDGES}+(?!\\S)", "")
+    # the class comes first and the look-around after it, so that letters are passed over quickly
+    bare = F.regexp_replace(F.lower(text), f"{EDGES}+(?:(?!\\S)|(?<=(?:^|\\s){EDGES}{{1,16}}))", "")
     return F.array_remove(F.split(bare, "\\s+"), "")
 
 
@@ -42,10 +43,10 @@ def template(text: Column) -> Column:
     return _words(F.regexp_replace(typed, f"{number}(\\s+)(?i:{units})(?!\\p{{L}})\\S*", f"{number}$1{unit}"))
 
 
-def windows(tokens: Column, width: int) -> Column:
-    """array of (i, key) of each window; none if there are fewer tokens than width."""
+def window_keys(tokens: Column, width: int) -> Column:
+    """The key of each window in order; none if there are fewer tokens than width."""
     starts = F.when(F.size(tokens) >= width, F.sequence(F.lit(0), F.size(tokens) - width)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(i.alias("i"), F.xxhash64(F.array_join(F.slice(tokens, i + 1, width), " "), F.lit(width)).alias("key")))
+    return F.transform(starts, lambda i: F.xxhash64(*(F.get(tokens, i + j) for j in range(width))))
 
 
 def _literal_enough(tokens: Column, width: int) -> Column:
@@ -60,8 +61,8 @@ def item_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     sizes = sorted(r["width"] for r in items.select("width").distinct().collect())
     found = None
     for w in sizes:
-        part = items.where(F.col("width") == w).select("item_id", "width", "tokens", "words", F.explode(windows(F.col("tokens"), w)).alias("x"))
-        part = part.select("item_id", "width", "x.i", "x.key", F.slice("tokens", F.col("x.i") + 1, w).alias("kinds"), F.slice("words", F.col("x.i") + 1, w).alias("values")).where(_literal_enough(F.col("kinds"), w))
+        part = items.where(F.col("width") == w).select("item_id", "width", "tokens", "words", F.posexplode(window_keys(F.col("tokens"), w)).alias("i", "key"))
+        part = part.select("item_id", "width", "i", "key", F.slice("tokens", F.col("i") + 1, w).alias("kinds"), F.slice("words", F.col("i") + 1, w).alias("values")).where(_literal_enough(F.col("kinds"), w))
         found = part if found is None else found.unionByName(part)
     if found is None:
         return items.select("item_id", "width", F.lit(0).alias("i"), F.lit(0).cast("long").alias("key"), F.col("tokens").alias("kinds"), F.col("words").alias("values"), F.lit(0).cast("long").alias("n"))
@@ -69,7 +70,7 @@ def item_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def _bit(key: Column) -> Column:
-    return F.pmod(key, F.lit(BITS))
+    return key.bitwiseAND(F.lit(BITS - 1).cast("long"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: float = SHARE) -> DataFrame:
@@ -90,13 +91,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: floa
 
     def known(key: Column) -> Column:
         at = _bit(key)
-        return F.getbit(F.get(bits, F.shiftright(at, 6).cast("int")), (at % 64).cast("int")) == 1
+        return F.getbit(F.get(bits, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1
 
     rows = doc_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     tokens = rows.select("doc_id", "text", template(F.col("text")).alias("tokens"))
     found = None
     for w in sorted(sizes):
-        hits = tokens.select("doc_id", "text", "tokens", F.filter(windows(F.col("tokens"), w), lambda x: known(x["key"])).alias("hits"))
+        hits = tokens.select("doc_id", "text", "tokens", F.array_compact(F.transform(window_keys(F.col("tokens"), w), lambda x, i: F.when(known(x), F.struct(i.alias("i"), x.alias("key"))))).alias("hits"))
         own = F.transform("hits", lambda x: F.struct(x["key"].alias("key"), F.slice(F.col("tokens"), x["i"] + 1, w).alias("own_kinds"), F.slice(F.col("words"), x["i"] + 1, w).alias("own_values")))
         # the words are cut out only where there is a hit, and what was found is stored: a filter would compute it anew
         hits = hits.select("doc_id", "tokens", "hits", F.when(F.size("hits") > 0, _words(F.col("text"))).alias("words")).select("doc_id", F.when(F.col("words").isNotNull(), own).alias("hits"))
