@@ -21,7 +21,7 @@ BITS, BROADCAST_ROWS = 1 << 19, 200_000
 #: Units that are placeholders behind a number.
 UNITS = "mm cm m km in ft yd mi mg g kg lb oz t ml cl l gal s sec min h hr hrs day days week weeks month months year years ms mph kmh kph w kw mw v a hz khz mhz ghz b kb mb gb tb cal kcal j kj pa kpa bar k c f degrees percent % usd eur gbp dollars euros pounds cents meters metres miles inches feet hours minutes seconds grams kilograms liters litres".split()
 #: Signs that go at a word's ends, as a character class.
-EDGES = r"[!-#&-*,.:-@\[\]^-`{-~\u00A1\u00AB\u00BB\u00BF\u2018\u2019\u201C\u201D\u2026]"
+EDGES = r"[!-#&-*,\-.:-@\[\]^-`{-~\u00A1\u00AB\u00BB\u00BF\u2018\u2019\u201C\u201D\u2026]"
 #: A capitalised word (not one all in capitals) behind a word that doesn't end a sentence; a word that begins with a number.
 NAME = r"\p{Lu}(?<=[^\s.!?:]\s{1,3}[\"'(\[]{0,2}\p{Lu})(?!\p{Lu}+[^\p{Ll}\s]*(?:\s|$))\S*"
 NUMBER = r"(?=[-+$\u20AC\u00A3\"'(\[0-9])(?<!\S)[-+$\u20AC\u00A3\"'(\[]{0,3}[0-9]\S*"

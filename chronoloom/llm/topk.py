@@ -111,7 +111,8 @@ def search_all(candidates: DataFrame, queries: DataFrame, k: int = K, scale: int
 
     A query's own id is no candidate for it.  A vector meets only vectors of its own dimension.  Rows that repeat a
     vec_id are candidates each; ties go to the smaller vec_id.  Rows without an id take no part, nor do vectors that
-    are null or hold null or non-finite components.  With no candidate a query has no row.
+    are null or hold null or non-finite components.  With no candidate a query has no row.  Scores are exact; one that
+    does not fit a long fails the query.
 
     Queries are taken in blocks of QUERIES, in the order of their ids; each block's vectors are broadcast, every
     candidate partition answers the block by its own buckets, and the partitions' k best are merged by a grouped sort.
