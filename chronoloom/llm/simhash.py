@@ -1,22 +1,23 @@
 """SimHash near-duplicates with a Gray-order hierarchical index.
 
-Fingerprints are linked when they differ in at most `reach` bits.  Five bands of the 64 bits: two fingerprints that
-differ in at most four bits agree in one band at least, so every link lies in a bucket (band, value).  In a bucket the
-fingerprints are sorted by Gray rank; leaves of consecutive fingerprints keep the bit pattern that their members share,
-upper nodes the pattern that their leaves share, and a lookup adds up the differences from the root down and leaves a
-whole group out once the sum exceeds the reach.  A bucket larger than BLOCK is dealt in pairs of blocks, so no task
-holds more than two blocks; of each bucket only a spanning forest of its links is kept.
+Fingerprints are linked when they differ in at most `reach` bits.  The 64 bits are cut in blocks, m more than the
+reach: two fingerprints within reach agree in m blocks at least, so every link lies in a bucket (which m blocks, their
+bits).  m grows with the number of fingerprints, so buckets stay small.  In a bucket the fingerprints are sorted by
+Gray rank; leaves of consecutive fingerprints keep the bit pattern that their members share, upper nodes the pattern
+that their leaves share, and a lookup adds up the differences from the root down and leaves a whole group out once the
+sum exceeds the reach.  A bucket larger than BLOCK is dealt in pairs of parts, so no task holds more than two parts; of
+each bucket only a spanning forest of its links is kept, nearest links first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bytes_of, doc_columns, read_table, runs, settle
@@ -24,6 +25,10 @@ from .components import connected_components
 
 SHINGLE, SEED, REACH = 4, 42, 4
 BLOCK, LEAF, FAN = 4096, 32, 8
+#: Large buckets up to which their list is sent to every task.
+FEW = 100_000
+#: Of texts to be thinned out: words of a shingle, similarity, and the bits by which such texts' fingerprints mostly differ at most.
+THIN_WIDTH, SIMILARITY, THIN_REACH = 5, 0.8, 10
 _SLICE = 1 << 15
 
 
@@ -119,10 +124,12 @@ def forest(left: np.ndarray, right: np.ndarray, reach: int) -> list[tuple[int, i
     for j, k in index.links(left, reach):
         a, b = at_left[j], at_right[k]
         differ = root[a] != root[b]
-        for x, y in zip(a[differ].tolist(), b[differ].tolist()):
-            x, y = find(x), find(y)
-            if x != y:
-                root[max(x, y)] = min(x, y)
+        a, b = a[differ], b[differ]
+        near = np.argsort(np.bitwise_count(nodes[a] ^ nodes[b]), kind="stable")
+        for x, y in zip(a[near].tolist(), b[near].tolist()):
+            p, q = find(x), find(y)
+            if p != q:
+                root[max(p, q)] = min(p, q)
                 kept.append((x, y))
         for _ in range(3):
             root = root[root]
@@ -130,23 +137,31 @@ def forest(left: np.ndarray, right: np.ndarray, reach: int) -> list[tuple[int, i
     return [(int(signed[x]), int(signed[y])) for x, y in kept]
 
 
-def _band(fp: Column, band: int, bands: int) -> Column:
-    low, high = 64 * band // bands, 64 * (band + 1) // bands
-    return F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << (high - low)) - 1))
+def masks(n: int, reach: int, block: int = BLOCK) -> list[int]:
+    """Bit masks such that any two fingerprints within reach agree on one: all choices of m out of reach + m blocks, with
+    the least m, 3 at most, for which n evenly spread fingerprints make buckets of no more than block."""
+    for m in (1, 2, 3):
+        blocks = reach + m
+        if m == 3 or n <= block << (64 * m // blocks):
+            break
+    bounds = [64 * i // blocks for i in range(blocks + 1)]
+    parts = [(1 << high) - (1 << low) for low, high in zip(bounds, bounds[1:])]
+    return [sum(chosen) for chosen in combinations(parts, m)]
 
 
 def fingerprint_links(fps: DataFrame, reach: int = REACH, block: int = BLOCK) -> DataFrame:
     """fps: distinct fp.  Links a, b that connect exactly what the links within reach connect."""
-    bands = reach + 1
-    keyed = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(b).alias("band"), _band(F.col("fp"), b, bands).alias("value")) for b in range(bands)))).alias("k")).select("fp", "k.band", "k.value")
-    sizes = keyed.groupBy("band", "value").count()
-    keyed = keyed.join(sizes.where("count > 1"), ["band", "value"])
-    # a bucket over the block size: each fingerprint goes to every pair of blocks that holds its own
-    parts = F.ceil(F.col("count") / F.lit(block)).cast("int")
-    own = F.pmod(F.xxhash64("fp", "band"), parts).cast("int")
+    chosen = [m - (1 << 64) if m >> 63 else m for m in masks(fps.count(), reach, block)]
+    keyed = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("value")) for i, m in enumerate(chosen)))).alias("k")).select("fp", "k.*")
+    large = settle(keyed.groupBy("mask", "value").count().where(F.col("count") > block), "large")
+    large = F.broadcast(large) if large.count() <= FEW else large
+    keyed = keyed.join(large, ["mask", "value"], "left")
+    # a bucket over the block size: each fingerprint goes to every pair of parts that holds its own
+    parts = F.ceil(F.coalesce("count", F.lit(1)) / F.lit(block)).cast("int")
+    own = F.pmod(F.xxhash64("fp", "mask"), parts).cast("int")
     keyed = keyed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    keyed = keyed.select("fp", "band", "value", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own")
-    keys = ["band", "value", "lo", "hi"]
+    keyed = keyed.select("fp", "mask", "value", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own")
+    keys = ["mask", "value", "lo", "hi"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, keys):
@@ -170,25 +185,54 @@ def fingerprint_links(fps: DataFrame, reach: int = REACH, block: int = BLOCK) ->
     return keyed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(work, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = SHINGLE, reach: int = REACH) -> DataFrame:
+def shingles(data: bytes, width: int) -> set[bytes]:
+    words = data.lower().split()
+    return {b" ".join(words)} if len(words) < width else set(map(b" ".join, zip(*(words[i:] for i in range(width)))))
+
+
+def _similar(links: DataFrame, classes: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The links whose texts (those of the smallest doc_id of each fingerprint) share so much of their shingles."""
+    ends = links.join(classes.toDF("a", "id_a"), "a").join(classes.toDF("b", "id_b"), "b")
+    ends = settle(ends.where("id_a is not null and id_b is not null"), "ends")
+    ids = ends.select(F.explode(F.array("id_a", "id_b")).alias("doc_id")).distinct()
+    texts = doc_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id")
+    texts = settle(texts.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")), "texts")
+    both = ends.join(texts.toDF("id_a", "text_a"), "id_a").join(texts.toDF("id_b", "text_b"), "id_b").select("a", "b", "text_a", "text_b")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(bytes_of(batch, "text_a"), bytes_of(batch, "text_b")):
+                x, y = shingles(x, width), shingles(y, width)
+                keep.append(len(x & y) >= similarity * len(x | y))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(work, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, width: int = SHINGLE, reach: int = REACH, similarity: float | None = None) -> DataFrame:
     """doc_id, fp and component_id of every row of docs (doc_id, text; further columns are not looked at).
 
-    component_id is the smallest doc_id reachable over links.  Null and empty texts have the fingerprint zero and are
+    component_id is the smallest doc_id reachable over links: fingerprints within reach and, with a similarity, texts
+    whose sets of shingles overlap by that much of their union.  Null and empty texts have the fingerprint zero and are
     linked like others; rows that repeat a doc_id keep their own row; rows without a doc_id are linked by their text but
     never name a component (a component of only such rows has the id null).  An empty table gives an empty table.
     """
     rows = settle(fingerprints(docs, width), "fingerprints")
     classes = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    roots = settle(connected_components(fingerprint_links(classes.select("fp"), reach)), "roots")
+    links = fingerprint_links(classes.select("fp"), reach)
+    if similarity is not None:
+        links = _similar(links, classes, docs, width, similarity)
+    roots = settle(connected_components(links), "roots")
     named = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     heads = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(heads, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = SHINGLE, reach: int = REACH) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = THIN_WIDTH, reach: int = THIN_REACH, similarity: float | None = SIMILARITY) -> DataFrame:
     """The rows of docs whose doc_id names their component, all columns as they were; rows without a doc_id stay."""
-    kept = near_duplicates(docs, width, reach).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    kept = near_duplicates(docs, width, reach, similarity).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
     return docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi").unionByName(docs.where(docs["doc_id"].isNull()))
 
 
