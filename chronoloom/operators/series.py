@@ -59,10 +59,10 @@ def summed(rows: DataFrame, genres: DataFrame) -> DataFrame:
 
 
 def drift(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
-    """key, drift: b minus a, and whether it is the largest."""
+    """key, drift: b minus a (null if either is), and whether it is the largest."""
     both = a.select(key, F.col(value).alias("va")).join(b.select(key, F.col(value).alias("vb")), key).select(key, (F.col("vb") - F.col("va")).alias("drift"))
-    worst = both.agg(F.max_by(key, F.struct("drift", key)).alias("worst"))
-    return both.join(F.broadcast(worst)).select(key, "drift", (F.col(key) == F.col("worst")).alias("worst"))  # one row
+    worst = both.agg(F.max_by(key, F.when(F.col("drift").isNotNull(), F.struct("drift", key))).alias("worst"))
+    return both.join(F.broadcast(worst)).select(key, "drift", F.coalesce(F.col(key) == F.col("worst"), F.lit(False)).alias("worst"))  # one row
 
 
 def must_match(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

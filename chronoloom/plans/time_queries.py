@@ -347,7 +347,7 @@ def term_sum(spark, sf_dir):
     return S.summed(_dense(spark, sf_dir), genres)
 
 
-@query(_ser_sql("SELECT term, drift, term = (SELECT arg_max(term, (drift, term)) FROM df) AS worst FROM df", _TAKE + ", tf AS (SELECT term, share, min(year) FILTER (held = 1 AND peak > 0) AS y FROM tk GROUP BY term, share), df AS (SELECT a.term, b.y - a.y AS drift FROM tf a JOIN tf b ON a.term = b.term AND a.share = 0.5 AND b.share = 0.8)"))
+@query(_ser_sql("SELECT term, drift, coalesce(term = (SELECT arg_max(term, (drift, term)) FROM df WHERE drift IS NOT NULL), FALSE) AS worst FROM df", _TAKE + ", tf AS (SELECT term, share, min(year) FILTER (held = 1 AND peak > 0) AS y FROM tk GROUP BY term, share), df AS (SELECT a.term, b.y - a.y AS drift FROM tf a JOIN tf b ON a.term = b.term AND a.share = 0.5 AND b.share = 0.8)"))
 def label_drift(spark, sf_dir):
     t = S.takeoff(S.smoothed(_dense(spark, sf_dir)), [0.5, 0.8])
     return S.drift(t.where("share = 0.5"), t.where("share = 0.8"), "term", "takeoff")
