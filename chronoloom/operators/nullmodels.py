@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from math import exp, lgamma, log
 from statistics import NormalDist
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,13 +21,17 @@ def concentration(members: DataFrame, trials: int, seed: int = 42) -> DataFrame:
     so running sums over a trial serve every community.
     """
     own = members.groupBy("label").agg(F.count("*").alias("n"), F.stddev_pop("year").alias("sigma"))
+    null = null_spread(members, own.select("n").distinct(), trials, seed)
+    return own.join(null, "n").select("label", "n", "sigma", F.try_divide(F.col("sigma") - F.col("mean"), F.col("sd")).alias("z"))
+
+
+def null_spread(members: DataFrame, sizes: DataFrame, trials: int, seed: int) -> DataFrame:
+    """n, mean, sd of the spread of n years drawn without replacement, for each of sizes (n; a row for each size)."""
     trial = members.select("book_id", F.col("year").cast("double").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"))
     w = Window.partitionBy("trial").orderBy(draw(F.col("trial"), F.col("book_id"), seed), "book_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = trial.select("trial", F.row_number().over(w).alias("n"), F.sum("y").over(w).alias("s"), F.sum(F.col("y") * F.col("y")).over(w).alias("ss"))
-    sizes = own.select("n").distinct()
     spread = F.sqrt(F.greatest(F.col("ss") / F.col("n") - (F.col("s") / F.col("n")) * (F.col("s") / F.col("n")), F.lit(0.0)))
-    null = ranked.join(F.broadcast(sizes), "n").groupBy("n").agg(F.avg(spread).alias("mean"), F.stddev_pop(spread).alias("sd"))  # a row for each size
-    return own.join(null, "n").select("label", "n", "sigma", F.try_divide(F.col("sigma") - F.col("mean"), F.col("sd")).alias("z"))
+    return ranked.join(F.broadcast(sizes), "n").groupBy("n").agg(F.avg(spread).alias("mean"), F.stddev_pop(spread).alias("sd"))
 
 
 def bonferroni_z(tests: int, alpha: float = 0.05) -> float:
@@ -66,3 +72,63 @@ def pearson(x: str, y: str, least: int = 3) -> Column:
     """Correlation of the rows with both values; null for fewer than least."""
     both = F.col(x).isNotNull() & F.col(y).isNotNull()
     return F.when(F.count_if(both) >= least, F.corr(x, y))
+
+
+def verdict(rows: DataFrame, z: str, least: float = 3.0) -> DataFrame:
+    return rows.withColumn("verdict", F.when(F.col(z) > least, "survives").when(F.col(z).isNull(), "untested").otherwise("does not survive"))
+
+
+def set_concentration(sets: DataFrame, members: DataFrame, trials: int, seed: int = 42) -> DataFrame:
+    """sets: run, community, node.  run, community, z: communities of many runs, each different set of nodes tested once."""
+    keyed = sets.groupBy("run", "community").agg(F.md5(F.array_join(F.array_sort(F.collect_list("node")), ",")).alias("key"), F.count("*").alias("n"))
+    first = keyed.groupBy("key").agg(F.min(F.struct("run", "community")).alias("s")).select("key", "s.*")
+    own = sets.join(first, ["run", "community"]).join(members.select(F.col("book_id").alias("node"), "year"), "node")
+    sigma = own.groupBy("key").agg(F.count("*").alias("n"), F.stddev_pop("year").alias("sigma"))
+    null = null_spread(members, sigma.select("n").distinct(), trials, seed)
+    z = sigma.join(null, "n").select("key", F.try_divide(F.col("sigma") - F.col("mean"), F.col("sd")).alias("z"))
+    return keyed.join(z, "key").select("run", "community", "n", "z")
+
+
+def representatives(rows: DataFrame, group: str, z: str) -> DataFrame:
+    """The row of each group at half the count in the order of z: a median that is one of the runs."""
+    w = Window.partitionBy(group).orderBy(z, "run", "community")
+    counted = rows.groupBy(group).agg(F.count("*").alias("__n"))
+    return rows.withColumn("__k", F.row_number().over(w)).join(counted, group).where(F.col("__k") == F.floor(F.col("__n") / 2) + 1).drop("__k", "__n")
+
+
+def spearman_p(rho: Column, n: Column) -> Column:
+    """Two-sided p of a rank correlation by the t distribution with n - 2 degrees of freedom; null for n under 3."""
+    @F.pandas_udf("double")
+    def tail(t: pd.Series, df: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(a) or pd.isna(d) or d < 1 else student_tail(abs(a), d) for a, d in zip(t, df)])
+
+    t = rho * F.sqrt((n - 2) / F.greatest(1 - rho * rho, F.lit(1e-300)))
+    return F.when(n >= 3, tail(t.cast("double"), (n - 2).cast("double")))
+
+
+def student_tail(t: float, df: float) -> float:
+    """P(|T| >= t): the regularised incomplete beta function at df / (df + t^2), by its continued fraction."""
+    x = df / (df + t * t)
+    if x >= 1:
+        return 1.0
+
+    def fraction(x: float, a: float, b: float) -> float:
+        c, d = 1.0, 1 - (a + b) * x / (a + 1)
+        d = 1 / (d if abs(d) > 1e-300 else 1e-300)
+        h = d
+        for m in range(1, 500):
+            for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+                d = 1 + term * d
+                d = 1 / (d if abs(d) > 1e-300 else 1e-300)
+                c = 1 + term / (c if abs(c) > 1e-300 else 1e-300)
+                h *= c * d
+            if abs(c * d - 1) < 1e-14:
+                break
+        return h
+
+    def beta(x: float, a: float, b: float) -> float:
+        front = exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log(1 - x))
+        return front * fraction(x, a, b) / a
+
+    a, b = df / 2, 0.5
+    return beta(x, a, b) if x < (a + 1) / (a + b + 2) else 1 - beta(1 - x, b, a)

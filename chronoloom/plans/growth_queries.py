@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..sources import tables as D
+from ..sources import web
 from ..sources.fixtures import table, view, with_views
 from ..streaming import growth
 from .base import query
@@ -46,3 +47,20 @@ def page_payload(spark, sf_dir):
 @query("SELECT count(*) AS n, CAST(sum(year) AS BIGINT) AS years FROM (VALUES (1950), (1951), (1952), (1953), (1954), (1955), (1955), (1956), (1957), (1958), (1959), (1960), (1984), (1985), (1986), (1987), (1988), (1989)) t(year)")
 def synthetic_corpus(spark, sf_dir):
     return D.synthetic_corpus(spark).agg(F.count("*").alias("n"), F.sum("year").alias("years"))
+
+
+@query("WITH a AS (SELECT DISTINCT p_name AS term FROM part), s AS (SELECT p_name, list(p_retailprice ORDER BY p_partkey) AS ts FROM part WHERE p_name NOT LIKE 'red%' GROUP BY p_name), j AS (SELECT a.term, s.ts FROM a LEFT JOIN s ON a.term = s.p_name) SELECT term, CAST(1700 + unnest(range(len(ts))) AS INTEGER) AS year, unnest(ts) AS freq FROM j WHERE ts IS NOT NULL UNION ALL SELECT term, NULL, NULL FROM j WHERE ts IS NULL")
+def ngram_series(spark, sf_dir):
+    """Series by term from answers named "Term (All)" in any case; terms without an answer stay, with nulls."""
+    parts = table(spark, sf_dir, "part")
+    answers = parts.where("p_name not like 'red%'").groupBy("p_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_retailprice"))), lambda x: x["p_retailprice"]).alias("timeseries"))
+    answers = answers.select(F.concat(F.initcap("p_name"), F.lit(" (All)")).alias("ngram"), "timeseries").unionByName(answers.select(F.col("p_name").alias("ngram"), "timeseries"))
+    return web.term_series(parts.select(F.col("p_name").alias("term")).distinct(), answers, 1700)
+
+
+@query("WITH e AS (SELECT c_custkey AS qid, concat('n', c_custkey % 700) AS label FROM customer), f AS (SELECT label AS name, min(qid) AS qid FROM e GROUP BY label) SELECT DISTINCT t.label AS \"from\", f.name AS \"to\" FROM f JOIN orders o ON o.o_custkey = f.qid JOIN e t ON t.qid = o.o_orderkey % 1500")
+def influence_lookup(spark, sf_dir):
+    """Names to entities, their influences, and back to names."""
+    entities = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("qid"), F.concat(F.lit("n"), (F.col("c_custkey") % 700).cast("string")).alias("label"))
+    claims = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("qid"), (F.col("o_orderkey") % 1500).alias("target"))
+    return web.influences(entities.select(F.col("label").alias("name")).distinct(), entities, claims)

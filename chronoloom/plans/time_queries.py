@@ -15,7 +15,7 @@ from ..operators import series as S
 from ..operators import vectors as V
 from ..sources.fixtures import table, view, with_views
 from .base import query
-from .vector_queries import near, near_graph, near_sql
+from .vector_queries import near, near_graph, near_sql, sweep
 
 TRIALS = 200
 ERAS = [("early", 1660, 1750), ("middle", 1750, 1840), ("late", 1840, 1890), ("last", 1890, 1930)]
@@ -186,6 +186,17 @@ def benjamini_hochberg(spark, sf_dir):
     return N.benjamini_hochberg(tests, "p").select("c_custkey", "discovery")
 
 
+@query()
+def subcluster_significance(spark, sf_dir):
+    """Of each resolution and seed, its communities' concentration, each different set tested once; the median run and its corrected verdict."""
+    found = sweep(spark, sf_dir)
+    sizes = found.groupBy("run", "community").agg(F.count("*").alias("k")).where("k >= 5")
+    z = N.set_concentration(found.join(sizes, ["run", "community"], "left_semi"), _members(spark, sf_dir), TRIALS)
+    runs = found.select("run", "resolution").distinct()
+    mid = N.representatives(z.join(runs, "run"), "resolution", "z")
+    return mid.select("resolution", "run", "community", "n", F.round("z", 4).alias("z"), (F.col("z") <= N.bonferroni_z(10)).alias("significant"))
+
+
 # -- influence
 
 def _edges(spark, sf_dir):
@@ -276,6 +287,16 @@ def threshold_sweep(spark, sf_dir):
     return found.select("t", "n", F.round("observed", 6).alias("observed"), F.round("z", 4).alias("z"))
 
 
+@query(_edge_sql("SELECT src, n, CASE WHEN z > 3 THEN 'survives' ELSE 'does not survive' END AS verdict FROM (SELECT src, n, (observed - m) / (s / sqrt(n) + 1e-12) AS z FROM (SELECT src, count(*) AS n, avg(conceptual) AS observed FROM dc GROUP BY src) a, (SELECT avg(conceptual) AS m, stddev_pop(conceptual) AS s FROM ed) b)"))
+def influence_verdict(spark, sf_dir):
+    pool = _edges(spark, sf_dir)
+    found = None
+    for src in ("known", "wikidata"):
+        part = N.pool_z(_documented(spark, sf_dir).where(F.col("src") == src), pool, "conceptual").withColumn("src", F.lit(src))
+        found = part if found is None else found.unionByName(part)
+    return N.verdict(found, "z").select("src", "n", "verdict")
+
+
 _BINS = ", qs AS (SELECT list_sort(list_distinct(list_transform(quantile_cont(year_gap, [0.0, 0.25, 0.5, 0.75, 1.0]), lambda x: CAST(round(x) AS BIGINT)))) AS q FROM dc), bn AS (SELECT unnest(q) AS lo, unnest(list_slice(q, 2, len(q))) AS hi, q[-1] AS last FROM qs), bb AS (SELECT * FROM bn WHERE hi IS NOT NULL)"
 
 

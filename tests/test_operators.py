@@ -222,3 +222,44 @@ def test_json_sources_and_resume(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).count() == 3
     D.write_csv(rows, str(tmp_path / "c"), ["k"])
     assert spark.read.csv(str(tmp_path / "c"), header=True).count() == 2
+
+
+def test_catalog_texts_and_pages(spark, tmp_path):
+    from chronoloom.sources import pages, web
+
+    def book(i, **more):
+        return {"id": i, "title": f"T{i}", "authors": [{"name": "A", "birth_year": 1800}], "formats": {"text/plain": f"file://{tmp_path}/{i}.txt"}, "bookshelves": ["s", "s"], "subjects": ["u"]} | more
+
+    import json
+
+    (tmp_path / "2.json").write_text(json.dumps({"results": [book(3, title=None), book(4, authors=[]), book(5)], "next": None}))
+    (tmp_path / "1.json").write_text(json.dumps({"results": [book(1), book(2, formats={"text/plain": "x.zip"})], "next": f"file://{tmp_path}/2.json"}))
+    (tmp_path / "1.txt").write_text("first")
+    found = web.read_catalog(spark, f"file://{tmp_path}/1.json")
+    assert [(r["id"], r["labels"]) for r in found.orderBy("id").collect()] == [(1, ["s", "u"]), (5, ["s", "u"])]
+    assert web.read_catalog(spark, f"file://{tmp_path}/1.json", 1).count() == 1
+    urls = found.select("id", F.array(F.lit(f"file://{tmp_path}/none"), "text_url").alias("urls"))
+    assert {r["id"]: r["text"] for r in web.fetch_texts(urls).collect()} == {1: "first", 5: None}
+    assert "__DATA__" not in pages.page("<script>const D = __DATA__;</script>", {"books": found.select("id", "title")})
+    with pytest.raises(ValueError):
+        pages.payload({"n": spark.range(10)}, 5)
+    assert "polyline" in pages.line_figure(spark.range(5).selectExpr("id x", "id * id y"), "x", "y")
+
+
+def test_embedding_cache(spark):
+    from chronoloom.sources import web
+
+    rows = spark.createDataFrame([(1, "aa"), (2, "b" * 9000), (3, None)], "k int, t string")
+    cache = spark.createDataFrame([(1, [9.0]), (7, [1.0])], "k int, embedding array<double>")
+    found = web.with_embeddings(rows, cache, "k", "t", lambda text: F.array(F.length(text).cast("double")))
+    assert {r["k"]: r["embedding"] for r in found.collect()} == {1: [9.0], 2: [6000.0], 3: [0.0]}
+
+
+def test_student_tail():
+    assert N.student_tail(2.0, 10) == pytest.approx(0.07338803, abs=1e-7)
+    assert N.student_tail(0.0, 5) == 1.0
+    assert N.student_tail(1.8, 128) == pytest.approx(0.0742, abs=1e-3)
+
+
+def test_spearman_p(spark):
+    assert spark.createDataFrame([(0.157, 130), (0.5, 2)], "r double, n long").select(N.spearman_p(F.col("r"), F.col("n")).alias("p")).collect()[0]["p"] == pytest.approx(0.0745, abs=1e-3)
