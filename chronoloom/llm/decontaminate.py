@@ -18,6 +18,8 @@ from .common import doc_columns, read_table, settle
 WIDTH, SHARE, LITERAL = 8, 0.5, 4
 #: Bits of the prefilter (a literal of the plan, whatever the benchmark's size); window rows up to which the benchmark is broadcast.
 BITS, BROADCAST_ROWS = 1 << 19, 200_000
+#: Tokens whose hash tells at once that most windows are in no item.
+HEAD = 2
 #: Units that are placeholders behind a number.
 UNITS = "mm cm m km in ft yd mi mg g kg lb oz t ml cl l gal s sec min h hr hrs day days week weeks month months year years ms mph kmh kph w kw mw v a hz khz mhz ghz b kb mb gb tb cal kcal j kj pa kpa bar k c f degrees percent % usd eur gbp dollars euros pounds cents meters metres miles inches feet hours minutes seconds grams kilograms liters litres".split()
 #: Signs that go at a word's ends, as a character class.
@@ -43,10 +45,18 @@ def template(text: Column) -> Column:
     return _words(F.regexp_replace(typed, f"{number}(\\s+)(?i:{units})(?!\\p{{L}})\\S*", f"{number}$1{unit}"))
 
 
-def window_keys(tokens: Column, width: int) -> Column:
-    """The key of each window in order; none if there are fewer tokens than width."""
+def window_keys(tokens: Column, width: int, likely=None) -> Column:
+    """The key of each window in order; none if there are fewer tokens than width.
+
+    likely: a condition on the hash of a window's first tokens (HEAD of them at most); where it doesn't hold, the key is null.
+    """
     starts = F.when(F.size(tokens) >= width, F.sequence(F.lit(0), F.size(tokens) - width)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(*(F.get(tokens, i + j) for j in range(width))))
+
+    def key(i: Column) -> Column:
+        whole = F.xxhash64(*(F.get(tokens, i + j) for j in range(width)))
+        return whole if likely is None else F.when(likely(F.xxhash64(*(F.get(tokens, i + j) for j in range(min(HEAD, width))))), whole)
+
+    return F.transform(starts, key)
 
 
 def _literal_enough(tokens: Column, width: int) -> Column:
@@ -73,31 +83,40 @@ def _bit(key: Column) -> Column:
     return key.bitwiseAND(F.lit(BITS - 1).cast("long"))
 
 
+def _bitmap(keys: DataFrame):
+    """A condition on a key that holds for all of keys and few others.  The bits are a literal of the plan."""
+    words = [0] * (BITS // 64)
+    places = keys.select(_bit(F.col("key")).alias("b")).distinct().select(F.floor(F.col("b") / 64).alias("w"), F.expr("shiftleft(1L, cast(b % 64 as int))").alias("x"))
+    for r in places.groupBy("w").agg(F.bit_or("x").alias("x")).collect():  # BITS / 64 rows at most
+        words[r["w"]] = r["x"]
+    bits = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")  # folded to a literal
+
+    def holds(key: Column) -> Column:
+        at = _bit(key)
+        return F.getbit(F.get(bits, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1
+
+    return holds
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: float = SHARE) -> DataFrame:
     """doc_id, item_id, n_matched, n_windows, n_slots, verbatim of each item that a document holds.
 
-    An item is held if at least `share` of its windows match windows of the document and no value in a slot of those
-    windows stands for two values of the document.  n_slots counts the item's different slot values; verbatim: each
-    stands for itself.  Null and empty texts match nothing; rows that repeat a doc_id count as one document; rows
+    An item is held if at least `share` of its windows stand in the document as they are (verbatim), or if as many match
+    and no value in a slot of those windows stands for two values of the document.  n_slots counts the item's different
+    slot values in the windows that match.  Null and empty texts match nothing; rows that repeat a doc_id count as one document; rows
     without a doc_id are reported under null; an empty table gives an empty table.
     """
     items = item_windows(benchmark, width).persist()
     n = items.count()
     sizes = [r["width"] for r in items.select("width").distinct().collect()]
-    words = [0] * (BITS // 64)
-    for r in items.select(_bit(F.col("key")).alias("b")).distinct().select(F.floor(F.col("b") / 64).alias("w"), F.expr("shiftleft(1L, cast(b % 64 as int))").alias("x")).groupBy("w").agg(F.bit_or("x").alias("x")).collect():
-        words[r["w"]] = r["x"]
-    bits = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")  # folded to a literal
-
-    def known(key: Column) -> Column:
-        at = _bit(key)
-        return F.getbit(F.get(bits, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1
+    known = _bitmap(items.select("key"))
+    likely = _bitmap(items.select(F.when(F.col("width") >= HEAD, F.xxhash64(*(F.get("kinds", F.lit(j)) for j in range(HEAD)))).otherwise(F.col("key")).alias("key")))
 
     rows = doc_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     tokens = rows.select("doc_id", "text", template(F.col("text")).alias("tokens"))
     found = None
     for w in sorted(sizes):
-        hits = tokens.select("doc_id", "text", "tokens", F.array_compact(F.transform(window_keys(F.col("tokens"), w), lambda x, i: F.when(known(x), F.struct(i.alias("i"), x.alias("key"))))).alias("hits"))
+        hits = tokens.select("doc_id", "text", "tokens", F.array_compact(F.transform(window_keys(F.col("tokens"), w, likely), lambda x, i: F.when(x.isNotNull() & known(x), F.struct(i.alias("i"), x.alias("key"))))).alias("hits"))
         own = F.transform("hits", lambda x: F.struct(x["key"].alias("key"), F.slice(F.col("tokens"), x["i"] + 1, w).alias("own_kinds"), F.slice(F.col("words"), x["i"] + 1, w).alias("own_values")))
         # the words are cut out only where there is a hit, and what was found is stored: a filter would compute it anew
         hits = hits.select("doc_id", "tokens", "hits", F.when(F.size("hits") > 0, _words(F.col("text"))).alias("words")).select("doc_id", F.when(F.col("words").isNotNull(), own).alias("hits"))
@@ -111,10 +130,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: floa
     matched = matched.select("doc_id", "item_id", "n", "i", F.transform(pairs, lambda p: F.struct(p["kinds"].alias("kind"), p["values"].alias("value"), p["own_values"].alias("own"))).alias("pairs"))
     # equal windows of one document add nothing: a passage said a thousand times is one row for each of its windows
     matched = matched.distinct()
-    by_item = matched.groupBy("doc_id", "item_id", "n").agg(F.countDistinct("i").alias("n_matched"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("slots"))
+    same = F.forall("pairs", lambda p: p["value"] == p["own"])
+    by_item = matched.groupBy("doc_id", "item_id", "n").agg(F.count_distinct("i").alias("n_matched"), F.count_distinct(F.when(same, F.col("i"))).alias("n_verbatim"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("slots"))
     values = F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["value"])))
-    judged = by_item.withColumn("n_slots", F.size(values).cast("long")).where((F.col("n_matched") >= F.lit(share) * F.col("n")) & (F.size("slots") == F.col("n_slots")))
-    return judged.select("doc_id", "item_id", "n_matched", F.col("n").alias("n_windows"), "n_slots", F.forall("slots", lambda s: s["value"] == s["own"]).alias("verbatim"))
+    enough, verbatim = F.col("n_matched") >= F.lit(share) * F.col("n"), F.col("n_verbatim") >= F.lit(share) * F.col("n")
+    judged = by_item.withColumn("n_slots", F.size(values).cast("long")).withColumn("verbatim", verbatim)
+    judged = judged.where(F.col("verbatim") | enough & (F.size("slots") == F.col("n_slots")))
+    return judged.select("doc_id", "item_id", "n_matched", F.col("n").alias("n_windows"), "n_slots", "verbatim")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: float = SHARE) -> DataFrame:

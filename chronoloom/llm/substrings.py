@@ -351,3 +351,14 @@ def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(read_table(spark, sf_dir, "documents"))
+
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+h AS (SELECT doc_id, list_transform(range(1, greatest(len(w) - 33, 1)), lambda i: md5(array_to_string(list_slice(w, i, i + 34), ' '))) AS hs FROM d),
+k AS (SELECT doc_id, unnest(range(1, len(hs) + 1)) AS i, unnest(hs) AS h FROM h),
+r AS (SELECT doc_id, i FROM k QUALIFY count(*) OVER (PARTITION BY h) > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM r),
+a AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS j, unnest(w) AS word FROM d),
+s AS (SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS kept, count(*) AS n FROM a ANTI JOIN c USING (doc_id, j) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN s USING (doc_id)
+"""

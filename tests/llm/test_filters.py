@@ -11,7 +11,7 @@ from chronoloom.llm import decontaminate, rollup, topk, urls
 from chronoloom.llm.common import read_table
 
 ITEM = "A train left Paris at 9 and went 120 km to Lyon while another train waited there for its first guests."
-PARTS = [(1, ITEM), (2, "the quick brown fox jumps over the lazy dog near the river bank at dawn"), (3, "short items count too here"), (4, ""), (5, None), (6, "?? !!")]
+PARTS = [(1, ITEM), (2, "the quick brown fox jumps over the lazy dog near the river bank at dawn"), (3, "short items count too here"), (4, ""), (5, None), (6, "?? !!"), (7, "Then Anna gave Bob 5 apples and later that day Bob gave Anna 3 pears back after lunch")]
 
 
 def leaks(spark, docs, items=PARTS):
@@ -23,15 +23,15 @@ def test_leaks(spark):
     other = ITEM.replace("Paris", "Berlin").replace("Lyon", "Bonn").replace("120", "95").replace(" 9 ", " 7 ")
     mixed = "It said: " + ITEM + " Later " + ITEM.replace("Paris", "Berlin")
     filler = "something else stood before it and after it "
-    docs = [(1, filler + ITEM + " " + filler), (2, filler + other), (3, mixed), (4, filler * 50), (5, None), (6, ""), (7, "THE QUICK, BROWN FOX JUMPS -- OVER THE LAZY DOG NEAR THE RIVER BANK AT DAWN!"), (8, "the quick brown fox"), (9, "well, short items count too here."), (None, filler + ITEM), (10, (filler + "the quick brown fox jumps over the lazy dog near the river bank at dawn ") * 300), (7, "x")]
+    docs = [(1, filler + ITEM + " " + filler), (2, filler + other), (3, mixed), (4, filler * 50), (5, None), (6, ""), (7, "THE QUICK, BROWN FOX JUMPS -- OVER THE LAZY DOG NEAR THE RIVER BANK AT DAWN!"), (8, "the quick brown fox"), (9, "well, short items count too here."), (None, filler + ITEM), (10, (filler + "the quick brown fox jumps over the lazy dog near the river bank at dawn ") * 300), (7, "x"), (11, "Then Carl gave Dora 6 apples and later that day Dora gave Carl 2 pears back after lunch"), (12, "Then Carl gave Dora 6 apples and later that day Emil gave Fred 2 pears back after lunch")]
     rows = [(i, t, 0) for i, t in docs]
-    assert leaks(spark, rows) == {(1, 1): True, (2, 1): False, (None, 1): True, (7, 2): True, (9, 3): True, (10, 2): True}
+    assert leaks(spark, rows) == {(1, 1): True, (2, 1): False, (3, 1): True, (11, 7): False, (None, 1): True, (7, 2): True, (9, 3): True, (10, 2): True}
     assert leaks(spark, rows[:0]) == {}
     assert leaks(spark, rows, []) == {}
     table = spark.createDataFrame(rows, "doc_id long, text string, hits int")
     kept = decontaminate.without_leaks(table, spark.createDataFrame(PARTS, "item_id long, text string"))
     assert kept.columns == table.columns
-    assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 3, 4, 5, 6, 8]
+    assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 4, 5, 6, 8, 12]
 
 
 def test_decontamination_is_brute_force(spark):
