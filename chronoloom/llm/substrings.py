@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from .common import bytes_of, doc_columns, read_table, runs, settle
 
-LENGTH, ANCHOR, WIDE, PART = 35, 8, 1024, 4
+LENGTH, ANCHOR, WIDE, PART = 35, 8, 256, 4
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 _BASE, _STEP, _ROLL = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F))

@@ -166,7 +166,7 @@ def brute_repeats(texts, length):
     return docs, kept
 
 
-@pytest.mark.parametrize("wide", [1, 1024])
+@pytest.mark.parametrize("wide", [1, 256])
 def test_substrings(spark, monkeypatch, wide):
     monkeypatch.setattr(substrings, "WIDE", wide)
     texts = corpus(4)
