@@ -244,7 +244,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame,
     found = settle(_candidates(rows, length), "regions")
     counted = found.groupBy("anchor", "content", "size").agg(F.count("*").alias("weight"), F.min(F.struct("doc_id", "mark", "first")).alias("at"))
     counted = settle(counted, "counted")
-    groups = counted.groupBy("anchor").agg(F.count("*").alias("different"))
+    groups = settle(counted.groupBy("anchor").agg(F.count("*").alias("different")), "groups")
     same = counted.join(groups.where("different = 1"), "anchor").select("anchor", "content", F.expr("shiftleft(1L, size) - 1").alias("mask"))
     mixed = counted.join(groups.where("different > 1"), "anchor").select("anchor", "content", "size", "weight", "at.*", (F.col("different") > WIDE).alias("wide"))
     holders = found.select("doc_id", "mark").distinct()
