@@ -182,7 +182,7 @@ def fingerprint_links(fps: DataFrame, reach: int = REACH, block: int = BLOCK) ->
                 a, b = zip(*out)
                 yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return keyed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(work, "a long, b long")
+    return keyed.repartition(*keys).sortWithinPartitions(*keys, "fp").mapInArrow(work, "a long, b long")
 
 
 def shingles(data: bytes, width: int) -> set[bytes]:
