@@ -25,6 +25,8 @@ from .components import connected_components
 
 SHINGLE, SEED, REACH = 4, 42, 4
 BLOCK, LEAF, FAN = 4096, 32, 8
+#: Bits of a bucket's key at least.
+FINE = 8
 #: Large buckets up to which their list is sent to every task.
 FEW = 100_000
 #: Of texts to be thinned out: words of a shingle, similarity, and the bits by which such texts' fingerprints mostly differ at most.
@@ -139,10 +141,10 @@ def forest(left: np.ndarray, right: np.ndarray, reach: int) -> list[tuple[int, i
 
 def masks(n: int, reach: int, block: int = BLOCK) -> list[int]:
     """Bit masks such that any two fingerprints within reach agree on one: all choices of m out of reach + m blocks, with
-    the least m, 3 at most, for which n evenly spread fingerprints make buckets of no more than block."""
+    the least m, 3 at most, that takes FINE bits and for which n evenly spread fingerprints make buckets of no more than block."""
     for m in (1, 2, 3):
         blocks = reach + m
-        if m == 3 or n <= block << (64 * m // blocks):
+        if m == 3 or 64 * m // blocks >= FINE and n <= block << (64 * m // blocks):
             break
     bounds = [64 * i // blocks for i in range(blocks + 1)]
     parts = [(1 << high) - (1 << low) for low, high in zip(bounds, bounds[1:])]
