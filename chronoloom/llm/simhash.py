@@ -6,7 +6,9 @@ bits).  m grows with the number of fingerprints, so buckets stay small.  In a bu
 Gray rank; leaves of consecutive fingerprints keep the bit pattern that their members share, upper nodes the pattern
 that their leaves share, and a lookup adds up the differences from the root down and leaves a whole group out once the
 sum exceeds the reach.  A bucket larger than BLOCK is dealt in pairs of parts, so no task holds more than two parts; of
-each bucket only a spanning forest of its links is kept, nearest links first.
+each bucket only a spanning forest of its links is kept, nearest links first.  Where a similarity is asked for as well
+and a link of the forest lacks it, the links between what is still apart are compared by their texts in their bucket,
+before a forest is taken.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from .components import connected_components
 
 SHINGLE, SEED, REACH = 4, 42, 4
 BLOCK, LEAF, FAN = 4096, 32, 8
+#: Fingerprints of a part of a bucket whose texts are compared there.
+TEXT_BLOCK = 1024
 #: Bits of a bucket's key at least.
 FINE = 8
 #: Large buckets up to which their list is sent to every task.
@@ -32,6 +36,8 @@ FEW = 100_000
 #: Of texts to be thinned out: words of a shingle, similarity, and the bits by which such texts' fingerprints mostly differ at most.
 THIN_WIDTH, SIMILARITY, THIN_REACH = 5, 0.8, 10
 _SLICE = 1 << 15
+#: What a pair of parts of a bucket is known by.
+KEYS = ["mask", "value", "lo", "hi"]
 
 
 def fingerprint(data: bytes, width: int = SHINGLE) -> int:
@@ -151,10 +157,11 @@ def masks(n: int, reach: int, block: int = BLOCK) -> list[int]:
     return [sum(chosen) for chosen in combinations(parts, m)]
 
 
-def fingerprint_links(fps: DataFrame, reach: int = REACH, block: int = BLOCK) -> DataFrame:
-    """fps: distinct fp.  Links a, b that connect exactly what the links within reach connect."""
-    chosen = [m - (1 << 64) if m >> 63 else m for m in masks(fps.count(), reach, block)]
-    keyed = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("value")) for i, m in enumerate(chosen)))).alias("k")).select("fp", "k.*")
+def _dealt(fps: DataFrame, chosen: list[int], block: int) -> DataFrame:
+    """The rows of fps (fp and further columns) in each of their buckets: mask, value, lo, hi (a pair of the bucket's parts), own (the row's part)."""
+    signed = [m - (1 << 64) if m >> 63 else m for m in chosen]
+    keyed = fps.withColumn("k", F.explode(F.array(*(F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("value")) for i, m in enumerate(signed)))))
+    keyed = keyed.select(*fps.columns, "k.*")
     large = settle(keyed.groupBy("mask", "value").count().where(F.col("count") > block), "large")
     large = F.broadcast(large) if large.count() <= FEW else large
     keyed = keyed.join(large, ["mask", "value"], "left")
@@ -162,29 +169,38 @@ def fingerprint_links(fps: DataFrame, reach: int = REACH, block: int = BLOCK) ->
     parts = F.ceil(F.coalesce("count", F.lit(1)) / F.lit(block)).cast("int")
     own = F.pmod(F.xxhash64("fp", "mask"), parts).cast("int")
     keyed = keyed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    keyed = keyed.select("fp", "mask", "value", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own")
-    keys = ["mask", "value", "lo", "hi"]
+    return keyed.select(*fps.columns, "mask", "value", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own")
+
+
+def _buckets(table: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of each pair of parts in a table sorted by KEYS: its mask, and the places of the rows to compare with each other (the same twice in a part)."""
+    k = np.stack([table[x].to_numpy().astype(np.int64) for x in KEYS])
+    own = table["own"].to_numpy()
+    starts = np.append(np.concatenate([[0], np.nonzero((k[:, 1:] != k[:, :-1]).any(axis=0))[0] + 1]), k.shape[1])
+    for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
+        at = np.arange(s, e)
+        if k[2, s] == k[3, s]:
+            if e - s > 1:
+                yield int(k[0, s]), at, at
+        else:
+            first = own[s:e] == k[2, s]
+            if first.any() and not first.all():
+                yield int(k[0, s]), at[first], at[~first]
+
+
+def fingerprint_links(fps: DataFrame, reach: int = REACH, block: int = BLOCK) -> DataFrame:
+    """fps: distinct fp.  Links a, b that connect exactly what the links within reach connect."""
+    keyed = _dealt(fps.select("fp"), masks(fps.count(), reach, block), block)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in runs(batches, keys):
-            fp, own = table["fp"].to_numpy().view(np.uint64), table["own"].to_numpy()
-            lo, hi = table["lo"].to_numpy(), table["hi"].to_numpy()
-            k = np.stack([table[x].to_numpy().astype(np.int64) for x in keys])
-            starts = np.append(np.concatenate([[0], np.nonzero((k[:, 1:] != k[:, :-1]).any(axis=0))[0] + 1]), len(fp))
-            out = []
-            for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
-                if lo[s] == hi[s]:
-                    if e - s > 1:
-                        out += forest(fp[s:e], fp[s:e], reach)
-                else:
-                    first = own[s:e] == lo[s]
-                    if first.any() and not first.all():
-                        out += forest(fp[s:e][first], fp[s:e][~first], reach)
+        for table in runs(batches, KEYS):
+            fp = table["fp"].to_numpy().view(np.uint64)
+            out = [x for _, left, right in _buckets(table) for x in forest(fp[left], fp[right], reach)]
             if out:
                 a, b = zip(*out)
                 yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return keyed.repartition(*keys).sortWithinPartitions(*keys, "fp").mapInArrow(work, "a long, b long")
+    return keyed.repartition(*KEYS).sortWithinPartitions(*KEYS, "fp").mapInArrow(work, "a long, b long")
 
 
 def shingles(data: bytes, width: int) -> set[bytes]:
@@ -192,6 +208,13 @@ def shingles(data: bytes, width: int) -> set[bytes]:
     return {b" ".join(words)} if len(words) < width else set(map(b" ".join, zip(*(words[i:] for i in range(width)))))
 
 
+def _overlap(x: set[bytes], y: set[bytes], similarity: float) -> bool:
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+        return False
+    both = len(x & y)
+    return both >= similarity * (len(x) + len(y) - both)
+
+
 def _similar(links: DataFrame, classes: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
     """The links whose texts (those of the smallest doc_id of each fingerprint) share so much of their shingles."""
     ends = links.join(classes.toDF("a", "id_a"), "a").join(classes.toDF("b", "id_b"), "b")
@@ -205,13 +228,98 @@ def _similar(links: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
         for batch in batches:
             keep = []
             for x, y in zip(bytes_of(batch, "text_a"), bytes_of(batch, "text_b")):
-                x, y = shingles(x, width), shingles(y, width)
-                keep.append(len(x & y) >= similarity * len(x | y))
+                keep.append(_overlap(shingles(x, width), shingles(y, width), similarity))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(work, "a long, b long")
 
 
+def _apart(fp: np.ndarray, root: np.ndarray, left: np.ndarray, right: np.ndarray, reach: int, lower: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs within reach that have different roots and agree on none of the lower masks, where they would be found as well."""
+    index = GrayIndex(fp[right])
+    places = right[np.argsort(gray_rank(fp[right]), kind="stable")]
+    for j, k in index.links(fp[left], reach):
+        x, y = left[j], places[k]
+        keep = root[x] != root[y]
+        if left is right:
+            keep &= x < y
+        x, y = x[keep], y[keep]
+        for m in lower:
+            keep = (fp[x] ^ fp[y]) & m != 0
+            x, y = x[keep], y[keep]
+        yield x, y
+
+
+def links_between(nodes: DataFrame, texts: DataFrame, width: int, reach: int, similarity: float, block: int = TEXT_BLOCK) -> DataFrame:
+    """nodes: distinct fp, root.  texts: fp, text.  Links a, b within reach and of that similarity that connect, with the links
+    within each root, exactly what all such links connect."""
+    chosen = masks(nodes.count(), reach, block)
+    bits = np.array(chosen, np.uint64)
+    kind = "fp long, root long, mask int, value long, lo int, hi int, own int"
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows that have a pair to compare."""
+        for table in runs(batches, KEYS):
+            fp, root = table["fp"].to_numpy().view(np.uint64), table["root"].to_numpy()
+            wanted = np.zeros(len(fp), bool)
+            for mask, left, right in _buckets(table):
+                for x, y in _apart(fp, root, left, right, reach, bits[:mask]):
+                    wanted[x] = wanted[y] = True
+            yield from table.filter(pa.array(wanted)).to_batches()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, KEYS):
+            fp, root = table["fp"].to_numpy().view(np.uint64), table["root"].to_numpy()
+            data = table["text"].cast(pa.binary())
+            out = []
+            for mask, left, right in _buckets(table):
+                sets = {i: shingles(data[i].as_py(), width) for i in np.union1d(left, right).tolist()}
+                above: dict[int, int] = {}
+
+                def find(x: int) -> int:
+                    while x in above:
+                        above[x] = above.get(above[x], above[x])
+                        x = above[x]
+                    return x
+
+                for x, y in _apart(fp, root, left, right, reach, bits[:mask]):
+                    for i, j in zip(x.tolist(), y.tolist()):
+                        p, q = find(int(root[i])), find(int(root[j]))
+                        if p != q and _overlap(sets[i], sets[j], similarity):
+                            above[max(p, q)] = min(p, q)
+                            out.append((i, j))
+            if out:
+                signed = fp.view(np.int64)
+                a, b = map(list, zip(*out))
+                yield pa.record_batch([pa.array(signed[a]), pa.array(signed[b])], ["a", "b"])
+
+    def sort(df: DataFrame) -> DataFrame:
+        return df.repartition(*KEYS).sortWithinPartitions(*KEYS, "fp")
+
+    wanted = settle(sort(_dealt(nodes.select("fp", "root"), chosen, block)).mapInArrow(some, kind), "wanted")
+    return sort(wanted.join(texts, "fp")).mapInArrow(work, "a long, b long")
+
+
+def similar_links(links: DataFrame, classes: DataFrame, docs: DataFrame, width: int, reach: int, similarity: float) -> DataFrame:
+    """links: those that fingerprint_links() gives.  Links that connect exactly what the links within reach and of that similarity connect.
+
+    A link of the forest that lacks the similarity may have stood for others that have it.  Only the groups that fall
+    apart so are looked at again; of the others nothing can be missing.
+    """
+    links = settle(links.distinct(), "forest")
+    similar = settle(_similar(links, classes, docs, width, similarity), "similar")
+    groups, parts = settle(connected_components(links), "groups"), settle(connected_components(similar), "parts")
+    nodes = groups.toDF("fp", "group").distinct().join(parts.toDF("fp", "root").distinct(), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    split = nodes.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("group")
+    nodes = nodes.join(split, "group").join(classes.where("least is not null"), "fp")
+    nodes = settle(nodes.select("fp", "root", "least"), "apart")
+    if nodes.isEmpty():
+        return similar
+    texts = doc_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("least"), "text").join(nodes.select("fp", "least"), "least")
+    texts = settle(texts.groupBy("fp").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")), "texts")
+    return similar.unionByName(settle(links_between(nodes, texts, width, reach, similarity), "between"))
+
+
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, reach: int = REACH, similarity: float | None = None) -> DataFrame:
     """doc_id, fp and component_id of every row of docs (doc_id, text; further columns are not looked at).
 
@@ -224,7 +332,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, reach: int = REACH, s
     classes = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     links = fingerprint_links(classes.select("fp"), reach)
     if similarity is not None:
-        links = _similar(links, classes, docs, width, similarity)
+        links = similar_links(links, classes, docs, width, reach, similarity)
     roots = settle(connected_components(links), "roots")
     named = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     heads = named.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -100,6 +100,37 @@ def test_thinning_takes_five_words_and_four_fifths(spark):
     assert kept == {groups.index(g) for g in set(groups)}
 
 
+@pytest.mark.parametrize("block", [16, 1024])
+def test_no_similar_pair_is_lost_behind_one_that_is_not(spark, monkeypatch, block):
+    """Components of all links within reach and of the similarity, where many links within reach lack it."""
+    monkeypatch.setattr(simhash.links_between, "__defaults__", (block,))
+    rng = random.Random(31)
+    texts = []
+    for _ in range(3):
+        w = words(rng, 300, 5000)
+        for _ in range(50):
+            near = list(w)
+            for at in rng.sample(range(300), rng.randint(0, 14)):
+                near[at] = f"e{rng.randint(0, 10**6)}"
+            texts.append(" ".join(near))
+    fps = [fingerprint(t, 5) for t in texts]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(296)} for t in texts]
+    least = {}
+    for i, f in enumerate(fps):
+        least.setdefault(f, i)
+    root = [least[f] for f in fps]
+    kept = sorted(least.values())  # one text stands for a fingerprint
+    near = [(i, j) for i in kept for j in kept if j < i and bin(fps[i] ^ fps[j]).count("1") <= 10]
+    good = [(i, j) for i, j in near if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert 0 < len(good) < len(near)
+    for _ in range(len(texts)):
+        for i, j in good:
+            root[i] = root[j] = min(root[i], root[j])
+    root = [root[least[f]] for f in fps]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, 5, 10, 0.8).collect()} == dict(enumerate(root))
+
+
 @pytest.mark.parametrize("n", [100, 10**8, 10**12])
 @pytest.mark.parametrize("reach", [4, 10])
 def test_masks_meet_every_pair_within_reach(n, reach):
