@@ -6,6 +6,9 @@ neighbouring examples, and the largest weight of each term in each block.  A que
 visits blocks from the highest bound down and stops when a bound is below the k-th best cosine: no example that could
 enter the k best is left out.  The k nearest vote with the weight 1 / (distance + SOFT), the vote is calibrated on the
 training rows by leaving each out in turn, and the neighbours are the evidence.
+
+A text without a term of that vocabulary goes to the nearest examples by all their terms, with document frequencies over
+all documents: an index without pruning, since cosines of whole texts are too close to each other for bounds to tell.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +31,8 @@ TRAIN_ROWS = 12_000
 TERMS, LEAST_DF, LEAST_CHI2 = 512, 5, 40.0
 #: Neighbours, examples in a block, softening of distances, steps of the calibration, vectors that a worker keeps.
 K, BLOCK, SOFT, STEPS, KEPT = 15, 64, 0.05, 10, 200_000
+#: A term in one of so many examples or more is a row of a matrix, not a list of postings; texts that are multiplied at once.
+DENSE, AT_ONCE = 16, 64
 #: A term: a run of letters.
 _terms = re.compile(r"[^\W\d_]+").findall
 
@@ -51,6 +57,7 @@ class BlockMaxIndex:
         for t, (d, w) in enumerate(zip(self.docs, self.weights)):
             np.maximum.at(self.most[t], d // BLOCK, w)
         self.calibration = np.full(STEPS + 2, 0.5)
+        self.whole: WholeIndex | None = None
 
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         known = sorted((self.place[t], c) for t, c in counts.items() if t in self.place)
@@ -87,25 +94,89 @@ class BlockMaxIndex:
         return int(round(STEPS * float(w @ self.labels[docs]) / float(w.sum())))
 
     def calibrate(self, examples: list[dict[str, int]]) -> None:
-        """Share of label 1 by step of the vote, each training row judged by the others; steps are pooled until they rise."""
-        seen, ones = np.zeros(STEPS + 2), np.zeros(STEPS + 2)
+        """Share of label 1 by step of the vote, each training row judged by the others."""
+        steps = []
         for d, counts in enumerate(examples):
             terms, weights = self.vector(counts)
-            step = self.vote(*self.nearest(terms, weights, without=d)) if len(terms) else STEPS + 1
-            seen[step] += 1
-            ones[step] += self.labels[d]
-        prior = self.labels.mean() if len(self.labels) else 0.5
-        ideal = np.linspace(0, 1, STEPS + 1)
-        groups = [[ones[i] + ideal[i], seen[i] + 1, 1] for i in range(STEPS + 1)]
-        pooled: list[list[float]] = []
-        for g in groups:  # pool adjacent violators
-            pooled.append(list(g))
-            while len(pooled) > 1 and pooled[-2][0] / pooled[-2][1] > pooled[-1][0] / pooled[-1][1]:
-                last = pooled.pop()
-                pooled[-1] = [a + b for a, b in zip(pooled[-1], last)]
-        rising = [g[0] / g[1] for g in pooled for _ in range(int(g[2]))]
-        none = (ones[-1] + prior) / (seen[-1] + 1)
-        self.calibration = np.array([*rising, none])
+            steps.append(self.vote(*self.nearest(terms, weights, without=d)) if len(terms) else STEPS + 1)
+        self.calibration = rising(steps, self.labels, self.labels)
+
+
+def rising(steps: list[int], labels: np.ndarray, all_labels: np.ndarray) -> np.ndarray:
+    """Share of label 1 by step; steps are pooled until they rise.  The last step is that of rows without neighbours."""
+    seen, ones = np.zeros(STEPS + 2), np.zeros(STEPS + 2)
+    np.add.at(seen, steps, 1)
+    np.add.at(ones, steps, labels)
+    prior = all_labels.mean() if len(all_labels) else 0.5
+    ideal = np.linspace(0, 1, STEPS + 1)
+    groups = [[ones[i] + ideal[i], seen[i] + 1, 1] for i in range(STEPS + 1)]
+    pooled: list[list[float]] = []
+    for g in groups:  # pool adjacent violators
+        pooled.append(list(g))
+        while len(pooled) > 1 and pooled[-2][0] / pooled[-2][1] > pooled[-1][0] / pooled[-1][1]:
+            last = pooled.pop()
+            pooled[-1] = [a + b for a, b in zip(pooled[-1], last)]
+    shares = [g[0] / g[1] for g in pooled for _ in range(int(g[2]))]
+    none = (ones[-1] + prior) / (seen[-1] + 1)
+    return np.array([*shares, none])
+
+
+class WholeIndex:
+    """All terms of the examples, with their places.  ends, codes, counts: the terms of example d are codes[ends[d]:ends[d + 1]]; df: of each term over all n documents."""
+
+    def __init__(self, place: dict[str, int], df: np.ndarray, n: int, ends: np.ndarray, codes: np.ndarray, counts: np.ndarray):
+        self.place = place
+        self.idf = np.log((1 + n) / (1 + df.astype(float))) + 1
+        self.size = len(ends) - 1
+        row = np.repeat(np.arange(self.size, dtype=np.int32), np.diff(ends))
+        w = (1 + np.log(counts.astype(float))) * self.idf[codes]
+        w /= np.sqrt(np.bincount(row, w * w, self.size))[row]
+        self.ends, self.codes, self.own = ends, codes, w  # for the calibration
+        order = np.argsort(codes, kind="stable")
+        self.docs, self.weights = row[order], w[order]
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(place)))]).astype(np.int64)
+        common = np.nonzero(np.diff(self.starts) * DENSE > self.size)[0]
+        self.row = np.full(len(place), -1, np.int64)
+        self.row[common] = np.arange(len(common))
+        self.matrix = np.zeros((len(common), self.size))
+        for i, t in enumerate(common.tolist()):
+            s, e = self.starts[t], self.starts[t + 1]
+            self.matrix[i, self.docs[s:e]] = self.weights[s:e]
+        self.calibration = np.full(STEPS + 2, 0.5)
+
+    def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        known = sorted((self.place[t], c) for t, c in counts.items() if t in self.place)
+        terms, c = np.array([t for t, _ in known], np.int64), np.array([c for _, c in known], float)
+        w = (1 + np.log(c)) * self.idf[terms]
+        return terms, w / np.sqrt(w @ w) if len(w) else w
+
+    def bare(self, d: int) -> tuple[np.ndarray, np.ndarray]:
+        """The vector of an example."""
+        s, e = self.ends[d], self.ends[d + 1]
+        return self.codes[s:e], self.own[s:e]
+
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = K, without: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of each vector, places and cosines of the k nearest examples (cosine over 0, ties to the earlier example)."""
+        for at in range(0, len(vectors), AT_ONCE):
+            part = vectors[at : at + AT_ONCE]
+            left = np.zeros((len(part), len(self.matrix)))
+            for i, (terms, w) in enumerate(part):
+                row = self.row[terms]
+                left[i, row[row >= 0]] = w[row >= 0]
+            sums = left @ self.matrix
+            for i, (terms, w) in enumerate(part):
+                few = self.row[terms] < 0
+                terms, w = terms[few], w[few]
+                if len(terms):
+                    starts, sizes = self.starts[terms], self.starts[terms + 1] - self.starts[terms]
+                    where = np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+                    sums[i] += np.bincount(self.docs[where], self.weights[where] * np.repeat(w, sizes), self.size)
+                if without is not None:
+                    sums[i, without[at + i]] = 0
+                cosines = np.round(sums[i], 12)
+                docs = np.nonzero(cosines >= max(1e-12, np.partition(cosines, -k)[-k] if len(cosines) > k else 0))[0]
+                docs = docs[np.lexsort((docs, -cosines[docs]))[:k]]
+                yield docs, sums[i, docs]
 
 
 def _counts(text: str, place: dict[str, int]) -> dict[str, int]:
@@ -144,34 +215,87 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> BlockM
     index = BlockMaxIndex(vocabulary, [t["df"] for t in terms], n, examples, [r["doc_id"] for r in kept], [r["label"] for r in kept])
     if kept:
         index.calibrate(examples)
+        index.whole = _whole(docs, bags)
+        rest = [d for d, bag in enumerate(examples) if not bag]  # the training rows that go there
+        whole, places = index.whole, np.array(rest, np.int64)
+        found = whole.nearest([whole.bare(d) for d in rest], without=rest)
+        whole.calibration = rising([index.vote(*x) for x in found], index.labels[places], index.labels)
+        whole.ends = whole.codes = whole.own = None  # not sent to the tasks
     return index
 
 
+def _whole(docs: DataFrame, bags: DataFrame) -> WholeIndex:
+    """The index over all terms of the training rows, in the order of their ids and labels."""
+    table = bags.orderBy("doc_id", "label").select("terms", "counts").toArrow()  # TRAIN_ROWS rows at most
+    lists = table["terms"].combine_chunks()
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]).astype(np.int64)
+    coded = pc.dictionary_encode(lists.flatten())
+    place, codes = {t: i for i, t in enumerate(coded.dictionary.to_pylist())}, coded.indices.to_numpy()
+    counts = table["counts"].combine_chunks().flatten().to_numpy()
+    del table, lists, coded  # the driver has no room for two
+    sent = docs.sparkSession.sparkContext.broadcast(place)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How many documents of the task have each term."""
+        place = sent.value
+        df = np.zeros(len(place) + 1, np.int64)  # the last counts the documents
+        for batch in batches:
+            for x in texts_of(batch):
+                df[[place[t] for t in place.keys() & _terms(x.lower())]] += 1
+            df[-1] += batch.num_rows
+        some = np.nonzero(df)[0]
+        for at in range(0, len(some), 1 << 16):
+            yield pa.record_batch([pa.array(some[at : at + (1 << 16)]), pa.array(df[some[at : at + (1 << 16)]])], ["term", "df"])
+
+    found = doc_columns(docs, "text").mapInArrow(work, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    df = np.zeros(len(place) + 1, np.int64)
+    df[found["term"].to_numpy()] = found["df"].to_numpy()
+    return WholeIndex(place, df[:-1], int(df[-1]), ends, codes, counts)
+
+
 def score_documents(docs: DataFrame, index: BlockMaxIndex, evidence: int = 3) -> DataFrame:
     """doc_id, score, evidence (the nearest examples: doc_id, label, cosine) of every row (doc_id, text).
 
-    Null texts count as empty; texts without a vocabulary term have no evidence and the calibrated share of such texts.
+    Null texts count as empty; texts without a vocabulary term are scored by the whole index, and texts without any term of
+    an example have no evidence and the calibrated share of such texts.
     """
     sent = docs.sparkSession.sparkContext.broadcast(index)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         memo: dict[tuple, tuple] = {}
+
+        def judged(docs: np.ndarray, cosines: np.ndarray, calibration: np.ndarray) -> tuple:
+            seen = [{"doc_id": int(own.ids[d]), "label": int(own.labels[d]), "cosine": float(c)} for d, c in zip(docs[:evidence].tolist(), cosines.tolist())]
+            return float(calibration[own.vote(docs, cosines)]), seen
+
         for batch in batches:
-            scores, nearest = [], []
-            for text in texts_of(batch):
+            got: list[tuple | None] = []
+            rest: dict[str, list[int]] = {}
+            for i, text in enumerate(texts_of(batch)):
                 counts = _counts(text, own.place)
+                if not counts:
+                    got.append((float(own.calibration[-1]), []))
+                    if own.whole is not None:
+                        rest.setdefault(text, []).append(i)
+                    continue
                 key = tuple(sorted(counts.items()))
                 if key not in memo:
-                    docs, cosines = own.nearest(*own.vector(counts)) if counts else (np.empty(0, np.int64), np.empty(0))
-                    seen = [{"doc_id": int(own.ids[d]), "label": int(own.labels[d]), "cosine": float(c)} for d, c in zip(docs[:evidence].tolist(), cosines.tolist())]
-                    got = float(own.calibration[own.vote(docs, cosines)]), seen
+                    found = judged(*own.nearest(*own.vector(counts)), own.calibration)
                     if len(memo) < KEPT:
-                        memo[key] = got
+                        memo[key] = found
                 else:
-                    got = memo[key]
-                scores.append(got[0])
-                nearest.append(got[1])
+                    found = memo[key]
+                got.append(found)
+            texts = list(rest)
+            for at in range(0, len(texts), AT_ONCE):
+                part = texts[at : at + AT_ONCE]
+                vectors = [own.whole.vector(_counts(x, own.whole.place)) for x in part]
+                for text, near in zip(part, own.whole.nearest(vectors)):
+                    found = judged(*near, own.whole.calibration)
+                    for i in rest[text]:
+                        got[i] = found
+            scores, nearest = [g[0] for g in got], [g[1] for g in got]
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
             yield pa.record_batch([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(nearest, kind)], ["doc_id", "score", "evidence"])
 

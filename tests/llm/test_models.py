@@ -67,6 +67,32 @@ def test_nearest_is_brute_force(spark):
         assert got.tolist() == order.tolist() and np.allclose(cosines, all_cosines[order])
 
 
+def test_texts_without_a_marking_word_have_the_nearest_by_all_terms(spark):
+    rows, labels = labelled()
+    rows = [(i, t.replace("w1 ", "w1 rare ") if i % 7 == 0 else t) for i, t in rows] + [(1000 + i, t) for i, t in rows[1:20:4]] + [(2000, "zz unseen"), (2001, None), (2002, "w1 w2 w3 w4 w5 w6")]
+    rows = [(i, t and "".join(chr(ord(c) + 49) if c.isdigit() else c for c in t)) for i, t in rows]  # terms are letters
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, label int")
+    index = toxicity.train(docs, marks)
+    texts = dict(rows)
+    bags = {i: toxicity.Counter(toxicity._terms((t or "").lower())) for i, t in texts.items()}
+    terms = sorted({t for i, _ in labels for t in bags[i]})
+    df = np.array([sum(t in b for b in bags.values()) for t in terms])
+    whole = {}
+    for i, b in bags.items():
+        w = np.array([1 + np.log(b[t]) if b[t] else 0 for t in terms]) * (np.log((1 + len(bags)) / (1 + df)) + 1)
+        whole[i] = w / max(np.sqrt(w @ w), 1e-300)
+    seen = 0
+    for r in toxicity.score_documents(docs, index).collect():
+        if index.place.keys() & bags[r["doc_id"]]:
+            continue
+        cosines = [(-round(float(whole[r["doc_id"]] @ whole[i]), 12), i) for i in index.ids.tolist()]
+        expected = [(i, -c) for c, i in sorted(cosines)[:3] if c < 0]
+        assert [e["doc_id"] for e in r["evidence"]] == [i for i, _ in expected]
+        assert np.allclose([e["cosine"] for e in r["evidence"]], [c for _, c in expected])
+        seen += len(expected) > 0
+    assert seen > 100
+
+
 def held_out(spark, query, column, modulus, value):
     truth = {r["doc_id"]: r[column] for r in read_table(spark, SF, "labels").collect()}
     rows = query(spark, SF).collect()
