@@ -4,12 +4,13 @@ A text's words become typed tokens: #n for a number (a unit may stick to it), #u
 name (capitalised inside a sentence), else the word in lower case; signs at a word's ends go.  Benchmark items and
 documents are joined on the hash of every `width`-token window of these templates.  Along the windows that match, each
 value that stands in a slot of the item must be replaced by one value only, so a question asked anew with other numbers
-or names is caught, and texts that merely share a shape are not.
+or names is caught, and texts that merely share a shape are not.  That is asked of the document as a whole, of each
+alignment and of each ascending run of windows: one occurrence that holds is enough, whatever stands elsewhere.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import doc_columns, read_table, settle
@@ -102,7 +103,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: floa
     """doc_id, item_id, n_matched, n_windows, n_slots, verbatim of each item that a document holds.
 
     An item is held if at least `share` of its windows stand in the document as they are (verbatim), or if as many match
-    and no value in a slot of those windows stands for two values of the document.  n_slots counts the item's different
+    and no value in a slot of those windows stands for two values, in the document or in one occurrence of it.  n_slots counts the item's different
     slot values in the windows that match.  Null and empty texts match nothing; rows that repeat a doc_id count as one document; rows
     without a doc_id are reported under null; an empty table gives an empty table.
     """
@@ -117,25 +118,31 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: floa
     found = None
     for w in sorted(sizes):
         hits = tokens.select("doc_id", "text", "tokens", F.array_compact(F.transform(window_keys(F.col("tokens"), w, likely), lambda x, i: F.when(x.isNotNull() & known(x), F.struct(i.alias("i"), x.alias("key"))))).alias("hits"))
-        own = F.transform("hits", lambda x: F.struct(x["key"].alias("key"), F.slice(F.col("tokens"), x["i"] + 1, w).alias("own_kinds"), F.slice(F.col("words"), x["i"] + 1, w).alias("own_values")))
+        own = F.transform("hits", lambda x: F.struct(x["key"].alias("key"), x["i"].alias("at"), F.slice(F.col("tokens"), x["i"] + 1, w).alias("own_kinds"), F.slice(F.col("words"), x["i"] + 1, w).alias("own_values")))
         # the words are cut out only where there is a hit, and what was found is stored: a filter would compute it anew
-        hits = hits.select("doc_id", "tokens", "hits", F.when(F.size("hits") > 0, _words(F.col("text"))).alias("words")).select("doc_id", F.when(F.col("words").isNotNull(), own).alias("hits"))
-        part = settle(hits, "hits").select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.*", F.lit(w).alias("width"))
+        hits = hits.select("doc_id", F.xxhash64("text").alias("text"), "tokens", "hits", F.when(F.size("hits") > 0, _words(F.col("text"))).alias("words")).select("doc_id", "text", F.when(F.col("words").isNotNull(), own).alias("hits"))
+        part = settle(hits, "hits").select("doc_id", "text", F.explode("hits").alias("h")).select("doc_id", "text", "h.*", F.lit(w).alias("width"))
         found = part if found is None else found.unionByName(part)
     if found is None:
         return rows.select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).cast("long").alias("n_matched"), F.lit(0).cast("long").alias("n_windows"), F.lit(0).cast("long").alias("n_slots"), F.lit(True).alias("verbatim")).where(F.lit(False))
     small = F.broadcast(items) if n <= BROADCAST_ROWS else items
     matched = found.join(small, ["key", "width"]).where("own_kinds = kinds")
     pairs = F.filter(F.arrays_zip("kinds", "values", "own_values"), lambda p: p["kinds"].isin(*MARKS))
-    matched = matched.select("doc_id", "item_id", "n", "i", F.transform(pairs, lambda p: F.struct(p["kinds"].alias("kind"), p["values"].alias("value"), p["own_values"].alias("own"))).alias("pairs"))
-    # equal windows of one document add nothing: a passage said a thousand times is one row for each of its windows
+    matched = matched.select("doc_id", "item_id", "n", "i", "text", "at", F.transform(pairs, lambda p: F.struct(p["kinds"].alias("kind"), p["values"].alias("value"), p["own_values"].alias("own"))).alias("pairs"))
+    # rows that repeat a text add nothing
     matched = matched.distinct()
+    in_order = Window.partitionBy("doc_id", "item_id", "text").orderBy("at", "i")
+    runs = matched.withColumn("fresh", F.coalesce((F.col("i") <= F.lag("i").over(in_order)).cast("int"), F.lit(0))).withColumn("run", F.sum("fresh").over(in_order))
+    part = lambda kind, text, at: F.struct(F.lit(kind).alias("kind"), text.cast("long").alias("text"), at.cast("long").alias("at"))
+    parts = F.array(part("whole", F.lit(None), F.lit(None)), part("shift", F.col("text"), F.col("at") - F.col("i")), part("run", F.col("text"), F.col("run")))
     same = F.forall("pairs", lambda p: p["value"] == p["own"])
-    by_item = matched.groupBy("doc_id", "item_id", "n").agg(F.count_distinct("i").alias("n_matched"), F.count_distinct(F.when(same, F.col("i"))).alias("n_verbatim"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("slots"))
+    by_part = runs.withColumn("part", F.explode(parts)).groupBy("doc_id", "item_id", "n", "part").agg(F.size(F.collect_set("i")).cast("long").alias("n_matched"), F.size(F.collect_set(F.when(same, F.col("i")))).cast("long").alias("n_verbatim"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("slots"))
     values = F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["value"])))
-    enough, verbatim = F.col("n_matched") >= F.lit(share) * F.col("n"), F.col("n_verbatim") >= F.lit(share) * F.col("n")
-    judged = by_item.withColumn("n_slots", F.size(values).cast("long")).withColumn("verbatim", verbatim)
-    judged = judged.where(F.col("verbatim") | enough & (F.size("slots") == F.col("n_slots")))
+    by_part = by_part.withColumn("n_slots", F.size(values).cast("long"))
+    held = (F.col("n_matched") >= F.lit(share) * F.col("n")) & (F.size("slots") == F.col("n_slots"))
+    whole = lambda name: F.max(F.when(F.col("part.kind") == "whole", F.col(name))).alias(name)
+    judged = by_part.groupBy("doc_id", "item_id", "n").agg(whole("n_matched"), whole("n_verbatim"), whole("n_slots"), F.max(held).alias("held"))
+    judged = judged.withColumn("verbatim", F.col("n_verbatim") >= F.lit(share) * F.col("n")).where("verbatim or held")
     return judged.select("doc_id", "item_id", "n_matched", F.col("n").alias("n_windows"), "n_slots", "verbatim")
 
 

@@ -34,6 +34,16 @@ def test_leaks(spark):
     assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 4, 5, 6, 8, 12]
 
 
+def test_each_occurrence_is_judged_by_itself(spark):
+    """A worksheet of two versions, one version with stray windows of other values, and versions with a word put in."""
+    first = ITEM.replace("Paris", "Berlin").replace("Lyon", "Bonn").replace("120", "95")
+    second = ITEM.replace("Paris", "Rome").replace("Lyon", "Pisa").replace("120", "380")
+    stray = " ".join(ITEM.replace("Paris", "Oslo").split()[:9])
+    inside = [x.replace("while another", "while yet another") for x in (first, second)]
+    docs = [(1, f"He said: {first} More of it: {second}", 0), (2, f"He said: {stray} and then much later on: {first}", 0), (3, f"He said: {first} and so on {stray}", 0), (4, f"He said: {inside[0]} More of it: {inside[1]}", 0), (None, "So: " + first, 0), (None, "So: " + second, 0), (5, stray, 0)]
+    assert leaks(spark, docs) == {(1, 1): False, (2, 1): False, (3, 1): False, (4, 1): False, (None, 1): False}
+
+
 def test_decontamination_is_brute_force(spark):
     """On texts without slots, items are found where half of their 8-word windows are."""
     sf = "/root/testdata/sf0.01"
