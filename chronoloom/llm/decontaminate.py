@@ -6,6 +6,9 @@ documents are joined on the hash of every `width`-token window of these template
 value that stands in a slot of the item must be replaced by one value only, so a question asked anew with other numbers
 or names is caught, and texts that merely share a shape are not.  That is asked of the document as a whole, of each
 alignment and of each ascending run of windows: one occurrence that holds is enough, whatever stands elsewhere.
+
+A window has up to three keys: by its template, by its template with the names at the beginning of sentences as names
+too, and by its words, which finds it as it is wherever it stands and however few of its tokens are literal.
 """
 
 from __future__ import annotations
@@ -27,23 +30,43 @@ UNITS = "mm cm m km in ft yd mi mg g kg lb oz t ml cl l gal s sec min h hr hrs d
 EDGES = r"[!-#&-*,\-.:-@\[\]^-`{-~\u00A1\u00AB\u00BB\u00BF\u2018\u2019\u201C\u201D\u2026]"
 #: A capitalised word (not one all in capitals) behind a word that doesn't end a sentence; a word that begins with a number.
 NAME = r"\p{Lu}(?<=[^\s.!?:]\s{1,3}[\"'(\[]{0,2}\p{Lu})(?!\p{Lu}+[^\p{Ll}\s]*(?:\s|$))\S*"
+ANY_NAME = NAME.replace(r"[^\s.!?:]\s{1,3}", r"(?:^|\s)")
 NUMBER = r"(?=[-+$\u20AC\u00A3\"'(\[0-9])(?<!\S)[-+$\u20AC\u00A3\"'(\[]{0,3}[0-9]\S*"
+FIRST = "\ue003"  # stands before a capitalised word at the beginning of a sentence
 MARKS = ("\ue000", "\ue001", "\ue002")  # stand for #n, #u, #p, so that the signs at the ends of words can go
 
 
-def _words(text: Column) -> Column:
-    """Words without the signs at their ends, in lower case."""
+def _bare(text: Column) -> Column:
+    """The text in lower case, without the signs at the ends of words."""
     # the class comes first and the look-around after it, so that letters are passed over quickly
-    bare = F.regexp_replace(F.lower(text), f"{EDGES}+(?:(?!\\S)|(?<=(?:^|\\s){EDGES}{{1,16}}))", "")
+    return F.regexp_replace(F.lower(text), f"{EDGES}+(?:(?!\\S)|(?<=(?:^|\\s){EDGES}{{1,16}}))", "")
+
+
+def _split(bare: Column) -> Column:
     return F.array_remove(F.split(bare, "\\s+"), "")
 
 
-def template(text: Column) -> Column:
-    """The typed tokens of a text.  Each stands for one word of _words(), in the same place."""
+def _words(text: Column) -> Column:
+    """Words without the signs at their ends, in lower case."""
+    return _split(_bare(text))
+
+
+def _marked(text: Column) -> Column:
+    """The typed tokens of a text, with FIRST before what may be a name or not.  Each stands for one word of _words(), in the same place."""
     number, unit, name = MARKS
     units = "|".join(sorted((u.replace("%", "\\%") for u in UNITS), key=len, reverse=True))
-    typed = F.regexp_replace(F.regexp_replace(text, NAME, name), NUMBER, number)
-    return _words(F.regexp_replace(typed, f"{number}(\\s+)(?i:{units})(?!\\p{{L}})\\S*", f"{number}$1{unit}"))
+    typed = F.regexp_replace(F.regexp_replace(text, NAME, name), ANY_NAME, f"{FIRST}$0")
+    typed = F.regexp_replace(typed, NUMBER, number)
+    return _bare(F.regexp_replace(typed, f"{number}(\\s+)(?i:{units})(?!\\p{{L}})\\S*", f"{number}$1{unit}"))
+
+
+def template(marked: Column) -> Column:
+    return _split(F.translate(marked, FIRST, ""))
+
+
+def loose_template(marked: Column) -> Column:
+    """As template(), with every capitalised word as a name."""
+    return _split(F.regexp_replace(marked, f"{FIRST}\\S*", MARKS[2]))
 
 
 def window_keys(tokens: Column, width: int, likely=None) -> Column:
@@ -64,20 +87,34 @@ def _literal_enough(tokens: Column, width: int) -> Column:
     return F.size(F.filter(tokens, lambda t: ~t.isin(*MARKS))) >= min(LITERAL, width)
 
 
+def _forms(texts: DataFrame, *names: str) -> DataFrame:
+    """The named columns and the three token arrays of each text: tokens, loose, words."""
+    marked = texts.withColumn("marked", _marked(F.col("text")))
+    return marked.select(*names, template(F.col("marked")).alias("tokens"), loose_template(F.col("marked")).alias("loose"), _words(F.col("text")).alias("words"))
+
+
 def item_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """item_id, width, i, key, kinds and values (the window's tokens and words), n (windows of the item).  An item shorter than width is one window; one without tokens has none."""
+    """item_id, width, i, key, kinds and values (the window's tokens and words) of each form of a window; marks (kinds with the slots to compare), as_name
+    (names at the beginning of sentences count), rich (the template has literals enough), n and n_rich (windows of the item, and those that are rich).
+
+    An item shorter than width is one window; one without tokens has none.  A window that isn't rich has its words as its only form.
+    """
     items = benchmark.select(F.col("item_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text")).distinct()
-    items = items.select("item_id", template(F.col("text")).alias("tokens"), _words(F.col("text")).alias("words")).where(F.size("tokens") > 0)
+    items = _forms(items, "item_id").where(F.size("tokens") > 0)
     items = items.withColumn("width", F.least(F.size("tokens"), F.lit(width)))
-    sizes = sorted(r["width"] for r in items.select("width").distinct().collect())
+    sizes = sorted(r["width"] for r in items.select("width").distinct().collect()) or [width]
     found = None
     for w in sizes:
-        part = items.where(F.col("width") == w).select("item_id", "width", "tokens", "words", F.posexplode(window_keys(F.col("tokens"), w)).alias("i", "key"))
-        part = part.select("item_id", "width", "i", "key", F.slice("tokens", F.col("i") + 1, w).alias("kinds"), F.slice("words", F.col("i") + 1, w).alias("values")).where(_literal_enough(F.col("kinds"), w))
+        cut = lambda name: F.slice(name, F.col("i") + 1, w)  # noqa: B023, E731
+        part = items.where(F.col("width") == w).withColumn("i", F.explode(F.sequence(F.lit(0), F.size("tokens") - w)))
+        part = part.select("item_id", "width", "i", cut("tokens").alias("tokens"), cut("loose").alias("loose"), cut("words").alias("values"))
+        part = part.withColumn("rich", _literal_enough(F.col("tokens"), w))
+        form = lambda kinds, marks, as_name: F.struct(F.get(window_keys(F.col(kinds), w), F.lit(0)).alias("key"), F.col(kinds).alias("kinds"), F.col(marks).alias("marks"), F.lit(as_name).alias("as_name"))  # noqa: B023, E731
+        forms = F.array(F.when(F.col("rich"), form("tokens", "tokens", False)), F.when(_literal_enough(F.col("loose"), w) & (F.col("loose") != F.col("tokens")), form("loose", "loose", True)), F.when(~F.col("rich") | (F.col("values") != F.col("tokens")), form("values", "tokens", False)))
+        part = part.withColumn("f", F.explode(F.array_compact(forms))).select("item_id", "width", "i", "f.*", "values", "rich")
         found = part if found is None else found.unionByName(part)
-    if found is None:
-        return items.select("item_id", "width", F.lit(0).alias("i"), F.lit(0).cast("long").alias("key"), F.col("tokens").alias("kinds"), F.col("words").alias("values"), F.lit(0).cast("long").alias("n"))
-    return found.join(found.groupBy("item_id").agg(F.count("*").alias("n")), "item_id")
+    sums = found.groupBy("item_id").agg(F.count_distinct("i").alias("n"), F.count_distinct(F.when(F.col("rich"), F.col("i"))).alias("n_rich"))
+    return found.join(sums, "item_id")
 
 
 def _bit(key: Column) -> Column:
@@ -114,35 +151,41 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: floa
     likely = _bitmap(items.select(F.when(F.col("width") >= HEAD, F.xxhash64(*(F.get("kinds", F.lit(j)) for j in range(HEAD)))).otherwise(F.col("key")).alias("key")))
 
     rows = doc_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    tokens = rows.select("doc_id", "text", template(F.col("text")).alias("tokens"))
+    tokens = _forms(rows, "doc_id", "text")
     found = None
     for w in sorted(sizes):
-        hits = tokens.select("doc_id", "text", "tokens", F.array_compact(F.transform(window_keys(F.col("tokens"), w, likely), lambda x, i: F.when(x.isNotNull() & known(x), F.struct(i.alias("i"), x.alias("key"))))).alias("hits"))
-        own = F.transform("hits", lambda x: F.struct(x["key"].alias("key"), x["i"].alias("at"), F.slice(F.col("tokens"), x["i"] + 1, w).alias("own_kinds"), F.slice(F.col("words"), x["i"] + 1, w).alias("own_values")))
-        # the words are cut out only where there is a hit, and what was found is stored: a filter would compute it anew
-        hits = hits.select("doc_id", F.xxhash64("text").alias("text"), "tokens", "hits", F.when(F.size("hits") > 0, _words(F.col("text"))).alias("words")).select("doc_id", "text", F.when(F.col("words").isNotNull(), own).alias("hits"))
+        some = lambda name: F.array_compact(F.transform(window_keys(F.col(name), w, likely), lambda x, i: F.when(x.isNotNull() & known(x), F.struct(i.alias("i"), x.alias("key")))))  # noqa: B023, E731
+        hits = tokens.select("doc_id", F.xxhash64("text").alias("text"), *("tokens", "loose", "words"), *(some(name).alias(f"by_{name}") for name in ("tokens", "loose", "words")))
+        own = lambda name: F.transform(f"by_{name}", lambda x: F.struct(x["key"].alias("key"), x["i"].alias("at"), F.slice(F.col(name), x["i"] + 1, w).alias("own_kinds"), F.slice(F.col("words"), x["i"] + 1, w).alias("own_values")))  # noqa: B023, E731
+        hits = hits.select("doc_id", "text", F.array_distinct(F.concat(own("tokens"), own("loose"), own("words"))).alias("hits"))
+        # what was found is stored: a filter would compute it anew
         part = settle(hits, "hits").select("doc_id", "text", F.explode("hits").alias("h")).select("doc_id", "text", "h.*", F.lit(w).alias("width"))
         found = part if found is None else found.unionByName(part)
     if found is None:
         return rows.select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).cast("long").alias("n_matched"), F.lit(0).cast("long").alias("n_windows"), F.lit(0).cast("long").alias("n_slots"), F.lit(True).alias("verbatim")).where(F.lit(False))
     small = F.broadcast(items) if n <= BROADCAST_ROWS else items
     matched = found.join(small, ["key", "width"]).where("own_kinds = kinds")
-    pairs = F.filter(F.arrays_zip("kinds", "values", "own_values"), lambda p: p["kinds"].isin(*MARKS))
-    matched = matched.select("doc_id", "item_id", "n", "i", "text", "at", F.transform(pairs, lambda p: F.struct(p["kinds"].alias("kind"), p["values"].alias("value"), p["own_values"].alias("own"))).alias("pairs"))
+    pairs = F.filter(F.arrays_zip("marks", "values", "own_values"), lambda p: p["marks"].isin(*MARKS))
+    matched = matched.select("doc_id", "item_id", "n", "n_rich", "rich", "as_name", "i", "text", "at", F.transform(pairs, lambda p: F.struct(p["marks"].alias("kind"), p["values"].alias("value"), p["own_values"].alias("own"))).alias("pairs"))
     # rows that repeat a text add nothing
     matched = matched.distinct()
     in_order = Window.partitionBy("doc_id", "item_id", "text").orderBy("at", "i")
     runs = matched.withColumn("fresh", F.coalesce((F.col("i") <= F.lag("i").over(in_order)).cast("int"), F.lit(0))).withColumn("run", F.sum("fresh").over(in_order))
+    # names at the beginning of sentences are left out once: they may be none, and then they need not agree
     part = lambda kind, text, at: F.struct(F.lit(kind).alias("kind"), text.cast("long").alias("text"), at.cast("long").alias("at"))
     parts = F.array(part("whole", F.lit(None), F.lit(None)), part("shift", F.col("text"), F.col("at") - F.col("i")), part("run", F.col("text"), F.col("run")))
+    parts = F.concat(F.transform(parts, lambda p: F.struct(p.alias("p"), F.lit(True).alias("all"))), F.transform(F.filter(parts, lambda p: ~F.col("as_name")), lambda p: F.struct(p.alias("p"), F.lit(False).alias("all"))))
     same = F.forall("pairs", lambda p: p["value"] == p["own"])
-    by_part = runs.withColumn("part", F.explode(parts)).groupBy("doc_id", "item_id", "n", "part").agg(F.size(F.collect_set("i")).cast("long").alias("n_matched"), F.size(F.collect_set(F.when(same, F.col("i")))).cast("long").alias("n_verbatim"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("slots"))
+    count = lambda when, name: F.size(F.collect_set(F.when(when, F.col("i")))).cast("long").alias(name)
+    by_part = runs.withColumn("part", F.explode(parts)).groupBy("doc_id", "item_id", "n", "n_rich", "part").agg(count(F.lit(True), "n_matched"), count(F.col("rich"), "rich_matched"), count(same, "n_verbatim"), count(same & F.col("rich"), "rich_verbatim"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("slots"))
     values = F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["value"])))
     by_part = by_part.withColumn("n_slots", F.size(values).cast("long"))
-    held = (F.col("n_matched") >= F.lit(share) * F.col("n")) & (F.size("slots") == F.col("n_slots"))
-    whole = lambda name: F.max(F.when(F.col("part.kind") == "whole", F.col(name))).alias(name)
-    judged = by_part.groupBy("doc_id", "item_id", "n").agg(whole("n_matched"), whole("n_verbatim"), whole("n_slots"), F.max(held).alias("held"))
-    judged = judged.withColumn("verbatim", F.col("n_verbatim") >= F.lit(share) * F.col("n")).where("verbatim or held")
+    # either of all windows, or of those that have literals enough to be known by their template
+    enough = lambda every, rich: (F.col(every) >= F.lit(share) * F.col("n")) | (F.col("n_rich") > 0) & (F.col(rich) >= F.lit(share) * F.col("n_rich"))
+    held = enough("n_matched", "rich_matched") & (F.size("slots") == F.col("n_slots"))
+    whole = lambda name: F.max(F.when((F.col("part.p.kind") == "whole") & F.col("part.all"), F.col(name))).alias(name)
+    judged = by_part.groupBy("doc_id", "item_id", "n", "n_rich").agg(whole("n_matched"), whole("n_slots"), whole("n_verbatim"), whole("rich_verbatim"), F.max(held).alias("held"))
+    judged = judged.withColumn("verbatim", enough("n_verbatim", "rich_verbatim")).where("verbatim or held")
     return judged.select("doc_id", "item_id", "n_matched", F.col("n").alias("n_windows"), "n_slots", "verbatim")
 
 

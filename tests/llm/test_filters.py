@@ -44,6 +44,12 @@ def test_each_occurrence_is_judged_by_itself(spark):
     assert leaks(spark, docs) == {(1, 1): False, (2, 1): False, (3, 1): False, (4, 1): False, (None, 1): False}
 
 
+def test_names_at_the_beginning_of_sentences(spark):
+    items = [(1, "Tom has 5 apples. Tom buys 3 more. How many apples does Tom have?"), (2, "Which river flows through Paris?")]
+    docs = [(1, "Ann has 9 apples. Ann buys 4 more. How many apples does Ann have?", 0), (2, "He asked 'Which river flows through Paris?'", 0), (3, "Ann has 9 apples. Bob buys 4 more. How many apples does Carl have?", 0)]
+    assert leaks(spark, docs, items) == {(1, 1): False, (2, 2): True}
+
+
 def test_decontamination_is_brute_force(spark):
     """On texts without slots, items are found where half of their 8-word windows are."""
     sf = "/root/testdata/sf0.01"
