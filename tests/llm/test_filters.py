@@ -50,6 +50,14 @@ def test_names_at_the_beginning_of_sentences(spark):
     assert leaks(spark, docs, items) == {(1, 1): False, (2, 2): True}
 
 
+def test_items_poor_in_literals_are_found_as_they_are(spark):
+    items = [(1, "What is 12 + 7?"), (2, "What is 345 * 12 - 7?"), (3, "12 + 7 = 19"), (4, "Anna, Bob, Carl, Dora, Emil, Fred, Gus, Hans, Ida"), (5, "in 1815")]
+    docs = [(k, f"so it said: {t} and no more", 0) for k, t in items] + [(6, "so it said: What is 13 + 8? and 13 + 8 = 21", 0)]
+    found = leaks(spark, docs, items)
+    assert {(k, k): True for k, _ in items}.items() <= found.items()
+    assert not any(k == 6 for k, _ in found)
+
+
 def test_decontamination_is_brute_force(spark):
     """On texts without slots, items are found where half of their 8-word windows are."""
     sf = "/root/testdata/sf0.01"
