@@ -32,7 +32,10 @@ def scaled(value: float, low: float, high: float, start: float, end: float) -> f
 
 def line_figure(df: DataFrame, x: str, y: str, width: int = 640, height: int = 240, margin: int = 30) -> str:
     """An inline SVG with one line."""
-    points = sorted((float(r[x]), float(r[y])) for r in df.select(x, y).dropna().limit(ROWS).collect())
+    found = df.select(x, y).dropna().limit(ROWS + 1).collect()
+    if len(found) > ROWS:
+        raise ValueError(f"a figure has more than {ROWS} points; it needs a summary")
+    points = sorted((float(r[x]), float(r[y])) for r in found)
     if not points:
         return f'<svg viewBox="0 0 {width} {height}"></svg>'
     xs, ys = [p[0] for p in points], [p[1] for p in points]

@@ -263,3 +263,13 @@ def test_student_tail():
 
 def test_spearman_p(spark):
     assert spark.createDataFrame([(0.157, 130), (0.5, 2)], "r double, n long").select(N.spearman_p(F.col("r"), F.col("n")).alias("p")).collect()[0]["p"] == pytest.approx(0.0745, abs=1e-3)
+
+
+def test_a_figure_is_drawn_whole_or_not_at_all(spark, monkeypatch):
+    from chronoloom.sources import pages
+
+    monkeypatch.setattr(pages, "ROWS", 5)
+    points = spark.range(6).selectExpr("id AS x", "id AS y")
+    assert pages.line_figure(points.limit(5), "x", "y").count(",") == 5
+    with pytest.raises(ValueError):
+        pages.line_figure(points, "x", "y")
