@@ -14,9 +14,11 @@ BOOK = "title string, author string, date_published string, genres array<string>
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it; a temporary one only where none is set."""
+    """The folder that driver and executors share, as the session names it; a local session that names none gets a temporary one."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors reach")
         known = f"file://{tempfile.mkdtemp(prefix='chronoloom-')}"
         spark.conf.set("spark.checkpoint.dir", known)
     return known.rstrip("/")
