@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -10,21 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_dir
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it; a temporary one only where none is set."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if known:
-        return known.rstrip("/")
-    known = f"file://{tempfile.mkdtemp(prefix='chronoloom-')}"
-    spark.conf.set("spark.checkpoint.dir", known)
-    return known
-
-
 def settle(df: DataFrame, tag: str) -> DataFrame:
     """Writes a table in the shared folder and reads it again: lineage ends there, and a lost executor costs no recomputation of it."""
     spark = df.sparkSession
@@ -33,6 +24,24 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key that holds over one in so many rows is heavy: fewer than this many keys can be.
+HEAVY = 1000
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, keys: Sequence[str], count: str, how: str = "inner") -> DataFrame:
+    """rows joined with keyed, which has a row for each key and, in `count`, how many of rows have that key.
+
+    Keys that hold over 1 in HEAVY of keyed's rows are broadcast (fewer than HEAVY of them can be), so a hot key is
+    joined where its rows lie; the others meet by a shuffle in which no key is large.  Both sides should be stored, as
+    they are read twice.  Null keys match nothing.
+    """
+    total = keyed.agg(F.coalesce(F.sum(count), F.lit(0)).cast("long")).first()[0]
+    hot = keyed[count] * HEAVY > total
+    heavy, light = F.broadcast(keyed.where(hot)), keyed.where(~hot)
+    rest = rows.join(F.broadcast(keyed.where(hot).select(*keys)), list(keys), "left_anti")
+    return rows.join(heavy, list(keys)).unionByName(rest.join(light, list(keys), how))
+
+
 def forget(df: DataFrame) -> None:
     """Deletes the files of a table that settle() wrote and that no plan reads any longer."""
     jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
