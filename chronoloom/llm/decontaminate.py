@@ -9,10 +9,17 @@ alignment and of each ascending run of windows: one occurrence that holds is eno
 
 A window has up to three keys: by its template, by its template with the names at the beginning of sentences as names
 too, and by its words, which finds it as it is wherever it stands and however few of its tokens are literal.
+
+Templates are dear and few documents hold an item, so documents are screened first: whatever the key, a window that
+matches has the same literal words in the same places.  Of each key's window four of them are taken, as close together as
+there are, and a document goes on only if four of its words stand like that; none that matches is lost.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +27,11 @@ from .common import doc_columns, read_table, settle
 
 #: Tokens of a window, share of an item's windows that must match, literal words that a window must have.
 WIDTH, SHARE, LITERAL = 8, 0.5, 4
-#: Bits of the prefilter (a literal of the plan, whatever the benchmark's size); window rows up to which the benchmark is broadcast.
-BITS, BROADCAST_ROWS = 1 << 19, 200_000
+#: Places of a prefilter for each of its keys, in the one that every word is held against (small, as it should stay near the
+#: processor), and at most (it is a literal of the plan); window rows up to which the benchmark is broadcast.
+SLOTS, FIRST_SLOTS, MOST_SLOTS, BROADCAST_ROWS = 64, 16, 1 << 21, 200_000
+#: Literal words of a window that the screen looks for: as many as a window of literals enough has.
+PROBE = LITERAL
 #: Tokens whose hash tells at once that most windows are in no item.
 HEAD = 2
 #: Units that are placeholders behind a number.
@@ -117,23 +127,73 @@ def item_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     return found.join(sums, "item_id")
 
 
-def _bit(key: Column) -> Column:
-    return key.bitwiseAND(F.lit(BITS - 1).cast("long"))
+def _known(keys: DataFrame, slots: int = SLOTS):
+    """A condition on a key (a long) that holds for all of keys and few others: three places of a literal table for each key."""
+    keys = keys.select("key").distinct()
+    size = min(MOST_SLOTS, 1 << max(12, (slots * keys.count() - 1).bit_length()))
+    places = lambda key: [F.shiftright(key, n).bitwiseAND(F.lit(size - 1).cast("long")).cast("int") for n in (0, 21, 42)]
+    table = ["0"] * size
+    for r in keys.select(F.explode(F.array(*places(F.col("key")))).alias("at")).distinct().collect():  # MOST_SLOTS rows at most
+        table[r["at"]] = "1"
+    flags = F.split(F.lit(",".join(table)), ",").cast("array<boolean>")  # folded to a literal
+    return lambda key: reduce(and_, (F.get(flags, at) for at in places(key)))
+
+
+def probes(items: DataFrame) -> DataFrame:
+    """Of each row of item_windows(), PROBE literal words of its window: steps (places of the others behind the first, or before it),
+    and keys (hashes of the first two, the first three and so on, with their steps).
+
+    They are neighbours among the literal words.  The first two stand next to each other if any two do, then the group
+    is the closest there is.  Of a window with fewer literal words the last is taken again.
+    """
+    places = F.filter(F.sequence(F.lit(0), F.size("kinds") - 1), lambda j: ~F.get("kinds", j).isin(*MARKS))
+    at = lambda j: F.get("p", F.least(j, F.size("p") - 1))
+
+    def group(j: Column, pair: int) -> Column:
+        others = [n for n in range(PROBE) if n not in (pair, pair + 1)]
+        near, first = at(j + pair + 1) - at(j + pair), at(j + pair)
+        steps = F.array(near, *(at(j + n) - first for n in others))
+        return F.struct((near == 0).alias("same"), near.alias("near"), (at(j + PROBE - 1) - at(j)).alias("span"), F.lit(pair).alias("pair"), first.alias("first"), steps.alias("steps"))
+
+    groups = F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(F.size("p") - PROBE, F.lit(0))), lambda j: F.array(*(group(j, m) for m in range(PROBE - 1)))))
+    rows = items.select("kinds", places.alias("p")).withColumn("g", F.array_min(groups)).select("kinds", "g.first", "g.steps")
+    return rows.select("steps", F.array(*(_probe_key(F.col("kinds"), F.col("first"), [F.get("steps", F.lit(n)) for n in range(m)]) for m in range(1, PROBE))).alias("keys")).distinct()
 
 
-def _bitmap(keys: DataFrame):
-    """A condition on a key that holds for all of keys and few others.  The bits are a literal of the plan."""
-    words = [0] * (BITS // 64)
-    places = keys.select(_bit(F.col("key")).alias("b")).distinct().select(F.floor(F.col("b") / 64).alias("w"), F.expr("shiftleft(1L, cast(b % 64 as int))").alias("x"))
-    for r in places.groupBy("w").agg(F.bit_or("x").alias("x")).collect():  # BITS / 64 rows at most
-        words[r["w"]] = r["x"]
-    bits = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")  # folded to a literal
+def _probe_key(words: Column, first: Column, steps: list[Column]) -> Column:
+    return F.xxhash64(F.get(words, first), *(F.get(words, first + s) for s in steps), *steps)
 
-    def holds(key: Column) -> Column:
-        at = _bit(key)
-        return F.getbit(F.get(bits, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1
 
-    return holds
+def screen(words: Column, wanted: DataFrame) -> Column:
+    """Whether some of the words stand like one of the probes: false only if no window of theirs can match.
+
+    The commonest shape (steps) is looked for as a whole, the others word by word.
+    """
+    counts = {tuple(r["steps"]): r["count"] for r in wanted.groupBy("steps").count().collect()}  # 2 * WIDTH to the power of PROBE - 1 at most
+    if not counts:
+        return F.lit(False)
+    common, *shapes = sorted(counts, key=lambda s: (-counts[s], s))
+    is_common = F.col("steps") == F.array(*map(F.lit, common))
+    key = lambda m: F.get("keys", F.lit(m)).alias("key")
+    pairs = _known(wanted.where(F.get("steps", F.lit(0)) == common[0]).select(key(0)), FIRST_SLOTS)
+    whole = _known(wanted.where(is_common).select(key(PROBE - 2)))
+    known = [_known(wanted.where(~is_common).select(key(m))) for m in range(PROBE - 1)] if shapes else []
+
+    def stands(w: Column, i: Column, shapes: list[tuple[int, ...]], n: int = 0) -> Column:
+        """Whether one of the shapes, which begin alike up to n steps, stands at i; one word more at a time."""
+        found = F.lit(False)
+        for steps in sorted({s[: n + 1] for s in shapes}):
+            here = known[n](_probe_key(w, i, [F.lit(x) for x in steps]))
+            found = found | (here if n == PROBE - 2 else here & stands(w, i, [s for s in shapes if s[: n + 1] == steps], n + 1))
+        return found
+
+    def any_stands(w: Column, i: Column) -> Column:
+        alike, others = ([s for s in shapes if (s[0] == common[0]) == same] for same in (True, False))
+        begins = pairs(_probe_key(w, i, [F.lit(common[0])]))
+        return begins & (whole(_probe_key(w, i, [F.lit(x) for x in common])) | stands(w, i, alike)) | stands(w, i, others)
+
+    # an array of one binds the words to a variable: a filter would compute them anew at each place
+    return F.exists(F.array(words), lambda w: (F.size(w) > 0) & F.exists(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0))), lambda i: any_stands(w, i)))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: float = SHARE) -> DataFrame:
@@ -144,14 +204,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: floa
     slot values in the windows that match.  Null and empty texts match nothing; rows that repeat a doc_id count as one document; rows
     without a doc_id are reported under null; an empty table gives an empty table.
     """
-    items = item_windows(benchmark, width).persist()
+    items = settle(item_windows(benchmark, width), "items")
     n = items.count()
     sizes = [r["width"] for r in items.select("width").distinct().collect()]
-    known = _bitmap(items.select("key"))
-    likely = _bitmap(items.select(F.when(F.col("width") >= HEAD, F.xxhash64(*(F.get("kinds", F.lit(j)) for j in range(HEAD)))).otherwise(F.col("key")).alias("key")))
+    known = _known(items)
+    likely = _known(items.select(F.when(F.col("width") >= HEAD, F.xxhash64(*(F.get("kinds", F.lit(j)) for j in range(HEAD)))).otherwise(F.col("key")).alias("key")))
 
     rows = doc_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    tokens = _forms(rows, "doc_id", "text")
+    some_rows = rows.where(screen(_words(F.col("text")), settle(probes(items), "probes")))
+    tokens = settle(_forms(some_rows, "doc_id", "text"), "screened") if sizes else None
     found = None
     for w in sorted(sizes):
         some = lambda name: F.array_compact(F.transform(window_keys(F.col(name), w, likely), lambda x, i: F.when(x.isNotNull() & known(x), F.struct(i.alias("i"), x.alias("key")))))  # noqa: B023, E731

@@ -80,6 +80,18 @@ def test_decontamination_is_brute_force(spark):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.op7_decontamination(spark, sf).collect()} == expected
 
 
+def test_the_screen_loses_no_match(spark, monkeypatch):
+    """Items of all widths, with literal words next to each other and apart, in documents as they are and changed."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(60)] + ["Anna", "Bob", "12", "7", "km"] * 6
+    items = [(k, " ".join(rng.choices(words, k=rng.randint(1, 14)))) for k in range(60)]
+    docs = [(k, " ".join(rng.choices(words, k=9)) + " " + t.replace("12", "15").replace("Bob", "Carl" if k % 2 else "Bob") + " " + " ".join(rng.choices(words, k=20)), 0) for k, t in items]
+    found = leaks(spark, docs, items)
+    monkeypatch.setattr(decontaminate, "screen", lambda *_: F.lit(True))
+    assert found == leaks(spark, docs, items)
+    assert len(found) > 30
+
+
 def judged(url, rules):
     m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url or "")
     host, path = (re.sub("[A-Z]", lambda c: c[0].lower(), m[1]), m[2]) if m else ("", "")
