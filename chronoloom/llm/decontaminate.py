@@ -18,7 +18,7 @@ there are, and a document goes on only if four of its words stand like that; non
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,9 +27,8 @@ from .common import doc_columns, read_table, settle
 
 #: Tokens of a window, share of an item's windows that must match, literal words that a window must have.
 WIDTH, SHARE, LITERAL = 8, 0.5, 4
-#: Places of a prefilter for each of its keys, in the one that every word is held against (small, as it should stay near the
-#: processor), and at most (it is a literal of the plan); window rows up to which the benchmark is broadcast.
-SLOTS, FIRST_SLOTS, MOST_SLOTS, BROADCAST_ROWS = 64, 16, 1 << 21, 200_000
+#: Bits of a prefilter for each of its keys, and at most (it is a literal of the plan); window rows up to which the benchmark is broadcast.
+BITS, MOST_BITS, BROADCAST_ROWS = 64, 1 << 21, 200_000
 #: Literal words of a window that the screen looks for: as many as a window of literals enough has.
 PROBE = LITERAL
 #: Tokens whose hash tells at once that most windows are in no item.
@@ -127,16 +126,23 @@ def item_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     return found.join(sums, "item_id")
 
 
-def _known(keys: DataFrame, slots: int = SLOTS):
-    """A condition on a key (a long) that holds for all of keys and few others: three places of a literal table for each key."""
+def _known(keys: DataFrame, bits: int = BITS):
+    """A condition on a key (a long) that holds for all of keys and few others: a bit for each, in a literal of the plan."""
     keys = keys.select("key").distinct()
-    size = min(MOST_SLOTS, 1 << max(12, (slots * keys.count() - 1).bit_length()))
-    places = lambda key: [F.shiftright(key, n).bitwiseAND(F.lit(size - 1).cast("long")).cast("int") for n in (0, 21, 42)]
-    table = ["0"] * size
-    for r in keys.select(F.explode(F.array(*places(F.col("key")))).alias("at")).distinct().collect():  # MOST_SLOTS rows at most
-        table[r["at"]] = "1"
-    flags = F.split(F.lit(",".join(table)), ",").cast("array<boolean>")  # folded to a literal
-    return lambda key: reduce(and_, (F.get(flags, at) for at in places(key)))
+    size = min(MOST_BITS, 1 << max(12, (bits * keys.count() - 1).bit_length()))
+    at = F.col("key").bitwiseAND(F.lit(size - 1).cast("long"))
+    words = [0] * (size // 64)
+    filled = keys.select(F.shiftright(at, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63).cast("long")).cast("int")).alias("x"))
+    for r in filled.groupBy("w").agg(F.bit_or("x").alias("x")).collect():  # MOST_BITS / 64 rows at most
+        words[r["w"]] = r["x"]
+    table = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")  # folded to a literal
+
+    def holds(key: Column) -> Column:
+        # an array of one binds the key to a variable: it is used twice, and expressions in array functions are not shared
+        low = lambda k, n: k.bitwiseAND(F.lit(n).cast("long")).cast("int")
+        return F.exists(F.array(key), lambda k: F.getbit(F.get(table, F.shiftright(low(k, size - 1), 6)), low(k, 63)) == 1)
+
+    return holds
 
 
 def probes(items: DataFrame) -> DataFrame:
@@ -167,31 +173,25 @@ def _probe_key(words: Column, first: Column, steps: list[Column]) -> Column:
 def screen(words: Column, wanted: DataFrame) -> Column:
     """Whether some of the words stand like one of the probes: false only if no window of theirs can match.
 
-    The commonest shape (steps) is looked for as a whole, the others word by word.
+    The commonest shape (steps) has tables of its own, so that the others' stay nearly empty.
     """
     counts = {tuple(r["steps"]): r["count"] for r in wanted.groupBy("steps").count().collect()}  # 2 * WIDTH to the power of PROBE - 1 at most
     if not counts:
         return F.lit(False)
-    common, *shapes = sorted(counts, key=lambda s: (-counts[s], s))
+    common, *others = sorted(counts, key=lambda s: (-counts[s], s))
     is_common = F.col("steps") == F.array(*map(F.lit, common))
-    key = lambda m: F.get("keys", F.lit(m)).alias("key")
-    pairs = _known(wanted.where(F.get("steps", F.lit(0)) == common[0]).select(key(0)), FIRST_SLOTS)
-    whole = _known(wanted.where(is_common).select(key(PROBE - 2)))
-    known = [_known(wanted.where(~is_common).select(key(m))) for m in range(PROBE - 1)] if shapes else []
+    tables = lambda rows: [_known(rows.select(F.get("keys", F.lit(m)).alias("key")), 4 * BITS if m else BITS) for m in range(PROBE - 1)]
+    parts = [([common], tables(wanted.where(is_common)))] + ([(others, tables(wanted.where(~is_common)))] if others else [])
 
-    def stands(w: Column, i: Column, shapes: list[tuple[int, ...]], n: int = 0) -> Column:
+    def stands(w: Column, i: Column, shapes: list[tuple[int, ...]], known: list, n: int = 0) -> Column:
         """Whether one of the shapes, which begin alike up to n steps, stands at i; one word more at a time."""
         found = F.lit(False)
         for steps in sorted({s[: n + 1] for s in shapes}):
             here = known[n](_probe_key(w, i, [F.lit(x) for x in steps]))
-            found = found | (here if n == PROBE - 2 else here & stands(w, i, [s for s in shapes if s[: n + 1] == steps], n + 1))
+            found = found | (here if n == PROBE - 2 else here & stands(w, i, [s for s in shapes if s[: n + 1] == steps], known, n + 1))
         return found
 
-    def any_stands(w: Column, i: Column) -> Column:
-        alike, others = ([s for s in shapes if (s[0] == common[0]) == same] for same in (True, False))
-        begins = pairs(_probe_key(w, i, [F.lit(common[0])]))
-        return begins & (whole(_probe_key(w, i, [F.lit(x) for x in common])) | stands(w, i, alike)) | stands(w, i, others)
-
+    any_stands = lambda w, i: reduce(or_, (stands(w, i, *part) for part in parts))
     # an array of one binds the words to a variable: a filter would compute them anew at each place
     return F.exists(F.array(words), lambda w: (F.size(w) > 0) & F.exists(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0))), lambda i: any_stands(w, i)))
 
@@ -212,7 +212,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: floa
 
     rows = doc_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     some_rows = rows.where(screen(_words(F.col("text")), settle(probes(items), "probes")))
-    tokens = settle(_forms(some_rows, "doc_id", "text"), "screened") if sizes else None
+    # stored in two steps: in one, the templates' expressions slow the screen down
+    tokens = settle(_forms(settle(some_rows, "screened"), "doc_id", "text"), "forms") if sizes else None
     found = None
     for w in sorted(sizes):
         some = lambda name: F.array_compact(F.transform(window_keys(F.col(name), w, likely), lambda x, i: F.when(x.isNotNull() & known(x), F.struct(i.alias("i"), x.alias("key")))))  # noqa: B023, E731
