@@ -6,9 +6,13 @@ bits).  m grows with the number of fingerprints, so buckets stay small.  In a bu
 Gray rank; leaves of consecutive fingerprints keep the bit pattern that their members share, upper nodes the pattern
 that their leaves share, and a lookup adds up the differences from the root down and leaves a whole group out once the
 sum exceeds the reach.  A bucket larger than BLOCK is dealt in pairs of parts, so no task holds more than two parts; of
-each bucket only a spanning forest of its links is kept, nearest links first.  Where a similarity is asked for as well
-and a link of the forest lacks it, the links between what is still apart are compared by their texts in their bucket,
-before a forest is taken.
+each bucket only a spanning forest of its links is kept, nearest links first.
+
+Where a similarity of texts is asked for as well, fingerprints only choose what is compared: every link is verified by
+the texts, also between different texts of one fingerprint, and where a link of the forest lacks the similarity, all
+links between what is still apart are verified in their bucket before a forest is taken.  Those fingerprints are of the
+different pairs of neighbouring words, since a changed word changes five shingles of five words but two of two: at a
+similarity of 0.8 in shingles of five, fingerprints of these lie about as near as others do at 0.9.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bytes_of, doc_columns, read_table, runs, settle
+from .common import bytes_of, doc_columns, join_counted, read_table, runs, settle
 from .components import connected_components
 
 SHINGLE, SEED, REACH = 4, 42, 4
@@ -33,36 +37,45 @@ TEXT_BLOCK = 1024
 FINE = 8
 #: Large buckets up to which their list is sent to every task.
 FEW = 100_000
-#: Of texts to be thinned out: words of a shingle, similarity, and the bits by which such texts' fingerprints mostly differ at most.
-THIN_WIDTH, SIMILARITY, THIN_REACH = 5, 0.8, 10
+#: Of texts to be thinned out: words of a shingle, similarity, words of a shingle of their fingerprints (each counted once), and
+#: the bits by which such texts' fingerprints mostly differ at most.
+THIN_WIDTH, SIMILARITY, PRINT_WIDTH, THIN_REACH = 5, 0.8, 2, 10
 _SLICE = 1 << 15
 #: What a pair of parts of a bucket is known by.
 KEYS = ["mask", "value", "lo", "hi"]
 
 
-def fingerprint(data: bytes, width: int = SHINGLE) -> int:
-    """The 64-bit fingerprint of a text in UTF-8; 0 if it has no word."""
+def fingerprint(data: bytes, width: int = SHINGLE, distinct: bool = False) -> int:
+    """The 64-bit fingerprint of a text in UTF-8; 0 if it has no word.  distinct: shingles that repeat count once."""
     words = data.lower().split()
     if not words:
         return 0
-    shingles = [b" ".join(words)] if len(words) < width else list(map(b" ".join, zip(*(words[i:] for i in range(width)))))
+    if distinct:
+        found = list(shingles(data, width))
+    else:
+        found = [b" ".join(words)] if len(words) < width else list(map(b" ".join, zip(*(words[i:] for i in range(width)))))
     ones = np.zeros(64, np.int64)
-    for at in range(0, len(shingles), _SLICE):
-        part = shingles[at : at + _SLICE]
+    for at in range(0, len(found), _SLICE):
+        part = found[at : at + _SLICE]
         h = np.fromiter(map(xxhash.xxh64_intdigest, part, repeat(SEED)), np.uint64, len(part))
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(shingles), bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * ones > len(found), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row; a null text counts as empty."""
+def fingerprints(docs: DataFrame, width: int = SHINGLE, distinct: bool = False) -> DataFrame:
+    """doc_id, mark (md5 of the text) and fp (the fingerprint as a signed long) of every row; a null text counts as empty."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(x, width) for x in bytes_of(batch)], np.uint64).view(np.int64)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+            fp = np.array([fingerprint(x, width, distinct) for x in bytes_of(batch)], np.uint64).view(np.int64)
+            yield pa.record_batch([batch.column("doc_id"), batch.column("mark"), pa.array(fp, pa.int64())], ["doc_id", "mark", "fp"])
+
+    return _marked(docs).mapInArrow(work, "doc_id long, mark string, fp long")
+
 
-    return doc_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, fp long")
+def _marked(docs: DataFrame) -> DataFrame:
+    rows = doc_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.withColumn("mark", F.md5("text"))
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -167,7 +180,7 @@ def _dealt(fps: DataFrame, chosen: list[int], block: int) -> DataFrame:
     keyed = keyed.join(large, ["mask", "value"], "left")
     # a bucket over the block size: each fingerprint goes to every pair of parts that holds its own
     parts = F.ceil(F.coalesce("count", F.lit(1)) / F.lit(block)).cast("int")
-    own = F.pmod(F.xxhash64("fp", "mask"), parts).cast("int")
+    own = F.pmod(F.xxhash64(*fps.columns, "mask"), parts).cast("int")
     keyed = keyed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     return keyed.select(*fps.columns, "mask", "value", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own")
 
@@ -215,14 +228,18 @@ def _overlap(x: set[bytes], y: set[bytes], similarity: float) -> bool:
     return both >= similarity * (len(x) + len(y) - both)
 
 
-def _similar(links: DataFrame, classes: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The links whose texts (those of the smallest doc_id of each fingerprint) share so much of their shingles."""
-    ends = links.join(classes.toDF("a", "id_a"), "a").join(classes.toDF("b", "id_b"), "b")
-    ends = settle(ends.where("id_a is not null and id_b is not null"), "ends")
-    ids = ends.select(F.explode(F.array("id_a", "id_b")).alias("doc_id")).distinct()
-    texts = doc_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id")
-    texts = settle(texts.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")), "texts")
-    both = ends.join(texts.toDF("id_a", "text_a"), "id_a").join(texts.toDF("id_b", "text_b"), "id_b").select("a", "b", "text_a", "text_b")
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted: mark, least (of its rows' doc_ids).  mark and text of each; rows that repeat both are combined before they are dealt out."""
+    rows, wanted = _marked(docs), wanted.select("least", F.col("mark").alias("own"))
+    found = rows.join(wanted, (rows["mark"] == wanted["own"]) & rows["doc_id"].eqNullSafe(wanted["least"]))
+    return settle(found.groupBy("mark").agg(F.first("text").alias("text")), "texts")
+
+
+def _similar(links: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The links (of marks) whose texts share so much of their shingles."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("mark")).distinct()
+    texts = _texts(docs, nodes.join(ends, "mark").select("mark", "least"))
+    both = links.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,7 +248,7 @@ def _similar(links: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
                 keep.append(_overlap(shingles(x, width), shingles(y, width), similarity))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(work, "a long, b long")
+    return both.mapInArrow(work, "a string, b string")
 
 
 def _apart(fp: np.ndarray, root: np.ndarray, left: np.ndarray, right: np.ndarray, reach: int, lower: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -251,16 +268,20 @@ def _apart(fp: np.ndarray, root: np.ndarray, left: np.ndarray, right: np.ndarray
 
 
 def links_between(nodes: DataFrame, texts: DataFrame, width: int, reach: int, similarity: float, block: int = TEXT_BLOCK) -> DataFrame:
-    """nodes: distinct fp, root.  texts: fp, text.  Links a, b within reach and of that similarity that connect, with the links
-    within each root, exactly what all such links connect."""
+    """nodes: mark, fp, root.  texts: mark, text.  Links a, b (of marks) within reach and of that similarity that connect, with
+    the links within each root, exactly what all such links connect."""
     chosen = masks(nodes.count(), reach, block)
     bits = np.array(chosen, np.uint64)
-    kind = "fp long, root long, mask int, value long, lo int, hi int, own int"
+    kind = "fp long, root string, mark string, mask int, value long, lo int, hi int, own int"
+
+    def columns(table: pa.Table) -> tuple[np.ndarray, list[str], np.ndarray]:
+        root = table["root"].to_pylist()
+        return table["fp"].to_numpy().view(np.uint64), root, np.unique(np.array(root, object), return_inverse=True)[1]
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rows that have a pair to compare."""
         for table in runs(batches, KEYS):
-            fp, root = table["fp"].to_numpy().view(np.uint64), table["root"].to_numpy()
+            fp, _, root = columns(table)
             wanted = np.zeros(len(fp), bool)
             for mask, left, right in _buckets(table):
                 for x, y in _apart(fp, root, left, right, reach, bits[:mask]):
@@ -269,14 +290,14 @@ def links_between(nodes: DataFrame, texts: DataFrame, width: int, reach: int, si
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, KEYS):
-            fp, root = table["fp"].to_numpy().view(np.uint64), table["root"].to_numpy()
-            data = table["text"].cast(pa.binary())
+            fp, name, root = columns(table)
+            data, mark = table["text"].cast(pa.binary()), table["mark"].to_pylist()
             out = []
             for mask, left, right in _buckets(table):
                 sets = {i: shingles(data[i].as_py(), width) for i in np.union1d(left, right).tolist()}
-                above: dict[int, int] = {}
+                above: dict[str, str] = {}
 
-                def find(x: int) -> int:
+                def find(x: str) -> str:
                     while x in above:
                         above[x] = above.get(above[x], above[x])
                         x = above[x]
@@ -284,66 +305,90 @@ def links_between(nodes: DataFrame, texts: DataFrame, width: int, reach: int, si
 
                 for x, y in _apart(fp, root, left, right, reach, bits[:mask]):
                     for i, j in zip(x.tolist(), y.tolist()):
-                        p, q = find(int(root[i])), find(int(root[j]))
+                        p, q = find(name[i]), find(name[j])
                         if p != q and _overlap(sets[i], sets[j], similarity):
                             above[max(p, q)] = min(p, q)
-                            out.append((i, j))
+                            out.append((mark[i], mark[j]))
             if out:
-                signed = fp.view(np.int64)
                 a, b = map(list, zip(*out))
-                yield pa.record_batch([pa.array(signed[a]), pa.array(signed[b])], ["a", "b"])
+                yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
 
     def sort(df: DataFrame) -> DataFrame:
-        return df.repartition(*KEYS).sortWithinPartitions(*KEYS, "fp")
+        return df.repartition(*KEYS).sortWithinPartitions(*KEYS, "fp", "mark")
 
-    wanted = settle(sort(_dealt(nodes.select("fp", "root"), chosen, block)).mapInArrow(some, kind), "wanted")
-    return sort(wanted.join(texts, "fp")).mapInArrow(work, "a long, b long")
+    wanted = settle(sort(_dealt(nodes.select("fp", "root", "mark"), chosen, block)).mapInArrow(some, kind), "wanted")
+    return sort(wanted.join(texts, "mark")).mapInArrow(work, "a string, b string")
 
 
-def similar_links(links: DataFrame, classes: DataFrame, docs: DataFrame, width: int, reach: int, similarity: float) -> DataFrame:
-    """links: those that fingerprint_links() gives.  Links that connect exactly what the links within reach and of that similarity connect.
+def similar_links(nodes: DataFrame, docs: DataFrame, width: int, reach: int, similarity: float) -> DataFrame:
+    """nodes: mark, fp, least of each different text.  Links of marks that connect exactly what the links within reach and of that similarity connect.
 
-    A link of the forest that lacks the similarity may have stood for others that have it.  Only the groups that fall
-    apart so are looked at again; of the others nothing can be missing.
+    First a forest of the links within reach is verified, in which the texts of one fingerprint hang on one of them.  A
+    link that lacks the similarity may have stood for others that have it.  Only the groups that fall apart so are
+    looked at again; of the others nothing can be missing.
     """
-    links = settle(links.distinct(), "forest")
-    similar = settle(_similar(links, classes, docs, width, similarity), "similar")
+    classes = settle(nodes.groupBy("fp").agg(F.min("mark").alias("head"), F.count("*").alias("n")), "classes")
+    heads = classes.select("fp", "head")
+    between = fingerprint_links(classes.select("fp"), reach).distinct().toDF("x", "y")
+    between = between.join(heads.toDF("x", "a"), "x").join(heads.toDF("y", "b"), "y").select("a", "b")
+    within = join_counted(nodes.select("fp", "mark"), settle(classes.where("n > 1"), "shared"), ["fp"], "n").where("mark <> head").select(F.col("head").alias("a"), F.col("mark").alias("b"))
+    links = settle(between.unionByName(within), "forest")
+    similar = settle(_similar(links, nodes, docs, width, similarity), "similar")
     groups, parts = settle(connected_components(links), "groups"), settle(connected_components(similar), "parts")
-    nodes = groups.toDF("fp", "group").distinct().join(parts.toDF("fp", "root").distinct(), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    split = nodes.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("group")
-    nodes = nodes.join(split, "group").join(classes.where("least is not null"), "fp")
-    nodes = settle(nodes.select("fp", "root", "least"), "apart")
-    if nodes.isEmpty():
+    apart = groups.toDF("mark", "group").distinct().join(parts.toDF("mark", "root").distinct(), "mark", "left").withColumn("root", F.coalesce("root", "mark"))
+    split = apart.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("group")
+    apart = settle(apart.join(split, "group").join(nodes, "mark").select("mark", "fp", "root", "least"), "apart")
+    if apart.isEmpty():
         return similar
-    texts = doc_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("least"), "text").join(nodes.select("fp", "least"), "least")
-    texts = settle(texts.groupBy("fp").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")), "texts")
-    return similar.unionByName(settle(links_between(nodes, texts, width, reach, similarity), "between"))
+    return similar.unionByName(settle(links_between(apart, _texts(docs, apart), width, reach, similarity), "between"))
 
 
-def near_duplicates(docs: DataFrame, width: int = SHINGLE, reach: int = REACH, similarity: float | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = SHINGLE, reach: int = REACH) -> DataFrame:
     """doc_id, fp and component_id of every row of docs (doc_id, text; further columns are not looked at).
 
-    component_id is the smallest doc_id reachable over links: fingerprints within reach and, with a similarity, texts
-    whose sets of shingles overlap by that much of their union.  Null and empty texts have the fingerprint zero and are
-    linked like others; rows that repeat a doc_id keep their own row; rows without a doc_id are linked by their text but
-    never name a component (a component of only such rows has the id null).  An empty table gives an empty table.
+    component_id is the smallest doc_id reachable over links: fingerprints within reach.  Null and empty texts have the
+    fingerprint zero and are linked like others; rows that repeat a doc_id keep their own row; rows without a doc_id are
+    linked by their text but never name a component (a component of only such rows has the id null).  An empty table
+    gives an empty table.
+    """
+    rows = settle(fingerprints(docs, width).select("doc_id", "fp"), "fingerprints")
+    classes = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
+    roots = settle(connected_components(fingerprint_links(classes.select("fp"), reach)), "roots")
+    named = settle(classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "named")
+    heads = settle(named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("texts")), "heads")
+    named = settle(join_counted(named, heads, ["root"], "texts").select("fp", "component_id", "n"), "named")
+    return join_counted(rows, named, ["fp"], "n").select("doc_id", "fp", "component_id")
+
+
+def similar_texts(docs: DataFrame, width: int = THIN_WIDTH, reach: int = THIN_REACH, similarity: float = SIMILARITY, print_width: int = PRINT_WIDTH) -> DataFrame:
+    """mark (md5), least, n and root of each different text of docs (doc_id, text).
+
+    Texts of one root are connected by links: fingerprints (of the different shingles of print_width words) within reach,
+    and sets of shingles of `width` words that overlap by `similarity` of their union.  least is the smallest doc_id of
+    the text's rows, null if none has one, and n how many rows have that id and text.  Null texts count as empty; texts
+    without a word are alike.
+    """
+    rows = settle(fingerprints(docs, print_width, True).groupBy("mark", "doc_id").agg(F.min("fp").alias("fp"), F.count("*").alias("n")), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("n"))).alias("first")
+    nodes = settle(rows.groupBy("mark").agg(F.min("fp").alias("fp"), first).select("mark", "fp", F.col("first.doc_id").alias("least"), F.col("first.n").alias("n")), "nodes")
+    roots = settle(connected_components(similar_links(nodes, docs, width, reach, similarity)), "roots")
+    return nodes.join(roots, nodes["mark"] == roots["node"], "left").select("mark", "least", "n", F.coalesce("root", "mark").alias("root"))
+
+
+def keep_one(docs: DataFrame, width: int = THIN_WIDTH, reach: int = THIN_REACH, similarity: float = SIMILARITY, print_width: int = PRINT_WIDTH) -> DataFrame:
+    """One row of each group of similar_texts(), all columns as they were: that of the smallest doc_id (ids before null, ties by the text's md5).
+
+    Rows are told apart by doc_id and text, so a doc_id that repeats with another text is judged for itself; of rows that
+    repeat both one stays.  An empty table gives an empty table.
     """
-    rows = settle(fingerprints(docs, width), "fingerprints")
-    classes = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    links = fingerprint_links(classes.select("fp"), reach)
-    if similarity is not None:
-        links = similar_links(links, classes, docs, width, reach, similarity)
-    roots = settle(connected_components(links), "roots")
-    named = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    heads = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(heads, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, width: int = THIN_WIDTH, reach: int = THIN_REACH, similarity: float | None = SIMILARITY) -> DataFrame:
-    """The rows of docs whose doc_id names their component, all columns as they were; rows without a doc_id stay."""
-    kept = near_duplicates(docs, width, reach, similarity).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi").unionByName(docs.where(docs["doc_id"].isNull()))
+    found = settle(similar_texts(docs, width, reach, similarity, print_width), "texts")
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least"), F.col("mark"), F.col("n"))).alias("first")
+    kept = found.groupBy("root").agg(first).select(F.coalesce("first.least", F.lit(0).cast("long")).alias("id"), F.col("first.none").alias("none"), F.col("first.mark").alias("mark"))
+    # the row is kept in one column, so that no name of its own can clash
+    row = F.struct(*(docs[c] for c in docs.columns)).alias("row")
+    own = docs["doc_id"].cast("long")
+    keyed = docs.select(row, F.coalesce(own, F.lit(0).cast("long")).alias("id"), own.isNull().alias("none"), F.md5(F.coalesce(docs["text"], F.lit(""))).alias("mark"))
+    return keyed.join(kept, ["id", "none", "mark"], "left_semi").dropDuplicates(["id", "none", "mark"]).select("row.*")
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
