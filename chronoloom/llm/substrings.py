@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bytes_of, doc_columns, read_table, runs, settle
+from .common import bytes_of, doc_columns, join_counted, read_table, runs, settle
 
 LENGTH, ANCHOR, WIDE, PART = 35, 8, 256, 4
 _WHITE = np.zeros(256, bool)
@@ -238,8 +238,10 @@ def _shard_masks(shards: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """Two tables: doc_id, mark, spans (first window, mask of windows) of each text with repeated windows; and doc_id,
+    """length: from ANCHOR to ANCHOR + 62 words, so that a region's windows fit the bits of a mask.  Two tables: doc_id, mark, spans (first window, mask of windows) of each text with repeated windows; and doc_id,
     mark, text of each text that has a candidate."""
+    if not ANCHOR <= length < 63 + ANCHOR:
+        raise ValueError(f"windows of {length} words: {ANCHOR} to {62 + ANCHOR} are possible")
     rows = _identified(docs)
     found = settle(_candidates(rows, length), "regions")
     counted = found.groupBy("anchor", "content", "size").agg(F.count("*").alias("weight"), F.min(F.struct("doc_id", "mark", "first")).alias("at"))
@@ -253,10 +255,11 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame,
     parts = settle(_region_texts(_of_document(texts.dropDuplicates(["doc_id", "mark"]), wanted), length), "parts")
     narrow = _shard_masks(parts.where("region is not null").select("anchor", "content", "weight", "region"), length)
     cores = parts.where("region is null").select("anchor", "content", "weight", F.explode("parts").alias("p")).select("anchor", "content", "weight", "p.*")
-    common = cores.groupBy("core").agg(F.sum("weight").alias("n")).where("n > 1").select("core")
-    windows = settle(cores.join(common, "core").select("anchor", "content", "weight", F.explode("windows").alias("w")).select("anchor", "content", "weight", "w.*"), "windows")
-    twice = windows.groupBy("print").agg(F.sum("weight").alias("n")).where("n > 1").select("print")
-    wide = windows.join(twice, "print").groupBy("anchor", "content").agg(F.expr("bit_or(shiftleft(1L, i))").alias("mask"))
+    # counts are stored, and what holds a large part of the rows is joined where they lie
+    common = settle(cores.groupBy("core").agg(F.sum("weight").alias("n"), F.count("*").alias("rows")).where("n > 1").drop("n"), "cores")
+    windows = settle(join_counted(cores, common, ["core"], "rows").select("anchor", "content", "weight", F.explode("windows").alias("w")).select("anchor", "content", "weight", "w.*"), "windows")
+    twice = settle(windows.groupBy("print").agg(F.sum("weight").alias("n"), F.count("*").alias("rows")).where("n > 1").drop("n"), "twice")
+    wide = join_counted(windows, twice, ["print"], "rows").groupBy("anchor", "content").agg(F.expr("bit_or(shiftleft(1L, i))").alias("mask"))
     masks = settle(same.unionByName(narrow).unionByName(wide).where("mask <> 0"), "masks")
     spans = found.join(masks, ["anchor", "content"]).groupBy("doc_id", "mark").agg(F.collect_set(F.struct("first", "mask")).alias("spans"))
     return settle(spans, "spans"), texts
@@ -307,21 +310,24 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     are occurrences of their own: each loses what the other holds too.  An empty table gives an empty table.
     """
     spans, _ = repeated_windows(docs, length)
-    spans = spans.withColumnsRenamed({"doc_id": "__doc_id", "mark": "__mark", "spans": "__spans"})
-    whole = docs.withColumn("__id", docs["doc_id"].cast("long")).withColumn("__text_mark", F.xxhash64(F.coalesce(docs["text"], F.lit(""))))
-    joined = whole.join(spans, whole["__id"].eqNullSafe(spans["__doc_id"]) & (whole["__text_mark"] == spans["__mark"]), "left").drop("__id", "__text_mark", "__doc_id", "__mark")
+    # the row is kept in one column, so that no name of its own can clash
+    row = F.struct(*(docs[c] for c in docs.columns)).alias("row")
+    whole = docs.select(row, docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("mark"))
+    joined = _of_document(whole, spans, "left").select("row", "spans")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.names.index("text")
+            rows = batch.column("row")
+            columns, fields = rows.flatten(), list(rows.type)
+            at = [f.name for f in fields].index("text")
             texts = []
-            for text, data, spans in zip(batch.column("text").to_pylist(), bytes_of(batch), batch.column("__spans").to_pylist()):
-                texts.append(b" ".join(keep_words(data, spans, length)[0]).decode("utf-8", "replace") if spans else text)
-            columns = list(batch.columns)
+            for text, spans in zip(columns[at], batch.column("spans").to_pylist()):
+                texts.append(b" ".join(keep_words(text.as_buffer().to_pybytes(), spans, length)[0]).decode("utf-8", "replace") if spans and text.is_valid else text.as_py())
             columns[at] = pa.array(texts, pa.string())
-            yield pa.record_batch(columns[:-1], batch.schema.names[:-1])
+            yield pa.record_batch([pa.StructArray.from_arrays(columns, fields=fields)], ["row"])
 
-    return joined.mapInArrow(work, T.StructType(docs.schema.fields))
+    kind = T.StructType([T.StructField("row", T.StructType(docs.schema.fields))])
+    return joined.mapInArrow(work, kind).select("row.*")
 
 
 def _digests(rows: DataFrame, length: int) -> DataFrame:
