@@ -60,6 +60,15 @@ def pool_z(pairs: DataFrame, pool: DataFrame, value: str, by: list[str] | None =
     return both.select(*by, "n", "observed", F.when(F.col("n") > 0, z).alias("z"))
 
 
+def moments_z(pairs: DataFrame, moments: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """As pool_z(), from the pool's n, total and squares by group instead of its rows."""
+    own = pairs.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("observed"))
+    mean = F.col("total") / F.col("pool")
+    null = moments.withColumnRenamed("n", "pool").where("pool > 0").select(*by, mean.alias("mean"), F.sqrt(F.greatest(F.col("squares") / F.col("pool") - mean * mean, F.lit(0.0))).alias("sd"))
+    z = (F.col("observed") - F.col("mean")) / (F.col("sd") / F.sqrt("n") + 1e-12)
+    return own.join(null, by).select(*by, "n", "observed", z.alias("z"))
+
+
 def average_ranks(rows: DataFrame, value: str, name: str) -> DataFrame:
     """rows with the average rank of value: counts by value, and a running count over the distinct values."""
     counts = rows.groupBy(value).agg(F.count("*").alias("__c"))

@@ -11,9 +11,11 @@ from ..operators import knn as K
 from ..operators import layout
 from ..operators import lineage as L
 from ..operators import nullmodels as N
+from ..operators import pairsums as P
 from ..operators import series as S
 from ..operators import vectors as V
 from ..sources.fixtures import table, view, with_views
+from ..sources.tables import settle
 from .base import query
 from .vector_queries import near, near_graph, near_sql, sweep
 
@@ -199,13 +201,33 @@ def subcluster_significance(spark, sf_dir):
 
 # -- influence
 
-def _edges(spark, sf_dir):
-    """Every pair of authors in the order of their years, with the similarity of their vectors."""
+def _authors(spark, sf_dir):
+    """Authors with the unit vector v."""
     who = view(spark, sf_dir, "authors").select("author_id", "earliest_year", "form", "n_books", F.col("embedding").cast("array<double>").alias("v"))
-    unit = who.withColumn("v", F.transform("v", lambda x: x / F.greatest(F.sqrt(V.dot(F.col("v"), F.col("v"))), F.lit(1e-9))))
-    a, b = (unit.select(*(F.col(c).alias(f"{s}_{c}") for c in unit.columns)) for s in ("from", "to"))
-    pairs = a.join(b, F.col("from_earliest_year") < F.col("to_earliest_year"))
-    return pairs.select(F.col("from_author_id").alias("from_id"), F.col("to_author_id").alias("to_id"), V.dot(F.col("from_v"), F.col("to_v")).alias("conceptual"), (F.col("from_form") == F.col("to_form")).alias("same_form"), (F.col("to_earliest_year") - F.col("from_earliest_year")).alias("year_gap"), ((F.col("from_n_books") + F.col("to_n_books")) / 2.0).alias("density"), F.least("from_n_books", "to_n_books").alias("min_books"))
+    return who.withColumn("v", F.transform("v", lambda x: x / F.greatest(F.sqrt(V.dot(F.col("v"), F.col("v"))), F.lit(1e-9))))
+
+
+def _edge_columns(pairs):
+    """Of rows with both ends' columns: what an edge shows."""
+    return pairs.select(F.col("from_author_id").alias("from_id"), F.col("to_author_id").alias("to_id"), V.dot(F.col("from_v"), F.col("to_v")).alias("conceptual"), (F.col("from_form") == F.col("to_form")).alias("same_form"), (F.col("to_earliest_year") - F.col("from_earliest_year")).alias("year_gap"), ((F.col("from_n_books") + F.col("to_n_books")) / 2.0).alias("density"), F.least("from_n_books", "to_n_books").alias("min_books"), *(c for c in pairs.columns if c == "src"))
+
+
+def _ends(spark, sf_dir):
+    unit = _authors(spark, sf_dir)
+    return (unit.select(*(F.col(c).alias(f"{s}_{c}") for c in unit.columns)) for s in ("from", "to"))
+
+
+def _edges(spark, sf_dir):
+    """Every pair of authors in the order of their years, with the similarity of their vectors: for results that list pairs."""
+    a, b = _ends(spark, sf_dir)
+    return _edge_columns(a.join(b, F.col("from_earliest_year") < F.col("to_earliest_year")))
+
+
+def _pool(spark, sf_dir, thresholds=None):
+    """Moments of all pairs by t: of the authors with at least t books (0: all)."""
+    who = _authors(spark, sf_dir)
+    t = F.lit(0) if thresholds is None else F.explode(thresholds)
+    return P.year_moments(who.select(t.alias("t"), "n_books", F.col("earliest_year").alias("year"), "v").where("t = 0 or n_books >= t"))
 
 
 _EDGE = (
@@ -220,7 +242,10 @@ def _edge_sql(tail: str, more: str = "") -> str:
 
 
 def _documented(spark, sf_dir):
-    return _edges(spark, sf_dir).join(view(spark, sf_dir, "pairs"), ["from_id", "to_id"])
+    """The documented pairs that are edges: two joins by author and one product a pair."""
+    a, b = _ends(spark, sf_dir)
+    pairs = view(spark, sf_dir, "pairs").withColumnsRenamed({"from_id": "from_author_id", "to_id": "to_author_id"})
+    return _edge_columns(pairs.join(a, "from_author_id").join(b, "to_author_id").where("from_earliest_year < to_earliest_year"))
 
 
 @query(_edge_sql("SELECT from_id, to_id, round(conceptual, 4) AS conceptual, same_form, year_gap FROM ed"))
@@ -230,7 +255,12 @@ def influence_edges(spark, sf_dir):
 
 @query(_edge_sql("SELECT round(corr(conceptual, year_gap), 6) AS r, count(*) AS n FROM ed"))
 def signal_corr(spark, sf_dir):
-    return _edges(spark, sf_dir).agg(F.round(N.pearson("conceptual", "year_gap"), 6).alias("r"), F.count("*").alias("n"))
+    moments = settle(_pool(spark, sf_dir))  # read by two plans
+    x, xx, y, yy, xy, n = (F.col(c) for c in ("total", "squares", "gap", "gap_squares", "gap_products", "n"))
+    r = F.try_divide(n * xy - x * y, F.sqrt(F.greatest((n * xx - x * x) * (n * yy - y * y), F.lit(0.0))))
+    both = P.pair_moments(moments).join(P.gap_moments(moments).drop("n"), "t")
+    none = spark.range(1).select(F.lit(0).alias("t"))
+    return none.join(both, "t", "left").select(F.round(F.when(n >= 3, r), 6).alias("r"), F.coalesce(n, F.lit(0).cast("long")).alias("n"))
 
 
 @query(_edge_sql("SELECT src, count(*) AS n, count(*) FILTER (same_form) AS same_form, round(avg(conceptual) FILTER (same_form), 6) AS same_mean, round(avg(conceptual) FILTER (NOT same_form), 6) AS cross_mean FROM dc GROUP BY src"))
@@ -250,29 +280,40 @@ def keep2(keep: str) -> str:
     return "TRUE" if keep.startswith("src") else keep
 
 
-def _z(spark, sf_dir, value: str = "conceptual", pairs=None, pool=None):
-    found = N.pool_z(pairs if pairs is not None else _documented(spark, sf_dir), pool if pool is not None else _edges(spark, sf_dir), value)
-    return found.select("n", F.round("observed", 6).alias("observed"), F.round("z", 4).alias("z"))
+def _z(spark, sf_dir, keep: str = "true", thresholds=None):
+    """n, observed, z of the documented pairs that `keep` chooses against the pool; thresholds: the numbers of books instead of none."""
+    t = F.lit(0) if thresholds is None else F.explode(thresholds)
+    rows = _documented(spark, sf_dir).where(keep).withColumn("t", t).where("t = 0 or min_books >= t")
+    found = N.moments_z(rows, P.pair_moments(_pool(spark, sf_dir, thresholds)), "conceptual", ["t"])
+    return found.select("t", "n", F.round("observed", 6).alias("observed"), F.round("z", 4).alias("z"))
 
 
 @query(_z_sql("conceptual", "src = 'known'"))
 def permutation_z(spark, sf_dir):
-    return _z(spark, sf_dir, pairs=_documented(spark, sf_dir).where("src = 'known'"))
+    return _z(spark, sf_dir, "src = 'known'").drop("t")
 
 
 @query(_z_sql("conceptual", "src = 'wikidata'"))
 def wikidata_z(spark, sf_dir):
-    return _z(spark, sf_dir, pairs=_documented(spark, sf_dir).where("src = 'wikidata'"))
+    return _z(spark, sf_dir, "src = 'wikidata'").drop("t")
 
 
 @query(_z_sql("density"))
 def density_z(spark, sf_dir):
-    return _z(spark, sf_dir, "density")
+    """The mean number of books of a pair's ends against the pool, whose sums follow from counts by year."""
+    who = view(spark, sf_dir, "authors").where("earliest_year is not null and n_books is not null")
+    sums = [F.count("*").cast("double").alias("k"), F.sum("n_books").cast("double").alias("s"), F.sum(F.col("n_books").cast("double") * F.col("n_books")).alias("ss")]
+    years = who.groupBy("earliest_year").agg(*sums).withColumn("sign", F.lit(-1.0)).unionByName(who.agg(*sums).withColumn("earliest_year", F.lit(None).cast("int")).withColumn("sign", F.lit(1.0)), allowMissingColumns=True)
+    k, s, ss, sign = F.col("k"), F.col("s"), F.col("ss"), F.col("sign")
+    # over all ordered pairs, (a + b) / 2 sums to k s and its square to (k ss + s s) / 2
+    pool = years.agg((F.sum(sign * k * k) / 2).alias("n"), (F.sum(sign * k * s) / 2).alias("total"), (F.sum(sign * (k * ss + s * s) / 2) / 2).alias("squares")).withColumn("t", F.lit(0))
+    found = N.moments_z(_documented(spark, sf_dir).withColumn("t", F.lit(0)), pool, "density", ["t"])
+    return found.select("n", F.round("observed", 6).alias("observed"), F.round("z", 4).alias("z"))
 
 
 @query(_z_sql("conceptual", "min_books >= 4"))
 def well_represented_z(spark, sf_dir):
-    return _z(spark, sf_dir, pairs=_documented(spark, sf_dir).where("min_books >= 4"), pool=_edges(spark, sf_dir).where("min_books >= 4"))
+    return _z(spark, sf_dir, thresholds=F.array(F.lit(4))).drop("t")
 
 
 _SWEEP = ", tt AS (SELECT CAST(range AS INTEGER) AS t FROM range(1, 7)), a AS (SELECT t, count(*) AS n, avg(conceptual) AS observed FROM dc JOIN tt ON min_books >= t GROUP BY t), b AS (SELECT t, avg(conceptual) AS m, stddev_pop(conceptual) AS s FROM ed JOIN tt ON min_books >= t GROUP BY t)"
@@ -280,21 +321,14 @@ _SWEEP = ", tt AS (SELECT CAST(range AS INTEGER) AS t FROM range(1, 7)), a AS (S
 
 @query(_edge_sql("SELECT t, n, round(observed, 6) AS observed, round((observed - m) / (s / sqrt(n) + 1e-12), 4) AS z FROM a JOIN b USING (t) WHERE n >= 5", _SWEEP))
 def threshold_sweep(spark, sf_dir):
-    def by_t(rows):
-        return rows.withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(6)))).where("min_books >= t")
-
-    found = N.pool_z(by_t(_documented(spark, sf_dir)), by_t(_edges(spark, sf_dir)), "conceptual", ["t"]).where("n >= 5")
-    return found.select("t", "n", F.round("observed", 6).alias("observed"), F.round("z", 4).alias("z"))
+    return _z(spark, sf_dir, thresholds=F.sequence(F.lit(1), F.lit(6))).where("n >= 5")
 
 
 @query(_edge_sql("SELECT src, n, CASE WHEN z > 3 THEN 'survives' ELSE 'does not survive' END AS verdict FROM (SELECT src, n, (observed - m) / (s / sqrt(n) + 1e-12) AS z FROM (SELECT src, count(*) AS n, avg(conceptual) AS observed FROM dc GROUP BY src) a, (SELECT avg(conceptual) AS m, stddev_pop(conceptual) AS s FROM ed) b)"))
 def influence_verdict(spark, sf_dir):
-    pool = _edges(spark, sf_dir)
-    found = None
-    for src in ("known", "wikidata"):
-        part = N.pool_z(_documented(spark, sf_dir).where(F.col("src") == src), pool, "conceptual").withColumn("src", F.lit(src))
-        found = part if found is None else found.unionByName(part)
-    return N.verdict(found, "z").select("src", "n", "verdict")
+    rows = _documented(spark, sf_dir).withColumn("t", F.lit(0))
+    pool = P.pair_moments(_pool(spark, sf_dir)).join(rows.select("t", "src").distinct(), "t")
+    return N.verdict(N.moments_z(rows, pool, "conceptual", ["t", "src"]), "z").select("src", "n", "verdict")
 
 
 _BINS = ", qs AS (SELECT list_sort(list_distinct(list_transform(quantile_cont(year_gap, [0.0, 0.25, 0.5, 0.75, 1.0]), lambda x: CAST(round(x) AS BIGINT)))) AS q FROM dc), bn AS (SELECT unnest(q) AS lo, unnest(list_slice(q, 2, len(q))) AS hi, q[-1] AS last FROM qs), bb AS (SELECT * FROM bn WHERE hi IS NOT NULL)"
@@ -315,7 +349,12 @@ _EXC = ", bs AS (SELECT min_books, avg(conceptual) AS base FROM ed GROUP BY min_
 
 @query(_edge_sql("SELECT round(corr(rx, ry), 6) AS rho, count(*) AS n FROM rx", _EXC))
 def excess_spearman(spark, sf_dir):
-    base = _edges(spark, sf_dir).groupBy("min_books").agg(F.avg("conceptual").alias("base"))
+    # pairs whose lesser number of books is m: those of at least m less those of at least the next number
+    books = [r["n_books"] for r in view(spark, sf_dir, "authors").select("n_books").distinct().orderBy("n_books").collect()]  # as many as there are numbers of books
+    pool = P.pair_moments(_pool(spark, sf_dir, F.array(*map(F.lit, books)))) if books else spark.createDataFrame([], "t int, n long, total double, squares double")
+    above = pool.select(F.col("n").alias("n2"), F.col("total").alias("total2"), F.create_map(*(F.lit(x) for pair in zip(books[1:], books) for x in pair))[F.col("t")].alias("t")) if len(books) > 1 else pool.select(F.col("n").alias("n2"), F.col("total").alias("total2"), "t").limit(0)
+    n, total = F.col("n") - F.coalesce("n2", F.lit(0)), F.col("total") - F.coalesce("total2", F.lit(0.0))
+    base = pool.join(above, "t", "left").select(F.col("t").alias("min_books"), F.try_divide(total, n).alias("base"))
     rows = _documented(spark, sf_dir).join(base, "min_books").select(F.col("min_books").alias("x"), F.round(F.col("conceptual") - F.col("base"), 9).alias("y"))
     ranked = N.average_ranks(N.average_ranks(rows, "x", "rx"), "y", "ry")
     return ranked.agg(F.round(F.corr("rx", "ry"), 6).alias("rho"), F.count("*").alias("n"))
@@ -459,7 +498,13 @@ def genre_rank_bars(spark, sf_dir):
 
 @query(_edge_sql("SELECT (SELECT count(*) FROM authors) AS n_authors, count(*) AS n_edges, min(year_gap) AS min_gap, max(year_gap) AS max_gap, count(*) FILTER (same_form) AS same_form, (SELECT count(*) FROM dc) AS n_documented FROM ed"))
 def header_stats(spark, sf_dir):
-    edges = _edges(spark, sf_dir).agg(F.count("*").alias("n_edges"), F.min("year_gap").alias("min_gap"), F.max("year_gap").alias("max_gap"), F.count_if("same_form").alias("same_form"))
+    who = view(spark, sf_dir, "authors").where("earliest_year is not null")
+    years = who.groupBy("earliest_year").agg(F.count("*").alias("k"))
+    steps = years.withColumn("gap", F.col("earliest_year") - F.lag("earliest_year").over(Window.orderBy("earliest_year")))  # a row a year
+    # pairs in the order of years: half of all ordered pairs less those of one year
+    forms = who.where("form is not null").groupBy("form", "earliest_year").agg(F.count("*").alias("k")).groupBy("form").agg(F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("kk"))
+    edges = steps.agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).cast("long").alias("n_edges"), F.min("gap").alias("min_gap"), (F.max("earliest_year") - F.min("earliest_year")).alias("max_gap"))
+    edges = edges.join(F.broadcast(forms.agg((F.sum(F.col("s") * F.col("s") - F.col("kk")) / 2).cast("long").alias("same_form"))))  # one row
     authors = view(spark, sf_dir, "authors").agg(F.count("*").alias("n_authors"))
     return edges.join(F.broadcast(authors)).join(F.broadcast(_documented(spark, sf_dir).agg(F.count("*").alias("n_documented"))))  # single rows
 
