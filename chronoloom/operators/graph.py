@@ -139,8 +139,9 @@ def louvain(runs: DataFrame) -> DataFrame:
     return runs.groupBy("run", "resolution", "seed").applyInPandas(work, "run long, resolution double, seed int, node long, community long")
 
 
-def recurring(communities: DataFrame, seeds: int, jaccard: float = 0.5, least: int = 5, share: float = 0.6) -> DataFrame:
-    """resolution, core, size, seeds_seen, stable: communities that return across seeds.
+def recurring_members(communities: DataFrame, jaccard: float = 0.5, least: int = 5) -> DataFrame:
+    """communities: run, resolution, seed, node, community.  resolution, place, core, seeds_seen, run, community: the groups of
+    communities that return across seeds, with a row for each community in a group.
 
     In the order of seeds, a community joins the first group whose core it overlaps enough, and the core shrinks to what
     both hold; the fold depends on its order, so a resolution is one task (communities of one graph under a few seeds).
@@ -149,20 +150,28 @@ def recurring(communities: DataFrame, seeds: int, jaccard: float = 0.5, least: i
     def work(rows: pd.DataFrame) -> pd.DataFrame:
         groups: list[list] = []
         for _, of_seed in rows.groupby("seed", sort=True):
-            for _, m in of_seed.groupby("community", sort=True):
+            for community, m in of_seed.groupby("community", sort=True):
                 own = set(m["node"].tolist())
                 if len(own) < least:
                     continue
                 for g in groups:
                     if len(own & g[0]) / len(own | g[0]) >= jaccard:
                         g[0] &= own
-                        g[1] += 1
                         break
                 else:
-                    groups.append([own, 1])
-        return pd.DataFrame([{"resolution": float(rows["resolution"].iloc[0]), "core": ",".join(map(str, sorted(g[0]))), "size": len(g[0]), "seeds_seen": g[1], "stable": g[1] >= share * seeds} for g in groups], columns=["resolution", "core", "size", "seeds_seen", "stable"])
+                    g = [own, []]
+                    groups.append(g)
+                g[1].append((int(m["run"].iloc[0]), int(community)))
+        found = [(float(rows["resolution"].iloc[0]), place, ",".join(map(str, sorted(core))), len(held), run, community) for place, (core, held) in enumerate(groups) for run, community in held]
+        return pd.DataFrame(found, columns=["resolution", "place", "core", "seeds_seen", "run", "community"])
 
-    return communities.groupBy("resolution").applyInPandas(work, "resolution double, core string, size int, seeds_seen int, stable boolean")
+    return communities.groupBy("resolution").applyInPandas(work, "resolution double, place int, core string, seeds_seen int, run long, community long")
+
+
+def recurring(communities: DataFrame, seeds: int, share: float = 0.6) -> DataFrame:
+    """resolution, core, size, seeds_seen, stable of each group of recurring_members(); stable: seen in at least that share of the seeds."""
+    groups = recurring_members(communities).select("resolution", "place", "core", "seeds_seen").distinct()
+    return groups.select("resolution", "core", F.size(F.split("core", ",")).alias("size"), "seeds_seen", (F.col("seeds_seen") >= share * seeds).alias("stable"))
 
 
 def overlaps(sets: DataFrame, key: str, member: str, least: float = 0.5) -> DataFrame:

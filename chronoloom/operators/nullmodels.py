@@ -39,6 +39,15 @@ def bonferroni_z(tests: int, alpha: float = 0.05) -> float:
     return NormalDist().inv_cdf(alpha / tests)
 
 
+def bonferroni_limit(tests: Column, alpha: float = 0.05) -> Column:
+    """bonferroni_z() of a column, for tables as small as their groups of tests."""
+    @F.pandas_udf("double")
+    def limit(n: pd.Series) -> pd.Series:
+        return n.map(lambda x: bonferroni_z(int(x), alpha))
+
+    return limit(tests.cast("long"))
+
+
 def benjamini_hochberg(rows: DataFrame, p: str, alpha: float = 0.05) -> DataFrame:
     """rows with rank and discovery: p at most the largest p with p <= alpha rank / tests (one row a test)."""
     n = rows.agg(F.count("*").alias("m"))
@@ -98,11 +107,22 @@ def set_concentration(sets: DataFrame, members: DataFrame, trials: int, seed: in
     return keyed.join(z, "key").select("run", "community", "n", "z")
 
 
-def representatives(rows: DataFrame, group: str, z: str) -> DataFrame:
-    """The row of each group at half the count in the order of z: a median that is one of the runs."""
-    w = Window.partitionBy(group).orderBy(z, "run", "community")
-    counted = rows.groupBy(group).agg(F.count("*").alias("__n"))
-    return rows.withColumn("__k", F.row_number().over(w)).join(counted, group).where(F.col("__k") == F.floor(F.col("__n") / 2) + 1).drop("__k", "__n")
+def recurring_significance(members: DataFrame, z: DataFrame, seeds: int, share: float = 0.6) -> DataFrame:
+    """members: resolution, place, seeds_seen, run, community.  z: run, community, n, z.
+
+    Of each group: z_median, z_min, z_max over its communities, the representative (that at half the count in the order
+    of z, so no single lucky run speaks for the group), whether it is stable, and whether it is concentrated: by itself,
+    and, if stable, after correction for as many tests as its resolution has groups.
+    """
+    rows = members.join(z, ["run", "community"])
+    key = ["resolution", "place"]
+    w = Window.partitionBy(*key).orderBy("z", "run", "community")
+    counted = rows.groupBy(*key).agg(F.count("*").alias("seen"), F.median("z").alias("z_median"), F.min("z").alias("z_min"), F.max("z").alias("z_max"))
+    mid = rows.withColumn("k", F.row_number().over(w)).join(counted, key).where(F.col("k") == F.floor(F.col("seen") / 2) + 1)
+    tests = members.select(*key).distinct().groupBy("resolution").agg(F.count("*").alias("tests")).withColumn("limit", bonferroni_limit(F.col("tests")))
+    stable = F.col("seeds_seen") >= share * seeds
+    columns = [*key, "run", "community", "n", "z_median", "z_min", "z_max", "seeds_seen", "tests", stable.alias("stable")]
+    return mid.join(tests, "resolution").select(*columns, (F.col("z_median") <= -2.0).alias("significant_raw"), ((F.col("z_median") <= F.col("limit")) & stable).alias("significant"))
 
 
 def spearman_p(rho: Column, n: Column) -> Column:

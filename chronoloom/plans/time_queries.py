@@ -17,9 +17,10 @@ from ..operators import vectors as V
 from ..sources.fixtures import table, view, with_views
 from ..sources.tables import settle
 from .base import query
-from .vector_queries import near, near_graph, near_sql, sweep
+from .vector_queries import SEEDS, near, near_graph, near_sql, sweep
 
-TRIALS = 200
+#: Draws of a null model, as many as published results were taken with.
+TRIALS = 3000
 ERAS = [("early", 1660, 1750), ("middle", 1750, 1840), ("late", 1840, 1890), ("last", 1890, 1930)]
 PANELS = [1700, 1750, 1800, 1850, 1900, 1928]
 
@@ -174,9 +175,15 @@ def emergent(spark, sf_dir):
     return _conc(spark, sf_dir).join(spans, "label").select("label", "n", F.round("z", 4).alias("z"), (F.col("z") <= -2.0).alias("emergent"), "year_min", "year_max")
 
 
-@query(_conc_sql(f"SELECT label, round(z, 4) AS z, z <= {N.bonferroni_z(10)!r} AS significant FROM cz"))
+_LIMITS = ", ".join(f"({n}, {N.bonferroni_z(n)!r})" for n in range(1, 101))
+
+
+@query(_conc_sql(f"SELECT label, round(z, 4) AS z, z <= (SELECT cut FROM (VALUES {_LIMITS}) l(tests, cut) WHERE tests = (SELECT count(*) FROM cz)) AS significant FROM cz"))
 def bonferroni(spark, sf_dir):
-    return _conc(spark, sf_dir).select("label", F.round("z", 4).alias("z"), (F.col("z") <= N.bonferroni_z(10)).alias("significant"))
+    """Concentration after correction for as many tests as there are labels (the SQL knows the limits up to a hundred)."""
+    found = _conc(spark, sf_dir)
+    limit = found.agg(F.count("*").alias("tests")).select(N.bonferroni_limit(F.greatest("tests", F.lit(1))).alias("cut"))
+    return found.join(F.broadcast(limit)).select("label", F.round("z", 4).alias("z"), (F.col("z") <= F.col("cut")).alias("significant"))  # one row
 
 
 _P = "p AS (SELECT c_custkey, abs(c_acctbal) / 100000 AS p FROM customer), r AS (SELECT *, row_number() OVER (ORDER BY p, c_custkey) AS k, count(*) OVER () AS m FROM p)"
@@ -190,13 +197,15 @@ def benjamini_hochberg(spark, sf_dir):
 
 @query()
 def subcluster_significance(spark, sf_dir):
-    """Of each resolution and seed, its communities' concentration, each different set tested once; the median run and its corrected verdict."""
-    found = sweep(spark, sf_dir)
-    sizes = found.groupBy("run", "community").agg(F.count("*").alias("k")).where("k >= 5")
-    z = N.set_concentration(found.join(sizes, ["run", "community"], "left_semi"), _members(spark, sf_dir), TRIALS)
-    runs = found.select("run", "resolution").distinct()
-    mid = N.representatives(z.join(runs, "run"), "resolution", "z")
-    return mid.select("resolution", "run", "community", "n", F.round("z", 4).alias("z"), (F.col("z") <= N.bonferroni_z(10)).alias("significant"))
+    """Of each resolution, the groups of communities that return across seeds: the representative, the spread of z and the corrected verdict.
+
+    Each different set of books is tested once.
+    """
+    found = settle(sweep(spark, sf_dir))
+    groups = settle(G.recurring_members(found))
+    z = N.set_concentration(found.join(groups.select("run", "community").distinct(), ["run", "community"], "left_semi"), _members(spark, sf_dir), TRIALS)
+    rows = N.recurring_significance(groups, settle(z), SEEDS)
+    return rows.select("resolution", "run", "community", "n", *(F.round(c, 4).alias(c) for c in ("z_median", "z_min", "z_max")), "seeds_seen", "tests", "stable", "significant_raw", "significant")
 
 
 # -- influence

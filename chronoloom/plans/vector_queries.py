@@ -179,8 +179,12 @@ def louvain_communities(spark, sf_dir):
     return G.louvain(runs)
 
 
+#: Resolutions and seeds of a sweep.
+RESOLUTIONS, SEEDS = (1.0, 1.25, 1.5, 1.75, 2.0, 2.5, 3.0), 10
+
+
 def sweep(spark, sf_dir):
-    settings = spark.createDataFrame([(10 * i + s, r, s) for i, r in enumerate((1.0, 1.5, 2.0)) for s in range(4)], "run long, resolution double, seed int")
+    settings = spark.createDataFrame([(SEEDS * i + s, r, s) for i, r in enumerate(RESOLUTIONS) for s in range(SEEDS)], "run long, resolution double, seed int")
     return G.louvain(near_graph(spark, sf_dir).join(F.broadcast(settings)))  # one row a setting
 
 
@@ -191,7 +195,7 @@ def louvain_sweep(spark, sf_dir):
 
 @query()
 def recurring_groups(spark, sf_dir):
-    return G.recurring(sweep(spark, sf_dir), 4)
+    return G.recurring(sweep(spark, sf_dir), SEEDS)
 
 
 _OV = "sz AS (SELECT book_id, count(*) AS n FROM baskets GROUP BY book_id), ov AS (SELECT x.book_id AS a, y.book_id AS b, count(*) AS shared FROM baskets x JOIN baskets y ON x.genre = y.genre AND x.book_id < y.book_id GROUP BY 1, 2)"

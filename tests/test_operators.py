@@ -273,3 +273,46 @@ def test_a_figure_is_drawn_whole_or_not_at_all(spark, monkeypatch):
     assert pages.line_figure(points.limit(5), "x", "y").count(",") == 5
     with pytest.raises(ValueError):
         pages.line_figure(points, "x", "y")
+
+
+def test_recurring_groups_and_their_significance(spark):
+    """Against the fold and the medians in plain Python."""
+    import random
+    from statistics import median
+
+    from chronoloom.operators import graph, nullmodels
+
+    rng = random.Random(8)
+    sets, years = {}, {i: 1700 + (i * 37) % 200 for i in range(80)}
+    for resolution in (1.0, 2.0):
+        for seed in range(5):
+            for c, start in enumerate(range(0, 80, 10 if resolution == 1.0 else 8)):
+                own = {x for x in range(start, min(80, start + 8)) if rng.random() < 0.9} | ({rng.randrange(80)} if seed else set())
+                sets[int(resolution * 10) + seed, resolution, seed, c] = own
+    rows = [(run, r, seed, node, c) for (run, r, seed, c), own in sets.items() for node in own]
+    found = spark.createDataFrame(rows, "run long, resolution double, seed int, node long, community long")
+    groups = {}
+    for (run, r, _, c), own in sorted(sets.items(), key=lambda x: (x[0][1], x[0][2], x[0][3])):
+        if len(own) >= 5:
+            for g in groups.setdefault(r, []):
+                if len(g[0] & own) / len(g[0] | own) >= 0.5:
+                    g[0] &= own
+                    g[1].append((run, c))
+                    break
+            else:
+                groups[r].append([set(own), [(run, c)]])
+    expected = {(r, ",".join(map(str, sorted(core))), len(held)) for r, gs in groups.items() for core, held in gs}
+    assert {(x["resolution"], x["core"], x["seeds_seen"]) for x in graph.recurring(found, 5).collect()} == expected
+    assert any(x["stable"] for x in graph.recurring(found, 5).collect())
+    members = spark.createDataFrame([(i, y) for i, y in years.items()], "book_id long, year int")
+    z = nullmodels.set_concentration(found, members, 50)
+    zs = {(x["run"], x["community"]): x["z"] for x in z.collect()}
+    assert len(zs) == len(sets)
+    result = nullmodels.recurring_significance(graph.recurring_members(found), z, 5).collect()
+    assert len(result) == sum(map(len, groups.values()))
+    for x in result:
+        held = groups[x["resolution"]][x["place"]][1]
+        own = sorted((zs[h], *h) for h in held)
+        assert (x["run"], x["community"]) == own[len(own) // 2][1:]
+        assert abs(x["z_median"] - median(v for v, *_ in own)) < 1e-9 and x["tests"] == len(groups[x["resolution"]])
+        assert x["significant"] == (x["z_median"] <= nullmodels.bonferroni_z(x["tests"]) and len(held) >= 3)
