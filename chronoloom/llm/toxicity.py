@@ -122,10 +122,14 @@ def rising(steps: list[int], labels: np.ndarray, all_labels: np.ndarray) -> np.n
 
 
 class WholeIndex:
-    """All terms of the examples, with their places.  ends, codes, counts: the terms of example d are codes[ends[d]:ends[d + 1]]; df: of each term over all n documents."""
+    """All terms of the examples, with their places.  ends, codes, counts: the terms of example d are codes[ends[d]:ends[d + 1]]; df: of each term over all n documents.
 
-    def __init__(self, place: dict[str, int], df: np.ndarray, n: int, ends: np.ndarray, codes: np.ndarray, counts: np.ndarray):
+    It is sent as these counts, a tenth of its size, and each worker builds its postings and matrix from them once.
+    """
+
+    def __init__(self, place: dict[str, int], df: np.ndarray, n: int, ends: np.ndarray, codes: np.ndarray, counts: np.ndarray, calibration: np.ndarray | None = None):
         self.place = place
+        self.df, self.n, self.counts = df, n, counts
         self.idf = np.log((1 + n) / (1 + df.astype(float))) + 1
         self.size = len(ends) - 1
         row = np.repeat(np.arange(self.size, dtype=np.int32), np.diff(ends))
@@ -142,7 +146,12 @@ class WholeIndex:
         for i, t in enumerate(common.tolist()):
             s, e = self.starts[t], self.starts[t + 1]
             self.matrix[i, self.docs[s:e]] = self.weights[s:e]
-        self.calibration = np.full(STEPS + 2, 0.5)
+        self.calibration = np.full(STEPS + 2, 0.5) if calibration is None else calibration
+
+    def __reduce__(self):
+        terms = sorted(self.place, key=self.place.__getitem__)
+        small = [x.astype(np.min_scalar_type(int(x.max(initial=0)))) for x in (self.df, self.ends, self.codes, self.counts)]
+        return _unpacked, (terms, small[0], self.n, *small[1:], self.calibration)
 
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         known = sorted((self.place[t], c) for t, c in counts.items() if t in self.place)
@@ -179,6 +188,10 @@ class WholeIndex:
                 yield docs, sums[i, docs]
 
 
+def _unpacked(terms: list[str], df: np.ndarray, n: int, ends: np.ndarray, codes: np.ndarray, counts: np.ndarray, calibration: np.ndarray) -> WholeIndex:
+    return WholeIndex({t: i for i, t in enumerate(terms)}, df.astype(np.int64), n, ends.astype(np.int64), codes.astype(np.int32), counts.astype(np.int32), calibration)
+
+
 def _counts(text: str, place: dict[str, int]) -> dict[str, int]:
     words = _terms(text.lower())
     known = place.keys() & words
@@ -220,7 +233,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> BlockM
         whole, places = index.whole, np.array(rest, np.int64)
         found = whole.nearest([whole.bare(d) for d in rest], without=rest)
         whole.calibration = rising([index.vote(*x) for x in found], index.labels[places], index.labels)
-        whole.ends = whole.codes = whole.own = None  # not sent to the tasks
+        whole.own = whole.docs = whole.weights = whole.matrix = None  # what is sent is built from the counts
     return index
 
 
