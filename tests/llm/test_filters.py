@@ -172,23 +172,23 @@ def test_rollup_query_is_its_sql(spark, tmp_path, monkeypatch):
 
 def brute_topk(rows, k=10, scale=1024):
     good = [(i, [int(np.floor(scale * float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
-    out = set()
+    out = []
     for q, a in good:
         if q % 100 == 0:
             scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in good if i != q and len(b) == len(a))
-            out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])}
-    return out
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])]
+    return sorted(out)
 
 
 @pytest.mark.parametrize("bucket", [7, 2048])
 def test_topk(spark, monkeypatch, bucket):
     monkeypatch.setattr(topk, "BUCKET", bucket)
-    monkeypatch.setattr(topk, "QUERIES", 3)
+    monkeypatch.setattr(topk, "BLOCK", 24)
     rng = np.random.default_rng(4)
     rows = [(i, (rng.normal(size=8) * 10 ** rng.uniform(-3, 1)).astype(np.float32).tolist()) for i in range(600)]
-    rows += [(600, rows[0][1]), (700, rows[1][1]), (701, rows[1][1]), (702, None), (703, [None] * 8), (800, [float("nan")] * 8), (801, [float("inf")] * 8), (900, [0.0] * 8), (1000, [1.0, 2.0]), (1001, [3.0, 4.0]), (None, rows[5][1])]
+    rows += [(600, rows[0][1]), (700, rows[1][1]), (701, rows[1][1]), (702, None), (703, [None] * 8), (800, [float("nan")] * 8), (801, [float("inf")] * 8), (900, [0.0] * 8), (1000, [1.0, 2.0]), (1001, [3.0, 4.0]), (None, rows[5][1]), (300, rows[9][1]), (300, rows[300][1])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    found = {tuple(r) for r in topk.search_all(table, table.where("vec_id % 100 = 0")).collect()}
+    found = sorted(tuple(r) for r in topk.search_all(table, table.where("vec_id % 100 = 0")).collect())
     assert found == brute_topk(rows)
     assert topk.search_all(table.limit(0), table.limit(0)).count() == 0
 
@@ -196,4 +196,24 @@ def test_topk(spark, monkeypatch, bucket):
 def test_topk_of_large_numbers(spark):
     rows = [(i, [float(10**4 * (i + 1)), float(-3 * i), 0.5]) for i in range(30)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    assert {tuple(r) for r in topk.search_all(table, table.where("vec_id % 100 = 0")).collect()} == brute_topk(rows)
+    assert sorted(tuple(r) for r in topk.search_all(table, table.where("vec_id % 100 = 0")).collect()) == brute_topk(rows)
+
+
+@pytest.mark.parametrize("spread,most", [(1.0, 0.2), (0.0, 1.0)])
+def test_topk_prunes_vectors_of_spread_lengths(spread, most):
+    """With the floor of the longest vectors most parts of the table are never multiplied; vectors of one length are."""
+    rng = np.random.default_rng(3)
+    x = np.floor(1024 * rng.normal(size=(30000, 16)) * np.exp(spread * rng.normal(size=(30000, 1))))
+    order = np.argsort(-np.einsum("ij,ij->i", x, x), kind="stable")
+    x, ids = x[order], np.arange(30000)
+    verified = 0
+    for q in x[::3000]:
+        floor = float(topk.search(topk.buckets_of(ids[:2048], x[:2048]), -1, q, 10)[1][-1])
+        found = []
+        for s in range(0, 30000, 5000):  # parts as they lie on executors
+            buckets = topk.buckets_of(ids[s : s + 5000], x[s : s + 5000])
+            found += [(int(-v), int(i)) for i, v in zip(*topk.search(buckets, -1, q, 10, floor))]
+            verified += sum(b.verified for b in buckets)
+        scores = x @ q
+        assert sorted(found)[:10] == [(int(-scores[i]), int(i)) for i in np.lexsort((ids, -scores))[:10]]
+    assert verified / (10 * 30000) <= most
