@@ -29,12 +29,23 @@ def _members(spark, sf_dir):
     return view(spark, sf_dir, "vecs").select("book_id", "label", "year")
 
 
-def _memberships(spark, sf_dir):
-    return L.cumulative(_members(spark, sf_dir))
+def _memberships(spark, sf_dir, k: int = 6):
+    """Communities of each year's own graph of nearest neighbours."""
+    return settle(L.snapshot_communities(_lives(spark, sf_dir, k), _members(spark, sf_dir), cut=settle))
 
 
+_LIVES = (
+    ", bt AS (SELECT *, list(yb) OVER (PARTITION BY src ORDER BY sim DESC, dst ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM sm), "
+    "lv AS (SELECT src, dst, greatest(ya, yb) AS start, CASE WHEN len(before) >= 6 THEN list_sort(before)[6] END AS stop FROM bt), "
+    "al AS (SELECT * FROM lv WHERE stop IS NULL OR start < stop)"
+)
+#: Three rounds of labels over all years' graphs.
+_ROUNDS = "".join(
+    f", s{i + 1} AS (SELECT y, u AS node, arg_min(label, (-n, label)) AS label FROM (SELECT y, u, label, count(*) AS n FROM yw JOIN s{i} USING (y) WHERE v = node GROUP BY y, u, label) GROUP BY y, u)" for i in range(3)
+)
 _GROWN = (
-    "ys AS (SELECT DISTINCT year AS snapshot FROM vecs), gw AS (SELECT snapshot, label, book_id FROM ys JOIN vecs ON year <= snapshot), "
+    "ys AS (SELECT DISTINCT year AS snapshot FROM vecs), ya AS (SELECT snapshot AS y, src, dst FROM al JOIN ys ON start <= snapshot AND (stop IS NULL OR snapshot < stop)), "
+    "yw AS (SELECT y, src AS u, dst AS v FROM ya UNION SELECT y, dst, src FROM ya), s0 AS (SELECT DISTINCT y, u AS node, u AS label FROM yw)" + _ROUNDS + ", gw AS (SELECT y AS snapshot, label, node AS book_id FROM s3), "
     "mb AS (SELECT * FROM gw QUALIFY count(*) OVER (PARTITION BY snapshot, label) >= 3), "
     "od AS (SELECT snapshot, row_number() OVER (ORDER BY snapshot) AS t FROM (SELECT DISTINCT snapshot FROM mb)), "
     "mt AS (SELECT t, snapshot, label, book_id, count(*) OVER (PARTITION BY t, label) AS n FROM mb JOIN od USING (snapshot)), "
@@ -46,7 +57,7 @@ _GROWN = (
 
 
 def _grown(tail: str, more: str = "") -> str:
-    return with_views("", "vecs").rstrip() + ", " + _GROWN + more + " " + tail
+    return near_sql(tail, _LIVES + ", " + _GROWN + more)
 
 
 @query(_grown("SELECT snapshot, CAST(t AS INTEGER) AS t, prev, curr, round(jaccard, 6) AS jaccard FROM li"))
@@ -95,15 +106,8 @@ def shuffled_year_null(spark, sf_dir):
     return born.groupBy("trial").agg(F.count_distinct("born").alias("years_with_birth"), F.round(F.avg("born"), 6).alias("mean_birth"))
 
 
-_LIVES = (
-    ", bt AS (SELECT *, list(yb) OVER (PARTITION BY src ORDER BY sim DESC, dst ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM sm), "
-    "lv AS (SELECT src, dst, greatest(ya, yb) AS start, CASE WHEN len(before) >= 6 THEN list_sort(before)[6] END AS stop FROM bt), "
-    "al AS (SELECT * FROM lv WHERE stop IS NULL OR start < stop)"
-)
-
-
-def _lives(spark, sf_dir):
-    return K.lifetimes(view(spark, sf_dir, "vecs"), "book_id", "embedding", "year")
+def _lives(spark, sf_dir, k: int = 6):
+    return K.lifetimes(view(spark, sf_dir, "vecs"), "book_id", "embedding", "year", k)
 
 
 @query(near_sql("SELECT * FROM al", _LIVES))
@@ -118,16 +122,16 @@ def snapshot_edge_counts(spark, sf_dir):
 
 @query()
 def timeline_k_sweep(spark, sf_dir):
-    """Communities of snapshots under several k: neighbours are ranked once, k is a filter, each graph a run of its own."""
-    years = [1700, 1800, 1900]
-    ranked = K.nearest(view(spark, sf_dir, "vecs"), "book_id", "embedding", 10)
-    graphs = ranked.withColumn("k", F.explode(F.array(*(F.lit(k) for k in (4, 6, 8, 10))))).where("place <= k")
-    m = _members(spark, sf_dir)
-    born = graphs.join(m.select(F.col("book_id").alias("src"), F.col("year").alias("ys")), "src").join(m.select(F.col("book_id").alias("dst"), F.col("year").alias("yd")), "dst")
-    runs = born.withColumn("year", F.explode(F.array(*(F.lit(y) for y in years)))).where("greatest(ys, yd) <= year")
-    links = runs.select((F.col("k") * 10000 + F.col("year")).cast("long").alias("run"), F.lit(1.0).alias("resolution"), F.lit(42).alias("seed"), F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    found = G.louvain(links).groupBy("run", "community").agg(F.count("*").alias("n")).where("n >= 3")
-    return found.groupBy("run").agg(F.count("*").alias("n_communities"))
+    """Of the yearly graphs of 4, 6, 8 and 10 neighbours: mutations before a year and from it on, and the ratio of their yearly rates."""
+    turn, found = 1890, None
+    for k in (4, 6, 8, 10):
+        part = L.timeline(_memberships(spark, sf_dir, k), _members(spark, sf_dir)).withColumn("k", F.lit(k))
+        found = part if found is None else found.unionByName(part)
+    early = F.col("year") < turn
+    total = lambda when: F.coalesce(F.sum(F.when(when, F.col("mutations"))), F.lit(0)).alias
+    spans = found.groupBy("k").agg(total(early)("before"), total(~early)("after"), F.min("year").alias("first"), F.max("year").alias("last"), F.sum("splits").alias("splits"), F.sum("merges").alias("merges"))
+    rate = (F.col("after") / F.greatest(F.col("last") - turn + 1, F.lit(1))) / F.greatest(F.col("before") / F.greatest(turn - F.col("first"), F.lit(1)), F.lit(1e-9))
+    return spans.select("k", "before", "after", "splits", "merges", F.round(rate, 2).alias("ratio"))
 
 
 # -- communities and null models
