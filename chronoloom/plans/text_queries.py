@@ -189,17 +189,19 @@ def min_max_scale(spark, sf_dir):
 
 
 @query(
-    "WITH w AS (SELECT p_partkey, p_brand, string_split(p_name, ' ') AS want, lower(p_brand) AS surname FROM part), "
-    "g AS (SELECT p_partkey AS hit, p_brand, list_distinct(string_split(p_name || ' ' || lower(p_type), ' ')) AS got, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS ord FROM part), "
-    "m AS (SELECT w.p_partkey, hit, row_number() OVER (PARTITION BY w.p_partkey ORDER BY ord) AS k FROM w JOIN g USING (p_brand) WHERE ord <= 6 AND len(list_intersect(list_distinct(want), got)) / CAST(greatest(len(list_distinct(want)), 1) AS DOUBLE) >= 0.5) "
+    "WITH w AS (SELECT p_partkey, p_size, list_distinct(string_split(p_name, ' ')) AS want, lower(p_brand) AS surname FROM part), "
+    "g AS (SELECT p_partkey AS hit, p_size, lower(p_brand) AS authors, list_distinct(string_split(p_name || ' ' || lower(p_type), ' ')) AS got, row_number() OVER (PARTITION BY p_size ORDER BY p_retailprice DESC, p_partkey) AS ord FROM part), "
+    "m AS (SELECT w.p_partkey, hit, row_number() OVER (PARTITION BY w.p_partkey ORDER BY ord) AS k FROM w JOIN g USING (p_size) WHERE ord <= 6 AND len(list_intersect(want, got)) / CAST(greatest(len(want), 1) AS DOUBLE) >= 0.5 AND contains(authors, surname)) "
     "SELECT p_partkey, hit FROM m WHERE k = 1"
 )
 def fuzzy_title_match(spark, sf_dir):
-    """The first of the six first search results (here: parts of the brand by price) whose title holds half of the wanted tokens."""
+    """The first of the six first search results (here: parts of the size by price) whose title holds half of the wanted
+    tokens and among whose authors (here: the brand) is the wanted surname, if one is known."""
     parts = table(spark, sf_dir, "part")
-    results = parts.select(F.col("p_partkey").alias("hit"), "p_brand", X.title_tokens(F.concat_ws(" ", "p_name", "p_type")).alias("got"), F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("p_retailprice"), "p_partkey")).alias("ord")).where("ord <= 6")
-    wanted = parts.select("p_partkey", "p_brand", X.title_tokens(F.col("p_name")).alias("want"))
-    found = wanted.join(results, "p_brand").where(X.title_overlap(F.col("want"), F.col("got")) >= 0.5)
+    results = parts.select(F.col("p_partkey").alias("hit"), "p_size", F.lower("p_brand").alias("authors"), X.title_tokens(F.concat_ws(" ", "p_name", "p_type")).alias("got"), F.row_number().over(Window.partitionBy("p_size").orderBy(F.desc("p_retailprice"), "p_partkey")).alias("ord")).where("ord <= 6")
+    wanted = parts.select("p_partkey", "p_size", F.lower("p_brand").alias("surname"), X.title_tokens(F.col("p_name")).alias("want"))
+    named = (F.col("surname") == "") | F.contains(F.col("authors"), F.col("surname"))
+    found = wanted.join(results, "p_size").where((X.title_overlap(F.col("want"), F.col("got")) >= 0.5) & named)
     return found.groupBy("p_partkey").agg(F.min_by("hit", "ord").alias("hit"))
 
 

@@ -373,6 +373,12 @@ def excess_spearman(spark, sf_dir):
     return ranked.agg(F.round(F.corr("rx", "ry"), 6).alias("rho"), F.count("*").alias("n"))
 
 
+@query()
+def excess_spearman_p(spark, sf_dir):
+    """excess_spearman with the two-sided p of its rank correlation, for which SQL has no distribution."""
+    return excess_spearman(spark, sf_dir).withColumn("p", F.round(N.spearman_p(F.col("rho"), F.col("n")), 4))
+
+
 # -- term series
 
 _SER = "gd AS (SELECT term, CAST(range AS INTEGER) AS year FROM (SELECT DISTINCT term FROM series), range(1800, 1832)), dn AS (SELECT term, year, coalesce(freq, 0.0) AS freq FROM gd LEFT JOIN series USING (term, year)), smo AS (SELECT *, avg(freq) OVER (PARTITION BY term ORDER BY year ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS smooth FROM dn)"
@@ -440,12 +446,20 @@ def series_breakdown(spark, sf_dir):
     return rows.withColumn("k", kinds).groupBy("k.kind", "k.key").agg(F.sum("freq").alias("total"))
 
 
-@query(_grown("SELECT round(regr_slope(c, x), 6) AS slope, round(regr_intercept(c, x), 6) AS intercept, round(regr_slope(ln(c), ln(x)), 6) AS power, round(exp(regr_intercept(ln(c), ln(x))), 6) AS scale FROM (SELECT CAST(year - 1659 AS DOUBLE) AS x, CAST(sum(n) OVER (ORDER BY year ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS c FROM (SELECT year, count(*) AS n FROM vecs GROUP BY year))"))
+_FIT = (
+    "WITH g AS (SELECT CAST(year - 1659 AS DOUBLE) AS x, CAST(sum(n) OVER (ORDER BY year ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS c FROM (SELECT year, count(*) AS n FROM vecs GROUP BY year)), "
+    "f AS (SELECT regr_slope(c, x) AS slope, regr_intercept(c, x) AS intercept, regr_slope(ln(c), ln(x)) AS power, exp(regr_intercept(ln(c), ln(x))) AS scale, var_pop(c) * count(*) AS total FROM g) "
+    "SELECT round(first(slope), 6) AS slope, round(first(intercept), 6) AS intercept, round(first(power), 6) AS power, round(first(scale), 6) AS scale, "
+    "round(1 - sum((c - slope * x - intercept) ** 2) / first(total), 6) AS r2_line, round(1 - sum((c - scale * x ** power) ** 2) / first(total), 6) AS r2_power FROM g, f"
+)
+
+
+@query(with_views("", "vecs").rstrip() + ", " + _FIT.removeprefix("WITH "))
 def curve_fit(spark, sf_dir):
-    """A line and a power law through the running number of books."""
+    """A line and a power law through the running number of books, and how much of its variance each explains."""
     yearly = _members(spark, sf_dir).groupBy("year").agg(F.count("*").alias("n"))
     grown = L.running(yearly, "year", ["n"], []).select((F.col("year") - 1659).cast("double").alias("x"), F.col("cum_n").cast("double").alias("c"))
-    return S.fits(grown, "x", "c").select(*(F.round(c, 6).alias(c) for c in ("slope", "intercept", "power", "scale")))
+    return S.fits(grown, "x", "c").select(*(F.round(c, 6).alias(c) for c in ("slope", "intercept", "power", "scale", "r2_line", "r2_power")))
 
 
 # -- what the pages show

@@ -316,3 +316,26 @@ def test_recurring_groups_and_their_significance(spark):
         assert (x["run"], x["community"]) == own[len(own) // 2][1:]
         assert abs(x["z_median"] - median(v for v, *_ in own)) < 1e-9 and x["tests"] == len(groups[x["resolution"]])
         assert x["significant"] == (x["z_median"] <= nullmodels.bonferroni_z(x["tests"]) and len(held) >= 3)
+
+
+def test_mutations_of_yearly_graphs(spark):
+    """A group that splits and joins again in its yearly graphs, and the k-sweep against the timeline of the same k."""
+    from chronoloom import registry
+
+    from chronoloom.operators import lineage
+
+    def ring(nodes):
+        return [(a, b) for a in nodes for b in nodes if a < b]
+
+    both, halves = ring(range(8)), ring(range(4)) + ring(range(4, 8))
+    lives = [(a, b, 1, 2 if (a, b) not in halves else None) for a, b in both] + [(a, b, 3, None) for a, b in both if (a, b) not in halves]
+    table = spark.createDataFrame(lives, "src long, dst long, start int, stop int")
+    years = spark.createDataFrame([(1,), (2,), (3,)], "year int")
+    found = lineage.timeline(lineage.snapshot_communities(table, years), years).orderBy("year").collect()
+    assert [(r["n_communities"], r["births"], r["splits"], r["merges"]) for r in found] == [(1, 1, 0, 0), (2, 0, 1, 0), (1, 0, 0, 1)]
+    sf = "/root/testdata/sf0.001"
+    swept = {r["k"]: r["before"] + r["after"] for r in registry.QUERIES["timeline_k_sweep"](spark, sf).collect()}
+    assert set(swept) == {4, 6, 8, 10}
+    assert swept[6] == sum(r["mutations"] for r in registry.QUERIES["mutation_timeline"](spark, sf).collect())
+    row = registry.QUERIES["excess_spearman_p"](spark, sf).first()
+    assert row["n"] < 3 or 0 <= row["p"] <= 1
