@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .consensus import places
+
 
 def draw(trial: Column, key: Column, seed: int) -> Column:
     """A pseudo-random order that any engine can repeat: the md5 of seed, trial and key."""
@@ -49,9 +51,9 @@ def bonferroni_limit(tests: Column, alpha: float = 0.05) -> Column:
 
 
 def benjamini_hochberg(rows: DataFrame, p: str, alpha: float = 0.05) -> DataFrame:
-    """rows with rank and discovery: p at most the largest p with p <= alpha rank / tests (one row a test)."""
+    """rows with rank and discovery: p at most the largest p with p <= alpha rank / tests (one row a test); ranges of p are ranked apart."""
     n = rows.agg(F.count("*").alias("m"))
-    ranked = rows.join(F.broadcast(n)).withColumn("rank", F.row_number().over(Window.orderBy(p)))  # one row
+    ranked = places(rows, [F.asc(p)]).withColumnRenamed("place", "rank").join(F.broadcast(n))  # one row
     cut = ranked.agg(F.max(F.when(F.col(p) <= alpha * F.col("rank") / F.col("m"), F.col(p))).alias("cut"))
     return ranked.join(F.broadcast(cut)).withColumn("discovery", F.coalesce(F.col(p) <= F.col("cut"), F.lit(False))).drop("m", "cut")  # one row
 
@@ -79,10 +81,8 @@ def moments_z(pairs: DataFrame, moments: DataFrame, value: str, by: list[str]) -
 
 
 def average_ranks(rows: DataFrame, value: str, name: str) -> DataFrame:
-    """rows with the average rank of value: counts by value, and a running count over the distinct values."""
-    counts = rows.groupBy(value).agg(F.count("*").alias("__c"))
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counts.select(value, (F.sum("__c").over(w) - (F.col("__c") - 1) / 2).alias(name))
+    """rows with the average rank of value: the mean of the places that equal values take, ranges of values placed apart."""
+    ranked = places(rows.select(value), [F.asc(value)]).groupBy(value).agg(F.avg("place").alias(name))
     return rows.join(ranked, value)
 
 
