@@ -30,8 +30,8 @@ from .common import doc_columns, read_table, texts_of
 
 #: Fixed value: the pattern of byte-level tokenizers that splits text before the merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words and table cells that a worker keeps at most; beyond them it computes anew.
-WORDS, CELLS = 400_000, 1_000_000
+#: Words, their length, and table cells that a worker keeps at most; beyond them it computes anew.
+WORDS, LONGEST, CELLS = 400_000, 64, 1_000_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -123,7 +123,7 @@ class _Words(dict):
 
     def __missing__(self, word: str) -> bytes:
         ids = np.array(self.automaton.encode(word.encode()), "<i4").tobytes()
-        if len(self) < WORDS:
+        if len(self) < WORDS and len(word) <= LONGEST:
             self[word] = ids
         return ids
 
@@ -264,4 +264,5 @@ def vocabulary(name: str) -> str:
 
 
 def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row; null texts count as empty, repeated rows each have their own."""
     return round_trip(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))

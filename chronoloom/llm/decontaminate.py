@@ -258,4 +258,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, sha
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with every benchmark item that it holds; nulls, repeats and empty tables as in leaks()."""
     return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))

@@ -126,16 +126,16 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Factor
     """
     clean = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("label").alias("label"))
     chosen = clean.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)  # limit rows, so small enough to send to every task
-    sample = doc_columns(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    sample = doc_columns(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("mark", F.xxhash64(F.coalesce("text", F.lit(""))))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [features(x) for x in bytes_of(batch)]
-            yield pa.record_batch([batch.column("doc_id"), batch.column("label").cast(pa.int32()), pa.array([p.astype(np.int32) for p, _ in found], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for _, v in found], pa.list_(pa.float32()))], ["doc_id", "label", "places", "values"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("mark"), batch.column("label").cast(pa.int32()), pa.array([p.astype(np.int32) for p, _ in found], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for _, v in found], pa.list_(pa.float32()))], ["doc_id", "mark", "label", "places", "values"])
 
     seen: dict[int, tuple] = {}
-    for row in sample.select(F.col("doc_id").cast("long"), "label", "text").mapInArrow(work, "doc_id long, label int, places array<int>, values array<float>").toLocalIterator():
-        key = (row["doc_id"], len(row["places"]))  # rows that repeat a doc_id count once
+    for row in sample.select(F.col("doc_id").cast("long"), "mark", "label", "text").mapInArrow(work, "doc_id long, mark long, label int, places array<int>, values array<float>").toLocalIterator():
+        key = (row["doc_id"], row["mark"])  # rows that repeat a doc_id and a text count once
         if key not in seen:
             seen[key] = np.array(row["places"], np.int64), np.array(row["values"], np.float64), row["label"]
     rows = [seen[k] for k in sorted(seen)]
@@ -160,7 +160,10 @@ def score_documents(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: FactorisationMachine, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs whose text scores at least the threshold, all columns as they were."""
+    """The rows of docs whose text scores at least the threshold, all columns as they were.
+
+    Null texts count as empty; each row is judged by its text alone, so repeated rows and ids fare alike; an empty table gives an empty table.
+    """
     sent = docs.sparkSession.sparkContext.broadcast((model.bias, model.linear.astype(np.float32), model.factors.astype(np.float32)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,6 +181,7 @@ def training_labels(labels: DataFrame) -> DataFrame:
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every row; null texts count as empty, rows without an id are not held out."""
     docs = read_table(spark, sf_dir, "documents")
     scored = score_documents(docs, train(docs, training_labels(read_table(spark, sf_dir, "labels"))))
     return scored.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

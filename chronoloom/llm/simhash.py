@@ -392,5 +392,6 @@ def keep_one(docs: DataFrame, width: int = THIN_WIDTH, reach: int = THIN_REACH,
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint and component_id of every row; nulls, repeats and empty tables as in near_duplicates()."""
     found = near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -356,8 +356,10 @@ def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_removed and kept_sha256 of every row; null texts have no words, repeated rows are occurrences of their own."""
     return digests(read_table(spark, sf_dir, "documents"))
 
+
 OP6_SQL = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
 h AS (SELECT doc_id, list_transform(range(1, greatest(len(w) - 33, 1)), lambda i: md5(array_to_string(list_slice(w, i, i + 34), ' '))) AS hs FROM d),

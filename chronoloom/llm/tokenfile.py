@@ -39,8 +39,9 @@ from .common import bytes_of, doc_columns, read_table, shared_dir
 #: Fixed values of the seekable format.
 SEEK_MAGIC, FOOTER_MAGIC, DIRECTORY_MAGIC, CHECKED = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50, 0x80
 NO_ID = -(1 << 63)
-#: Entries that a worker keeps for chunks of plain texts and of others; beyond them it computes anew.
-CHUNKS, OTHERS = 700_000, 100_000
+#: Entries that a worker keeps for chunks of plain texts and of others, and their length at most, so that the memory is
+#: bounded; beyond them it computes anew.
+CHUNKS, OTHERS, LONGEST = 700_000, 100_000, 64
 
 
 def frame(ids: np.ndarray, packer: zstandard.ZstdCompressor) -> tuple[bytes, tuple[int, int, int]]:
@@ -116,7 +117,7 @@ class _Plain(dict):
             ids = self.pack([t.id for t in self.tokenize(chunk.translate(self.spelling))])
         else:
             ids = b"".join(map(self.__getitem__, words))
-        if len(self) < CHUNKS:
+        if len(self) < CHUNKS and len(chunk) <= LONGEST:
             self[chunk] = ids
         return ids
 
@@ -141,7 +142,7 @@ class TextEncoder(dict):
 
     def __missing__(self, chunk: bytes) -> bytes:
         ids = np.array(self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) < OTHERS:
+        if len(self) < OTHERS and len(chunk) <= LONGEST:
             self[chunk] = ids
         return ids
 
@@ -250,6 +251,7 @@ def _batch(rows: list[tuple], ids: bool) -> pa.RecordBatch:
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every row, read back from the files; null texts are empty, an empty table has no file and no row."""
     folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     files = write_token_files(read_table(spark, sf_dir, "documents"), folder, vocabulary("word_bpe_49k.json"), 2).collect()
     return read_token_files(spark, files, ids=False)

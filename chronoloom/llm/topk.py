@@ -236,6 +236,7 @@ def _by_dimension(table: pa.Table, scale: int, name: str = "vec_id") -> dict[int
 
 
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id and score for every vec_id divisible by EVERY against all rows; odd rows as in search_all()."""
     rows = read_table(spark, sf_dir, "embeddings")
     return search_all(rows, rows.where(F.col("vec_id") % EVERY == 0))
 

@@ -317,6 +317,7 @@ def score_documents(docs: DataFrame, index: BlockMaxIndex, evidence: int = 3) ->
 
 
 def op2_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted and evidence of every row; null texts count as empty, rows without an id are not held out."""
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     index = train(docs, labels.where(crc_mod(F.col("doc_id"), 5) != 0).select("doc_id", F.col("toxic").alias("label")))
     held = F.coalesce(crc_mod(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out")

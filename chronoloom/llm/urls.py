@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_columns, read_table
+from .common import doc_columns, read_table, settle
 
 #: The rules of op10: (verdict, host, path).
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -34,7 +34,7 @@ class BloomCascade:
 
     @staticmethod
     def _passes(key: Column, level: int, words: list[int], size: int) -> Column:
-        bits = F.array(*(F.lit(w).cast("long") for w in words))
+        bits = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")  # folded to one literal
         return reduce(lambda a, b: a & b, (F.getbit(F.get(bits, F.floor(at / 64).cast("int")), (at % 64).cast("int")) == 1 for at in _places(key, level, size)))
 
     def contains(self, key: Column) -> Column:
@@ -108,6 +108,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url")
     keyed = keyed.withColumn("__keys", F.when(F.col("host") != "", rule_keys(F.col("host"), F.col("path"), depths)).otherwise(F.array().cast("array<string>")))
     spark = pages.sparkSession
     universe = doc_columns(pages, url).select(F.col(url).cast("string").alias("u")).select(host_of(F.col("u")).alias("h"), path_of(F.col("u")).alias("p")).where("h <> ''").select(F.explode(rule_keys(F.col("h"), F.col("p"), depths)).alias("key")).distinct()
+    universe = settle(universe, "universe")  # every level asks for it
     cascades = {}
     for verdict in ("block", "allow"):
         listed = spark.createDataFrame([(h + p,) for v, h, p in rules if v == verdict], "key string")
@@ -122,6 +123,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url")
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule and verdict of every page by RULES; null and odd urls are allowed, repeated rows judged each."""
     pages = doc_columns(read_table(spark, sf_dir, "pages"), "page_id", "url")
     return judge(pages, RULES).select("page_id", "host", "path", "rule", "verdict")
 
