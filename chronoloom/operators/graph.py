@@ -1,8 +1,7 @@
-"""Undirected graphs as link tables (a < b): degrees, clustering, components, label propagation, communities."""
+"""Undirected graphs as link tables (a < b): degrees, clustering, components, label propagation, recurring communities, overlaps."""
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -74,71 +73,6 @@ def label_propagation(links: DataFrame, rounds: int = 3, cut=lambda df: df) -> D
     return labels
 
 
-def _louvain(a: np.ndarray, b: np.ndarray, resolution: float, seed: int) -> dict[int, int]:
-    """node -> community (its smallest node).  The seed sets the order of visits only; ties go to the smaller community."""
-    nodes = np.unique(np.concatenate([a, b]))
-    index = {int(x): i for i, x in enumerate(nodes)}
-    near: list[dict[int, float]] = [{} for _ in nodes]
-    for x, y in zip(a.tolist(), b.tolist()):
-        i, j = index[x], index[y]
-        near[i][j] = near[i].get(j, 0.0) + 1.0
-        near[j][i] = near[j].get(i, 0.0) + 1.0
-    members = [[i] for i in range(len(nodes))]
-    total = sum(sum(n.values()) for n in near)
-    rng = np.random.default_rng(seed)
-    while True:
-        n = len(near)
-        own = list(range(n))
-        weight = [sum(x.values()) for x in near]
-        sums = weight[:]
-        moved_any, moved = False, True
-        order = rng.permutation(n).tolist()
-        while moved:
-            moved = False
-            for i in order:
-                links: dict[int, float] = {}
-                for j, w in near[i].items():
-                    if j != i:
-                        links[own[j]] = links.get(own[j], 0.0) + w
-                old = own[i]
-                sums[old] -= weight[i]
-                best, gain = old, links.get(old, 0.0) - resolution * sums[old] * weight[i] / total
-                for c in sorted(links):
-                    g = links[c] - resolution * sums[c] * weight[i] / total
-                    if g > gain + 1e-12:
-                        best, gain = c, g
-                sums[best] += weight[i]
-                if best != old:
-                    own[i], moved, moved_any = best, True, True
-        if not moved_any:
-            break
-        names = {c: k for k, c in enumerate(sorted(set(own)))}
-        merged: list[list[int]] = [[] for _ in names]
-        joined: list[dict[int, float]] = [{} for _ in names]
-        for i in range(n):
-            k = names[own[i]]
-            merged[k] += members[i]
-            for j, w in near[i].items():
-                c = names[own[j]]
-                joined[k][c] = joined[k].get(c, 0.0) + w
-        members, near = merged, joined
-    return {int(nodes[i]): int(nodes[min(m)]) for m in members for i in m}
-
-
-def louvain(runs: DataFrame) -> DataFrame:
-    """runs: run, resolution, seed, a, b.  run, resolution, seed, node, community: one graph a run, each whole in one task.
-
-    The algorithm is sequential: a graph must fit one executor.  Many graphs (years, resolutions, seeds) run apart.
-    """
-
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        first = rows.iloc[0]
-        found = _louvain(rows["a"].to_numpy(), rows["b"].to_numpy(), float(first["resolution"]), int(first["seed"]))
-        return pd.DataFrame({"run": first["run"], "resolution": first["resolution"], "seed": first["seed"], "node": list(found), "community": list(found.values())})
-
-    return runs.groupBy("run", "resolution", "seed").applyInPandas(work, "run long, resolution double, seed int, node long, community long")
-
-
 def recurring_members(communities: DataFrame, jaccard: float = 0.5, least: int = 5) -> DataFrame:
     """communities: run, resolution, seed, node, community.  resolution, place, core, seeds_seen, run, community: the groups of
     communities that return across seeds, with a row for each community in a group.

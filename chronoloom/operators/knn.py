@@ -59,6 +59,24 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a <> b").distinct()
 
 
+def _alive(years: np.ndarray, own: int, k: int) -> tuple[list[int], list[int], list[float]]:
+    """Of neighbours in descending similarity, with their years: places of those that live, start and stop."""
+    worst: list[int] = []  # the k smallest years among better neighbours, as a max-heap
+    places, starts, stops = [], [], []
+    for at, y in enumerate(years.tolist()):
+        start = max(own, y)
+        stop = -worst[0] if len(worst) == k else np.inf
+        if start < stop:
+            places.append(at)
+            starts.append(start)
+            stops.append(stop)
+        if len(worst) < k:
+            heapq.heappush(worst, -y)
+        elif y < -worst[0]:
+            heapq.heapreplace(worst, -y)
+    return places, starts, stops
+
+
 def lifetimes(vectors: DataFrame, key: str, vector: str, year: str, k: int = 6, block: int = BLOCK) -> DataFrame:
     """src, dst, start, stop: when dst is among the k nearest of src in the graph of all rows up to a year.
 
@@ -66,45 +84,35 @@ def lifetimes(vectors: DataFrame, key: str, vector: str, year: str, k: int = 6,
     more similar.  A neighbour that k better ones precede in its block never lives, so blocks are thinned apart and
     merged once more.  stop is null if it never ends.
     """
-    pairs = _block_pairs(vectors.where(F.col(vector).isNotNull() & F.col(year).isNotNull()), key, vector, [year], block)
-
-    def alive(years: np.ndarray, own: int) -> tuple[list[int], list[int], list[float]]:
-        """Places in descending similarity that live, with start and stop."""
-        worst: list[int] = []  # the k smallest years among better neighbours, as a max-heap
-        places, starts, stops = [], [], []
-        for at, y in enumerate(years.tolist()):
-            start = max(own, y)
-            stop = -worst[0] if len(worst) == k else np.inf
-            if start < stop:
-                places.append(at)
-                starts.append(start)
-                stops.append(stop)
-            if len(worst) < k:
-                heapq.heappush(worst, -y)
-            elif y < -worst[0]:
-                heapq.heapreplace(worst, -y)
-        return places, starts, stops
+    return lifetimes_of_orders(vectors.where(F.col(year).isNotNull()).withColumn("__years", F.array(year)), key, vector, "__years", k, block).drop("trial")
+
+
+def lifetimes_of_orders(vectors: DataFrame, key: str, vector: str, years: str, k: int = 6, block: int = BLOCK) -> DataFrame:
+    """trial, src, dst, start, stop: lifetimes() under each of several years of every row (an array, without nulls); the neighbours of a row are ranked once for all."""
+    rows = vectors.where(F.col(vector).isNotNull()).withColumn("__years", F.col(years).cast("array<int>"))
+    pairs = _block_pairs(rows, key, vector, ["__years"], block)
 
     def thin(rows: pd.DataFrame) -> pd.DataFrame:
         q, c = rows[rows["asks"]], rows[~rows["asks"]].sort_values("id")
-        empty = pd.DataFrame({"src": [], "dst": [], "sim": [], "own": [], "y": []})
+        empty = pd.DataFrame({"trial": [], "src": [], "dst": [], "sim": [], "own": [], "y": []})
         if q.empty or c.empty:
             return empty
-        ids, years = c["id"].to_numpy(), c[year].to_numpy()
+        ids, years = c["id"].to_numpy(), np.array(c["__years"].tolist())
         sims = np.round(_unit(q) @ _unit(c).T, 12)
         out = []
-        for i, own, s in zip(q["id"].tolist(), q[year].tolist(), sims):
+        for i, own, s in zip(q["id"].tolist(), q["__years"].tolist(), sims):
             order = np.lexsort((ids, -s))
             order = order[ids[order] != i]
-            places = np.array(alive(years[order], own)[0], int)
-            out.append(pd.DataFrame({"src": i, "dst": ids[order][places], "sim": s[order][places], "own": own, "y": years[order][places]}))
+            for trial, first in enumerate(own):
+                kept = order[np.array(_alive(years[order, trial], first, k)[0], int)]
+                out.append(pd.DataFrame({"trial": trial, "src": i, "dst": ids[kept], "sim": s[kept], "own": first, "y": years[kept, trial]}))
         return pd.concat(out) if out else empty
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["sim", "dst"], ascending=[False, True])
-        places, starts, stops = alive(rows["y"].to_numpy(), int(rows["own"].iloc[0]))
+        places, starts, stops = _alive(rows["y"].to_numpy(), int(rows["own"].iloc[0]), k)
         kept = rows.iloc[places]
-        return pd.DataFrame({"src": kept["src"], "dst": kept["dst"], "start": starts, "stop": [None if np.isinf(s) else int(s) for s in stops]}).astype({"stop": "Int64"})
+        return pd.DataFrame({"trial": kept["trial"], "src": kept["src"], "dst": kept["dst"], "start": starts, "stop": [None if np.isinf(s) else int(s) for s in stops]}).astype({"stop": "Int64"})
 
-    thinned = pairs.groupBy("q", "c").applyInPandas(thin, "src long, dst long, sim double, own int, y int")
-    return thinned.groupBy("src").applyInPandas(merge, "src long, dst long, start int, stop int")
+    thinned = pairs.groupBy("q", "c").applyInPandas(thin, "trial int, src long, dst long, sim double, own int, y int")
+    return thinned.groupBy("trial", "src").applyInPandas(merge, "trial int, src long, dst long, start int, stop int")

@@ -80,6 +80,16 @@ def moments_z(pairs: DataFrame, moments: DataFrame, value: str, by: list[str]) -
     return own.join(null, by).select(*by, "n", "observed", z.alias("z"))
 
 
+def events_z(rows: DataFrame, kinds: list[str]) -> DataFrame:
+    """rows: trial (0: as it was) and a column for each kind of event.  kind, observed, mean, deviation, z, trials: totals against those of the trials."""
+    totals = rows.groupBy("trial").agg(*(F.sum(c).alias(c) for c in kinds)).select("trial", F.explode(F.array(*(F.struct(F.lit(c).alias("kind"), F.col(c).alias("n")) for c in kinds))).alias("e")).select("trial", "e.*")
+    own = F.max(F.when(F.col("trial") == 0, F.col("n")))
+    drawn = F.when(F.col("trial") > 0, F.col("n"))
+    found = totals.groupBy("kind").agg(own.alias("observed"), F.avg(drawn).alias("mean"), F.stddev_pop(drawn).alias("deviation"), F.count(drawn).alias("trials"))
+    z = F.try_divide(F.col("observed") - F.col("mean"), F.nullif("deviation", F.lit(0.0)))
+    return found.select("kind", "observed", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"), F.round(z, 4).alias("z"), "trials")
+
+
 def average_ranks(rows: DataFrame, value: str, name: str) -> DataFrame:
     """rows with the average rank of value: the mean of the places that equal values take, ranges of values placed apart."""
     ranked = places(rows.select(value), [F.asc(value)]).groupBy(value).agg(F.avg("place").alias(name))

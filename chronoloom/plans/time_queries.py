@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import consensus as C
+from ..operators import communities as M
 from ..operators import graph as G
 from ..operators import knn as K
 from ..operators import layout
@@ -31,7 +32,7 @@ def _members(spark, sf_dir):
 
 def _memberships(spark, sf_dir, k: int = 6):
     """Communities of each year's own graph of nearest neighbours."""
-    return settle(L.snapshot_communities(_lives(spark, sf_dir, k), _members(spark, sf_dir), cut=settle))
+    return settle(L.snapshot_communities(_lives(spark, sf_dir, k), _members(spark, sf_dir), settle))
 
 
 _LIVES = (
@@ -39,37 +40,39 @@ _LIVES = (
     "lv AS (SELECT src, dst, greatest(ya, yb) AS start, CASE WHEN len(before) >= 6 THEN list_sort(before)[6] END AS stop FROM bt), "
     "al AS (SELECT * FROM lv WHERE stop IS NULL OR start < stop)"
 )
-#: Three rounds of labels over all years' graphs.
-_ROUNDS = "".join(
-    f", s{i + 1} AS (SELECT y, u AS node, arg_min(label, (-n, label)) AS label FROM (SELECT y, u, label, count(*) AS n FROM yw JOIN s{i} USING (y) WHERE v = node GROUP BY y, u, label) GROUP BY y, u)" for i in range(3)
-)
-_GROWN = (
-    "ys AS (SELECT DISTINCT year AS snapshot FROM vecs), ya AS (SELECT snapshot AS y, src, dst FROM al JOIN ys ON start <= snapshot AND (stop IS NULL OR snapshot < stop)), "
-    "yw AS (SELECT y, src AS u, dst AS v FROM ya UNION SELECT y, dst, src FROM ya), s0 AS (SELECT DISTINCT y, u AS node, u AS label FROM yw)" + _ROUNDS + ", gw AS (SELECT y AS snapshot, label, node AS book_id FROM s3), "
-    "mb AS (SELECT * FROM gw QUALIFY count(*) OVER (PARTITION BY snapshot, label) >= 3), "
-    "od AS (SELECT snapshot, row_number() OVER (ORDER BY snapshot) AS t FROM (SELECT DISTINCT snapshot FROM mb)), "
-    "mt AS (SELECT t, snapshot, label, book_id, count(*) OVER (PARTITION BY t, label) AS n FROM mb JOIN od USING (snapshot)), "
-    "li AS (SELECT c.snapshot, c.t, p.label AS prev, c.label AS curr, count(*) / CAST(p.n + c.n - count(*) AS DOUBLE) AS jaccard FROM mt c JOIN mt p ON p.t = c.t - 1 AND p.book_id = c.book_id GROUP BY c.snapshot, c.t, p.label, c.label, p.n, c.n HAVING count(*) / CAST(p.n + c.n - count(*) AS DOUBLE) >= 0.3), "
-    "nw AS (SELECT DISTINCT snapshot, label FROM mb), an AS (SELECT snapshot, curr AS label, count(*) AS k FROM li GROUP BY 1, 2), ch AS (SELECT snapshot, prev, count(*) AS k FROM li GROUP BY 1, 2), "
-    "tl AS (SELECT y.snapshot AS year, (SELECT count(*) FROM nw WHERE nw.snapshot = y.snapshot) AS n_communities, (SELECT count(*) FROM nw LEFT JOIN an USING (snapshot, label) WHERE nw.snapshot = y.snapshot AND k IS NULL) AS births, "
-    "(SELECT count(*) FROM ch WHERE ch.snapshot = y.snapshot AND k > 1) AS splits, (SELECT count(*) FROM an WHERE an.snapshot = y.snapshot AND k > 1) AS merges FROM ys y)"
-)
-
-
-def _grown(tail: str, more: str = "") -> str:
-    return near_sql(tail, _LIVES + ", " + _GROWN + more)
+_YEARS = "ys AS (SELECT DISTINCT year AS snapshot FROM vecs)"
+
+
+def _grown(tail: str, more: str = "", of: str = "SELECT 0 AS g, 6 AS k, src, dst, sim, ya, yb FROM sm", before: str = "") -> str:
+    """of: the neighbours (g: which timeline, k: neighbours that count).  Tables mb (memberships), li (lineage), tl (timeline)."""
+    return near_sql(
+        tail,
+        f"{before}, sg AS ({of}), "
+        "bt AS (SELECT *, list(yb) OVER (PARTITION BY g, src ORDER BY sim DESC, dst ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM sg), "
+        "al AS MATERIALIZED (SELECT * FROM (SELECT g, src, dst, greatest(ya, yb) AS start, CASE WHEN len(before) >= k THEN list_sort(before)[k] END AS stop FROM bt) WHERE stop IS NULL OR start < stop), "
+        + _YEARS
+        + ", ll AS MATERIALIZED (SELECT DISTINCT CAST(g * 100000 + snapshot AS BIGINT) AS run, least(src, dst) AS a, greatest(src, dst) AS b FROM al JOIN ys ON start <= snapshot AND (stop IS NULL OR snapshot < stop)), "
+        "lg AS (SELECT DISTINCT run, CAST(1 AS DOUBLE) AS resolution, 42 AS seed FROM ll), " + M.rounds_sql("ll", "lg", L.ROUNDS, L.LEVELS) + ", "
+        "mb AS MATERIALIZED (SELECT CAST(run // 100000 AS INTEGER) AS g, CAST(run % 100000 AS INTEGER) AS snapshot, community AS label, node AS book_id FROM lv QUALIFY count(*) OVER (PARTITION BY run, community) >= 3), "
+        "od AS (SELECT snapshot, row_number() OVER (ORDER BY snapshot) AS t FROM ys), "
+        "mt AS (SELECT g, t, snapshot, label, book_id, count(*) OVER (PARTITION BY g, t, label) AS n FROM mb JOIN od USING (snapshot)), "
+        "li AS MATERIALIZED (SELECT c.g, c.snapshot, c.t, p.label AS prev, c.label AS curr, count(*) / CAST(p.n + c.n - count(*) AS DOUBLE) AS jaccard FROM mt c JOIN mt p ON p.g = c.g AND p.t = c.t - 1 AND p.book_id = c.book_id GROUP BY c.g, c.snapshot, c.t, p.label, c.label, p.n, c.n HAVING count(*) / CAST(p.n + c.n - count(*) AS DOUBLE) >= 0.3), "
+        "nw AS (SELECT g, snapshot, count(*) AS n_communities, count(*) FILTER (k IS NULL) AS births, count(*) FILTER (k > 1) AS merges FROM (SELECT DISTINCT g, snapshot, label FROM mb) LEFT JOIN (SELECT g, snapshot, curr AS label, count(*) AS k FROM li GROUP BY ALL) USING (g, snapshot, label) GROUP BY g, snapshot), "
+        "ch AS (SELECT g, snapshot, count(*) FILTER (k > 1) AS splits FROM (SELECT g, snapshot, prev, count(*) AS k FROM li GROUP BY ALL) GROUP BY g, snapshot), "
+        "tl AS MATERIALIZED (SELECT g, snapshot AS year, coalesce(n_communities, 0) AS n_communities, coalesce(births, 0) AS births, coalesce(splits, 0) AS splits, coalesce(merges, 0) AS merges FROM ys CROSS JOIN (SELECT DISTINCT g FROM sg) LEFT JOIN nw USING (g, snapshot) LEFT JOIN ch USING (g, snapshot))" + more,
+    )
 
 
 @query(_grown("SELECT snapshot, CAST(t AS INTEGER) AS t, prev, curr, round(jaccard, 6) AS jaccard FROM li"))
 def lineage_jaccard(spark, sf_dir):
-    return L.lineage(_memberships(spark, sf_dir)).withColumn("jaccard", F.round("jaccard", 6))
+    return L.lineage(_memberships(spark, sf_dir), _members(spark, sf_dir)).withColumn("jaccard", F.round("jaccard", 6))
 
 
 def _timeline(spark, sf_dir):
     return L.timeline(_memberships(spark, sf_dir), _members(spark, sf_dir))
 
 
-@query(_grown("SELECT *, births + splits + merges AS mutations FROM tl"))
+@query(_grown("SELECT year, n_communities, births, splits, merges, births + splits + merges AS mutations FROM tl"))
 def mutation_timeline(spark, sf_dir):
     return _timeline(spark, sf_dir)
 
@@ -84,26 +87,33 @@ def era_totals(spark, sf_dir):
     return L.era_totals(_timeline(spark, sf_dir), ERAS).withColumn("ratio", F.round("ratio", 6))
 
 
+#: Permutations that shuffled_year_null is registered with; each costs a whole timeline.
+SHUFFLES = 4
 _SHUFFLED = (
-    "tr AS (SELECT CAST(range AS INTEGER) AS trial FROM range(20)), bk AS (SELECT row_number() OVER (ORDER BY book_id) AS r, book_id, label, year FROM vecs), "
-    "sh AS (SELECT trial, book_id, label, row_number() OVER (PARTITION BY trial ORDER BY md5(concat_ws(':', '7', CAST(trial AS VARCHAR), CAST(book_id AS VARCHAR))), book_id) AS r FROM vecs, tr), "
-    "pm AS (SELECT trial, sh.book_id, sh.label, bk.year FROM sh JOIN bk USING (r)), "
-    "ev AS (SELECT trial, label, list_sort(list(year))[3] AS born FROM pm GROUP BY trial, label), "
-    "pr AS (SELECT trial, CAST(count(DISTINCT born) AS BIGINT) AS years_with_birth, round(avg(born), 6) AS mean_birth FROM ev GROUP BY trial)"
+    f", tr AS (SELECT CAST(range AS INTEGER) AS trial FROM range({SHUFFLES})), bk AS (SELECT row_number() OVER (ORDER BY book_id) AS r, year FROM vecs), "
+    "sh AS (SELECT trial, book_id, row_number() OVER (PARTITION BY trial ORDER BY md5(concat_ws(':', '7', CAST(trial AS VARCHAR), CAST(book_id AS VARCHAR))), book_id) AS r FROM vecs, tr), "
+    "pm AS MATERIALIZED (SELECT trial + 1 AS trial, sh.book_id, bk.year FROM sh JOIN bk USING (r) UNION ALL SELECT 0, book_id, year FROM vecs)"
 )
+_EVENTS = ("births", "splits", "merges", "mutations")
 
 
-@query(with_views("", "vecs").rstrip() + ", " + _SHUFFLED + " SELECT * FROM pr")
-def shuffled_year_null(spark, sf_dir):
-    """Twenty permutations of the years over the books; a community is born with its third book."""
-    books = _members(spark, sf_dir)
-    order = C.places(books, [F.asc("book_id")]).select(F.col("place").alias("r"), "year")
-    trials = books.select("book_id", "label", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("trial"))
-    w = Window.partitionBy("trial").orderBy(N.draw(F.col("trial"), F.col("book_id"), 7), "book_id")
-    shuffled = trials.withColumn("r", F.row_number().over(w)).join(order, "r")
-    third = Window.partitionBy("trial", "label").orderBy("year")
-    born = shuffled.withColumn("k", F.row_number().over(third)).where("k = 3").select("trial", "label", F.col("year").alias("born"))
-    return born.groupBy("trial").agg(F.count_distinct("born").alias("years_with_birth"), F.round(F.avg("born"), 6).alias("mean_birth"))
+@query(
+    _grown(
+        "SELECT kind, o.n AS observed, round(avg(s.n), 6) AS mean, round(stddev_pop(s.n), 6) AS deviation, round((o.n - avg(s.n)) / nullif(stddev_pop(s.n), 0), 4) AS z, count(*) AS trials FROM ev o JOIN ev s USING (kind) WHERE o.g = 0 AND s.g > 0 GROUP BY kind, o.n",
+        ", ev AS (SELECT g, unnest(['births', 'splits', 'merges', 'mutations']) AS kind, CAST(unnest([sum(births), sum(splits), sum(merges), sum(births + splits + merges)]) AS BIGINT) AS n FROM tl GROUP BY g)",
+        "SELECT p.trial AS g, 6 AS k, src, dst, sim, p.year AS ya, q.year AS yb FROM sm JOIN pm p ON p.book_id = src JOIN pm q ON q.book_id = dst AND q.trial = p.trial",
+        _SHUFFLED,
+    )
+)
+def shuffled_year_null(spark, sf_dir, trials: int = SHUFFLES):
+    """The events of the whole timeline against those under permutations of the years over the books."""
+    books = view(spark, sf_dir, "vecs")
+    years = settle(L.shuffled_years(books, trials, 7))
+    vectors = books.select("book_id", "embedding").join(years, "book_id")
+    lives = settle(K.lifetimes_of_orders(vectors, "book_id", "embedding", "years"))
+    groups = spark.range(trials + 1).select(F.col("id").cast("int").alias("trial"))
+    members = settle(L.snapshot_communities(lives, _members(spark, sf_dir), settle, by="trial"))
+    return N.events_z(L.timeline(members, _members(spark, sf_dir), by="trial", groups=groups), list(_EVENTS))
 
 
 def _lives(spark, sf_dir, k: int = 6):
@@ -120,17 +130,28 @@ def snapshot_edge_counts(spark, sf_dir):
     return L.live_counts(_lives(spark, sf_dir))
 
 
-@query()
+_TURN = 1890
+
+
+@query(
+    _grown(
+        f"SELECT CAST(g AS INTEGER) AS k, before, after, splits, merges, round((after / greatest(last - {_TURN} + 1, 1)) / greatest(before / greatest({_TURN} - first, 1), 1e-9), 2) AS ratio FROM (SELECT g, CAST(coalesce(sum(births + splits + merges) FILTER (year < {_TURN}), 0) AS BIGINT) AS before, CAST(coalesce(sum(births + splits + merges) FILTER (year >= {_TURN}), 0) AS BIGINT) AS after, CAST(sum(splits) AS BIGINT) AS splits, CAST(sum(merges) AS BIGINT) AS merges, min(year) AS first, max(year) AS last FROM tl GROUP BY g)",
+        of="SELECT k AS g, k, src, dst, sim, ya, yb FROM sm, (VALUES (4), (6), (8), (10)) x(k)",
+    )
+)
 def timeline_k_sweep(spark, sf_dir):
     """Of the yearly graphs of 4, 6, 8 and 10 neighbours: mutations before a year and from it on, and the ratio of their yearly rates."""
-    turn, found = 1890, None
+    lives = None
     for k in (4, 6, 8, 10):
-        part = L.timeline(_memberships(spark, sf_dir, k), _members(spark, sf_dir)).withColumn("k", F.lit(k))
-        found = part if found is None else found.unionByName(part)
-    early = F.col("year") < turn
+        part = _lives(spark, sf_dir, k).withColumn("k", F.lit(k))
+        lives = part if lives is None else lives.unionByName(part)
+    years = _members(spark, sf_dir)
+    members = settle(L.snapshot_communities(lives, years, settle, by="k"))
+    found = L.timeline(members, years, by="k", groups=spark.createDataFrame([(k,) for k in (4, 6, 8, 10)], "k int"))
+    early = F.col("year") < _TURN
     total = lambda when: F.coalesce(F.sum(F.when(when, F.col("mutations"))), F.lit(0)).alias
     spans = found.groupBy("k").agg(total(early)("before"), total(~early)("after"), F.min("year").alias("first"), F.max("year").alias("last"), F.sum("splits").alias("splits"), F.sum("merges").alias("merges"))
-    rate = (F.col("after") / F.greatest(F.col("last") - turn + 1, F.lit(1))) / F.greatest(F.col("before") / F.greatest(turn - F.col("first"), F.lit(1)), F.lit(1e-9))
+    rate = (F.col("after") / F.greatest(F.col("last") - _TURN + 1, F.lit(1))) / F.greatest(F.col("before") / F.greatest(_TURN - F.col("first"), F.lit(1)), F.lit(1e-9))
     return spans.select("k", "before", "after", "splits", "merges", F.round(rate, 2).alias("ratio"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.stopwords import ENGLISH
+from ..operators import communities as M
 from ..operators import graph as G
 from ..operators import knn as K
 from ..operators import vectors as V
@@ -172,23 +173,52 @@ def label_prop(spark, sf_dir):
     return G.label_propagation(near_graph(spark, sf_dir), 3, settle)
 
 
-@query()
+#: Resolutions and seeds of a sweep.
+RESOLUTIONS, SEEDS = (1.0, 1.25, 1.5, 1.75, 2.0, 2.5, 3.0), 10
+
+_ONE = ", lg AS (SELECT CAST(0 AS BIGINT) AS run, CAST(1 AS DOUBLE) AS resolution, 42 AS seed), ll AS (SELECT CAST(0 AS BIGINT) AS run, a, b FROM gr), "
+_SWEEP = f", lg AS (SELECT CAST({SEEDS} * i + s AS BIGINT) AS run, CAST(r AS DOUBLE) AS resolution, CAST(s AS INTEGER) AS seed FROM (VALUES {', '.join(f'({i}, {r})' for i, r in enumerate(RESOLUTIONS))}) x(i, r), range({SEEDS}) y(s)), ll AS (SELECT run, a, b FROM gr, lg), "
+
+
+def _one(spark, sf_dir):
+    """The whole graph as one run: links and setting."""
+    links = near_graph(spark, sf_dir).select(F.lit(0).cast("long").alias("run"), "a", "b")
+    return links, spark.range(1).select(F.col("id").alias("run"), F.lit(1.0).alias("resolution"), F.lit(42).alias("seed"))
+
+
+@query(near_sql("SELECT node, community FROM lv", _ONE + M.rounds_sql("ll", "lg")))
 def louvain_communities(spark, sf_dir):
-    """Deterministic: the seed orders visits only, ties go to the smaller community.  Checked by invariants in the tests."""
-    runs = near_graph(spark, sf_dir).select(F.lit(0).cast("long").alias("run"), F.lit(1.0).alias("resolution"), F.lit(42).alias("seed"), "a", "b")
-    return G.louvain(runs)
+    """Local moves by modularity and contraction, over the whole graph by joins."""
+    return M.louvain(*_one(spark, sf_dir), settle).select("node", "community")
 
 
-#: Resolutions and seeds of a sweep.
-RESOLUTIONS, SEEDS = (1.0, 1.25, 1.5, 1.75, 2.0, 2.5, 3.0), 10
+@query(near_sql("SELECT node, comm FROM lvs0_1", _ONE + M.rounds_sql("ll", "lg", 1, 1)))
+def louvain_round(spark, sf_dir):
+    """Where one round of moves takes the nodes."""
+    return M.first_round(*_one(spark, sf_dir), settle).select("node", "comm")
+
+
+@query(
+    near_sql(
+        "SELECT count(*) AS communities, round(sum(inside / m2 - (total / m2) * (total / m2)), 6) AS modularity FROM (SELECT x.community, CAST(count(*) AS DOUBLE) AS total, CAST(count(*) FILTER (x.community = y.community) AS DOUBLE) AS inside FROM bw JOIN lv x ON x.node = u JOIN lv y ON y.node = v GROUP BY x.community), (SELECT CAST(count(*) AS DOUBLE) AS m2 FROM bw)",
+        _ONE + M.rounds_sql("ll", "lg"),
+    )
+)
+def louvain_modularity(spark, sf_dir):
+    """How many communities there are, and their modularity."""
+    links, graphs = _one(spark, sf_dir)
+    links = settle(links)
+    return M.modularity(links, M.louvain(links, graphs, settle), graphs).select("communities", F.round("modularity", 6).alias("modularity"))
 
 
 def sweep(spark, sf_dir):
+    """run, resolution, seed, node, community of every resolution and seed, all at once."""
     settings = spark.createDataFrame([(SEEDS * i + s, r, s) for i, r in enumerate(RESOLUTIONS) for s in range(SEEDS)], "run long, resolution double, seed int")
-    return G.louvain(near_graph(spark, sf_dir).join(F.broadcast(settings)))  # one row a setting
+    links = near_graph(spark, sf_dir).join(F.broadcast(settings.select("run"))).select("run", "a", "b")  # one row a setting
+    return M.louvain(links, settings, settle).join(F.broadcast(settings), "run").select("run", "resolution", "seed", "node", "community")
 
 
-@query()
+@query(near_sql("SELECT run, resolution, seed, node, community FROM lv JOIN lg USING (run)", _SWEEP + M.rounds_sql("ll", "lg")))
 def louvain_sweep(spark, sf_dir):
     return sweep(spark, sf_dir)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions import text as X
 from chronoloom.functions.stopwords import ENGLISH
+from chronoloom.operators import communities as M
 from chronoloom.operators import consensus as C
 from chronoloom.operators import graph as G
 from chronoloom.operators import knn as K
@@ -126,17 +127,39 @@ def test_components_and_communities(spark):
             changed |= root[a] != low or root[b] != low
             root[a] = root[b] = low
     assert {r["node"]: r["component"] for r in G.components(table, D.settle).collect()} == root
-    found = {r["node"]: r["community"] for r in G.louvain(table.selectExpr("0L run", "1.0D resolution", "7 seed", "a", "b")).collect()}
-    assert set(found) == set(root)
-    assert all(root[x] == root[c] for x, c in found.items())  # a community lies within a component
 
-    def modularity(of):
-        d = {x: sum(x in p for p in pairs) for x in root}
+
+def test_communities_by_moves(spark):
+    """Many graphs at once, each within 2 % of the modularity of one graph in one task; a disconnected one, ties, an empty table."""
+    from one_task import louvain
+
+    rng = random.Random(4)
+    graphs = {}
+    for run, (n, groups, inside, across) in enumerate([(90, 6, 0.5, 0.02), (60, 3, 0.3, 0.05), (40, 40, 0.0, 0.1), (12, 2, 1.0, 0.0)]):
+        graphs[run] = [(a, b) for a in range(n) for b in range(a + 1, n) if rng.random() < (inside if a % groups == b % groups else across)]
+    table = spark.createDataFrame([(run, a, b) for run, pairs in graphs.items() for a, b in pairs], "run long, a long, b long")
+    settings = spark.createDataFrame([(run, 1.0, 42) for run in graphs], "run long, resolution double, seed int")
+    found = M.louvain(table, settings, D.settle)
+    q = {r["run"]: (r["communities"], r["modularity"]) for r in M.modularity(table, found, settings).collect()}
+    of = {run: {} for run in graphs}
+    for r in found.collect():
+        of[r["run"]][r["node"]] = r["community"]
+
+    def modularity(pairs, own):
+        d = {x: sum(x in p for p in pairs) for x in own}
         m = len(pairs)
-        return sum(of[a] == of[b] for a, b in pairs) / m - sum((sum(d[x] for x in root if of[x] == c) / (2 * m)) ** 2 for c in set(of.values()))
+        return sum(own[a] == own[b] for a, b in pairs) / m - sum((sum(d[x] for x in own if own[x] == c) / (2 * m)) ** 2 for c in set(own.values()))
 
-    assert modularity(found) >= modularity(root) - 1e-9
-    assert G.louvain(table.limit(0).selectExpr("0L run", "1.0D resolution", "7 seed", "a", "b")).count() == 0
+    for run, pairs in graphs.items():
+        assert set(of[run]) == {x for p in pairs for x in p}
+        assert all(c == min(x for x in of[run] if of[run][x] == c) for c in set(of[run].values()))
+        assert q[run] == (len(set(of[run].values())), pytest.approx(modularity(pairs, of[run])))
+        a, b = np.array(pairs).T
+        assert q[run][1] >= 0.98 * modularity(pairs, louvain(a, b, 1.0, 42)) - (0.02 if run == 2 else 0)
+    assert q[3][0] == 2
+    alone = M.louvain(table.where("run = 1"), settings, D.settle).collect()
+    assert {r["node"]: r["community"] for r in alone} == of[1]
+    assert M.louvain(table.limit(0), settings, D.settle).count() == 0
 
 
 def test_overlap_join(spark):
@@ -329,10 +352,11 @@ def test_mutations_of_yearly_graphs(spark):
 
     both, halves = ring(range(8)), ring(range(4)) + ring(range(4, 8))
     lives = [(a, b, 1, 2 if (a, b) not in halves else None) for a, b in both] + [(a, b, 3, None) for a, b in both if (a, b) not in halves]
+    lives += [(a, b, 1, None) for a, b in ring(range(20, 24))]
     table = spark.createDataFrame(lives, "src long, dst long, start int, stop int")
     years = spark.createDataFrame([(1,), (2,), (3,)], "year int")
-    found = lineage.timeline(lineage.snapshot_communities(table, years), years).orderBy("year").collect()
-    assert [(r["n_communities"], r["births"], r["splits"], r["merges"]) for r in found] == [(1, 1, 0, 0), (2, 0, 1, 0), (1, 0, 0, 1)]
+    found = lineage.timeline(lineage.snapshot_communities(table, years, D.settle), years).orderBy("year").collect()
+    assert [(r["n_communities"], r["births"], r["splits"], r["merges"]) for r in found] == [(2, 2, 0, 0), (3, 0, 1, 0), (2, 0, 0, 1)]
     sf = "/root/testdata/sf0.001"
     swept = {r["k"]: r["before"] + r["after"] for r in registry.QUERIES["timeline_k_sweep"](spark, sf).collect()}
     assert set(swept) == {4, 6, 8, 10}
