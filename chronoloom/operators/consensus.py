@@ -46,6 +46,18 @@ def places(rows: DataFrame, order: list[Column]) -> DataFrame:
     return local.join(before.select("__part", "__before"), "__part").withColumn("place", (F.col("__k") + F.col("__before")).cast("int")).drop("__part", "__k", "__before")
 
 
+def running_sums(rows: DataFrame, order: list[Column], sums: list[str]) -> DataFrame:
+    """Rows with their place (long) from 1 in a total order, and the sums of columns up to it: ranges are sorted apart, and a range adds what those before hold."""
+    sorted_rows = rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    w = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = sorted_rows.select("*", F.count(F.lit(1)).over(w).alias("__k"), *(F.sum(c).over(w).alias(f"__{c}") for c in sums))
+    whole = sorted_rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__k"), *(F.sum(c).alias(f"__{c}") for c in sums))
+    b = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    before = whole.select("__part", *(F.coalesce(F.sum(c).over(b), F.lit(0)).alias(f"{c}_b") for c in ("__k", *(f"__{c}" for c in sums))))
+    total = lambda c: (F.col(c) + F.col(f"{c}_b")).cast("long")
+    return local.join(before, "__part").select(*rows.columns, total("__k").alias("place"), *(total(f"__{c}").alias(f"sum_{c}") for c in sums))
+
+
 def aliases(names: DataFrame) -> DataFrame:
     """name and the longest name of the same surname (of equally long ones the last in order)."""
     keyed = names.withColumn("surname", X.surname(F.col("name")))

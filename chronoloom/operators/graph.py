@@ -108,14 +108,32 @@ def recurring(communities: DataFrame, seeds: int, share: float = 0.6) -> DataFra
     return groups.select("resolution", "core", F.size(F.split("core", ",")).alias("size"), "seeds_seen", (F.col("seeds_seen") >= share * seeds).alias("stable"))
 
 
-def overlaps(sets: DataFrame, key: str, member: str, least: float = 0.5) -> DataFrame:
-    """a < b, shared, overlap: |A and B| / min(|A|, |B|) of the sets that share a member, where that is least or more.
+def overlap_candidates(sets: DataFrame, key: str, member: str, least: float) -> tuple[DataFrame, DataFrame]:
+    """Rows of arrays (key, members from the rarest on, n), and the pairs small, large of keys that can share `least` of the smaller set.
 
-    A share over nothing needs a common member, so the join is on members and never pairs all rows.
+    A set of n members shares ceil(least n) or more with a larger one, so one of its rarest n - ceil(least n) + 1 is
+    shared: only these are asked for.  The first shared member must leave enough members behind it on both sides.
     """
-    sizes = sets.groupBy(key).agg(F.count("*").alias("n"))
-    rows = sets.join(sizes, key)
-    a = rows.select(F.col(key).alias("a"), member, F.col("n").alias("na"))
-    b = rows.select(F.col(key).alias("b"), member, F.col("n").alias("nb"))
-    shared = a.join(b, member).where("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
-    return shared.withColumn("overlap", F.col("shared") / F.least("na", "nb")).where(F.col("overlap") >= least).select("a", "b", "shared", "overlap")
+    often = sets.groupBy(member).agg(F.count("*").alias("often"))
+    rows = sets.join(often, member).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("often", F.col(member).alias("m")))).alias("ms"))
+    rows = rows.select(F.col(key).alias("k"), F.transform("ms", lambda x: x["m"]).alias("ms"), F.size("ms").alias("n"))
+    need = F.ceil(F.lit(least) * F.col("n") - 1e-9).cast("int")
+    asked = rows.select(F.col("k").alias("small"), F.col("n").alias("ns"), need.alias("need"), F.posexplode(F.slice("ms", F.lit(1), F.greatest(F.col("n") - need + 1, F.lit(1)))).alias("ps", "m"))
+    held = rows.select(F.col("k").alias("large"), F.col("n").alias("nl"), F.posexplode("ms").alias("pl", "m"))
+    order = F.struct(F.col("ns").alias("n"), F.col("small").alias("k")) < F.struct(F.col("nl").alias("n"), F.col("large").alias("k"))
+    enough = F.least(F.col("ns") - F.col("ps"), F.col("nl") - F.col("pl")) >= F.col("need")
+    return rows, asked.join(held, "m").where(order & enough).select("small", "large").distinct()
+
+
+def overlaps(sets: DataFrame, key: str, member: str, cut, least: float = 0.5) -> DataFrame:
+    """a < b, shared, overlap: |A and B| / min(|A|, |B|) of the sets (distinct rows of key and member) that share a member, where that is least (over 0) or more.
+
+    Candidates come from the rarest members of the smaller set, so a member that most sets hold asks for nothing unless a set
+    has no rarer one.  cut: stores a table and reads it again.
+    """
+    rows, pairs = overlap_candidates(sets, key, member, least)
+    pairs = cut(pairs)
+    side = lambda name, ms: rows.select(F.col("k").alias(name), F.col("ms").alias(ms), F.col("n").alias(f"n{ms}"))
+    both = pairs.join(side("small", "x"), "small").join(side("large", "y"), "large").withColumn("shared", F.size(F.array_intersect("x", "y")).cast("long"))
+    found = both.withColumn("overlap", F.col("shared") / F.col("nx")).where((F.col("shared") > 0) & (F.col("overlap") >= least))
+    return found.select(F.least("small", "large").alias("a"), F.greatest("small", "large").alias("b"), "shared", "overlap")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .consensus import places
+from .consensus import places, running_sums
 
 
 def draw(trial: Column, key: Column, seed: int) -> Column:
@@ -19,8 +19,7 @@ def draw(trial: Column, key: Column, seed: int) -> Column:
 
 def concentration(members: DataFrame, trials: int, seed: int = 42) -> DataFrame:
     """members: book_id, label, year.  label, n, sigma, z: how far the spread of a community's years is from that of as
-    many years drawn without replacement from all.  A trial orders all books once; a community of n takes its first n,
-    so running sums over a trial serve every community.
+    many years drawn without replacement from all.
     """
     own = members.groupBy("label").agg(F.count("*").alias("n"), F.stddev_pop("year").alias("sigma"))
     null = null_spread(members, own.select("n").distinct(), trials, seed)
@@ -28,12 +27,24 @@ def concentration(members: DataFrame, trials: int, seed: int = 42) -> DataFrame:
 
 
 def null_spread(members: DataFrame, sizes: DataFrame, trials: int, seed: int) -> DataFrame:
-    """n, mean, sd of the spread of n years drawn without replacement, for each of sizes (n; a row for each size)."""
-    trial = members.select("book_id", F.col("year").cast("double").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"))
-    w = Window.partitionBy("trial").orderBy(draw(F.col("trial"), F.col("book_id"), seed), "book_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = trial.select("trial", F.row_number().over(w).alias("n"), F.sum("y").over(w).alias("s"), F.sum(F.col("y") * F.col("y")).over(w).alias("ss"))
+    """n, mean, sd of the spread of n years drawn without replacement, for each of sizes (n; a row for each size).
+
+    All books are ordered at random once and cut in runs of n: every run is a draw, so one order gives as many draws as
+    it has whole runs, and orders are made until the largest size has its trials.  Orders lie one behind the other in
+    ranges sorted apart, and a draw is the difference of running sums at its two ends.
+    """
+    books = members.where("year is not null").select("book_id", F.col("year").cast("long").alias("y"))
+    need = books.agg(F.count("*").alias("all")).join(F.broadcast(sizes.agg(F.max("n").alias("most"))))  # one row
+    need = need.where("most > 0").select("all", F.ceil(F.lit(trials) / F.floor(F.col("all") / F.col("most"))).cast("int").alias("orders"))
+    dealt = books.join(F.broadcast(need)).select("book_id", "y", (F.col("y") * F.col("y")).alias("yy"), F.explode(F.sequence(F.lit(0), F.col("orders") - 1)).alias("trial"))  # one row
+    dealt = dealt.withColumn("h", draw(F.col("trial"), F.col("book_id"), seed))
+    sums = running_sums(dealt, [F.asc("trial"), F.asc("h"), F.asc("book_id")], ["y", "yy"]).select("place", "sum_y", "sum_yy")
+    runs = sizes.where("n > 0").join(F.broadcast(need)).select("n", "all", F.floor(F.col("all") / F.col("n")).alias("per"), F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("i"))  # one row
+    first = F.floor(F.col("i") / F.col("per")).cast("long") * F.col("all") + (F.col("i") % F.col("per")) * F.col("n")
+    ends = runs.select("n", "i", F.explode(F.array(F.struct(first.alias("place"), F.lit(-1).alias("sign")), F.struct((first + F.col("n")).alias("place"), F.lit(1).alias("sign")))).alias("e")).select("n", "i", "e.*")
+    draws = ends.join(sums, "place").groupBy("n", "i").agg(F.sum(F.col("sign") * F.col("sum_y")).alias("s"), F.sum(F.col("sign") * F.col("sum_yy")).alias("ss"))
     spread = F.sqrt(F.greatest(F.col("ss") / F.col("n") - (F.col("s") / F.col("n")) * (F.col("s") / F.col("n")), F.lit(0.0)))
-    return ranked.join(F.broadcast(sizes), "n").groupBy("n").agg(F.avg(spread).alias("mean"), F.stddev_pop(spread).alias("sd"))
+    return draws.groupBy("n").agg(F.avg(spread).alias("mean"), F.stddev_pop(spread).alias("sd"))
 
 
 def bonferroni_z(tests: int, alpha: float = 0.05) -> float:

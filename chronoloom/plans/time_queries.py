@@ -173,9 +173,12 @@ def community_describe(spark, sf_dir):
 
 
 _CONC = (
-    f", tr AS (SELECT CAST(range AS INTEGER) AS trial FROM range({TRIALS})), rk AS (SELECT trial, CAST(year AS DOUBLE) AS y, row_number() OVER (PARTITION BY trial ORDER BY md5(concat_ws(':', '42', CAST(trial AS VARCHAR), CAST(book_id AS VARCHAR))), book_id) AS r FROM vecs, tr), "
-    "ow AS (SELECT label, count(*) AS n, stddev_pop(year) AS sigma FROM vecs GROUP BY label), "
-    "nl AS (SELECT n, avg(sd) AS mean, stddev_pop(sd) AS dev FROM (SELECT n, trial, stddev_pop(y) AS sd FROM (SELECT DISTINCT n FROM ow) JOIN rk ON r <= n GROUP BY n, trial) GROUP BY n), "
+    ", ow AS (SELECT label, count(*) AS n, stddev_pop(year) AS sigma FROM vecs GROUP BY label), nb AS (SELECT count(*) AS m FROM vecs), "
+    f"tr AS (SELECT unnest(range(CAST(ceil({TRIALS} / floor(m / (SELECT max(n) FROM ow))) AS BIGINT))) AS trial FROM nb), "
+    "rk AS MATERIALIZED (SELECT trial, row_number() OVER w AS r, sum(CAST(year AS BIGINT)) OVER w AS s, sum(CAST(year AS BIGINT) * year) OVER w AS ss FROM vecs, tr WINDOW w AS (PARTITION BY trial ORDER BY md5(concat_ws(':', '42', CAST(trial AS VARCHAR), CAST(book_id AS VARCHAR))), book_id ROWS UNBOUNDED PRECEDING)), "
+    f"dr AS (SELECT n, i // (m // n) AS trial, (i % (m // n)) * n AS lo FROM (SELECT DISTINCT n FROM ow), nb, range({TRIALS}) x(i)), "
+    "sp AS (SELECT d.n, CAST(b.s - coalesce(a.s, 0) AS DOUBLE) AS s, CAST(b.ss - coalesce(a.ss, 0) AS DOUBLE) AS ss FROM dr d JOIN rk b ON b.trial = d.trial AND b.r = d.lo + d.n LEFT JOIN rk a ON a.trial = d.trial AND a.r = d.lo), "
+    "nl AS (SELECT n, avg(sd) AS mean, stddev_pop(sd) AS dev FROM (SELECT n, sqrt(greatest(ss / n - (s / n) * (s / n), 0)) AS sd FROM sp) GROUP BY n), "
     "cz AS (SELECT label, ow.n, sigma, (sigma - mean) / dev AS z FROM ow JOIN nl ON ow.n = nl.n)"
 )
 
@@ -206,7 +209,7 @@ _LIMITS = ", ".join(f"({n}, {N.bonferroni_z(n)!r})" for n in range(1, 101))
 @query(_conc_sql(f"SELECT label, round(z, 4) AS z, z <= (SELECT cut FROM (VALUES {_LIMITS}) l(tests, cut) WHERE tests = (SELECT count(*) FROM cz)) AS significant FROM cz"))
 def bonferroni(spark, sf_dir):
     """Concentration after correction for as many tests as there are labels (the SQL knows the limits up to a hundred)."""
-    found = _conc(spark, sf_dir)
+    found = settle(_conc(spark, sf_dir))
     limit = found.agg(F.count("*").alias("tests")).select(N.bonferroni_limit(F.greatest("tests", F.lit(1))).alias("cut"))
     return found.join(F.broadcast(limit)).select("label", F.round("z", 4).alias("z"), (F.col("z") <= F.col("cut")).alias("significant"))  # one row
 
@@ -536,7 +539,7 @@ def genre_focus(spark, sf_dir):
     return placed.join(inner, "label", "left").select("label", "book_id", "year", "place", F.coalesce("k", F.lit(0)).cast("long").alias("inner_edges"))
 
 
-@query(_conc_sql(", sp AS (SELECT label, min(year) AS lo, max(year) AS hi FROM vecs GROUP BY label) SELECT label, round(100.0 * (lo - (SELECT min(lo) FROM sp)) / ((SELECT max(hi) FROM sp) - (SELECT min(lo) FROM sp)), 6) AS left_pct, round(greatest(1.5, 100.0 * (hi - lo) / ((SELECT max(hi) FROM sp) - (SELECT min(lo) FROM sp))), 6) AS width_pct, CAST(row_number() OVER (ORDER BY round(z, 6), label) AS INTEGER) AS place FROM sp JOIN cz USING (label)").replace(") , sp", "), sp"))
+@query(_conc_sql(", sn AS (SELECT label, min(year) AS lo, max(year) AS hi FROM vecs GROUP BY label) SELECT label, round(100.0 * (lo - (SELECT min(lo) FROM sn)) / ((SELECT max(hi) FROM sn) - (SELECT min(lo) FROM sn)), 6) AS left_pct, round(greatest(1.5, 100.0 * (hi - lo) / ((SELECT max(hi) FROM sn) - (SELECT min(lo) FROM sn))), 6) AS width_pct, CAST(row_number() OVER (ORDER BY round(z, 6), label) AS INTEGER) AS place FROM sn JOIN cz USING (label)").replace(") , sn", "), sn"))
 def genre_rank_bars(spark, sf_dir):
     spans = _members(spark, sf_dir).groupBy("label").agg(F.min("year").alias("lo"), F.max("year").alias("hi")).join(_conc(spark, sf_dir).select("label", "z"), "label")
     ends = spans.agg(F.min("lo").alias("first"), F.max("hi").alias("last"))

@@ -233,7 +233,7 @@ _OV = "sz AS (SELECT book_id, count(*) AS n FROM baskets GROUP BY book_id), ov A
 
 @query(with_views(f", {_OV} SELECT a, b, shared, round(shared / CAST(least(p.n, q.n) AS DOUBLE), 6) AS overlap FROM ov JOIN sz p ON a = p.book_id JOIN sz q ON b = q.book_id WHERE shared / CAST(least(p.n, q.n) AS DOUBLE) >= 0.5", "baskets").replace(") ,", "),"))
 def genre_overlap_edges(spark, sf_dir):
-    return G.overlaps(view(spark, sf_dir, "baskets"), "book_id", "genre").withColumn("overlap", F.round("overlap", 6))
+    return G.overlaps(view(spark, sf_dir, "baskets"), "book_id", "genre", settle).withColumn("overlap", F.round("overlap", 6))
 
 
 _FREQ = "fr AS (SELECT genre, count(*) * (count(*) - 1) AS n FROM baskets GROUP BY genre HAVING count(*) > 1)"

@@ -166,7 +166,14 @@ def test_overlap_join(spark):
     sets = {1: {"x", "y"}, 2: {"y", "z", "w"}, 3: {"y"}, 4: {"q"}, 5: {"x", "y", "z", "w"}}
     table = spark.createDataFrame([(k, m) for k, ms in sets.items() for m in ms], "k long, m string")
     expected = {(a, b): len(sets[a] & sets[b]) / min(len(sets[a]), len(sets[b])) for a in sets for b in sets if a < b}
-    assert {(r["a"], r["b"]): r["overlap"] for r in G.overlaps(table, "k", "m").collect()} == {p: o for p, o in expected.items() if o >= 0.5}
+    assert {(r["a"], r["b"]): r["overlap"] for r in G.overlaps(table, "k", "m", D.settle).collect()} == {p: o for p, o in expected.items() if o >= 0.5}
+    rng = random.Random(1)
+    sets = {k: {"hot", *(f"m{rng.randrange(60)}" for _ in range(rng.randint(0, 7)))} for k in range(150)}  # a member that all hold
+    table = spark.createDataFrame([(k, m) for k, ms in sets.items() for m in ms], "k long, m string")
+    for least in (0.3, 0.5, 1.0):
+        expected = {(a, b): len(sets[a] & sets[b]) / min(len(sets[a]), len(sets[b])) for a in sets for b in sets if a < b}
+        assert {(r["a"], r["b"]): r["overlap"] for r in G.overlaps(table, "k", "m", D.settle, least).collect()} == {p: o for p, o in expected.items() if o >= least}
+    assert G.overlap_candidates(table, "k", "m", 0.5)[1].count() < len(expected) / 2
 
 
 def test_lineage_events(spark):
