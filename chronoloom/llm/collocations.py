@@ -30,7 +30,7 @@ from .common import bytes_of, doc_columns, join_counted, read_table, runs, settl
 WORDS, LEAST, SUBSUMED, TOP = 3, 10, 50, 2000
 #: Words of a shard (a text is never cut, so one may have more), bytes of text split at a time, hashes of a slice on average, and parts
 #: of a language that are ranked apart before the whole is.
-SHARD, CHUNK, SLICE, PARTS = 1 << 22, 1 << 22, 1 << 17, 64
+SHARD, CHUNK, SLICE, PARTS = 1 << 20, 1 << 22, 1 << 17, 64
 #: A-Z to a-z, what ends a piece to a full stop.
 _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz.........")
 _ROLL = np.uint64(0xC2B2AE3D27D4EB4F)
