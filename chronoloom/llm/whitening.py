@@ -4,7 +4,7 @@ Every component becomes a whole number, x = floor(scale * c) + offset.  Each par
 with itself in limbs: x = sum of limb_k * 2^(16 k), every limb within +-2^15, so a product of two limb matrices over at
 most 2^22 rows is a sum that float64 holds exactly, and BLAS may add it in any order.  Sums by power of two are added up
 by Spark as decimals and recombined as big integers: n^2 V = n X'X - S S' is exact whatever the offset.  Only V, d x d
-for dimension d, comes to the driver; its eigenvectors are found in float64 and refined once in extended precision.
+for dimension d, comes to the driver; its eigenvectors are found in float64 and refined by rotations in extended precision.
 """
 
 from __future__ import annotations
@@ -93,19 +93,33 @@ def _moments(fit: DataFrame) -> DataFrame:
 def eigen(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Eigenvalues of a symmetric matrix of long doubles, falling, and unit eigenvectors by column, the largest entry of each positive.
 
-    One step of refinement (Ogita and Aishima) takes the float64 vectors to more than float64's precision, so that small
-    eigenvalues beside large ones are right as well.
+    The float64 eigenvectors are made orthogonal in extended precision, and what is left beside the diagonal is rotated
+    away there, so small eigenvalues beside large ones are right as well.
     """
-    e, q = np.linalg.eigh(v.astype(np.float64))
-    q = q[:, np.argsort(-e, kind="stable")].astype(np.longdouble)
-    off = np.eye(len(v), dtype=np.longdouble) - q.T @ q
-    s = q.T @ v @ q
-    e = np.diag(s) / (1 - np.diag(off))
-    near = 2 * (np.abs(s - np.diag(e)).max() + np.abs(e).max() * np.abs(off).max()) * len(v)
-    apart = e[None, :] - e[:, None]
-    step = np.where(np.abs(apart) > near, (s + e[None, :] * off) / np.where(apart == 0, 1, apart), off / 2)
-    q = q + q @ step
-    q /= np.sqrt((q * q).sum(axis=0))
+    q = np.linalg.eigh(v.astype(np.float64))[1].astype(np.longdouble)
+    one = np.eye(len(v), dtype=np.longdouble)
+    for _ in range(2):
+        q = q @ (3 * one - q.T @ q) / 2
+    t = q.T @ v @ q
+    floor = 2 * np.finfo(np.longdouble).eps * np.abs(t).max()
+    for _ in range(12):
+        rest = False
+        for i in range(len(v) - 1):
+            size = np.sqrt(np.abs(t[i, i] * np.diag(t)))
+            for j in (np.nonzero(np.abs(t[i, i + 1 :]) > np.maximum(floor, 1e-18 * size[i + 1 :]))[0] + i + 1).tolist():
+                if abs(t[i, j]) <= floor:
+                    continue
+                rest = True
+                half = (t[j, j] - t[i, i]) / (2 * t[i, j])
+                tan = (1 if half >= 0 else -1) / (abs(half) + np.sqrt(half * half + 1))
+                cos = 1 / np.sqrt(tan * tan + 1)
+                turn = np.array([[cos, tan * cos], [-tan * cos, cos]], np.longdouble)
+                t[:, [i, j]] = t[:, [i, j]] @ turn
+                t[[i, j]] = turn.T @ t[[i, j]]
+                q[:, [i, j]] = q[:, [i, j]] @ turn
+        if not rest:
+            break
+    e = np.diag(t)
     order = np.argsort(-e, kind="stable")
     e, q = e[order], q[:, order]
     return e, q * np.sign(q[np.abs(q).argmax(axis=0), np.arange(len(v))])
@@ -169,12 +183,12 @@ def identity_errors(vectors: DataFrame, models: dict[int, Whitening]) -> dict[in
             for dim, _, x in _matrices(batch):
                 w = models[dim].project(models[dim].centred(x))
                 mean = w.mean(axis=0)
-                yield pa.record_batch([pa.array([dim], pa.int32()), pa.array([len(w)], pa.int64()), pa.array([mean.tolist()]), pa.array([((w - mean).T @ (w - mean)).ravel().tolist()])], ["dim", "n", "mean", "moment"])
+                yield pa.record_batch([pa.array([dim], pa.int32()), pa.array([len(w)], pa.int64()), pa.array([mean.tolist()], pa.list_(pa.float64())), pa.array([((w - mean).T @ (w - mean)).ravel().tolist()], pa.list_(pa.float64()))], ["dim", "n", "mean", "moment"])
 
     parts = vectors.select("x").mapInArrow(work, "dim int, n long, mean array<double>, moment array<double>")
     total: dict[int, tuple] = {}
     for r in parts.toLocalIterator():  # a row of components^2 numbers for each batch
-        n, mean, moment = r["n"], np.array(r["mean"]), np.array(r["moment"]).reshape(len(r["mean"]), -1)
+        n, mean, moment = r["n"], np.array(r["mean"]), np.array(r["moment"]).reshape(len(r["mean"]), len(r["mean"]))
         if r["dim"] in total:
             m, other, own = total[r["dim"]]
             apart = mean - other
