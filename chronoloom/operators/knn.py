@@ -9,18 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block; a task holds two blocks.
-BLOCK = 2048
-
-
-def _block_pairs(vectors: DataFrame, key: str, vector: str, extra: list[str], block: int) -> DataFrame:
-    """Every row as a query in its own block's pairs and as a candidate in the pairs of all blocks."""
-    parts = max(1, -(-vectors.count() // block))
-    rows = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), *extra).withColumn("own", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    asked = rows.withColumn("other", others).select("id", "v", *extra, F.col("own").alias("q"), F.col("other").alias("c"), F.lit(True).alias("asks"))
-    given = rows.withColumn("other", others).select("id", "v", *extra, F.col("other").alias("q"), F.col("own").alias("c"), F.lit(False).alias("asks"))
-    return asked.unionByName(given)
+#: Rows of a block, at most so many of which are formed from pivots (what is known of a block, its centre and radius, goes to
+#: every task; larger tables have larger blocks), and blocks of queries that one task takes.
+BLOCK, PIVOTS, ASKING = 2048, 4096, 4
+#: Bounds are widened by so much, for rounding.
+EPS = 1e-6
 
 
 def _unit(rows: pd.DataFrame) -> np.ndarray:
@@ -28,9 +21,102 @@ def _unit(rows: pd.DataFrame) -> np.ndarray:
     return m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-9)
 
 
-def nearest(vectors: DataFrame, key: str, vector: str, k: int = 6, block: int = BLOCK) -> DataFrame:
-    """src, dst, sim, place: the k most similar others of each row, ties to the smaller id.  Rows without a vector take no part."""
-    pairs = _block_pairs(vectors.where(F.col(vector).isNotNull()), key, vector, [], block)
+def _angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(a @ b.T, -1.0, 1.0))
+
+
+def _blocks(vectors: DataFrame, key: str, vector: str, extra: list[str], block: int, floor, cut) -> DataFrame:
+    """id, v, extra, b, floor of every row: a block of rows near one pivot, and the angle beyond which the row has no use for
+    others, by floor(block's rows)(place of the row, similarities to the block).  A row without an id for each block: v is its centre, floor its radius."""
+    rows = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), *extra)
+    n = rows.count()
+    size = max(block, -(-n // PIVOTS))
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", b "
+    pivots = np.zeros((0, 0))
+    if n > size:
+        pivots = _unit(rows.orderBy(F.xxhash64("id"), "id").limit(-(-n // size)).select("v").toPandas())  # PIVOTS vectors at most
+
+    def near(parts):
+        for part in parts:
+            if len(part):
+                u = _unit(part)
+                b = (u @ pivots.T).argmax(axis=1) if len(pivots) else np.zeros(len(part), int)
+                yield part.assign(b=np.where((u == 0).all(axis=1), -1, b))  # a vector of zeros has no direction
+
+    dealt = cut(rows.mapInPandas(near, kind + "long"))
+    sizes = dealt.groupBy("b").agg(F.ceil(F.count("*") / size).alias("parts"))  # a row for each pivot
+    dealt = dealt.join(F.broadcast(sizes), "b").withColumn("b", F.concat_ws(".", "b", F.pmod(F.xxhash64("id"), F.col("parts")))).drop("parts")
+
+    def inside(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("id").reset_index(drop=True)
+        u = _unit(part)
+        centre = u.mean(axis=0)
+        length = np.sqrt((centre * centre).sum())
+        whole = length < 1e-9 or (u == 0).all(axis=1).any()
+        centre = centre / max(length, 1e-9)
+        floors, least = [], floor(part)
+        for s in range(0, len(part), 256):  # some queries at a time
+            sims = np.round(u[s : s + 256] @ u.T, 12)
+            sims[np.arange(len(sims)), s + np.arange(len(sims))] = -np.inf
+            floors += [least(s + i, row) for i, row in enumerate(sims)]
+        angle = [np.pi if whole or not np.isfinite(f) else float(np.arccos(np.clip(f, -1, 1))) for f in floors]
+        own = part.assign(floor=angle)
+        head = own.iloc[:1].assign(id=None, v=[centre.tolist()], floor=np.pi if whole else float(_angles(u, centre[None]).max(initial=0.0)))
+        return pd.concat([own, head]).astype({"id": "Int64"})
+
+    return cut(dealt.groupBy("b").applyInPandas(inside, kind + "string, floor double"))
+
+
+def _meetings(blocks: DataFrame, extra: list[str], block: int) -> DataFrame:
+    """Rows as queries (asks) in every block whose bound reaches their floor, and as candidates in their own; q: a part of a block's queries."""
+    heads = blocks.where("id is null").select("b", "v", "floor").toPandas()  # twice PIVOTS rows at most
+    names, radius = heads["b"].to_numpy(), heads["floor"].to_numpy(float)
+    centres = np.array(heads["v"].tolist(), float).reshape(len(heads), -1)
+    columns = ["id", "v", *extra]
+    rows = blocks.where("id is not null")
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*columns).schema)
+
+    def ask(parts):
+        for part in parts:
+            for s in range(0, len(part), 512):
+                some = part.iloc[s : s + 512]
+                reach = _angles(_unit(some), centres) - radius <= some["floor"].to_numpy()[:, None] + EPS
+                i, j = np.nonzero(reach | (some["b"].to_numpy()[:, None] == names))
+                yield some.iloc[i][columns].assign(c=names[j])
+
+    asked = rows.mapInPandas(ask, kind + ", c string")
+    parts = F.greatest(F.ceil(F.count("*") / (ASKING * block)), F.lit(1)).cast("int")
+    counts = asked.groupBy("c").agg(parts.alias("parts"))  # a row for each block
+    asked = asked.join(F.broadcast(counts), "c").select(*columns, F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("q"), "c", F.lit(True).alias("asks"))
+    given = rows.withColumnRenamed("b", "c").join(F.broadcast(counts), "c").select(*columns, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q"), "c", F.lit(False).alias("asks"))
+    return asked.unionByName(given)
+
+
+def _kth(k: int):
+    """The similarity that the k-th best in the block has."""
+
+    def floor(at: int, sims: np.ndarray) -> float:
+        return np.partition(sims, len(sims) - k)[len(sims) - k] if len(sims) > k else -np.inf
+
+    return lambda part: floor
+
+
+def share_compared(vectors: DataFrame, key: str, vector: str, cut, k: int = 6, block: int = BLOCK) -> float:
+    """The share of pairs of a row and a block that nearest() compares: what the bounds leave."""
+    blocks = _blocks(vectors.where(F.col(vector).isNotNull()), key, vector, [], block, _kth(k), cut)
+    met = _meetings(blocks, [], block).where("asks").count()
+    both = blocks.agg(F.count("id").alias("rows"), F.count_if(F.col("id").isNull()).alias("blocks")).first()
+    return met / max(1, both["rows"] * both["blocks"])
+
+
+def nearest(vectors: DataFrame, key: str, vector: str, cut, k: int = 6, block: int = BLOCK) -> DataFrame:
+    """src, dst, sim, place: the k most similar others of each row, ties to the smaller id.  Rows without a vector take no part.
+
+    Rows are dealt in blocks around pivots.  The k-th best in its own block is a row's floor, and it is sent only to blocks
+    whose centre and radius leave room for something as near (angles keep the triangle inequality).  cut: stores a
+    table and reads it again.
+    """
+    pairs = _meetings(_blocks(vectors.where(F.col(vector).isNotNull()), key, vector, [], block, _kth(k), cut), [], block)
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
         q, c = rows[rows["asks"]], rows[~rows["asks"]].sort_values("id")
@@ -77,20 +163,37 @@ def _alive(years: np.ndarray, own: int, k: int) -> tuple[list[int], list[int], l
     return places, starts, stops
 
 
-def lifetimes(vectors: DataFrame, key: str, vector: str, year: str, k: int = 6, block: int = BLOCK) -> DataFrame:
+def lifetimes(vectors: DataFrame, key: str, vector: str, year: str, cut, k: int = 6, block: int = BLOCK) -> DataFrame:
     """src, dst, start, stop: when dst is among the k nearest of src in the graph of all rows up to a year.
 
     That holds from the later of both years until k better neighbours have come: the k-th smallest year among those
     more similar.  A neighbour that k better ones precede in its block never lives, so blocks are thinned apart and
     merged once more.  stop is null if it never ends.
     """
-    return lifetimes_of_orders(vectors.where(F.col(year).isNotNull()).withColumn("__years", F.array(year)), key, vector, "__years", k, block).drop("trial")
+    return lifetimes_of_orders(vectors.where(F.col(year).isNotNull()).withColumn("__years", F.array(year)), key, vector, "__years", cut, k, block).drop("trial")
+
 
+def lifetimes_of_orders(vectors: DataFrame, key: str, vector: str, years: str, cut, k: int = 6, block: int = BLOCK) -> DataFrame:
+    """trial, src, dst, start, stop: lifetimes() under each of several years of every row (an array, without nulls); the neighbours of a row are ranked once for all.
 
-def lifetimes_of_orders(vectors: DataFrame, key: str, vector: str, years: str, k: int = 6, block: int = BLOCK) -> DataFrame:
-    """trial, src, dst, start, stop: lifetimes() under each of several years of every row (an array, without nulls); the neighbours of a row are ranked once for all."""
+    A row's floor is the k-th best in its block among those there before it, in the trial where that is least: from its own year on,
+    nothing below can be among its k nearest.
+    """
     rows = vectors.where(F.col(vector).isNotNull()).withColumn("__years", F.col(years).cast("array<int>"))
-    pairs = _block_pairs(rows, key, vector, ["__years"], block)
+
+    def floor(part: pd.DataFrame):
+        trials = np.array(part["__years"].tolist()).T
+
+        def least(at: int, sims: np.ndarray) -> float:
+            found = np.inf
+            for y in trials:
+                before = sims[(y <= y[at]) & np.isfinite(sims)]
+                found = min(found, np.partition(before, len(before) - k)[len(before) - k] if len(before) >= k else -np.inf)
+            return found
+
+        return least
+
+    pairs = _meetings(_blocks(rows, key, vector, ["__years"], block, floor, cut), ["__years"], block)
 
     def thin(rows: pd.DataFrame) -> pd.DataFrame:
         q, c = rows[rows["asks"]], rows[~rows["asks"]].sort_values("id")

@@ -110,14 +110,14 @@ def shuffled_year_null(spark, sf_dir, trials: int = SHUFFLES):
     books = view(spark, sf_dir, "vecs")
     years = settle(L.shuffled_years(books, trials, 7))
     vectors = books.select("book_id", "embedding").join(years, "book_id")
-    lives = settle(K.lifetimes_of_orders(vectors, "book_id", "embedding", "years"))
+    lives = settle(K.lifetimes_of_orders(vectors, "book_id", "embedding", "years", settle))
     groups = spark.range(trials + 1).select(F.col("id").cast("int").alias("trial"))
     members = settle(L.snapshot_communities(lives, _members(spark, sf_dir), settle, by="trial"))
     return N.events_z(L.timeline(members, _members(spark, sf_dir), by="trial", groups=groups), list(_EVENTS))
 
 
 def _lives(spark, sf_dir, k: int = 6):
-    return K.lifetimes(view(spark, sf_dir, "vecs"), "book_id", "embedding", "year", k)
+    return K.lifetimes(view(spark, sf_dir, "vecs"), "book_id", "embedding", "year", settle, k)
 
 
 @query(near_sql("SELECT * FROM al", _LIVES))

@@ -100,7 +100,7 @@ def near_sql(tail: str, more: str = "") -> str:
 
 
 def near(spark, sf_dir, k: int = 6):
-    return K.nearest(view(spark, sf_dir, "vecs"), "book_id", "embedding", k)
+    return K.nearest(view(spark, sf_dir, "vecs"), "book_id", "embedding", settle, k)
 
 
 def near_graph(spark, sf_dir):

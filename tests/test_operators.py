@@ -81,16 +81,37 @@ def ranking(rows):
 def test_nearest(spark, block, k):
     rows, table = vectors(spark)
     found = {}
-    for r in K.nearest(table, "id", "v", k, block).collect():
+    for r in K.nearest(table, "id", "v", D.settle, k, block).collect():
         found.setdefault(r["src"], {})[r["place"]] = r["dst"]
     assert {i: [f[p] for p in sorted(f)] for i, f in found.items()} == {i: js[:k] for i, js in ranking(rows).items()}
 
 
+def test_bounds_leave_blocks_out(spark):
+    """Clustered vectors: under half of the pairs of a row and a block are compared, with the same neighbours; zeros, repeats and nulls among them."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(12, 6))
+    rows = [(i, (centres[i % 12] + 0.05 * rng.normal(size=6)).tolist(), int(rng.integers(1700, 1760))) for i in range(240)]
+    rows += [(240 + i, rows[i][1], 1700 + i) for i in range(20)] + [(260, [0.0] * 6, 1710)]
+    table = spark.createDataFrame(rows + [(999, None, 1700)], "id long, v array<double>, year int")
+    assert K.share_compared(table, "id", "v", D.settle, 3, 20) < 0.5
+    order = ranking(rows)
+    found = {}
+    for r in K.nearest(table, "id", "v", D.settle, 3, 20).collect():
+        found.setdefault(r["src"], {})[r["place"]] = r["dst"]
+    assert {i: [f[p] for p in sorted(f)] for i, f in found.items()} == {i: js[:3] for i, js in order.items()}
+    orders = spark.createDataFrame([(i, v, [y, 3500 - y, 1700]) for i, v, y in rows], "id long, v array<double>, years array<int>")
+    lives = K.lifetimes_of_orders(orders, "id", "v", "years", D.settle, 3, 40).collect()
+    for trial, years in enumerate(zip(*([y, 3500 - y, 1700] for _, _, y in rows))):
+        for t in sorted(set(years))[::7]:
+            expected = {(i, j) for i in range(len(rows)) if years[i] <= t for j in [j for j in order[i] if years[j] <= t][:3]}
+            assert {(r["src"], r["dst"]) for r in lives if r["trial"] == trial and r["start"] <= t and (r["stop"] is None or t < r["stop"])} == expected
+
+
 @pytest.mark.parametrize("block", [13, 2048])
 def test_lifetimes_are_the_yearly_graphs(spark, block):
     rows, table = vectors(spark, 50)
     order, years = ranking(rows), [y for _, _, y in rows]
-    lives = K.lifetimes(table, "id", "v", "year", 3, block).collect()
+    lives = K.lifetimes(table, "id", "v", "year", D.settle, 3, block).collect()
     for t in sorted(set(years)):
         expected = {(i, j) for i in range(len(rows)) if years[i] <= t for j in [j for j in order[i] if years[j] <= t][:3]}
         assert {(r["src"], r["dst"]) for r in lives if r["start"] <= t and (r["stop"] is None or t < r["stop"])} == expected
