@@ -103,27 +103,29 @@ def _forms(texts: DataFrame, *names: str) -> DataFrame:
 
 
 def item_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """item_id, width, i, key, kinds and values (the window's tokens and words) of each form of a window; marks (kinds with the slots to compare), as_name
+    """item, item_id, width, i, key, kinds and values (the window's tokens and words) of each form of a window; marks (kinds with the slots to compare), as_name
     (names at the beginning of sentences count), rich (the template has literals enough), n and n_rich (windows of the item, and those that are rich).
 
     An item shorter than width is one window; one without tokens has none.  A window that isn't rich has its words as its only form.
+    Texts are items of their own (item: a hash of id and text): an item without an id counts, two texts under one id are two, rows that repeat both are one.
     """
     items = benchmark.select(F.col("item_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text")).distinct()
-    items = _forms(items, "item_id").where(F.size("tokens") > 0)
+    items = items.withColumn("item", F.md5(F.concat_ws(":", F.coalesce(F.col("item_id").cast("string"), F.lit("-")), "text")))
+    items = _forms(items, "item", "item_id").where(F.size("tokens") > 0)
     items = items.withColumn("width", F.least(F.size("tokens"), F.lit(width)))
     sizes = sorted(r["width"] for r in items.select("width").distinct().collect()) or [width]
     found = None
     for w in sizes:
         cut = lambda name: F.slice(name, F.col("i") + 1, w)  # noqa: B023, E731
         part = items.where(F.col("width") == w).withColumn("i", F.explode(F.sequence(F.lit(0), F.size("tokens") - w)))
-        part = part.select("item_id", "width", "i", cut("tokens").alias("tokens"), cut("loose").alias("loose"), cut("words").alias("values"))
+        part = part.select("item", "item_id", "width", "i", cut("tokens").alias("tokens"), cut("loose").alias("loose"), cut("words").alias("values"))
         part = part.withColumn("rich", _literal_enough(F.col("tokens"), w))
         form = lambda kinds, marks, as_name: F.struct(F.get(window_keys(F.col(kinds), w), F.lit(0)).alias("key"), F.col(kinds).alias("kinds"), F.col(marks).alias("marks"), F.lit(as_name).alias("as_name"))  # noqa: B023, E731
         forms = F.array(F.when(F.col("rich"), form("tokens", "tokens", False)), F.when(_literal_enough(F.col("loose"), w) & (F.col("loose") != F.col("tokens")), form("loose", "loose", True)), F.when(~F.col("rich") | (F.col("values") != F.col("tokens")), form("values", "tokens", False)))
-        part = part.withColumn("f", F.explode(F.array_compact(forms))).select("item_id", "width", "i", "f.*", "values", "rich")
+        part = part.withColumn("f", F.explode(F.array_compact(forms))).select("item", "item_id", "width", "i", "f.*", "values", "rich")
         found = part if found is None else found.unionByName(part)
-    sums = found.groupBy("item_id").agg(F.count_distinct("i").alias("n"), F.count_distinct(F.when(F.col("rich"), F.col("i"))).alias("n_rich"))
-    return found.join(sums, "item_id")
+    sums = found.groupBy("item").agg(F.count_distinct("i").alias("n"), F.count_distinct(F.when(F.col("rich"), F.col("i"))).alias("n_rich"))
+    return found.join(sums, "item")
 
 
 def _known(keys: DataFrame, bits: int = BITS):
@@ -202,7 +204,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: floa
     An item is held if at least `share` of its windows stand in the document as they are (verbatim), or if as many match
     and no value in a slot of those windows stands for two values, in the document or in one occurrence of it.  n_slots counts the item's different
     slot values in the windows that match.  Null and empty texts match nothing; rows that repeat a doc_id count as one document; rows
-    without a doc_id are reported under null; an empty table gives an empty table.
+    without a doc_id are reported under null; an item without an item_id is reported under null, and two texts under one item_id are items of
+    their own, a row each; an empty table gives an empty table.
     """
     items = settle(item_windows(benchmark, width), "items")
     n = items.count()
@@ -228,10 +231,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: floa
     small = F.broadcast(items) if n <= BROADCAST_ROWS else items
     matched = found.join(small, ["key", "width"]).where("own_kinds = kinds")
     pairs = F.filter(F.arrays_zip("marks", "values", "own_values"), lambda p: p["marks"].isin(*MARKS))
-    matched = matched.select("doc_id", "item_id", "n", "n_rich", "rich", "as_name", "i", "text", "at", F.transform(pairs, lambda p: F.struct(p["marks"].alias("kind"), p["values"].alias("value"), p["own_values"].alias("own"))).alias("pairs"))
+    matched = matched.select("doc_id", "item", "item_id", "n", "n_rich", "rich", "as_name", "i", "text", "at", F.transform(pairs, lambda p: F.struct(p["marks"].alias("kind"), p["values"].alias("value"), p["own_values"].alias("own"))).alias("pairs"))
     # rows that repeat a text add nothing
     matched = matched.distinct()
-    in_order = Window.partitionBy("doc_id", "item_id", "text").orderBy("at", "i")
+    in_order = Window.partitionBy("doc_id", "item", "text").orderBy("at", "i")
     runs = matched.withColumn("fresh", F.coalesce((F.col("i") <= F.lag("i").over(in_order)).cast("int"), F.lit(0))).withColumn("run", F.sum("fresh").over(in_order))
     # names at the beginning of sentences are left out once: they may be none, and then they need not agree
     part = lambda kind, text, at: F.struct(F.lit(kind).alias("kind"), text.cast("long").alias("text"), at.cast("long").alias("at"))
@@ -239,14 +242,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: floa
     parts = F.concat(F.transform(parts, lambda p: F.struct(p.alias("p"), F.lit(True).alias("all"))), F.transform(F.filter(parts, lambda p: ~F.col("as_name")), lambda p: F.struct(p.alias("p"), F.lit(False).alias("all"))))
     same = F.forall("pairs", lambda p: p["value"] == p["own"])
     count = lambda when, name: F.size(F.collect_set(F.when(when, F.col("i")))).cast("long").alias(name)
-    by_part = runs.withColumn("part", F.explode(parts)).groupBy("doc_id", "item_id", "n", "n_rich", "part").agg(count(F.lit(True), "n_matched"), count(F.col("rich"), "rich_matched"), count(same, "n_verbatim"), count(same & F.col("rich"), "rich_verbatim"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("slots"))
+    by_part = runs.withColumn("part", F.explode(parts)).groupBy("doc_id", "item", "item_id", "n", "n_rich", "part").agg(count(F.lit(True), "n_matched"), count(F.col("rich"), "rich_matched"), count(same, "n_verbatim"), count(same & F.col("rich"), "rich_verbatim"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("slots"))
     values = F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["value"])))
     by_part = by_part.withColumn("n_slots", F.size(values).cast("long"))
     # either of all windows, or of those that have literals enough to be known by their template
     enough = lambda every, rich: (F.col(every) >= F.lit(share) * F.col("n")) | (F.col("n_rich") > 0) & (F.col(rich) >= F.lit(share) * F.col("n_rich"))
     held = enough("n_matched", "rich_matched") & (F.size("slots") == F.col("n_slots"))
     whole = lambda name: F.max(F.when((F.col("part.p.kind") == "whole") & F.col("part.all"), F.col(name))).alias(name)
-    judged = by_part.groupBy("doc_id", "item_id", "n", "n_rich").agg(whole("n_matched"), whole("n_slots"), whole("n_verbatim"), whole("rich_verbatim"), F.max(held).alias("held"))
+    judged = by_part.groupBy("doc_id", "item", "item_id", "n", "n_rich").agg(whole("n_matched"), whole("n_slots"), whole("n_verbatim"), whole("rich_verbatim"), F.max(held).alias("held"))
     judged = judged.withColumn("verbatim", enough("n_verbatim", "rich_verbatim")).where("verbatim or held")
     return judged.select("doc_id", "item_id", "n_matched", F.col("n").alias("n_windows"), "n_slots", "verbatim")
 

@@ -58,6 +58,18 @@ def test_items_poor_in_literals_are_found_as_they_are(spark):
     assert not any(k == 6 for k, _ in found)
 
 
+def test_items_without_an_id_and_two_texts_under_one(spark):
+    """A text that stands verbatim is found whatever its id; what the two texts of an id match doesn't add up."""
+    text = lambda k: " ".join(f"word{k}x{i}" for i in range(30))
+    items = spark.createDataFrame([(None, text(1)), (5, text(2)), (5, text(3)), (5, text(3)), (6, None)], "item_id long, text string")
+    docs = [(1, "before " + text(1) + " after"), (2, text(2)), (3, "in " + text(3)), (4, " ".join(text(2).split()[:14])), (5, text(2) + " and " + text(3)), (6, "clean words"), (7, None)]
+    table = spark.createDataFrame([(i, t, 1, "x") for i, t in docs], "doc_id long, text string, n int, item string")
+    found = sorted(((r["doc_id"], r["item_id"]) for r in decontaminate.leaks(table, items).collect()), key=repr)
+    assert found == sorted([(1, None), (2, 5), (3, 5), (5, 5), (5, 5)], key=repr)
+    kept = decontaminate.without_leaks(table, items)
+    assert kept.columns == table.columns and sorted(r["doc_id"] for r in kept.collect()) == [4, 6, 7]
+
+
 def test_decontamination_is_brute_force(spark):
     """On texts without slots, items are found where half of their 8-word windows are."""
     sf = "/root/testdata/sf0.01"
