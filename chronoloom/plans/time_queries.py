@@ -12,6 +12,7 @@ from ..operators import knn as K
 from ..operators import layout
 from ..operators import lineage as L
 from ..operators import nullmodels as N
+from ..operators import pairblocks as B
 from ..operators import pairsums as P
 from ..operators import series as S
 from ..operators import vectors as V
@@ -516,19 +517,25 @@ def frame_state(spark, sf_dir):
 @query(_edge_sql("SELECT ed.from_id, ed.to_id, round(conceptual, 4) AS conceptual, v.n IS NOT NULL AS validated FROM ed LEFT JOIN (SELECT from_id, to_id, count(*) AS n FROM pairs GROUP BY 1, 2) v USING (from_id, to_id) WHERE conceptual >= 0.3 OR v.n IS NOT NULL"))
 def edge_slider(spark, sf_dir):
     """Edges over a threshold, and all validated ones."""
-    proof = view(spark, sf_dir, "pairs").select("from_id", "to_id").distinct().withColumn("p", F.lit(True))
-    rows = _edges(spark, sf_dir).join(proof, ["from_id", "to_id"], "left").withColumn("validated", F.coalesce("p", F.lit(False)))
-    return rows.where((F.col("conceptual") >= 0.3) | F.col("validated")).select("from_id", "to_id", F.round("conceptual", 4).alias("conceptual"), "validated")
+    proof = settle(_documented(spark, sf_dir).select("from_id", "to_id", "conceptual").dropDuplicates(["from_id", "to_id"]))
+    over = B.pairs_from(_ended(spark, sf_dir), 0.3).withColumnRenamed("product", "conceptual").join(proof.select("from_id", "to_id"), ["from_id", "to_id"], "left_anti")
+    rows = over.withColumn("validated", F.lit(False)).unionByName(proof.withColumn("validated", F.lit(True)))
+    return rows.select("from_id", "to_id", F.round("conceptual", 4).alias("conceptual"), "validated")
+
+
+def _ended(spark, sf_dir):
+    return settle(_authors(spark, sf_dir).select(F.col("author_id").alias("id"), F.col("earliest_year").alias("year"), "v"))
 
 
 @query(_edge_sql("SELECT from_id, to_id, validated, CAST(k AS INTEGER) AS place, total - 12 AS beyond FROM (SELECT ed.from_id, ed.to_id, v.n IS NOT NULL AS validated, row_number() OVER (PARTITION BY ed.from_id ORDER BY round(conceptual, 9) DESC, ed.to_id) AS k, count(*) OVER (PARTITION BY ed.from_id) AS total FROM ed LEFT JOIN (SELECT from_id, to_id, count(*) AS n FROM pairs GROUP BY 1, 2) v USING (from_id, to_id)) WHERE k <= 12 OR validated"))
 def node_focus(spark, sf_dir):
     """Of every author as the focus: the twelve most similar later ones and all validated."""
-    proof = view(spark, sf_dir, "pairs").select("from_id", "to_id").distinct().withColumn("p", F.lit(True))
-    w = Window.partitionBy("from_id").orderBy(F.desc(F.round("conceptual", 9)), "to_id")
-    rows = _edges(spark, sf_dir).join(proof, ["from_id", "to_id"], "left").withColumn("place", F.row_number().over(w)).withColumn("beyond", F.count("*").over(Window.partitionBy("from_id")) - 12)
-    kept = rows.withColumn("validated", F.coalesce("p", F.lit(False))).where((F.col("place") <= 12) | F.col("validated"))
-    return kept.select("from_id", "to_id", "validated", "place", "beyond")
+    who = _ended(spark, sf_dir)
+    proof = settle(B.places_of(who, view(spark, sf_dir, "pairs").select("from_id", "to_id").distinct())).withColumn("validated", F.lit(True))
+    best = B.best_later(who, 12).join(proof.select("from_id", "to_id", "validated"), ["from_id", "to_id"], "left").withColumn("validated", F.coalesce("validated", F.lit(False)))
+    rows = best.unionByName(proof.where("place > 12").select(*best.columns))
+    later = B.later_counts(who).select(F.col("id").alias("from_id"), (F.col("later") - 12).alias("beyond"))
+    return rows.join(later, "from_id").select("from_id", "to_id", "validated", "place", "beyond")
 
 
 @query(near_sql("SELECT label, book_id, year, CAST(row_number() OVER (PARTITION BY label ORDER BY coalesce(year, 0), book_id) AS INTEGER) AS place, (SELECT count(*) FROM gr JOIN vecs x ON a = x.book_id JOIN vecs y ON b = y.book_id WHERE x.label = y.label AND x.label = v.label) AS inner_edges FROM vecs v"))
@@ -562,10 +569,8 @@ def header_stats(spark, sf_dir):
 
 @query(_edge_sql("SELECT round(c, 6) AS cut FROM (SELECT conceptual AS c, row_number() OVER (ORDER BY conceptual) - 1 AS i, count(*) OVER () AS n FROM ed) WHERE i = CAST(floor(n * 0.93) AS BIGINT)"))
 def pct93_cutoff(spark, sf_dir):
-    """The value at 93 per cent of the sorted similarities, by place: ranges are sorted apart."""
-    placed = C.places(_edges(spark, sf_dir).select("conceptual"), [F.asc("conceptual")])
-    n = placed.agg(F.count("*").alias("n"))
-    return placed.join(F.broadcast(n)).where(F.col("place") - 1 == F.floor(F.col("n") * 0.93)).select(F.round("conceptual", 6).alias("cut"))  # one row
+    """The value at 93 per cent of the sorted similarities, by place."""
+    return B.value_at(_ended(spark, sf_dir), 0.93).select(F.round("value", 6).alias("cut"))
 
 
 @query(_edge_sql("SELECT DISTINCT least(from_id, to_id) AS node FROM dc UNION SELECT greatest(from_id, to_id) FROM dc"))

@@ -391,3 +391,27 @@ def test_mutations_of_yearly_graphs(spark):
     assert swept[6] == sum(r["mutations"] for r in registry.QUERIES["mutation_timeline"](spark, sf).collect())
     row = registry.QUERIES["excess_spearman_p"](spark, sf).first()
     assert row["n"] < 3 or 0 <= row["p"] <= 1
+
+
+@pytest.mark.parametrize("block", [7, 2048])
+def test_pairs_in_the_order_of_years(spark, block):
+    """Thresholds, best later ones, places and an order statistic against the list of all pairs; ties, equal years, odd rows."""
+    from chronoloom.operators import pairblocks as B
+
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(40, 3))
+    v[5:9] = v[4]
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    years = rng.integers(0, 12, 40)
+    rows = spark.createDataFrame([(i, int(years[i]), v[i].tolist()) for i in range(40)] + [(99, None, [1.0, 0.0, 0.0])], "id long, year int, v array<double>")
+    dot = {(i, j): float(v[i] @ v[j]) for i in range(40) for j in range(40) if years[i] < years[j]}
+    assert {(r["from_id"], r["to_id"]) for r in B.pairs_from(rows, 0.3, block).collect()} == {p for p, x in dot.items() if x >= 0.3}
+    order = {i: sorted((j for a, j in dot if a == i), key=lambda j: (-round(dot[i, j], 9), j)) for i in range(40)}
+    assert {(r["from_id"], r["to_id"], r["place"]) for r in B.best_later(rows, 4, block=block).collect()} == {(i, j, k) for i, js in order.items() for k, j in enumerate(js[:4], 1)}
+    pairs = spark.createDataFrame([(i, j) for i in range(0, 40, 3) for j in range(40) if i != j] + [(1, 99), (99, 1), (1, 500)], "from_id long, to_id long")
+    expected = {(i, j, k) for i in range(0, 40, 3) for k, j in enumerate(order[i], 1)}
+    assert {(r["from_id"], r["to_id"], r["place"]) for r in B.places_of(rows, pairs, block=block).collect()} == expected
+    assert {r["id"]: r["later"] for r in B.later_counts(rows).collect()} == {i: len(order[i]) for i in range(40)}
+    for few in (1 << 20, 1):
+        assert B.value_at(rows, 0.93, block, few).first()["value"] == pytest.approx(sorted(dot.values())[int(len(dot) * 0.93)], abs=1e-12)
+    assert B.value_at(rows.limit(0), 0.93).count() == 0
