@@ -31,10 +31,33 @@ def consensus(claims: DataFrame, first: int, before: int) -> DataFrame:
     return merged.join(years, "key").select("title", "author", "year", (F.col("n_lists") + F.size("models")).alias("support"), "models", "n_lists")
 
 
-def upper_median(column: str) -> Column:
-    """The element at half the count of the sorted values, not interpolated."""
-    values = F.array_sort(F.collect_list(column))
-    return F.get(values, F.floor(F.size(values) / 2).cast("int"))
+def value_places(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, value, n, upto, total: how often each value occurs in its group, how many of the group are up to it, and how many it has.
+
+    Rows are counted by value first, so what is ordered in a group is its different values (a calendar, for years), not its rows.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
+    return counts.withColumn("upto", F.sum("n").over(w)).join(total, keys)
+
+
+def upper_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, value: the element at half the count of a group's sorted values, not interpolated."""
+    return value_places(rows, keys, value).where(F.col("upto") > F.floor(F.col("total") / 2)).groupBy(*keys).agg(F.min(value).alias(value))
+
+
+def first_rows(rows: DataFrame, keys: list[str], order: list[Column], n: int, by: str, parts: int = 64) -> DataFrame:
+    """The first n rows of each group with their place; a group is cut in parts (by a hash of `by`), and the first n of each part are ordered together."""
+    part = F.pmod(F.xxhash64(by), F.lit(parts))
+    few = rows.withColumn("__part", part).withColumn("place", F.row_number().over(Window.partitionBy(*keys, "__part").orderBy(*order))).where(F.col("place") <= n)
+    return few.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("place") <= n).drop("__part")
+
+
+def datable(books: DataFrame, key: str, text: str, labels: str, untracked: list[str]) -> DataFrame:
+    """key, year, labels of the books that a timeline can hold: a year stands in the text, and a label is left without those untracked."""
+    rows = books.select(key, X.year_in(F.col(text)).alias("year"), F.filter(labels, lambda g: g.isNotNull() & ~g.isin(*untracked)).alias("labels"))
+    return rows.where(F.col("year").isNotNull() & (F.size("labels") > 0))
 
 
 def places(rows: DataFrame, order: list[Column]) -> DataFrame:

@@ -51,7 +51,8 @@ def canon_by_20y(spark, sf_dir):
 @query(_sql("SELECT key, list_sort(list(year))[CAST(floor(count(*) / 2) AS INTEGER) + 1] AS year, CAST(count(DISTINCT provider) AS INTEGER) AS support FROM k GROUP BY key", _KEYED))
 def upper_median_year(spark, sf_dir):
     keyed = C.keyed_claims(view(spark, sf_dir, "claims"), 1660, 1929)
-    return keyed.groupBy("key").agg(C.upper_median("year").alias("year"), F.count_distinct("provider").cast("int").alias("support"))
+    support = keyed.groupBy("key").agg(F.count_distinct("provider").cast("int").alias("support"))
+    return support.join(C.upper_median(keyed, ["key"], "year"), "key", "left").select("key", "year", "support")
 
 
 _WHO = "w AS (SELECT DISTINCT CASE WHEN o_orderkey % 3 = 0 THEN concat('G. Sur', o_custkey % 997) WHEN o_orderkey % 3 = 1 THEN concat('Given Sur', o_custkey % 997) ELSE concat('Given M. Sur', o_custkey % 997) END AS name FROM orders)"
@@ -149,3 +150,10 @@ def publication_year(spark, sf_dir):
 def head_per_group(spark, sf_dir):
     w = Window.partitionBy("l_orderkey").orderBy("l_shipdate", "l_partkey", "l_linenumber", "l_suppkey")
     return table(spark, sf_dir, "lineitem").withColumn("k", F.row_number().over(w)).where("k <= 6").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+
+
+@query(with_views(r"""SELECT book_id, year, array_to_string(labels, '|') AS labels FROM (SELECT book_id, TRY_CAST(nullif(regexp_extract(description, '\b(1[0-9]{3}|20[0-9]{2})\b', 1), '') AS INTEGER) AS year, list_filter([source, lang], lambda g: g NOT IN ('fr', 'src1', 'src2')) AS labels FROM books) WHERE year IS NOT NULL AND len(labels) > 0""", "books"))
+def datable_books(spark, sf_dir):
+    """Books with a year in their text and a tracked label: what snapshots are made of."""
+    books = view(spark, sf_dir, "books").withColumn("labels", F.array("source", "lang"))
+    return C.datable(books, "book_id", "description", "labels", ["fr", "src1", "src2"]).withColumn("labels", F.array_join("labels", "|"))

@@ -160,17 +160,16 @@ def timeline_k_sweep(spark, sf_dir):
 
 @query(with_views("SELECT label, n, year_min, year_max, round(sd, 6) AS year_std, list_sort(ys)[least(4, n)] AS birth_year FROM (SELECT label, count(*) AS n, min(year) AS year_min, max(year) AS year_max, stddev_pop(year) AS sd, list(year) AS ys FROM vecs GROUP BY label) WHERE n >= 4", "vecs"))
 def community_summary(spark, sf_dir):
-    ordered = _members(spark, sf_dir).withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("year", "book_id")))
-    found = ordered.groupBy("label").agg(F.count("*").alias("n"), F.min("year").alias("year_min"), F.max("year").alias("year_max"), F.round(F.stddev_pop("year"), 6).alias("year_std"), F.max(F.when(F.col("k") <= 4, F.col("year"))).alias("birth_year"))
-    return found.where("n >= 4")
+    """The spread of each community, and the year of its fourth book."""
+    members = _members(spark, sf_dir)
+    fourth = C.value_places(members, ["label"], "year").where(F.col("upto") >= F.least(F.col("total"), F.lit(4))).groupBy("label").agg(F.min("year").alias("birth_year"))
+    found = members.groupBy("label").agg(F.count("*").alias("n"), F.min("year").alias("year_min"), F.max("year").alias("year_max"), F.round(F.stddev_pop("year"), 6).alias("year_std"))
+    return found.where("n >= 4").join(fourth, "label")
 
 
 @query(with_views(", g AS (SELECT *, year - lag(year) OVER (PARTITION BY label ORDER BY year, book_id) AS gap FROM vecs) SELECT label, count(*) AS n, CAST(floor(median(year)) AS INTEGER) AS year_median, max(gap) AS largest_gap, round(stddev_pop(year), 1) AS year_std, array_to_string(list_slice(list(book_id ORDER BY year, book_id), 1, 5), ',') AS exemplars FROM g GROUP BY label", "vecs").replace(") ,", "),"))
 def community_describe(spark, sf_dir):
-    w = Window.partitionBy("label").orderBy("year", "book_id")
-    rows = _members(spark, sf_dir).withColumn("gap", F.col("year") - F.lag("year").over(w)).withColumn("k", F.row_number().over(w))
-    first = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("k") <= 5, F.struct("k", "book_id")))), lambda x: x["book_id"]), ",")
-    return rows.groupBy("label").agg(F.count("*").alias("n"), F.floor(F.median("year")).cast("int").alias("year_median"), F.max("gap").alias("largest_gap"), F.round(F.stddev_pop("year"), 1).alias("year_std"), first.alias("exemplars"))
+    return L.describe(_members(spark, sf_dir))
 
 
 _CONC = (
