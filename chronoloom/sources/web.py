@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 CATALOG = "id long, title string, author string, birth_year int, text_url string, labels array<string>"
 
@@ -37,6 +37,8 @@ class PagedCatalog(DataSource):
     """A catalog of pages {"results": [...], "next": url}.  Options: url (the first page), target (rows at most; none: all).
 
     Pages name their successor, so one task reads them in order.  Rows without title, author or plain text are left out.
+    As a stream the pages are partitions: a batch follows the successors of up to `pages` pages (16) and its tasks read
+    one page each; the offset names the page to go on with, so a scan that broke goes on there.  tries: of a page (4).
     """
 
     @classmethod
@@ -49,6 +51,9 @@ class PagedCatalog(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _CatalogReader(self.options)
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _CatalogStream(self.options)
+
 
 class _CatalogReader(DataSourceReader):
     def __init__(self, options):
@@ -61,19 +66,76 @@ class _CatalogReader(DataSourceReader):
         url, found = self.url, 0
         while url:
             page = json.loads(fetch(url))
-            for row in page.get("results", []):
-                author = (row.get("authors") or [{}])[0]
-                text = next((u for kind, u in (row.get("formats") or {}).items() if kind.startswith("text/plain") and not u.endswith(".zip")), None)
-                if not (row.get("title") and author.get("name") and text):
-                    continue
-                labels = list(dict.fromkeys([*(row.get("bookshelves") or []), *(row.get("subjects") or [])]))[:8]
-                yield row.get("id"), row["title"], author["name"], author.get("birth_year"), text, labels
+            for row in _rows(page):
+                yield row
                 found += 1
                 if found == self.target:
                     return
             url = page.get("next")
 
 
+def _rows(page: dict) -> Iterator[tuple]:
+    for row in page.get("results", []):
+        author = (row.get("authors") or [{}])[0]
+        text = next((u for kind, u in (row.get("formats") or {}).items() if kind.startswith("text/plain") and not u.endswith(".zip")), None)
+        if not (row.get("title") and author.get("name") and text):
+            continue
+        labels = list(dict.fromkeys([*(row.get("bookshelves") or []), *(row.get("subjects") or [])]))[:8]
+        yield row.get("id"), row["title"], author["name"], author.get("birth_year"), text, labels
+
+
+class _Page(InputPartition):
+    def __init__(self, url: str):
+        super().__init__(url)
+
+
+class _CatalogStream(DataSourceStreamReader):
+    """Offsets: next, the page to go on with (empty at the end), and pages, those of the batch that ends there, a line each."""
+
+    def __init__(self, options):
+        self.url, self.pages, self.tries, self.at = options["url"], int(options.get("pages", "16")), int(options.get("tries", "4")), None
+
+    def initialOffset(self) -> dict:
+        return {"next": self.url, "pages": ""}
+
+    def latestOffset(self) -> dict:
+        self.at = self.at or self.initialOffset()
+        url, taken = self.at["next"], []
+        while url and len(taken) < self.pages:
+            try:
+                after = json.loads(fetch(url, self.tries)).get("next") or ""
+            except OSError:
+                if not taken:
+                    raise
+                break  # what was reached is taken in first
+            taken.append(url)
+            url = after
+        if taken:
+            self.at = {"next": url, "pages": "\n".join(taken)}
+        return self.at
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        self.at = self.at or end  # after a restart the last batch that was planned comes first
+        return [] if start == end else [_Page(url) for url in end["pages"].split("\n")]
+
+    def read(self, partition) -> Iterator[tuple]:
+        yield from _rows(json.loads(fetch(partition.value, self.tries)))
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
+def ingest_catalog(spark: SparkSession, url: str, path: str, checkpoint: str, pages: int = 16, tries: int = 4) -> None:
+    """Takes all pages that can be reached into the table at path.  After a failure, again with the same checkpoint: every row is there once."""
+    spark.dataSource.register(PagedCatalog)
+    rows = spark.readStream.format("paged_catalog").option("url", url).option("pages", pages).option("tries", tries).load()
+    query = rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+
+
 def read_catalog(spark: SparkSession, url: str, target: int = 0) -> DataFrame:
     spark.dataSource.register(PagedCatalog)
     return spark.read.format("paged_catalog").option("url", url).option("target", target).load()

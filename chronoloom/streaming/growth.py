@@ -6,12 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def counts_stream(spark: SparkSession, folder: str, schema: str, files_a_batch: int = 1) -> DataFrame:
-    """year, n of a folder of Parquet files of works, as a streaming aggregation."""
-    works = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(folder)
-    return works.where(F.col("year").isNotNull()).groupBy("year").agg(F.count("*").alias("n"))
-
-
 def run_to_ledger(spark: SparkSession, folder: str, schema: str, ledger: str, checkpoint: str) -> None:
     """Takes in all files that are there, batch by batch.  Each batch's counts are stored under its number, so a batch
     that is run again after a failure replaces its own rows and the ledger's sums stay right."""

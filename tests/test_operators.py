@@ -297,6 +297,40 @@ def test_catalog_texts_and_pages(spark, tmp_path):
     assert "polyline" in pages.line_figure(spark.range(5).selectExpr("id x", "id * id y"), "x", "y")
 
 
+def test_a_broken_scan_goes_on_where_it_stopped(spark, tmp_path):
+    """Pages that can't be had, and a page that can't be read, end the scan; the next one goes on there, and every row is there once."""
+    import json
+
+    from chronoloom.sources import web
+
+    def put(k, rows, after):
+        page = {"results": [{"id": i, "title": f"T{i}", "authors": [{"name": "A"}], "formats": {"text/plain": f"{i}.txt"}} for i in rows], "next": after and f"file://{tmp_path}/{after}.json"}
+        (tmp_path / f"{k}.json").write_text(json.dumps(page))
+
+    def run(pages):
+        web.ingest_catalog(spark, f"file://{tmp_path}/1.json", str(tmp_path / "table"), str(tmp_path / "state"), pages, 1)
+
+    def found():
+        return sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "table")).collect())
+
+    put(1, [1, 2], 2)
+    put(2, [3], 3)
+    with pytest.raises(Exception):  # noqa: B017, PT011  the third page isn't there
+        run(1)
+    assert found() == [1, 2, 3]
+    put(3, [4, 5], 4)
+    put(4, [6], 5)
+    (tmp_path / "5.json").write_text(json.dumps({"results": [{"id": 7, "title": "T", "authors": ["odd"]}], "next": None}))
+    with pytest.raises(Exception):  # noqa: B017, PT011  the fifth has a row that can't be read
+        run(3)
+    assert set(found()) <= {1, 2, 3, 4, 5, 6}
+    put(5, [7], None)
+    run(3)
+    assert found() == [1, 2, 3, 4, 5, 6, 7]
+    run(2)
+    assert found() == [1, 2, 3, 4, 5, 6, 7]
+
+
 def test_embedding_cache(spark):
     from chronoloom.sources import web
 
