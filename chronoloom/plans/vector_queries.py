@@ -68,7 +68,7 @@ def year_trend(spark, sf_dir):
 )
 def detrended_cosine(spark, sf_dir):
     years = view(spark, sf_dir, "books").select("book_id", "year")
-    return V.detrended_cosine(_weights(spark, sf_dir), years, _pairs(spark, sf_dir), "book_id").withColumn("cosine", F.round("cosine", 6))
+    return V.detrended_cosine(settle(_weights(spark, sf_dir)), years, settle(_pairs(spark, sf_dir)), "book_id").withColumn("cosine", F.round("cosine", 6))
 
 
 @query(
@@ -77,7 +77,7 @@ def detrended_cosine(spark, sf_dir):
     )
 )
 def cluster_top_terms(spark, sf_dir):
-    return V.top_terms(_weights(spark, sf_dir), view(spark, sf_dir, "books").select("book_id", "author"), "book_id", "author")
+    return V.top_terms(settle(_weights(spark, sf_dir)), view(spark, sf_dir, "books").select("book_id", "author"), "book_id", "author")
 
 
 @query(with_views("SELECT from_id, to_id, src, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine FROM pairs JOIN authors a ON from_id = a.author_id JOIN authors b ON to_id = b.author_id", "authors", "pairs"))

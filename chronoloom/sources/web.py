@@ -12,11 +12,14 @@ import time
 import urllib.request
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from ..operators import vectors as V
+
 CATALOG = "id long, title string, author string, birth_year int, text_url string, labels array<string>"
 
 
@@ -181,3 +184,33 @@ def with_embeddings(rows: DataFrame, cache: DataFrame, key: str, text: str, embe
     """key, embedding: from the cache where it has the key, else embed(series of texts) of the first chars of the text."""
     missing = rows.join(cache, key, "left_anti").select(key, embed(F.substring(F.coalesce(text, F.lit("")), 1, chars)).alias("embedding"))
     return cache.join(rows.select(key), key, "left_semi").select(key, "embedding").unionByName(missing)
+
+
+def embed_or_tfidf(rows: DataFrame, key: str, text: str, embed, cut, chars: int = 6000, **tfidf) -> tuple[DataFrame, str]:
+    """key, embedding of every row, and which back end made them: `embed` (of a column of texts, their first chars), or, if it
+    fails in any way, unit vectors of TF-IDF weights over the whole corpus (tfidf: its bounds).  A row without a term has zeros.
+
+    One back end serves all rows, as vectors of two can't be compared.  cut: stores a table and reads it again, so a
+    failure in a task shows here.
+    """
+    try:
+        return cut(rows.select(key, embed(F.substring(F.coalesce(text, F.lit("")), 1, chars)).alias("embedding"))), "model"
+    except Exception:  # whatever a model, its download or a worker may raise
+        weights = cut(V.tfidf(rows.select(key, text), key, text, **tfidf))
+    terms = weights.select("term").distinct()
+    numbered = terms.withColumn("i", F.row_number().over(Window.orderBy("term")) - 1)  # max_features rows at most
+    size = terms.count()
+
+    @F.pandas_udf("array<double>")
+    def dense(at: pd.Series, w: pd.Series) -> pd.Series:
+        out = []
+        for i, x in zip(at, w):
+            v = np.zeros(size)
+            if i is not None:
+                v[np.asarray(i, int)] = x
+            out.append(v)
+        return pd.Series(out)
+
+    held = weights.join(F.broadcast(numbered), "term").groupBy(key).agg(F.collect_list(F.struct("i", "w")).alias("t"))
+    both = rows.select(key).join(held, key, "left")
+    return both.select(key, dense(F.col("t.i"), F.col("t.w")).alias("embedding")), "tfidf"

@@ -340,6 +340,26 @@ def test_embedding_cache(spark):
     assert {r["k"]: r["embedding"] for r in found.collect()} == {1: [9.0], 2: [6000.0], 3: [0.0]}
 
 
+def test_embedding_falls_back_to_tfidf(spark):
+    """A model that fails in a task gives way to TF-IDF for all rows, whose products are those of the long form."""
+    from chronoloom.sources import web
+
+    texts = ["red fox jumps", "red fox sleeps", "blue whale", "", None, "whale fox fox"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    found, backend = web.embed_or_tfidf(rows, "k", "t", lambda text: F.array(F.length(text).cast("double")), D.settle)
+    assert backend == "model" and {r["k"]: r["embedding"] for r in found.collect()} == {i: [float(len(t or ""))] for i, t in enumerate(texts)}
+    broken = lambda text: F.array(F.raise_error(F.concat(F.lit("no model for "), text)).cast("double"))
+    found, backend = web.embed_or_tfidf(rows, "k", "t", broken, D.settle, min_df=1, max_df=0.9)
+    vectors = {r["k"]: np.array(r["embedding"]) for r in found.collect()}
+    assert backend == "tfidf" and set(vectors) == set(range(6)) and not vectors[3].any() and not vectors[4].any()
+    long = {}
+    for r in V.tfidf(rows, "k", "t", 1, 0.9).collect():
+        long.setdefault(r["k"], {})[r["term"]] = r["w"]
+    for a in range(6):
+        for b in range(6):
+            assert vectors[a] @ vectors[b] == pytest.approx(sum(w * long.get(b, {}).get(term, 0.0) for term, w in long.get(a, {}).items()))
+
+
 def test_student_tail():
     assert N.student_tail(2.0, 10) == pytest.approx(0.07338803, abs=1e-7)
     assert N.student_tail(0.0, 5) == 1.0
