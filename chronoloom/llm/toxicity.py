@@ -1,14 +1,14 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-The vocabulary is what tells the labels apart on the training rows (chi-square over document frequencies); a text's
-vector is the TF-IDF of its vocabulary terms, of unit length.  The index keeps postings by term, cut in blocks of
-neighbouring examples, and the largest weight of each term in each block.  A query sums the block maxima to bounds,
-visits blocks from the highest bound down and stops when a bound is below the k-th best cosine: no example that could
-enter the k best is left out.  The k nearest vote with the weight 1 / (distance + SOFT), the vote is calibrated on the
-training rows by leaving each out in turn, and the neighbours are the evidence.
-
-A text without a term of that vocabulary goes to the nearest examples by all their terms, with document frequencies over
-all documents: an index without pruning, since cosines of whole texts are too close to each other for bounds to tell.
+A text's vector has all its terms that an example has, with (1 + log count) * idf * (FLOOR + association) as weight and
+unit length; idf counts all documents, association is the phi coefficient of term and label on the examples, so words that tell
+the labels apart weigh most and no word is left out.  Without labels of both kinds it is the plain TF-IDF.
+
+Examples are ordered by label and cluster and cut in blocks.  Of terms that many examples have, the index keeps the largest
+weight in each block and the weights of a block as a matrix; of the others, postings.  A query sums its postings, adds the
+block maxima of its common terms to an upper bound for each block, visits blocks from the highest bound down and leaves out those
+whose bound is below the k-th best cosine: no example that could enter the k best is lost.  The k nearest vote with the
+weight 1 / (distance + SOFT), the vote is calibrated on the examples, each judged by the others, and the neighbours are the evidence.
 """
 
 from __future__ import annotations
@@ -16,75 +16,121 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod, doc_columns, read_table, settle, texts_of
 
-#: Labelled rows that training takes at most: those with the smallest hash of their id, the same in every run.
-TRAIN_ROWS = 12_000
-#: Vocabulary: terms at most, document frequency at least, chi-square at least.
-TERMS, LEAST_DF, LEAST_CHI2 = 512, 5, 40.0
-#: Neighbours, examples in a block, softening of distances, steps of the calibration, vectors that a worker keeps.
-K, BLOCK, SOFT, STEPS, KEPT = 15, 64, 0.05, 10, 200_000
-#: A term in one of so many examples or more is a row of a matrix, not a list of postings; texts that are multiplied at once.
-DENSE, AT_ONCE = 16, 64
+#: What training takes at most: labelled rows, those with the smallest hash of their id, and different terms of all of them together.
+TRAIN_ROWS, TRAIN_TERMS = 12_000, 6_000_000
+#: Weight of a term that says nothing about labels, beside an association of 0 to 1.
+FLOOR = 0.02
+#: Neighbours, examples in a block, softening of distances, steps of the calibration.
+K, BLOCK, SOFT, STEPS = 15, 16, 0.05, 20
+#: A term in one of so many examples or more is common; texts that are looked up at once; blocks a text visits in the first rounds.
+DENSE, AT_ONCE, ROUNDS = 16, 128, (4, 16)
+#: Clusters that order the examples, by so many of the commonest terms, in so many rounds.
+CLUSTERS, CLUSTER_TERMS, CLUSTER_ROUNDS = 64, 512, 4
 #: A term: a run of letters.
 _terms = re.compile(r"[^\W\d_]+").findall
 
 
 class BlockMaxIndex:
-    """examples: term -> count of each; labels: 0 or 1; df: of each vocabulary term over the training rows."""
-
-    def __init__(self, vocabulary: list[str], df: list[int], n: int, examples: list[dict[str, int]], ids: list[int], labels: list[int]):
-        self.place = {t: i for i, t in enumerate(vocabulary)}
-        self.idf = np.log((1 + n) / (1 + np.array(df, float))) + 1
-        self.ids, self.labels = np.array(ids, np.int64), np.array(labels, float)
-        blocks = -(-len(ids) // BLOCK)
-        postings: list[list[tuple[int, float]]] = [[] for _ in vocabulary]
-        for d, counts in enumerate(examples):
-            terms, weights = self.vector(counts)
-            for t, w in zip(terms.tolist(), weights.tolist()):
-                postings[t].append((d, w))
-        self.docs = [np.array([d for d, _ in p], np.int64) for p in postings]
-        self.weights = [np.array([w for _, w in p]) for p in postings]
-        self.starts = [np.searchsorted(d, np.arange(blocks + 1) * BLOCK) for d in self.docs]
-        self.most = np.zeros((len(vocabulary), blocks))
-        for t, (d, w) in enumerate(zip(self.docs, self.weights)):
-            np.maximum.at(self.most[t], d // BLOCK, w)
-        self.calibration = np.full(STEPS + 2, 0.5)
-        self.whole: WholeIndex | None = None
+    """place: number of each term; scale: its weight; ends, codes, counts: the terms of example d are codes[ends[d]:ends[d + 1]]; ids, labels: of the examples.
+
+    Examples are numbered in the order of their blocks.  The index is sent as these counts, and each worker builds postings and matrices from them once.
+    """
+
+    def __init__(self, place: dict[str, int], scale: np.ndarray, ends: np.ndarray, codes: np.ndarray, counts: np.ndarray, ids: np.ndarray, labels: np.ndarray):
+        self.place, self.scale, self.ends, self.codes, self.counts, self.ids, self.labels = place, scale, ends, codes, counts, ids, labels
+        self.size, self.blocks = len(ids), -(-len(ids) // BLOCK)
+        self.visited = self.met = 0  # blocks whose cosines were taken, of all that queries met
+        self.matrix: np.ndarray | None = None
+
+    def __reduce__(self):
+        terms = sorted(self.place, key=self.place.__getitem__)
+        small = [x.astype(np.min_scalar_type(int(x.max(initial=0)))) for x in (self.ends, self.codes, self.counts)]
+        return _unpacked, (terms, self.scale, *small, self.ids, self.labels)
+
+    def build(self) -> BlockMaxIndex:
+        if self.matrix is not None or not self.size:
+            return self
+        row = np.repeat(np.arange(self.size, dtype=np.int32), np.diff(self.ends))
+        own = (1 + np.log(self.counts)) * self.scale[self.codes]
+        own /= np.sqrt(np.bincount(row, own * own, self.size))[row]
+        total = np.bincount(self.codes, minlength=len(self.place))
+        common = np.nonzero(total * DENSE > self.size)[0]
+        self.row = np.full(len(self.place), -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        at = self.row[self.codes]
+        wide, few = at >= 0, at < 0
+        self.matrix = np.zeros((self.blocks, len(common), BLOCK))
+        self.matrix[row[wide] // BLOCK, at[wide], row[wide] % BLOCK] = own[wide]
+        self.most = self.matrix.max(axis=2).T.copy()
+        order = np.argsort(self.codes[few], kind="stable")
+        self.docs, self.weights = row[few][order], own[few][order]
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(self.codes[few], minlength=len(self.place)))])
+        return self
 
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         known = sorted((self.place[t], c) for t, c in counts.items() if t in self.place)
-        if not known:
-            return np.empty(0, np.int64), np.empty(0)
-        terms, c = np.array([t for t, _ in known]), np.array([c for _, c in known], float)
-        w = (1 + np.log(c)) * self.idf[terms]
-        return terms, w / np.sqrt(w @ w)
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = K, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k examples nearest to a vector (cosine over 0, ties to the earlier example)."""
-        bounds = weights @ self.most[terms] if len(terms) else np.zeros(self.most.shape[1])
-        docs, cosines = np.empty(0, np.int64), np.empty(0)
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or len(docs) == k and bounds[b] < cosines[-1] - 1e-12:
-                break
-            sums = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), weights.tolist()):
-                s, e = self.starts[t][b], self.starts[t][b + 1]
-                if e > s:
-                    sums[self.docs[t][s:e] - b * BLOCK] += w * self.weights[t][s:e]
-            hit = np.nonzero(sums > 0)[0]
-            hit = hit[hit + b * BLOCK != without]
-            docs, cosines = np.concatenate([docs, hit + b * BLOCK]), np.concatenate([cosines, sums[hit]])
-            top = np.lexsort((docs, -np.round(cosines, 12)))[:k]
-            docs, cosines = docs[top], cosines[top]
-        return docs, cosines
+        return self._unit(np.array([t for t, _ in known], np.int64), np.array([c for _, c in known], float))
+
+    def example(self, d: int) -> tuple[np.ndarray, np.ndarray]:
+        s, e = self.ends[d], self.ends[d + 1]
+        return self._unit(self.codes[s:e].astype(np.int64), self.counts[s:e].astype(float))
+
+    def _unit(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(counts)) * self.scale[terms]
+        return terms, w / np.sqrt(w @ w) if len(w) else w
+
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = K, without: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of each vector, places and cosines of the k nearest examples (cosine over 0, ties to the smaller id, then place)."""
+        self.build()
+        for at in range(0, len(vectors), AT_ONCE):
+            yield from self._nearest(vectors[at : at + AT_ONCE], k, None if without is None else without[at : at + AT_ONCE])
+
+    def _nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if not self.size:
+            yield from ((np.empty(0, np.int64), np.empty(0)) for _ in vectors)
+            return
+        n = len(vectors)
+        left, few = np.zeros((n, self.matrix.shape[1])), np.zeros((n, self.blocks * BLOCK))
+        for i, (terms, w) in enumerate(vectors):
+            row = self.row[terms]
+            left[i, row[row >= 0]] = w[row >= 0]
+            terms, w = terms[row < 0], w[row < 0]
+            sizes = self.starts[terms + 1] - self.starts[terms]
+            where = np.arange(sizes.sum()) + np.repeat(self.starts[terms] - np.cumsum(sizes) + sizes, sizes)
+            few[i] = np.bincount(self.docs[where], self.weights[where] * np.repeat(w, sizes), few.shape[1])
+        bounds = left @ self.most + few.reshape(n, self.blocks, BLOCK).max(axis=2) + 1e-9
+        cosines, floor = np.full(few.shape, -1.0), np.full(n, 1e-9)
+        for most in (*ROUNDS, self.blocks):
+            wanted = bounds > np.maximum(floor, 2e-9)[:, None]
+            if most < self.blocks:
+                last = np.partition(bounds, -most, axis=1)[:, -most]
+                wanted &= bounds >= last[:, None]
+            for b in np.nonzero(wanted.any(axis=0))[0].tolist():
+                rows, span = np.nonzero(wanted[:, b])[0], slice(b * BLOCK, (b + 1) * BLOCK)
+                cosines[rows, span] = few[rows, span] + left[rows] @ self.matrix[b]
+            bounds[wanted] = -1
+            self.visited += int(wanted.sum())
+            if without is not None:
+                cosines[np.arange(n), without] = -1
+            if cosines.shape[1] > k:
+                floor = np.partition(cosines, -k, axis=1)[:, -k]
+        self.met += bounds.size
+        for i in range(n):
+            docs = np.nonzero(cosines[i] >= max(1e-12, floor[i] - 1e-11))[0]
+            found = np.round(cosines[i, docs], 12)
+            docs = docs[np.lexsort((docs, self.ids[docs], -found))[:k]]
+            yield docs, cosines[i, docs]
 
     def vote(self, docs: np.ndarray, cosines: np.ndarray) -> int:
         """The step of the weighted share of label 1 among the neighbours; the last step if there is none."""
@@ -93,13 +139,18 @@ class BlockMaxIndex:
         w = 1 / (np.maximum(0.0, 1 - cosines) + SOFT)
         return int(round(STEPS * float(w @ self.labels[docs]) / float(w.sum())))
 
-    def calibrate(self, examples: list[dict[str, int]]) -> None:
-        """Share of label 1 by step of the vote, each training row judged by the others."""
-        steps = []
-        for d, counts in enumerate(examples):
-            terms, weights = self.vector(counts)
-            steps.append(self.vote(*self.nearest(terms, weights, without=d)) if len(terms) else STEPS + 1)
-        self.calibration = rising(steps, self.labels, self.labels)
+
+def _unpacked(terms: list[str], scale: np.ndarray, ends: np.ndarray, codes: np.ndarray, counts: np.ndarray, ids: np.ndarray, labels: np.ndarray) -> BlockMaxIndex:
+    return BlockMaxIndex({t: i for i, t in enumerate(terms)}, scale, ends.astype(np.int64), codes.astype(np.int32), counts.astype(np.int32), ids, labels)
+
+
+@dataclass
+class Model:
+    """The index, as it was sent to the workers (None without examples), and the calibrated score by step of the vote."""
+
+    index: BlockMaxIndex
+    sent: Broadcast | None
+    calibration: np.ndarray
 
 
 def rising(steps: list[int], labels: np.ndarray, all_labels: np.ndarray) -> np.ndarray:
@@ -121,86 +172,12 @@ def rising(steps: list[int], labels: np.ndarray, all_labels: np.ndarray) -> np.n
     return np.array([*shares, none])
 
 
-class WholeIndex:
-    """All terms of the examples, with their places.  ends, codes, counts: the terms of example d are codes[ends[d]:ends[d + 1]]; df: of each term over all n documents.
-
-    It is sent as these counts, a tenth of its size, and each worker builds its postings and matrix from them once.
-    """
-
-    def __init__(self, place: dict[str, int], df: np.ndarray, n: int, ends: np.ndarray, codes: np.ndarray, counts: np.ndarray, calibration: np.ndarray | None = None):
-        self.place = place
-        self.df, self.n, self.counts = df, n, counts
-        self.idf = np.log((1 + n) / (1 + df.astype(float))) + 1
-        self.size = len(ends) - 1
-        row = np.repeat(np.arange(self.size, dtype=np.int32), np.diff(ends))
-        w = (1 + np.log(counts.astype(float))) * self.idf[codes]
-        w /= np.sqrt(np.bincount(row, w * w, self.size))[row]
-        self.ends, self.codes, self.own = ends, codes, w  # for the calibration
-        order = np.argsort(codes, kind="stable")
-        self.docs, self.weights = row[order], w[order]
-        self.starts = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(place)))]).astype(np.int64)
-        common = np.nonzero(np.diff(self.starts) * DENSE > self.size)[0]
-        self.row = np.full(len(place), -1, np.int64)
-        self.row[common] = np.arange(len(common))
-        self.matrix = np.zeros((len(common), self.size))
-        for i, t in enumerate(common.tolist()):
-            s, e = self.starts[t], self.starts[t + 1]
-            self.matrix[i, self.docs[s:e]] = self.weights[s:e]
-        self.calibration = np.full(STEPS + 2, 0.5) if calibration is None else calibration
-
-    def __reduce__(self):
-        terms = sorted(self.place, key=self.place.__getitem__)
-        small = [x.astype(np.min_scalar_type(int(x.max(initial=0)))) for x in (self.df, self.ends, self.codes, self.counts)]
-        return _unpacked, (terms, small[0], self.n, *small[1:], self.calibration)
-
-    def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        known = sorted((self.place[t], c) for t, c in counts.items() if t in self.place)
-        terms, c = np.array([t for t, _ in known], np.int64), np.array([c for _, c in known], float)
-        w = (1 + np.log(c)) * self.idf[terms]
-        return terms, w / np.sqrt(w @ w) if len(w) else w
-
-    def bare(self, d: int) -> tuple[np.ndarray, np.ndarray]:
-        """The vector of an example."""
-        s, e = self.ends[d], self.ends[d + 1]
-        return self.codes[s:e], self.own[s:e]
-
-    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = K, without: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Of each vector, places and cosines of the k nearest examples (cosine over 0, ties to the earlier example)."""
-        for at in range(0, len(vectors), AT_ONCE):
-            part = vectors[at : at + AT_ONCE]
-            left = np.zeros((len(part), len(self.matrix)))
-            for i, (terms, w) in enumerate(part):
-                row = self.row[terms]
-                left[i, row[row >= 0]] = w[row >= 0]
-            sums = left @ self.matrix
-            for i, (terms, w) in enumerate(part):
-                few = self.row[terms] < 0
-                terms, w = terms[few], w[few]
-                if len(terms):
-                    starts, sizes = self.starts[terms], self.starts[terms + 1] - self.starts[terms]
-                    where = np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
-                    sums[i] += np.bincount(self.docs[where], self.weights[where] * np.repeat(w, sizes), self.size)
-                if without is not None:
-                    sums[i, without[at + i]] = 0
-                cosines = np.round(sums[i], 12)
-                docs = np.nonzero(cosines >= max(1e-12, np.partition(cosines, -k)[-k] if len(cosines) > k else 0))[0]
-                docs = docs[np.lexsort((docs, -cosines[docs]))[:k]]
-                yield docs, sums[i, docs]
-
-
-def _unpacked(terms: list[str], df: np.ndarray, n: int, ends: np.ndarray, codes: np.ndarray, counts: np.ndarray, calibration: np.ndarray) -> WholeIndex:
-    return WholeIndex({t: i for i, t in enumerate(terms)}, df.astype(np.int64), n, ends.astype(np.int64), codes.astype(np.int32), counts.astype(np.int32), calibration)
-
-
 def _counts(text: str, place: dict[str, int]) -> dict[str, int]:
     words = _terms(text.lower())
-    known = place.keys() & words
-    if not known:
-        return {}
-    return Counter(filter(known.__contains__, words))
+    return Counter(filter(place.__contains__, words))
 
 
-def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> BlockMaxIndex:
+def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS, most_terms: int = TRAIN_TERMS) -> Model:
     """docs: doc_id, text.  labels: doc_id, label (0 or 1; other values and nulls are passed over; of several the largest counts).
 
     Equal texts count once.  Without labels every score is a half.
@@ -216,30 +193,32 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> BlockM
             yield pa.record_batch([batch.column("doc_id"), batch.column("label").cast(pa.int32()), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], ["doc_id", "label", "terms", "counts"])
 
     bags = settle(rows.mapInArrow(work, "doc_id long, label int, terms array<string>, counts array<int>"), "bags")
-    n, ones = bags.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
-    df = bags.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("label").alias("a")).where(F.col("df") >= LEAST_DF)
-    a, b = F.col("a").cast("double"), (F.col("df") - F.col("a")).cast("double")
-    c, d = F.lit(float(ones)) - a, F.lit(float(n - ones)) - b
-    chi2 = F.try_divide(F.lit(float(n)) * (a * d - b * c) * (a * d - b * c), (a + b) * (c + d) * (a + c) * (b + d))
-    terms = df.withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "term").limit(TERMS).collect()
-    vocabulary = [t["term"] for t in terms]
-    kept = bags.select("doc_id", "label", F.filter(F.arrays_zip("terms", "counts"), lambda x: x["terms"].isin(vocabulary)).alias("bag")).orderBy("doc_id", "label").collect()
-    examples = [{x["terms"]: x["counts"] for x in r["bag"]} for r in kept]
-    index = BlockMaxIndex(vocabulary, [t["df"] for t in terms], n, examples, [r["doc_id"] for r in kept], [r["label"] for r in kept])
-    if kept:
-        index.calibrate(examples)
-        index.whole = _whole(docs, bags)
-        rest = [d for d, bag in enumerate(examples) if not bag]  # the training rows that go there
-        whole, places = index.whole, np.array(rest, np.int64)
-        found = whole.nearest([whole.bare(d) for d in rest], without=rest)
-        whole.calibration = rising([index.vote(*x) for x in found], index.labels[places], index.labels)
-        whole.own = whole.docs = whole.weights = whole.matrix = None  # what is sent is built from the counts
-    return index
-
-
-def _whole(docs: DataFrame, bags: DataFrame) -> WholeIndex:
-    """The index over all terms of the training rows, in the order of their ids and labels."""
-    table = bags.orderBy("doc_id", "label").select("terms", "counts").toArrow()  # TRAIN_ROWS rows at most
+    bags = bags.where(F.size("terms") > 0).withColumn("place", F.xxhash64("doc_id"))
+    sizes = bags.select("place", "doc_id", "label", F.size("terms").alias("size")).orderBy("place", "doc_id", "label").toPandas()  # limit rows of four numbers
+    fit = sizes[sizes["size"].cumsum() <= most_terms]
+    if fit.empty:
+        return Model(BlockMaxIndex({}, np.empty(0), np.zeros(1, np.int64), np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0)), None, np.full(STEPS + 2, 0.5))
+    index = _index(docs, bags.where(F.col("place") <= int(fit["place"].max())))
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(index)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The vote of the other examples on each."""
+        own = sent.value
+        for batch in batches:
+            places = batch.column("id").to_pylist()
+            steps = [own.vote(*found) for found in own.nearest([own.example(d) for d in places], without=places)]
+            yield pa.record_batch([batch.column("id"), pa.array(steps, pa.int32())], ["id", "step"])
+
+    votes = spark.range(0, index.size, 1, max(1, index.size // 512)).mapInArrow(judge, "id long, step int").toArrow()
+    labels = index.labels[votes["id"].to_numpy()]
+    return Model(index, sent, rising(votes["step"].to_pylist(), labels, labels))
+
+
+def _index(docs: DataFrame, bags: DataFrame) -> BlockMaxIndex:
+    """The index over all terms of the examples."""
+    table = bags.orderBy("doc_id", "label").select("doc_id", "label", "terms", "counts").toArrow()  # TRAIN_TERMS terms at most
+    ids, labels = table["doc_id"].to_numpy(), table["label"].to_numpy().astype(float)
     lists = table["terms"].combine_chunks()
     ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]).astype(np.int64)
     coded = pc.dictionary_encode(lists.flatten())
@@ -261,56 +240,68 @@ def _whole(docs: DataFrame, bags: DataFrame) -> WholeIndex:
             yield pa.record_batch([pa.array(some[at : at + (1 << 16)]), pa.array(df[some[at : at + (1 << 16)]])], ["term", "df"])
 
     found = doc_columns(docs, "text").mapInArrow(work, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
-    df = np.zeros(len(place) + 1, np.int64)
+    sent.destroy()
+    df = np.zeros(len(place) + 1)
     df[found["term"].to_numpy()] = found["df"].to_numpy()
-    return WholeIndex(place, df[:-1], int(df[-1]), ends, codes, counts)
-
-
-def score_documents(docs: DataFrame, index: BlockMaxIndex, evidence: int = 3) -> DataFrame:
+    row = np.repeat(np.arange(len(ids)), np.diff(ends))
+    scale = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * (FLOOR + association(codes, labels[row], len(place), labels))
+    order = clustered(row, codes, counts, scale, labels)
+    sizes = np.diff(ends)[order]
+    moved = np.concatenate([[0], np.cumsum(sizes)])
+    where = np.arange(len(codes)) + np.repeat(ends[order] - moved[:-1], sizes)
+    return BlockMaxIndex(place, scale, moved, codes[where], counts[where], ids[order], labels[order])
+
+
+def association(codes: np.ndarray, label: np.ndarray, terms: int, labels: np.ndarray) -> np.ndarray:
+    """Size of the phi coefficient of having a term and of the label, over the examples; 0 where one of them doesn't vary."""
+    n, ones = float(len(labels)), float(labels.sum())
+    both, seen = np.bincount(codes, label, terms), np.bincount(codes, minlength=terms).astype(float)
+    spread = np.sqrt(seen * (n - seen) * ones * (n - ones))
+    return np.divide(np.abs(n * both - seen * ones), spread, out=np.zeros(terms), where=spread > 0)
+
+
+def clustered(row: np.ndarray, codes: np.ndarray, counts: np.ndarray, scale: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """The examples by label and cluster, so that those of a block are alike: rounds of means of unit vectors, from centres evenly spaced."""
+    size = len(labels)
+    common = np.argsort(-np.bincount(codes, minlength=len(scale)), kind="stable")[:CLUSTER_TERMS]
+    at = np.full(len(scale), -1)
+    at[common] = np.arange(len(common))
+    held = at[codes] >= 0
+    vectors = np.zeros((size, len(common)), np.float32)
+    vectors[row[held], at[codes[held]]] = (1 + np.log(counts[held])) * scale[codes[held]]
+    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+    centres = vectors[np.linspace(0, size - 1, min(CLUSTERS, size)).astype(int)]
+    for _ in range(CLUSTER_ROUNDS):
+        near = np.argmax(vectors @ centres.T, axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, vectors)
+        centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+    cosines = vectors @ centres.T
+    near = np.argmax(cosines, axis=1)
+    return np.lexsort((-cosines[np.arange(size), near], near, labels))
+
+
+def score_documents(docs: DataFrame, model: Model, evidence: int = 3) -> DataFrame:
     """doc_id, score, evidence (the nearest examples: doc_id, label, cosine) of every row (doc_id, text).
 
-    Null texts count as empty; texts without a vocabulary term are scored by the whole index, and texts without any term of
-    an example have no evidence and the calibrated share of such texts.
+    Null texts count as empty; texts without a term of any example have no evidence and the calibrated score of such texts.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(index)
+    index_sent, calibration = model.sent, model.calibration
+    kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
-        memo: dict[tuple, tuple] = {}
-
-        def judged(docs: np.ndarray, cosines: np.ndarray, calibration: np.ndarray) -> tuple:
-            seen = [{"doc_id": int(own.ids[d]), "label": int(own.labels[d]), "cosine": float(c)} for d, c in zip(docs[:evidence].tolist(), cosines.tolist())]
-            return float(calibration[own.vote(docs, cosines)]), seen
-
+        own = None if index_sent is None else index_sent.value
         for batch in batches:
-            got: list[tuple | None] = []
-            rest: dict[str, list[int]] = {}
-            for i, text in enumerate(texts_of(batch)):
-                counts = _counts(text, own.place)
-                if not counts:
-                    got.append((float(own.calibration[-1]), []))
-                    if own.whole is not None:
-                        rest.setdefault(text, []).append(i)
-                    continue
-                key = tuple(sorted(counts.items()))
-                if key not in memo:
-                    found = judged(*own.nearest(*own.vector(counts)), own.calibration)
-                    if len(memo) < KEPT:
-                        memo[key] = found
-                else:
-                    found = memo[key]
-                got.append(found)
-            texts = list(rest)
-            for at in range(0, len(texts), AT_ONCE):
-                part = texts[at : at + AT_ONCE]
-                vectors = [own.whole.vector(_counts(x, own.whole.place)) for x in part]
-                for text, near in zip(part, own.whole.nearest(vectors)):
-                    found = judged(*near, own.whole.calibration)
-                    for i in rest[text]:
-                        got[i] = found
-            scores, nearest = [g[0] for g in got], [g[1] for g in got]
-            kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
-            yield pa.record_batch([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(nearest, kind)], ["doc_id", "score", "evidence"])
+            texts = texts_of(batch)
+            found: dict[str, tuple] = {}
+            different = list(dict.fromkeys(texts)) if own else []
+            for at in range(0, len(different), AT_ONCE):
+                part = different[at : at + AT_ONCE]
+                for text, (places, cosines) in zip(part, own.nearest([own.vector(_counts(x, own.place)) for x in part])):
+                    seen = [{"doc_id": int(own.ids[d]), "label": int(own.labels[d]), "cosine": float(c)} for d, c in zip(places[:evidence].tolist(), cosines.tolist())]
+                    found[text] = float(calibration[own.vote(places, cosines)]), seen
+            got = [found.get(x, (float(calibration[-1]), [])) for x in texts]
+            yield pa.record_batch([batch.column("doc_id"), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], kind)], ["doc_id", "score", "evidence"])
 
     rows = doc_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
     return rows.mapInArrow(work, "doc_id long, score double, evidence array<struct<doc_id: long, label: int, cosine: double>>")
@@ -319,6 +310,6 @@ def score_documents(docs: DataFrame, index: BlockMaxIndex, evidence: int = 3) ->
 def op2_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted and evidence of every row; null texts count as empty, rows without an id are not held out."""
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
-    index = train(docs, labels.where(crc_mod(F.col("doc_id"), 5) != 0).select("doc_id", F.col("toxic").alias("label")))
+    model = train(docs, labels.where(crc_mod(F.col("doc_id"), 5) != 0).select("doc_id", F.col("toxic").alias("label")))
     held = F.coalesce(crc_mod(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out")
-    return score_documents(docs, index).select("doc_id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+    return score_documents(docs, model).select("doc_id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")

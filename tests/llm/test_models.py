@@ -47,50 +47,96 @@ def test_odd_texts_have_scores(spark):
     assert quality.score_documents(docs.limit(0), model).count() == toxicity.score_documents(docs.limit(0), index).count() == 0
 
 
-def test_nearest_is_brute_force(spark):
+def by_hand(docs, labels, k=toxicity.K):
+    """Score and neighbours of every text in plain numpy: documents in one dense matrix, no blocks."""
+    bags = {i: toxicity.Counter(toxicity._terms((t or "").lower())) for i, t in docs}
+    first = {}
+    for i, label in sorted(labels):  # equal texts with equal labels count once
+        first.setdefault((dict(docs)[i] or "", label), i)
+    ids = sorted(i for i in first.values() if bags[i])
+    label = dict(labels)
+    y = np.array([label[i] for i in ids], float)
+    terms = sorted({t for i in ids for t in bags[i]})
+    has = np.array([[t in bags[i] for t in terms] for i in ids], float)
+    df = np.array([sum(t in b for b in bags.values()) for t in terms])
+    phi = np.array([0 if len(set(x)) == 1 or len(set(y)) == 1 else abs(np.corrcoef(x, y)[0, 1]) for x in has.T])
+    scale = (np.log((1 + len(docs)) / (1 + df)) + 1) * (toxicity.FLOOR + phi)
+
+    def vector(bag):
+        w = np.array([1 + np.log(bag[t]) if bag[t] else 0 for t in terms]) * scale
+        return w / max(np.sqrt(w @ w), 1e-300)
+
+    examples = np.array([vector(bags[i]) for i in ids])
+
+    def nearest(v, without=None):
+        cosines = sorted((-round(float(c), 12), i, n) for n, (c, i) in enumerate(zip(examples @ v, ids)) if n != without)
+        return [(-c, i, n) for c, i, n in cosines[:k] if c < 0]
+
+    def step(near):
+        if not near:
+            return toxicity.STEPS + 1
+        w = [1 / (max(0.0, 1 - c) + toxicity.SOFT) for c, _, _ in near]
+        return int(round(toxicity.STEPS * sum(x for x, (_, _, n) in zip(w, near) if y[n]) / sum(w)))
+
+    calibration = toxicity.rising([step(nearest(v, n)) for n, v in enumerate(examples)], y, y)
+    found = {i: nearest(vector(b)) for i, b in bags.items()}
+    return {i: (calibration[step(near)], [x[1] for x in near], [x[0] for x in near]) for i, near in found.items()}
+
+
+def lettered(rows):
+    return [(i, t and "".join(chr(ord(c) + 49) if c.isdigit() else c for c in t)) for i, t in rows]  # terms are letters
+
+
+@pytest.mark.parametrize("marked", [True, False])
+def test_scores_and_evidence_are_brute_force(spark, marked):
     rows, labels = labelled()
-    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, label int")
-    index = toxicity.train(docs, marks)
-    assert {"nasty", "vile"} & set(index.place)
-    dense = np.zeros((len(index.ids), len(index.place)))
-    for t in range(len(index.place)):
-        dense[index.docs[t], t] = index.weights[t]
-    rng = np.random.default_rng(3)
-    for _ in range(50):
-        terms = np.sort(rng.choice(len(index.place), rng.integers(1, len(index.place) + 1), replace=False))
-        w = rng.random(len(terms)) + 0.1
-        w /= np.sqrt(w @ w)
-        got, cosines = index.nearest(terms, w, 5)
-        all_cosines = dense[:, terms] @ w
-        order = np.lexsort((np.arange(len(all_cosines)), -np.round(all_cosines, 12)))[:5]
-        order = order[all_cosines[order] > 0]
-        assert got.tolist() == order.tolist() and np.allclose(cosines, all_cosines[order])
-
-
-def test_texts_without_a_marking_word_have_the_nearest_by_all_terms(spark):
+    if not marked:
+        labels = [(i, 0) for i, _ in labels]
+    rows += [(500, rows[3][1]), (501, rows[4][1])]
+    labels += [(500, labels[3][1]), (501, labels[4][1])]
+    extra = [(1000 + i, t + " w1 w2") for i, t in rows[1:60:2]] + [(2000, "zz unseen"), (2001, None), (2002, "w1 w2 w3"), (2003, "vile " * 3000), (2004, "12 34")]
+    rows = lettered(rows + extra)
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, label int"))
+    expected = by_hand(rows, labels)
+    got = toxicity.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), model, evidence=toxicity.K).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        score, ids, cosines = expected[r["doc_id"]]
+        assert [e["doc_id"] for e in r["evidence"]] == ids, r["doc_id"]
+        assert np.allclose([e["cosine"] for e in r["evidence"]], cosines) and r["score"] == pytest.approx(score)
+
+
+def test_blocks_are_left_out_and_no_neighbour_is_lost():
+    rng = np.random.default_rng(5)
+    size, terms = 900, 60
+    group = rng.integers(0, 6, size)  # groups of texts have words of their own, and rare ones beside
+    bags = [sorted({*(g * 8 + rng.integers(0, 8, 5)).tolist(), *rng.integers(48, terms, 2).tolist()}) for g in group]
+    ends = np.concatenate([[0], np.cumsum([len(b) for b in bags])])
+    codes, labels = np.concatenate(bags), (group == 0).astype(float)
+    row, counts, scale = np.repeat(np.arange(size), np.diff(ends)), rng.integers(1, 9, len(codes)), rng.random(terms) + 0.1
+    order = toxicity.clustered(row, codes, counts, scale, labels)
+    assert sorted(order.tolist()) == list(range(size))
+    moved = np.concatenate([[0], np.cumsum(np.diff(ends)[order])])
+    where = np.concatenate([np.arange(ends[d], ends[d + 1]) for d in order])
+    index = toxicity.BlockMaxIndex({str(t): t for t in range(terms)}, scale, moved, codes[where], counts[where], order, labels[order])
+    dense = np.zeros((size, terms))
+    for d in range(size):
+        at, w = index.example(d)
+        dense[d, at] = w
+    queries = [index.example(d) for d in range(0, size, 5)]
+    for (at, w), (docs, cosines) in zip(queries, index.nearest(queries, 7)):
+        all_cosines = np.round(dense[:, at] @ w, 12)
+        expected = [d for d in np.lexsort((index.ids, -all_cosines)).tolist()[:7] if all_cosines[d] > 0]
+        assert docs.tolist() == expected and np.allclose(cosines, all_cosines[expected])
+    assert index.visited < 0.5 * index.met
+
+
+def test_training_keeps_within_its_terms(spark):
     rows, labels = labelled()
-    rows = [(i, t.replace("w1 ", "w1 rare ") if i % 7 == 0 else t) for i, t in rows] + [(1000 + i, t) for i, t in rows[1:20:4]] + [(2000, "zz unseen"), (2001, None), (2002, "w1 w2 w3 w4 w5 w6")]
-    rows = [(i, t and "".join(chr(ord(c) + 49) if c.isdigit() else c for c in t)) for i, t in rows]  # terms are letters
-    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, label int")
-    index = toxicity.train(docs, marks)
-    texts = dict(rows)
-    bags = {i: toxicity.Counter(toxicity._terms((t or "").lower())) for i, t in texts.items()}
-    terms = sorted({t for i, _ in labels for t in bags[i]})
-    df = np.array([sum(t in b for b in bags.values()) for t in terms])
-    whole = {}
-    for i, b in bags.items():
-        w = np.array([1 + np.log(b[t]) if b[t] else 0 for t in terms]) * (np.log((1 + len(bags)) / (1 + df)) + 1)
-        whole[i] = w / max(np.sqrt(w @ w), 1e-300)
-    seen = 0
-    for r in toxicity.score_documents(docs, index).collect():
-        if index.place.keys() & bags[r["doc_id"]]:
-            continue
-        cosines = [(-round(float(whole[r["doc_id"]] @ whole[i]), 12), i) for i in index.ids.tolist()]
-        expected = [(i, -c) for c, i in sorted(cosines)[:3] if c < 0]
-        assert [e["doc_id"] for e in r["evidence"]] == [i for i, _ in expected]
-        assert np.allclose([e["cosine"] for e in r["evidence"]], [c for _, c in expected])
-        seen += len(expected) > 0
-    assert seen > 100
+    docs, marks = spark.createDataFrame(lettered(rows), "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, label int")
+    model = toxicity.train(docs, marks, most_terms=500)
+    assert 400 < len(model.index.codes) <= 500 and toxicity.train(docs, marks, most_terms=0).sent is None
+    assert toxicity.train(docs, marks, limit=40).index.size == 40
 
 
 def held_out(spark, query, column, modulus, value):
