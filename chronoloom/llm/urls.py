@@ -104,7 +104,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url")
     """
     depths = sorted({len(p) for _, _, p in rules}) or [1]
     host, path = host_of(F.col("__url")), path_of(F.col("__url"))
-    keyed = pages.withColumn("__url", F.col(url).cast("string")).withColumn("host", host).withColumn("path", path)
+    # the row is kept in one column, so that no name of its own can clash
+    keyed = pages.select(F.struct(*(pages[c] for c in pages.columns)).alias("row"), pages[url].cast("string").alias("__url")).withColumn("host", host).withColumn("path", path)
     keyed = keyed.withColumn("__keys", F.when(F.col("host") != "", rule_keys(F.col("host"), F.col("path"), depths)).otherwise(F.array().cast("array<string>")))
     spark = pages.sparkSession
     universe = doc_columns(pages, url).select(F.col(url).cast("string").alias("u")).select(host_of(F.col("u")).alias("h"), path_of(F.col("u")).alias("p")).where("h <> ''").select(F.explode(rule_keys(F.col("h"), F.col("p"), depths)).alias("key")).distinct()
@@ -119,7 +120,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url")
     blocks = F.col("__block").isNotNull() & (F.col("__allow").isNull() | (F.length("__block") > F.length("__allow")))
     judged = judged.withColumn("rule", F.when(blocks, F.col("__block")).otherwise(F.col("__allow")))
     judged = judged.withColumn("verdict", F.when(blocks, F.lit("block")).otherwise(F.lit("allow")))
-    return judged.drop("__url", "__keys", "__block", "__allow")
+    found = ["host", "path", "rule", "verdict"]
+    own = [F.col(c) if c in found else F.col("row").getField(c).alias(c) for c in pages.columns]
+    return judged.select(*own, *(c for c in found if c not in pages.columns))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

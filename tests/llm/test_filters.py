@@ -229,3 +229,10 @@ def test_topk_prunes_vectors_of_spread_lengths(spread, most):
         scores = x @ q
         assert sorted(found)[:10] == [(int(-scores[i]), int(i)) for i in np.lexsort((ids, -scores))[:10]]
     assert verified / (10 * 30000) <= most
+
+
+def test_columns_of_any_name_stay(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/x", 5, "k", "old"), (2, None, 6, None, None)], "page_id long, url string, __keys int, `row` string, verdict string")
+    found = urls.judge(pages, urls.RULES)
+    assert found.columns == ["page_id", "url", "__keys", "row", "verdict", "host", "path", "rule"]
+    assert [tuple(r) for r in found.orderBy("page_id").collect()] == [(1, "http://a.net/x", 5, "k", "block", "a.net", "/x", "net/"), (2, None, 6, None, "allow", "", "", None)]
