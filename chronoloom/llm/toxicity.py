@@ -33,8 +33,8 @@ TRAIN_ROWS, TRAIN_TERMS = 12_000, 6_000_000
 FLOOR = 0.02
 #: Neighbours, examples in a block, softening of distances, steps of the calibration.
 K, BLOCK, SOFT, STEPS = 15, 16, 0.05, 20
-#: A term in one of so many examples or more is common; texts that are looked up at once; blocks a text visits in the first rounds.
-DENSE, AT_ONCE, ROUNDS = 16, 128, (4, 16)
+#: A term in one of so many examples or more is common; texts that are looked up at once; blocks a text visits in the first round.
+DENSE, AT_ONCE, FIRST = 16, 128, 16
 #: Clusters that order the examples, by so many of the commonest terms, in so many rounds.
 CLUSTERS, CLUSTER_TERMS, CLUSTER_ROUNDS = 64, 512, 4
 #: A term: a run of letters.
@@ -79,8 +79,10 @@ class BlockMaxIndex:
         return self
 
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        known = sorted((self.place[t], c) for t, c in counts.items() if t in self.place)
-        return self._unit(np.array([t for t, _ in known], np.int64), np.array([c for _, c in known], float))
+        known = [t for t in counts if t in self.place]
+        terms = np.fromiter(map(self.place.__getitem__, known), np.int64, len(known))
+        order = np.argsort(terms)
+        return self._unit(terms[order], np.fromiter(map(counts.__getitem__, known), float, len(known))[order])
 
     def example(self, d: int) -> tuple[np.ndarray, np.ndarray]:
         s, e = self.ends[d], self.ends[d + 1]
@@ -111,7 +113,7 @@ class BlockMaxIndex:
             few[i] = np.bincount(self.docs[where], self.weights[where] * np.repeat(w, sizes), few.shape[1])
         bounds = left @ self.most + few.reshape(n, self.blocks, BLOCK).max(axis=2) + 1e-9
         cosines, floor = np.full(few.shape, -1.0), np.full(n, 1e-9)
-        for most in (*ROUNDS, self.blocks):
+        for most in (FIRST, self.blocks):
             wanted = bounds > np.maximum(floor, 2e-9)[:, None]
             if most < self.blocks:
                 last = np.partition(bounds, -most, axis=1)[:, -most]
@@ -172,11 +174,6 @@ def rising(steps: list[int], labels: np.ndarray, all_labels: np.ndarray) -> np.n
     return np.array([*shares, none])
 
 
-def _counts(text: str, place: dict[str, int]) -> dict[str, int]:
-    words = _terms(text.lower())
-    return Counter(filter(place.__contains__, words))
-
-
 def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS, most_terms: int = TRAIN_TERMS) -> Model:
     """docs: doc_id, text.  labels: doc_id, label (0 or 1; other values and nulls are passed over; of several the largest counts).
 
@@ -297,7 +294,7 @@ def score_documents(docs: DataFrame, model: Model, evidence: int = 3) -> DataFra
             different = list(dict.fromkeys(texts)) if own else []
             for at in range(0, len(different), AT_ONCE):
                 part = different[at : at + AT_ONCE]
-                for text, (places, cosines) in zip(part, own.nearest([own.vector(_counts(x, own.place)) for x in part])):
+                for text, (places, cosines) in zip(part, own.nearest([own.vector(Counter(_terms(x.lower()))) for x in part])):
                     seen = [{"doc_id": int(own.ids[d]), "label": int(own.labels[d]), "cosine": float(c)} for d, c in zip(places[:evidence].tolist(), cosines.tolist())]
                     found[text] = float(calibration[own.vote(places, cosines)]), seen
             got = [found.get(x, (float(calibration[-1]), [])) for x in texts]
