@@ -63,6 +63,22 @@ def test_places_are_a_total_order(spark):
     assert placed == {v: i + 1 for i, v in enumerate(sorted(values))}
 
 
+def test_ranges_are_cut_once(spark):
+    """Enough rows that ranges come from a sample, and columns that only one reader of the ranges needs."""
+    n = 60000
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(n).select(F.col("id"), ((F.col("id") * 7919) % n).alias("v"), F.concat_ws("-", "id", "id").alias("more")).repartition(8)
+        found = C.places(rows, [F.asc("v")])
+        assert found.where(f"place = v + 1 and v = (id * 7919) % {n} and more is not null").count() == found.count() == n
+        sums = C.running_sums(rows, [F.asc("v")], ["v"])
+        assert sums.where("place = v + 1 and sum_v = v * (v + 1) div 2").count() == sums.count() == n
+        tests = rows.select("id", (F.col("v") / (20 * n)).alias("p"))  # p (rank - 1) / 20 n: all are discoveries
+        assert N.benjamini_hochberg(tests, "p").where("discovery").count() == n
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def vectors(spark, n=60, seed=5):
     rng = np.random.default_rng(seed)
     rows = [(i, np.round(rng.normal(size=4), 1).tolist(), int(rng.integers(1700, 1760))) for i in range(n)]
