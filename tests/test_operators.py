@@ -447,6 +447,24 @@ def test_spread_of_runs_is_that_of_draws(spark):
     assert found[1] == (0.0, 0.0)
 
 
+@pytest.mark.parametrize("margin", [6.0, -1.5])
+def test_each_trial_has_its_own_order(spark, margin):
+    """Every community's draws are the first of each trial's order of all books, whatever the margin leaves to be sorted."""
+    from hashlib import md5
+
+    years = {i: 1700 + i * i % 97 for i in range(90)}
+    labels = {i: "a" if i % 9 == 0 else "b" if i % 3 else "c" for i in years}
+    members = spark.createDataFrame([(i, labels[i], y) for i, y in years.items()], "book_id long, label string, year int")
+    expected = {}
+    for n in {sum(x == y for y in labels.values()) for x in "abc"}:
+        drawn = [np.std([years[i] for i in sorted(years, key=lambda i: md5(f"42:{t}:{i}".encode()).hexdigest())[:n]]) for t in range(40)]
+        expected[n] = (np.mean(drawn), np.std(drawn))
+    for r in N.concentration(members, 40).collect():
+        assert r["z"] == pytest.approx((r["sigma"] - expected[r["n"]][0]) / expected[r["n"]][1])
+    found = N.ordered_spread(members, spark.createDataFrame([(n,) for n in expected], "n long"), 40, 42, margin)
+    assert {r["n"]: pytest.approx((r["mean"], r["sd"])) for r in found.collect()} == expected
+
+
 def test_a_figure_is_drawn_whole_or_not_at_all(spark, monkeypatch):
     from chronoloom.sources import pages
 
