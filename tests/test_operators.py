@@ -133,6 +133,17 @@ def test_lifetimes_are_the_yearly_graphs(spark, block):
         assert {(r["src"], r["dst"]) for r in lives if r["start"] <= t and (r["stop"] is None or t < r["stop"])} == expected
 
 
+def test_what_is_moved_grows_with_groups(spark):
+    """A block is copied once for each group on either side, however many blocks there are, and all of its rows are compared."""
+    rows, table = vectors(spark, 900, 3)
+    blocks = K._blocks(table, "id", "v", None, 9, K._kth(2), D.settle)
+    heads = K._heads(blocks)
+    met = K._meetings(blocks, heads, lambda q, c: K.pd.DataFrame({"q": [len(q)], "c": [len(c)], "pairs": [sum(len(x.ids) for x in q) * sum(len(x.ids) for x in c)]}), "q int, c int, pairs long").collect()
+    assert len(heads) > 2 * K.GROUPS and max(max(r["q"], r["c"]) for r in met) <= K.HELD
+    assert sum(r["pairs"] for r in met) == 900 * 900
+    assert sum(r["q"] + r["c"] for r in met) == 2 * len(heads) * max(K.GROUPS, -(-len(heads) // K.HELD))
+
+
 def links(spark, seed=1, n=30, m=60):
     rng = random.Random(seed)
     pairs = sorted({tuple(sorted(rng.sample(range(n), 2))) for _ in range(m)})
