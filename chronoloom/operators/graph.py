@@ -83,17 +83,20 @@ def recurring_members(communities: DataFrame, jaccard: float = 0.5, least: int =
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
         groups: list[list] = []
+        holders: dict[int, list[int]] = {}  # groups in which a node was, so that only those that may share one are asked
         for _, of_seed in rows.groupby("seed", sort=True):
             for community, m in of_seed.groupby("community", sort=True):
                 own = set(m["node"].tolist())
                 if len(own) < least:
                     continue
-                for g in groups:
+                for g in map(groups.__getitem__, sorted({at for x in own for at in holders.get(x, ())})):
                     if len(own & g[0]) / len(own | g[0]) >= jaccard:
                         g[0] &= own
                         break
                 else:
                     g = [own, []]
+                    for x in own:
+                        holders.setdefault(x, []).append(len(groups))
                     groups.append(g)
                 g[1].append((int(m["run"].iloc[0]), int(community)))
         found = [(float(rows["resolution"].iloc[0]), place, ",".join(map(str, sorted(core))), len(held), run, community) for place, (core, held) in enumerate(groups) for run, community in held]

@@ -223,6 +223,36 @@ def test_communities_by_moves(spark):
     assert M.louvain(table.limit(0), settings, D.settle).count() == 0
 
 
+def test_graphs_dealt_to_tasks_move_alike(spark, monkeypatch):
+    """Many graphs, each in a task, get the communities of the joins, to the node; also where some are over the bound; no round runs over all of them."""
+    rng = random.Random(6)
+    graphs = {}
+    for run, (n, groups, inside, across) in enumerate([(90, 6, 0.5, 0.02), (60, 3, 0.3, 0.05), (70, 70, 0.0, 0.06), (12, 2, 1.0, 0.0), (50, 5, 0.6, 0.1), (2, 1, 1.0, 0.0)]):
+        graphs[run] = [(7 * a - 100, 7 * b - 100) for a in range(n) for b in range(a + 1, n) if rng.random() < (inside if a % groups == b % groups else across)]
+    table = spark.createDataFrame([(run, a, b) for run, pairs in graphs.items() for a, b in pairs], "run long, a long, b long")
+    settings = spark.createDataFrame([(run, 1.0 + run / 4, 40 + run) for run in graphs], "run long, resolution double, seed int")
+    rows = lambda found: {(r["run"], r["node"]): r["community"] for r in found.collect()}
+    expected = rows(M.louvain(table, settings, D.settle))
+    assert rows(M.louvain_of_many(table, settings, D.settle, whole=sorted(map(len, graphs.values()))[3])) == expected
+    monkeypatch.setattr(M, "louvain", None)
+    assert rows(M.louvain_of_many(table, settings, D.settle)) == expected
+    assert M.louvain_of_many(table.limit(0), settings, D.settle).count() == 0
+
+
+def test_spans_of_years_are_the_yearly_graphs(spark):
+    """Yearly communities made a span at a time against those by joins, with timelines of their own, years without books and open ends."""
+    rng = random.Random(3)
+    lives = [(g, a, b, s, rng.choice([None, s + rng.randint(1, 9)])) for g in (0, 3) for a in range(40) for b in rng.sample(range(40), 3) for s in [rng.randint(-5, 12)]]
+    table = spark.createDataFrame(lives, "g int, src long, dst long, start int, stop int")
+    years = spark.createDataFrame([(y,) for y in range(-5, 16) if y % 5], "year int")
+    rows = lambda found: sorted(map(tuple, found.select("g", "snapshot", "label", "book_id").collect()))
+    expected = rows(L.snapshot_communities(table, years, D.settle, by="g", whole=0))
+    assert expected and rows(L.snapshot_communities(table, years, D.settle, by="g")) == expected
+    assert rows(L.snapshot_communities(table, years, D.settle, by="g", whole=150)) == expected
+    alone = L.snapshot_communities(table.where("g = 3").drop("g"), years, D.settle).collect()
+    assert sorted((3, r["snapshot"], r["label"], r["book_id"]) for r in alone) == [r for r in expected if r[0] == 3]
+
+
 def test_overlap_join(spark):
     sets = {1: {"x", "y"}, 2: {"y", "z", "w"}, 3: {"y"}, 4: {"q"}, 5: {"x", "y", "z", "w"}}
     table = spark.createDataFrame([(k, m) for k, ms in sets.items() for m in ms], "k long, m string")
