@@ -111,32 +111,80 @@ def recurring(communities: DataFrame, seeds: int, share: float = 0.6) -> DataFra
     return groups.select("resolution", "core", F.size(F.split("core", ",")).alias("size"), "seeds_seen", (F.col("seeds_seen") >= share * seeds).alias("stable"))
 
 
-def overlap_candidates(sets: DataFrame, key: str, member: str, least: float) -> tuple[DataFrame, DataFrame]:
-    """Rows of arrays (key, members from the rarest on, n), and the pairs small, large of keys that can share `least` of the smaller set.
+#: Members of a set that are carried along with each of them at most.
+WIDE = 64
 
-    A set of n members shares ceil(least n) or more with a larger one, so one of its rarest n - ceil(least n) + 1 is
-    shared: only these are asked for.  The first shared member must leave enough members behind it on both sides.
+
+def numbered(sets: DataFrame, key: str, member: str, cut) -> DataFrame:
+    """k and m, a number for each different member, of every row.  cut: stores a table, so that the numbers stay."""
+    rows = sets.select(F.col(key).alias("k"), F.col(member).alias("member"))
+    numbers = cut(rows.select("member").distinct().withColumn("m", F.monotonically_increasing_id()))
+    return rows.join(numbers, "member").select("k", "m")
+
+
+def shared_pairs(sets: DataFrame, key: str, member: str, cut) -> DataFrame:
+    """src, dst of every two keys that share a member, both ways, each once; sets: distinct rows of key and member.
+
+    A row carries its whole set, so a pair is told at the smallest shared member and no list of pairs is moved to find those
+    that repeat.  Only pairs with a set of more than WIDE members are.
     """
+    rows = numbered(sets, key, member, cut).groupBy("k").agg(F.array_sort(F.collect_list("m")).alias("ms"))
+    rows = cut(rows)
+    wide = F.size("ms") > WIDE
+    side = lambda of, k, ms: of.select(F.col("k").alias(k), *([F.col("ms").alias(ms)] if ms else []), F.explode("ms").alias("m"))
+    narrow = rows.where(~wide)
+    both = side(narrow, "src", "x").join(side(narrow, "dst", "y"), "m").where("src <> dst")
+    found = both.where(F.get(F.array_intersect("x", "y"), F.lit(0)) == F.col("m")).select("src", "dst")
+    large = rows.where(wide)
+    if large.isEmpty():
+        return found
+    others = side(large, "src", None).join(side(rows, "dst", None), "m").unionByName(side(narrow, "src", None).join(side(large, "dst", None), "m"))
+    return found.unionByName(others.where("src <> dst").select("src", "dst").distinct())
+
+
+def _rarest_first(sets: DataFrame, key: str, member: str) -> DataFrame:
+    """k, ms (the members, from the rarest on), n."""
     often = sets.groupBy(member).agg(F.count("*").alias("often"))
     rows = sets.join(often, member).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("often", F.col(member).alias("m")))).alias("ms"))
-    rows = rows.select(F.col(key).alias("k"), F.transform("ms", lambda x: x["m"]).alias("ms"), F.size("ms").alias("n"))
+    return rows.select(F.col(key).alias("k"), F.transform("ms", lambda x: x["m"]).alias("ms"), F.size("ms").alias("n"))
+
+
+def _meeting(smaller: DataFrame, larger: DataFrame, least: float, carry: bool) -> DataFrame:
+    """m, small, large, ns (and, carried along, x and y, their members) where a rare member of a smaller set is held by a larger one."""
     need = F.ceil(F.lit(least) * F.col("n") - 1e-9).cast("int")
-    asked = rows.select(F.col("k").alias("small"), F.col("n").alias("ns"), need.alias("need"), F.posexplode(F.slice("ms", F.lit(1), F.greatest(F.col("n") - need + 1, F.lit(1)))).alias("ps", "m"))
-    held = rows.select(F.col("k").alias("large"), F.col("n").alias("nl"), F.posexplode("ms").alias("pl", "m"))
+    own = lambda name: [F.col("ms").alias(name)] if carry else []
+    asked = smaller.select(F.col("k").alias("small"), F.col("n").alias("ns"), *own("x"), need.alias("need"), F.posexplode(F.slice("ms", F.lit(1), F.greatest(F.col("n") - need + 1, F.lit(1)))).alias("ps", "m"))
+    held = larger.select(F.col("k").alias("large"), F.col("n").alias("nl"), *own("y"), F.posexplode("ms").alias("pl", "m"))
     order = F.struct(F.col("ns").alias("n"), F.col("small").alias("k")) < F.struct(F.col("nl").alias("n"), F.col("large").alias("k"))
     enough = F.least(F.col("ns") - F.col("ps"), F.col("nl") - F.col("pl")) >= F.col("need")
-    return rows, asked.join(held, "m").where(order & enough).select("small", "large").distinct()
+    return asked.join(held, "m").where(order & enough)
+
+
+def overlap_candidates(sets: DataFrame, key: str, member: str, least: float) -> tuple[DataFrame, DataFrame]:
+    """Rows of arrays (key, members from the rarest on, n), and the pairs small, large of keys that can share `least` of the smaller set.
+
+    A set of n members shares ceil(least n) or more with a larger one, so one of its rarest n - ceil(least n) + 1 is
+    shared: only these are asked for.  The first shared member must leave enough members behind it on both sides.
+    """
+    rows = _rarest_first(sets, key, member)
+    return rows, _meeting(rows, rows, least, False).select("small", "large").distinct()
 
 
 def overlaps(sets: DataFrame, key: str, member: str, cut, least: float = 0.5) -> DataFrame:
     """a < b, shared, overlap: |A and B| / min(|A|, |B|) of the sets (distinct rows of key and member) that share a member, where that is least (over 0) or more.
 
     Candidates come from the rarest members of the smaller set, so a member that most sets hold asks for nothing unless a set
-    has no rarer one.  cut: stores a table and reads it again.
+    has no rarer one.  Both carry their members, so a pair is decided where they meet, at the first member they share; only where
+    the larger set has more than WIDE members are candidates listed first.  cut: stores a table and reads it again.
     """
-    rows, pairs = overlap_candidates(sets, key, member, least)
-    pairs = cut(pairs)
-    side = lambda name, ms: rows.select(F.col("k").alias(name), F.col("ms").alias(ms), F.col("n").alias(f"n{ms}"))
-    both = pairs.join(side("small", "x"), "small").join(side("large", "y"), "large").withColumn("shared", F.size(F.array_intersect("x", "y")).cast("long"))
-    found = both.withColumn("overlap", F.col("shared") / F.col("nx")).where((F.col("shared") > 0) & (F.col("overlap") >= least))
+    rows = cut(_rarest_first(numbered(sets, key, member, cut), "k", "m"))
+    narrow, wide = rows.where(F.col("n") <= WIDE), rows.where(F.col("n") > WIDE)
+    both = _meeting(narrow, narrow, least, True).withColumn("shared", F.array_intersect("x", "y")).where(F.get("shared", F.lit(0)) == F.col("m"))
+    found = both.select("small", "large", "ns", F.size("shared").cast("long").alias("shared"))
+    if not wide.isEmpty():
+        pairs = cut(_meeting(rows, wide, least, False).select("small", "large").distinct())
+        side = lambda name, ms: rows.select(F.col("k").alias(name), F.col("ms").alias(ms), F.col("n").alias("ns" if ms == "x" else "nl"))
+        listed = pairs.join(side("small", "x"), "small").join(side("large", "y"), "large")
+        found = found.unionByName(listed.select("small", "large", "ns", F.size(F.array_intersect("x", "y")).cast("long").alias("shared")))
+    found = found.withColumn("overlap", F.col("shared") / F.col("ns")).where((F.col("shared") > 0) & (F.col("overlap") >= least))
     return found.select(F.least("small", "large").alias("a"), F.greatest("small", "large").alias("b"), "shared", "overlap")

@@ -270,6 +270,23 @@ def test_overlap_join(spark):
     assert G.overlap_candidates(part, "k", "m", 0.5)[1].count() < len(larger) * (len(larger) - 1) / 4
 
 
+@pytest.mark.parametrize("wide", [64, 4, 0])
+def test_pairs_of_sets_are_told_where_they_meet(spark, monkeypatch, wide):
+    """Pairs that share several members come once, without a list of pairs being moved, and so do those of sets too large to be carried."""
+    rng = random.Random(7)
+    sets = {k: {"hot", *(f"m{rng.randrange(20)}" for _ in range(rng.randint(0, 9)))} - ({"hot"} if k % 3 else set()) for k in range(60)}
+    table = spark.createDataFrame([(k, m) for k, ms in sets.items() for m in ms], "k long, m string").withColumnRenamed("m", "name")
+    monkeypatch.setattr(G, "WIDE", wide)
+    pairs = [tuple(r) for r in G.shared_pairs(table, "k", "name", D.settle).collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == {(a, b) for a in sets for b in sets if a != b and sets[a] & sets[b]}
+    for least in (0.3, 1.0):
+        expected = sorted((a, b, len(sets[a] & sets[b])) for a in sets for b in sets if a < b and sets[a] & sets[b] and len(sets[a] & sets[b]) / min(len(sets[a]), len(sets[b])) >= least)
+        assert sorted((r["a"], r["b"], r["shared"]) for r in G.overlaps(table, "k", "name", D.settle, least).collect()) == expected
+    if wide == 64:
+        plan = G.shared_pairs(table, "k", "name", D.settle)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate" not in plan  # nothing gathers pairs to drop those that repeat
+
+
 def test_lineage_events(spark):
     """Two communities merge in the third year; the corpus of three groups has a birth for each."""
     rows = [(1, "a", 1), (2, "a", 1), (3, "a", 1), (4, "b", 1), (5, "b", 1), (6, "b", 1)]
