@@ -353,6 +353,28 @@ def test_sparse_detrending_is_the_dense_one(spark):
         assert r["cosine"] == pytest.approx(float(x[r["from_id"]] @ x[r["to_id"]]), abs=1e-9)
 
 
+def test_pairs_meet_short_rows(spark):
+    """Products and weights from a row for each document are those of a row for each term; no row for each term and pair is joined."""
+    rng = random.Random(11)
+    texts = [(i, " ".join(rng.choice(["ab", "cd", "ef", "gh", "ij", "kl", "mn"][: 2 + i % 6]) for _ in range(rng.randint(0, 30)))) for i in range(40)] + [(40, None), (41, "zz zz")]
+    docs = spark.createDataFrame(texts, "id long, text string")
+    pairs = spark.createDataFrame([(i, j) for i in range(42) for j in range(0, 43, 5) if i != j], "from_id long, to_id long")
+    weights = D.settle(V.tfidf(docs, "id", "text", 3, 0.9, 5))
+    vectors, idf = V.term_vectors(docs, "id", "text", D.settle, 3, 0.9, 5)
+    rows = lambda df: {(r[0], r[1]): pytest.approx(r[2], abs=1e-12) for r in df.collect()}
+    found = V.vector_products(vectors, idf, pairs, "id")
+    expected = rows(V.sparse_products(weights, pairs, "id"))
+    assert len(expected) > 100 and {(r[0], r[1]): r[2] for r in found.collect()} == expected
+    assert sorted((r["id"], round(r["w"], 9)) for r in V.weights_of(vectors, idf, "id").collect()) == sorted((r["id"], round(r["w"], 9)) for r in weights.collect())
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    apart = spark.createDataFrame([(i, "ab ab" if i < 9 else "cd") for i in range(18)], "id long, text string")
+    apart, own = V.term_vectors(apart, "id", "text", D.settle, 3, 0.9, 5)
+    few = spark.range(2001).selectExpr("IF(id < 2000, 1, 10) AS from_id", "11L AS to_id").coalesce(1)  # whole batches that share nothing
+    assert [r["dot"] for r in V.vector_products(apart, own, few, "id").collect()] == [pytest.approx(1.0)]
+    none, idf = V.term_vectors(docs.limit(0), "id", "text", D.settle)
+    assert V.vector_products(none, idf, pairs, "id").count() == 0
+
+
 def test_json_sources_and_resume(spark, tmp_path):
     (tmp_path / "b.json").write_text('{"books": [{"title": "A", "genres": ["x"]}, {"title": "B"}]}')
     assert [r["title"] for r in D.read_json_document(spark, str(tmp_path / "b.json"), "books", D.BOOK).collect()] == ["A", "B"]
