@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from .common import bytes_of, doc_columns, join_counted, read_table, runs, settle
 
 WORDS, LEAST, SUBSUMED, TOP = 3, 10, 50, 2000
-#: Words of a shard (a text is never cut, so one may have more), bytes of text split at a time, hashes of a slice on average, and parts
-#: of a language that are ranked apart before the whole is.
-SHARD, CHUNK, SLICE, PARTS = 1 << 20, 1 << 22, 1 << 17, 64
+#: Words of a shard (a text is never cut, so one may have more), bytes of text split at a time, hashes of a slice on average, parts
+#: of a language that are ranked apart before the whole is, and bytes of a shard that a row brings to a worker.
+SHARD, CHUNK, SLICE, PARTS, PIECE = 1 << 20, 1 << 22, 1 << 17, 64, 1 << 11
 #: A-Z to a-z, what ends a piece to a full stop.
 _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz.........")
 _ROLL = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -52,29 +52,35 @@ class Automaton:
 
     def __init__(self, tokens: np.ndarray, depth: int):
         self.tokens = tokens
-        ends = np.nonzero(tokens)[0]
+        ends = np.nonzero(tokens)[0].astype(np.int32)  # a shard has under 2^31 places
         back = [tokens[ends]]
         for k in range(1, depth):
-            word = np.where(ends >= k, tokens[ends - k], 0)
-            back.append(np.where(back[-1] > 0, word, 0))
+            word = tokens[ends - k]
+            word[(ends < k) | (back[-1] == 0)] = 0
+            back.append(word)
         bits = int(tokens.max(initial=0)).bit_length()
         if bits * depth <= 63:
             key = np.zeros(len(ends), np.int64)
             for b in back:
-                key = key << bits | b
-            order = np.argsort(key)
+                key <<= bits
+                key |= b
+            order = np.argsort(key).astype(np.int32)
+            del key
         else:
-            order = np.lexsort(back[::-1])
+            order = np.lexsort(back[::-1]).astype(np.int32)
         new = np.zeros(len(ends), bool)
         new[:1] = True
-        length, count, end, link = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [np.full(1, -1)]
-        state = np.zeros(len(ends), np.int64)  # of each place, the state of its phrase of the depth reached
+        length, count, end, link = ([np.full(1, x, np.int32)] for x in (0, 0, 0, -1))
+        state = np.zeros(len(ends), np.int32)  # of each place, the state of its phrase of the depth reached
         made = 1
         for k, b in enumerate(back, 1):
             b = b[order]
             new[1:] |= b[1:] != b[:-1]
-            first = np.nonzero(new & (b > 0))[0]
-            size = np.diff(np.append(np.nonzero(new)[0], len(ends)))[np.searchsorted(np.nonzero(new)[0], first)]
+            runs_at = np.nonzero(new)[0].astype(np.int32)
+            there = b[runs_at] > 0
+            first = runs_at[there]
+            size = np.diff(np.append(runs_at, np.int32(len(ends))))[there]
+            del runs_at
             up = state[first]
             whole = np.concatenate(count)
             grown = (whole[up] == size) & (up > 0)  # the same places: the state's longest phrase is longer by a word
@@ -82,9 +88,9 @@ class Automaton:
             lengths[up[grown]] = k
             fresh = np.nonzero(~grown)[0]
             own = up.copy()
-            own[fresh] = made + np.arange(len(fresh))
+            own[fresh] = made + np.arange(len(fresh), dtype=np.int32)
             made += len(fresh)
-            length, count = [lengths, np.full(len(fresh), k)], [whole, size[fresh]]
+            length, count = [lengths, np.full(len(fresh), k, np.int32)], [whole, size[fresh]]
             end.append(ends[order[first[fresh]]])
             link.append(up[fresh])
             alive = b > 0
@@ -99,7 +105,7 @@ class Automaton:
 
 
 def shards(docs: DataFrame, size: int = SHARD) -> DataFrame:
-    """docs: lang, text.  shard, lang, words (different ones), tokens (32-bit numbers from 1 of these, 0 between pieces), n (words)."""
+    """docs: lang, text.  shard, lang, words (different ones, a line each), tokens (32-bit numbers from 1 of these, 0 between pieces), n (words)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId() << 32, 0
@@ -111,7 +117,7 @@ def shards(docs: DataFrame, size: int = SHARD) -> DataFrame:
             nonlocal made
             tokens = np.concatenate(parts.pop(lang))
             made += 1
-            words = pa.array([list(numbers.pop(lang))], pa.list_(pa.binary()))
+            words = pa.array([b"\n".join(numbers.pop(lang))], pa.binary())
             return pa.record_batch([pa.array([part + made - 1]), pa.array([lang]), words, pa.array([tokens.tobytes()], pa.binary()), pa.array([int(np.count_nonzero(tokens))])], names)
 
         def add(lang: str, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
@@ -137,14 +143,14 @@ def shards(docs: DataFrame, size: int = SHARD) -> DataFrame:
             yield full(lang)
 
     rows = doc_columns(docs, "lang", "text").select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    return rows.mapInArrow(work, "shard long, lang string, words array<binary>, tokens binary, n long")
+    return rows.mapInArrow(work, "shard long, lang string, words binary, tokens binary, n long")
 
 
 class _Shard:
     """The phrases of a shard that may reach the least count, by length."""
 
     def __init__(self, lang: str, words: list[bytes], tokens: bytes, frequent: np.ndarray | None):
-        self.words, self.tokens, self.frequent = words, np.frombuffer(tokens, np.int32).astype(np.int64), frequent
+        self.words, self.tokens, self.frequent = words, np.frombuffer(tokens, np.int32), frequent
         own = xxhash.xxh64_intdigest(lang.encode())
         self.hash = np.fromiter((xxhash.xxh64_intdigest(w, own) for w in [b"", *words]), np.uint64, len(words) + 1)
 
@@ -163,7 +169,7 @@ class _Shard:
             ends = ends[self.chosen(ends, size - 1)]
             for k in range(size - 1):
                 ok[ends - k] = True
-            tokens = np.where(ok, tokens, 0)
+            tokens = np.where(ok, tokens, np.int32(0))
         return Automaton(tokens, size)
 
     def ends(self, size: int) -> np.ndarray:
@@ -171,7 +177,7 @@ class _Shard:
         for k in range(1, size):
             inside[k:] &= self.tokens[:-k] > 0
             inside[:k] = False
-        return np.nonzero(inside)[0]
+        return np.nonzero(inside)[0].astype(np.int32)
 
     def chosen(self, ends: np.ndarray, size: int) -> np.ndarray:
         return np.isin(self.hashes(ends, size), self.frequent, kind="sort")
@@ -189,33 +195,52 @@ class _Shard:
         return ends[keep], counts[keep]
 
 
-def _shards_of(batch: pa.RecordBatch) -> Iterator[tuple[int, str, _Shard]]:
-    for k in range(batch.num_rows):
-        own = batch.slice(k, 1)
-        frequent = None
-        if "frequent" in batch.schema.names:
-            found = own.column("frequent")[0].as_py() or []
-            frequent = np.sort(np.frombuffer(b"".join(found), np.uint64))
-        lang = own.column("lang")[0].as_py()
-        yield own.column("shard")[0].as_py(), lang, _Shard(lang, own.column("words")[0].as_py(), own.column("tokens")[0].as_py(), frequent)
+def _pieces(stored: DataFrame, hashes: DataFrame | None = None) -> DataFrame:
+    """shard, lang, at, kind (0: words, 1: tokens, 2: hashes), data: shards in rows of PIECE bytes and hashes by slice, a shard's one after the other.
 
-
-def _hashed(found: DataFrame, sizes: list[int], slices: int) -> DataFrame:
+    A task streams such rows, so no batch or sort holds shards whole, however many come to one part.
+    """
+    words, tokens, at = F.ceil(F.length("words") / PIECE).cast("int"), F.ceil(F.length("tokens") / PIECE).cast("int"), F.col("at")
+    rows = stored.select("shard", "lang", "words", "tokens", words.alias("parts"), F.explode(F.sequence(F.lit(0), words + tokens - 1)).alias("at"))
+    data = F.when(at < F.col("parts"), F.substring("words", at * PIECE + 1, F.lit(PIECE))).otherwise(F.substring("tokens", (at - F.col("parts")) * PIECE + 1, F.lit(PIECE)))
+    rows = rows.select("shard", "lang", "at", (at >= F.col("parts")).cast("int").alias("kind"), data.alias("data"))
+    if hashes is None:
+        return rows  # a shard is one stored row, so its pieces are in one task
+    last = hashes.select("shard", F.lit(None).cast("string").alias("lang"), F.lit((1 << 31) - 1).alias("at"), F.lit(2).alias("kind"), F.col("hashes").alias("data"))
+    return rows.unionByName(last).repartition("shard").sortWithinPartitions("shard", "at")
+
+
+def _shards_of(batches: Iterator[pa.RecordBatch], known: bool) -> Iterator[tuple[int, str, _Shard]]:
+    """The shards of _pieces(); known: with their frequent hashes."""
+    for table in runs(batches, ["shard"]):
+        at = table["shard"].to_numpy()
+        first = np.append(np.nonzero(np.append(True, at[1:] != at[:-1]))[0], len(at)).tolist()
+        for s, e in zip(first[:-1], first[1:]):
+            own = table.slice(s, e - s)
+            ends = np.searchsorted(own["kind"].to_numpy(), [0, 1, 2, 3]).tolist()
+            words, tokens, hashes = (b"".join(own["data"].slice(lo, hi - lo).to_pylist()) for lo, hi in zip(ends[:-1], ends[1:]))
+            lang = own["lang"][0].as_py()
+            yield int(at[s]), lang, _Shard(lang, words.split(b"\n") if words else [], tokens, np.sort(np.frombuffer(hashes, np.uint64)) if known else None)
+
+
+def _hashed(found: DataFrame, sizes: list[int], slices: int, known: bool) -> DataFrame:
     """slice, shard, hashes, counts of the phrases of these sizes that may reach the least count."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for shard, _, own in _shards_of(batch):
-                both = [own.counted(size, False) for size in sizes]
-                h = np.concatenate([own.hashes(ends, size) for (ends, _), size in zip(both, sizes)])
-                n = np.concatenate([counts for _, counts in both])
-                order = np.argsort(h)
-                h, n = h[order], n[order].astype(np.uint32)
-                at = (h >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)
-                first = np.append(np.nonzero(np.append(True, at[1:] != at[:-1]))[0], len(h)) if len(h) else np.zeros(1, int)
-                rows = [(int(at[s]), shard, h[s:e].tobytes(), n[s:e].tobytes()) for s, e in zip(first[:-1].tolist(), first[1:].tolist())]
-                if rows:
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["slice", "shard", "hashes", "counts"])
+        for shard, _, own in _shards_of(batches, known):
+            h, n = [], []
+            for size in sizes:
+                ends, counts = own.counted(size, False)
+                h.append(own.hashes(ends, size))
+                n.append(counts.astype(np.uint32))
+            h, n = np.concatenate(h), np.concatenate(n)
+            order = np.argsort(h)
+            h, n = h[order], n[order]
+            at = (h >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)
+            first = np.append(np.nonzero(np.append(True, at[1:] != at[:-1]))[0], len(h)) if len(h) else np.zeros(1, int)
+            rows = [(int(at[s]), shard, h[s:e].tobytes(), n[s:e].tobytes()) for s, e in zip(first[:-1].tolist(), first[1:].tolist())]
+            if rows:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["slice", "shard", "hashes", "counts"])
 
     return found.mapInArrow(work, "slice long, shard long, hashes binary, counts binary")
 
@@ -245,16 +270,15 @@ def _spelled(found: DataFrame, longest: int) -> DataFrame:
     """lang, words, phrase, f of each shard's phrases: the frequent ones, and of the longest those made of frequent ones."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, lang, own in _shards_of(batch):
-                words = pa.array([b"", *own.words], pa.binary())
-                for size in range(1, longest + 1):
-                    ends, counts = own.counted(size, size < max(longest, 3))
-                    for s in range(0, len(ends), 1 << 17):
-                        part = ends[s : s + (1 << 17)]
-                        text = pc.binary_join_element_wise(*(words.take(pa.array(own.tokens[part - k])) for k in range(size - 1, -1, -1)), b" ")
-                        n = len(part)
-                        yield pa.record_batch([pa.array([lang] * n), pa.array(np.full(n, size, np.int32)), text.cast(pa.string()), pa.array(counts[s : s + (1 << 17)].astype(np.int64))], ["lang", "words", "phrase", "f"])
+        for _, lang, own in _shards_of(batches, True):
+            words = pa.array([b"", *own.words], pa.binary())
+            for size in range(1, longest + 1):
+                ends, counts = own.counted(size, size < max(longest, 3))
+                for s in range(0, len(ends), 1 << 15):
+                    part = ends[s : s + (1 << 15)]
+                    text = pc.binary_join_element_wise(*(words.take(pa.array(own.tokens[part - k])) for k in range(size - 1, -1, -1)), b" ")
+                    n = len(part)
+                    yield pa.record_batch([pa.array([lang] * n), pa.array(np.full(n, size, np.int32)), text.cast(pa.string()), pa.array(counts[s : s + (1 << 15)].astype(np.int64))], ["lang", "words", "phrase", "f"])
 
     return found.mapInArrow(work, "lang string, words int, phrase string, f long")
 
@@ -265,14 +289,10 @@ def phrase_counts(docs: DataFrame, longest: int = WORDS, least: int = LEAST) ->
     totals = settle(stored.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     words = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     slices = max(1, min(2 * words // SLICE, 1 << 30))
-
-    def back(hashes: DataFrame) -> DataFrame:
-        return stored.join(hashes.groupBy("shard").agg(F.collect_list("hashes").alias("frequent")), "shard", "left")
-
-    frequent = settle(_frequent(_hashed(stored, [1, 2][:longest], slices), least), "frequent")
+    frequent = settle(_frequent(_hashed(_pieces(stored), [1, 2][:longest], slices, False), least), "frequent")
     for size in range(3, longest):
-        frequent = frequent.unionByName(settle(_frequent(_hashed(back(frequent), [size], slices), least), "frequent"))
-    counts = _spelled(back(frequent), longest).groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+        frequent = frequent.unionByName(settle(_frequent(_hashed(_pieces(stored, frequent), [size], slices, True), least), "frequent"))
+    counts = _spelled(_pieces(stored, frequent), longest).groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
     return settle(counts, "phrases"), totals
 
 

@@ -153,6 +153,19 @@ def test_collocations(spark, longest, least, top, monkeypatch):
     assert collocations.collocations(docs.limit(0)).count() == 0
 
 
+def test_shards_come_to_workers_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "PIECE", 64)
+    docs = spark.createDataFrame([("en", "a b. c " * 500), ("fr", ""), ("en", "d e f " * 200), ("de", "é 日本 " * 40)], "lang string, text string").coalesce(1)
+    stored = collocations.settle(collocations.shards(docs, 700), "shards")
+    hashes = stored.selectExpr("shard", "cast(concat('12345678', lpad(shard, 8, '0')) as binary) hashes")
+    rows = collocations._pieces(stored, hashes).collect()
+    assert max(len(r["data"]) for r in rows) <= 64 < stored.selectExpr("max(length(tokens))").first()[0]
+    for r in stored.collect():
+        own = [x for x in rows if x["shard"] == r["shard"]]
+        kinds = [b"".join(x["data"] for x in own if x["kind"] == kind) for kind in range(3)]
+        assert kinds == [r["words"], r["tokens"], b"12345678%08d" % r["shard"]] and [x["at"] for x in own] == sorted(x["at"] for x in own)
+
+
 def test_automaton_counts_every_phrase():
     rng = np.random.default_rng(2)
     for vocabulary, depth in ((3, 4), (40, 3), (1 << 30, 3)):
