@@ -1,7 +1,9 @@
 """Operators against plain Python, on odd and random inputs."""
 
 import random
+import re
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -144,6 +146,55 @@ def test_what_is_moved_grows_with_groups(spark):
     assert sum(r["q"] + r["c"] for r in met) == 2 * len(heads) * max(K.GROUPS, -(-len(heads) // K.HELD))
 
 
+def test_short_products_choose_what_long_ones_decide():
+    """Candidates looked through in 32 bits leave the same best as all products in 64 bits; near-ties and repeats, few and many, among them."""
+    rng = np.random.default_rng(3)
+    u = rng.normal(size=(700, 16))
+    u[300:340] = u[7] + 1e-9 * rng.normal(size=(40, 16))
+    u[340:400] = u[8]
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    ids, floors = np.arange(700) * 3, np.full(700, np.pi)
+    found, looked = K._Best(u, ids, floors, 5), 0
+    for s in range(0, 700, 140):
+        bar = found.sims.min(axis=1) - 1e-11
+        looked += np.isfinite(bar).all() and found._passing(u[s : s + 140], np.arange(700), bar) is not None
+        found.add(u[s : s + 140], ids[s : s + 140])
+    sims = np.round(u @ u.T, 12)
+    np.fill_diagonal(sims, -np.inf)
+    for r in range(700):
+        assert found.near[r].tolist() == [ids[j] for j in sorted(range(700), key=lambda j: (-sims[r, j], j))[:5]]
+    assert looked
+
+
+@pytest.mark.parametrize("listed", [7, 1 << 18])
+def test_listed_pairs_in_the_order_of_years(spark, listed, monkeypatch):
+    """Every pair once, by products of groups of blocks and not by a join of all rows, however few are listed at a time."""
+    from chronoloom.operators import pairblocks as B
+
+    monkeypatch.setattr(B, "LISTED", listed)
+    rng = np.random.default_rng(4)
+    rows = [(i * 5, int(rng.integers(1700, 1720)), rng.normal(size=4).tolist(), i % 3) for i in range(60)]
+    pairs = B.later_pairs(spark.createDataFrame(rows, "id long, year int, v array<double>, kind int"), 4)
+    assert not re.search("NestedLoop|Cartesian", pairs._jdf.queryExecution().executedPlan().toString())
+    found = sorted((r["from_id"], r["to_id"], round(r["product"], 9), r["same"], r["gap"]) for r in pairs.collect())
+    assert found == sorted((a, b, round(float(np.dot(u, v)), 9), k == m, z - y) for a, y, u, k in rows for b, z, v, m in rows if y < z)
+
+
+def test_influence_edges_with_nulls(spark, tmp_path):
+    """An author without a vector or a form still has edges."""
+    from chronoloom import registry
+
+    rows = [(i, None if i == 3 else [float(i + 1), 2.0], None if i == 4 else i) for i in range(9)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    con.execute("CREATE TABLE orders (o_custkey BIGINT, o_orderkey BIGINT)")
+    found = registry.QUERIES["influence_edges"](spark, str(tmp_path)).select("from_id", "to_id", "conceptual", "same_form", "year_gap").collect()
+    expected = con.execute("SELECT from_id, to_id, conceptual, same_form, year_gap FROM (" + registry.ORACLES["influence_edges"] + ")").fetchall()
+    plain = lambda r: tuple(round(x, 3) if isinstance(x, float) else x for x in r)
+    assert sorted(map(plain, found), key=repr) == sorted(map(plain, expected), key=repr) and len(found) == 36
+
+
 @pytest.mark.parametrize("block", [3, 2048])
 def test_products_of_listed_pairs(spark, block):
     """Each pair keeps its columns and gets its product, null where an end has no vector; vectors don't go with the pairs."""
