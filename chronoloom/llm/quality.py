@@ -104,7 +104,7 @@ class FactorisationMachine:
         g_bias = 1.0
         for _ in range(epochs):
             for r in rng.permutation(len(rows)).tolist():
-                places, values = rows[r]
+                places, values = rows[r][0], rows[r][1].astype(np.float64)
                 error = self.score(places, values) - labels[r]
                 v = self.factors[places]
                 sums = values @ v
@@ -131,13 +131,13 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Factor
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [features(x) for x in bytes_of(batch)]
-            yield pa.record_batch([batch.column("doc_id"), batch.column("mark"), batch.column("label").cast(pa.int32()), pa.array([p.astype(np.int32) for p, _ in found], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for _, v in found], pa.list_(pa.float32()))], ["doc_id", "mark", "label", "places", "values"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("mark"), batch.column("label").cast(pa.int32()), pa.array([p.astype(np.int32).tobytes() for p, _ in found], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in found], pa.binary())], ["doc_id", "mark", "label", "places", "values"])
 
-    seen: dict[int, tuple] = {}
-    for row in sample.select(F.col("doc_id").cast("long"), "mark", "label", "text").mapInArrow(work, "doc_id long, mark long, label int, places array<int>, values array<float>").toLocalIterator():
+    seen: dict[int, tuple] = {}  # limit rows, each as two rows of bytes: neither the driver's JVM nor Python has an object for each number
+    for row in sample.select(F.col("doc_id").cast("long"), "mark", "label", "text").mapInArrow(work, "doc_id long, mark long, label int, places binary, values binary").toLocalIterator():
         key = (row["doc_id"], row["mark"])  # rows that repeat a doc_id and a text count once
         if key not in seen:
-            seen[key] = np.array(row["places"], np.int64), np.array(row["values"], np.float64), row["label"]
+            seen[key] = np.frombuffer(row["places"], np.int32), np.frombuffer(row["values"], np.float32), row["label"]
     rows = [seen[k] for k in sorted(seen)]
     model = FactorisationMachine()
     if not rows:
