@@ -25,12 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bytes_of, doc_columns, join_counted, read_table, runs, settle
+from .common import bytes_of, doc_columns, join_counted, read_table, runs, settle, small_batches
 
 WORDS, LEAST, SUBSUMED, TOP = 3, 10, 50, 2000
 #: Words of a shard (a text is never cut, so one may have more), bytes of text split at a time, hashes of a slice on average, parts
 #: of a language that are ranked apart before the whole is, and bytes of a shard that a row brings to a worker.
 SHARD, CHUNK, SLICE, PARTS, PIECE = 1 << 20, 1 << 22, 1 << 17, 64, 1 << 11
+#: What a task holds beside its shard: rows of an Arrow batch either way, shards of a stored row group, places whose hashes are looked up at a time.
+BATCH, GROUP, STEP = 512, 4, 1 << 16
 #: A-Z to a-z, what ends a piece to a full stop.
 _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz.........")
 _ROLL = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -128,17 +130,17 @@ def shards(docs: DataFrame, size: int = SHARD) -> DataFrame:
             if sum(map(len, parts[lang])) >= size:
                 yield full(lang)
 
+        texts: dict[str, list[bytes]] = {}
+        waiting: dict[str, int] = {}
         for batch in batches:
-            texts: dict[str, list[bytes]] = {}
-            waiting: dict[str, int] = {}
             for lang, data in zip(batch.column("lang").to_pylist(), bytes_of(batch)):
                 texts.setdefault(lang, []).append(data)
                 waiting[lang] = waiting.get(lang, 0) + len(data)
                 if waiting[lang] >= CHUNK:
                     yield from add(lang, texts.pop(lang))
                     waiting[lang] = 0
-            for lang, own in texts.items():
-                yield from add(lang, own)
+        for lang, own in texts.items():
+            yield from add(lang, own)
         for lang in list(parts):
             yield full(lang)
 
@@ -155,10 +157,14 @@ class _Shard:
         self.hash = np.fromiter((xxhash.xxh64_intdigest(w, own) for w in [b"", *words]), np.uint64, len(words) + 1)
 
     def hashes(self, ends: np.ndarray, size: int) -> np.ndarray:
-        h = np.full(len(ends), size, np.uint64)
-        for k in range(size - 1, -1, -1):
-            h = h * _ROLL + self.hash[self.tokens[ends - k]]
-        return _mix(h)
+        found = np.empty(len(ends), np.uint64)
+        for s in range(0, len(ends), STEP):
+            part = ends[s : s + STEP]
+            h = np.full(len(part), size, np.uint64)
+            for k in range(size - 1, -1, -1):
+                h = h * _ROLL + self.hash[self.tokens[part - k]]
+            found[s : s + STEP] = _mix(h)
+        return found
 
     def keep(self, size: int) -> Automaton:
         """The automaton of depth `size` over the words that lie in a frequent phrase of size - 1 words."""
@@ -180,7 +186,13 @@ class _Shard:
         return np.nonzero(inside)[0].astype(np.int32)
 
     def chosen(self, ends: np.ndarray, size: int) -> np.ndarray:
-        return np.isin(self.hashes(ends, size), self.frequent, kind="sort")
+        """Which of the phrases are frequent; `frequent` is sorted."""
+        found = np.zeros(len(ends), bool)
+        for s in range(0, len(ends) if len(self.frequent) else 0, STEP):
+            h = self.hashes(ends[s : s + STEP], size)
+            place = np.searchsorted(self.frequent, h)
+            found[s : s + STEP] = self.frequent[np.minimum(place, len(self.frequent) - 1)] == h
+        return found
 
     def counted(self, size: int, known: bool) -> tuple[np.ndarray, np.ndarray]:
         """End and count of the phrases of so many words.  known: of the frequent ones; else of those whose suffix and beginning are."""
@@ -238,8 +250,9 @@ def _hashed(found: DataFrame, sizes: list[int], slices: int, known: bool) -> Dat
             h, n = h[order], n[order]
             at = (h >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)
             first = np.append(np.nonzero(np.append(True, at[1:] != at[:-1]))[0], len(h)) if len(h) else np.zeros(1, int)
-            rows = [(int(at[s]), shard, h[s:e].tobytes(), n[s:e].tobytes()) for s, e in zip(first[:-1].tolist(), first[1:].tolist())]
-            if rows:
+            first = first.tolist()
+            for k in range(0, len(first) - 1, BATCH):
+                rows = [(int(at[s]), shard, h[s:e].tobytes(), n[s:e].tobytes()) for s, e in zip(first[k : k + BATCH], first[k + 1 : k + BATCH + 1])]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["slice", "shard", "hashes", "counts"])
 
     return found.mapInArrow(work, "slice long, shard long, hashes binary, counts binary")
@@ -285,7 +298,12 @@ def _spelled(found: DataFrame, longest: int) -> DataFrame:
 
 def phrase_counts(docs: DataFrame, longest: int = WORDS, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """Two tables: lang, words, phrase, f of every phrase of up to `longest` words that occurs `least` times or more in a language; lang, n (words)."""
-    stored = settle(shards(docs), "shards")
+    with small_batches(docs.sparkSession, BATCH):
+        return _phrase_counts(docs, longest, least)
+
+
+def _phrase_counts(docs: DataFrame, longest: int, least: int) -> tuple[DataFrame, DataFrame]:
+    stored = settle(shards(docs), "shards", GROUP)
     totals = settle(stored.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     words = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     slices = max(1, min(2 * words // SLICE, 1 << 30))

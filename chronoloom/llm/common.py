@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -16,14 +17,29 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settle(df: DataFrame, tag: str) -> DataFrame:
-    """Writes a table in the shared folder and reads it again: lineage ends there, and a lost executor costs no recomputation of it."""
+def settle(df: DataFrame, tag: str, group: int | None = None) -> DataFrame:
+    """Writes a table in the shared folder and reads it again: lineage ends there, and a lost executor costs no recomputation of it.
+
+    group: rows of a Parquet row group at most, for rows of megabytes, of which Parquet otherwise holds 100 before it looks at their size.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write if group is None else df.write.option("parquet.block.row.count.limit", group)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What is run inside sends its Python workers Arrow batches of so many rows at most; afterwards the session's own limit holds again."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(own)) if int(own) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, own)
+
+
 #: A key that holds over one in so many rows is heavy: fewer than this many keys can be.
 HEAVY = 1000
 

@@ -2,15 +2,19 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 from fractions import Fraction
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from chronoloom.llm import collocations, setsketch, whitening
+from chronoloom.llm.common import small_batches
 
 
 def texts(seed=5):
@@ -166,6 +170,49 @@ def test_shards_come_to_workers_in_pieces(spark, monkeypatch):
         assert kinds == [r["words"], r["tokens"], b"12345678%08d" % r["shard"]] and [x["at"] for x in own] == sorted(x["at"] for x in own)
 
 
+def test_a_task_holds_little_beside_its_shard(spark, monkeypatch):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own, seen = spark.conf.get(name), {}
+    stored = collocations.settle
+
+    def settle(df, tag, *group):
+        seen.setdefault(tag, int(df.sparkSession.conf.get(name)))
+        table = stored(df, tag, *group)
+        if tag == "shards":
+            files = [pq.ParquetFile(f.removeprefix("file://")) for f in table.inputFiles()]
+            seen["group"] = max(f.metadata.row_group(k).num_rows for f in files for k in range(f.metadata.num_row_groups))
+        return table
+
+    monkeypatch.setattr(collocations, "settle", settle)
+    monkeypatch.setattr(collocations, "shards", lambda docs, cut=collocations.shards: cut(docs, 20))
+    monkeypatch.setattr(collocations, "CHUNK", 50)
+    docs = spark.createDataFrame([("en", f"a b c{i} d e ") for i in range(300)], "lang string, text string").coalesce(1)
+    counts, _ = collocations.phrase_counts(docs)
+    assert {(r["phrase"], r["f"]) for r in counts.collect()} == {("a", 300), ("b", 300), ("d", 300), ("e", 300), ("a b", 300), ("d e", 300)}
+    assert all(seen[tag] * collocations.PIECE <= 1 << 20 for tag in ("shards", "frequent", "phrases")) and 1 <= seen["group"] <= 4
+    assert spark.conf.get(name) == own
+    with small_batches(spark, 64):
+        sizes = spark.range(0, 1000, 1, 1).mapInArrow(lambda batches: (pa.record_batch([pa.array([b.num_rows])], ["n"]) for b in batches), "n long").collect()
+    assert [r["n"] for r in sizes] == [64] * 15 + [40]
+
+
+def test_looking_up_hashes_takes_little_memory():
+    rng = np.random.default_rng(4)
+    words = [b"w%d" % i for i in range(5000)]
+    tokens = rng.integers(1, 5001, 600_000).astype(np.int32)
+    shard = collocations._Shard("en", words, tokens.tobytes(), None)
+    ends = shard.ends(2)
+    shard.frequent = np.sort(np.unique(shard.hashes(ends[::3], 2)))
+    expected = np.isin(shard.hashes(ends, 2), shard.frequent)
+    tracemalloc.start()
+    found = shard.chosen(ends, 2)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(found, expected) and most < 8_000_000
+    shard.frequent = shard.frequent[:0]
+    assert not shard.chosen(ends, 2).any()
+
+
 def test_automaton_counts_every_phrase():
     rng = np.random.default_rng(2)
     for vocabulary, depth in ((3, 4), (40, 3), (1 << 30, 3)):
