@@ -7,7 +7,8 @@ match them instead:
 
 1. The anchor of a window is its 8-word sequence of smallest hash (the leftmost of equals).  Equal windows have equal
    anchors at equal places.  Each text is cut into regions, the runs of windows that share an anchor; every window of
-   the corpus lies in exactly one region.  An anchor that occurs once has no repeated window (most anchors go here).
+   the corpus lies in exactly one region.  Equal regions that follow each other (a word or a few, again and again) are
+   one row with their number.  An anchor that occurs once has no repeated window (most anchors go here).
 2. Equal regions of an anchor are counted, not copied.  If all regions of an anchor are equal, all its windows repeat.
 3. Otherwise the anchor's different regions form a reference shard.  A suffix automaton over their words, weighted by
    how often each region occurs, gives for each place of a region the longest suffix that occurs twice or more (its
@@ -33,6 +34,7 @@ from pyspark.sql import types as T
 from .common import bytes_of, doc_columns, join_counted, read_table, runs, settle
 
 LENGTH, ANCHOR, WIDE, PART = 35, 8, 256, 4
+SPANS = "array<struct<first: int, mask: long, size: int, times: int>>"
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 _BASE, _STEP, _ROLL = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F))
@@ -103,12 +105,12 @@ def parts_of(words: list[bytes], size: int, length: int, k: int = ANCHOR) -> lis
     return list(found.values())
 
 
-def regions(data: bytes, length: int = LENGTH, k: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a text: each region's anchor, content hash, first window and number of windows."""
+def regions(data: bytes, length: int = LENGTH, k: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a text: each region's anchor, content hash, first window, number of windows, and how often it follows itself, the first included."""
     words = word_hashes(data)
     n = len(words) - length + 1
     if n < 1:
-        return (np.empty(0, np.int64),) * 4
+        return (np.empty(0, np.int64),) * 5
     grams = _grams(words, k)
     span = length - k + 1
     at = np.empty(n, np.int64)
@@ -120,7 +122,11 @@ def regions(data: bytes, length: int = LENGTH, k: int = ANCHOR) -> tuple[np.ndar
     up, down = _word_powers.get(len(words) + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up[:-1], dtype=np.uint64)])
     content = _mix((sums[first + size + length - 1] - sums[first]) * down[first] + size.astype(np.uint64))
-    return grams[at[first]].view(np.int64), content.view(np.int64), first, size
+    anchor = grams[at[first]]
+    new = np.ones(len(first), bool)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1]) | (size[1:] != size[:-1])
+    times = np.diff(np.append(np.nonzero(new)[0], len(first)))
+    return anchor[new].view(np.int64), content[new].view(np.int64), first[new], size[new], times
 
 
 class SuffixAutomaton:
@@ -188,7 +194,7 @@ class SuffixAutomaton:
 
 
 def _candidates(docs: DataFrame, length: int) -> DataFrame:
-    """anchor, content, doc_id, mark, first, size of every region whose anchor occurs at least twice."""
+    """anchor, content, doc_id, mark, first, size, times of every region whose anchor occurs at least twice."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,15 +202,15 @@ def _candidates(docs: DataFrame, length: int) -> DataFrame:
             if not found:
                 continue
             each = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
-            parts = [np.concatenate([f[i] for f in found]) for i in range(4)]
-            yield pa.record_batch([pa.array(parts[0]), pa.array(parts[1]), batch.column("doc_id").take(each), batch.column("mark").take(each), pa.array(parts[2].astype(np.int32)), pa.array(parts[3].astype(np.int32))], ["anchor", "content", "doc_id", "mark", "first", "size"])
+            parts = [np.concatenate([f[i] for f in found]) for i in range(5)]
+            yield pa.record_batch([pa.array(parts[0]), pa.array(parts[1]), batch.column("doc_id").take(each), batch.column("mark").take(each), *(pa.array(p.astype(np.int32)) for p in parts[2:])], ["anchor", "content", "doc_id", "mark", "first", "size", "times"])
 
     def scan(columns: str) -> DataFrame:
-        return docs.mapInArrow(work, "anchor long, content long, doc_id long, mark long, first int, size int").selectExpr(*columns.split())
+        return docs.mapInArrow(work, "anchor long, content long, doc_id long, mark long, first int, size int, times int").selectExpr(*columns.split())
 
     # stored, so that both sides of the join are plain exchanges and the part of a hot anchor can be split
-    often = settle(scan("anchor").groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
-    return scan("anchor content doc_id mark first size").join(often, "anchor")
+    often = settle(scan("anchor times").groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor"), "anchors")
+    return scan("anchor content doc_id mark first size times").join(often, "anchor")
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -238,13 +244,13 @@ def _shard_masks(shards: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """length: from ANCHOR to ANCHOR + 62 words, so that a region's windows fit the bits of a mask.  Two tables: doc_id, mark, spans (first window, mask of windows) of each text with repeated windows; and doc_id,
+    """length: from ANCHOR to ANCHOR + 62 words, so that a region's windows fit the bits of a mask.  Two tables: doc_id, mark, spans (SPANS: first window, mask of windows; so every `size` windows, `times` times) of each text with repeated windows; and doc_id,
     mark, text of each text that has a candidate."""
     if not ANCHOR <= length < 63 + ANCHOR:
         raise ValueError(f"windows of {length} words: {ANCHOR} to {62 + ANCHOR} are possible")
     rows = _identified(docs)
     found = settle(_candidates(rows, length), "regions")
-    counted = found.groupBy("anchor", "content", "size").agg(F.count("*").alias("weight"), F.min(F.struct("doc_id", "mark", "first")).alias("at"))
+    counted = found.groupBy("anchor", "content", "size").agg(F.sum("times").alias("weight"), F.min(F.struct("doc_id", "mark", "first")).alias("at"))
     counted = settle(counted, "counted")
     groups = settle(counted.groupBy("anchor").agg(F.count("*").alias("different")), "groups")
     same = counted.join(groups.where("different = 1"), "anchor").select("anchor", "content", F.expr("shiftleft(1L, size) - 1").alias("mask"))
@@ -261,7 +267,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame,
     twice = settle(windows.groupBy("print").agg(F.sum("weight").alias("n"), F.count("*").alias("rows")).where("n > 1").drop("n"), "twice")
     wide = join_counted(windows, twice, ["print"], "rows").groupBy("anchor", "content").agg(F.expr("bit_or(shiftleft(1L, i))").alias("mask"))
     masks = settle(same.unionByName(narrow).unionByName(wide).where("mask <> 0"), "masks")
-    spans = found.join(masks, ["anchor", "content"]).groupBy("doc_id", "mark").agg(F.collect_set(F.struct("first", "mask")).alias("spans"))
+    spans = found.join(masks, ["anchor", "content"]).groupBy("doc_id", "mark").agg(F.collect_set(F.struct("first", "mask", "size", "times")).alias("spans"))
     return settle(spans, "spans"), texts
 
 
@@ -293,11 +299,12 @@ def keep_words(data: bytes, spans: list[dict], length: int) -> tuple[list[bytes]
         return words, len(words)
     step = np.zeros(len(words) + 1, np.int64)
     for s in spans:
-        mask, at = s["mask"], s["first"]
+        mask, at, size = s["mask"], s["first"], s["size"]
+        reach = (s["times"] - 1) * size + 1
         while mask:
             if mask & 1:
-                step[at] += 1
-                step[at + length] -= 1
+                step[at : at + reach : size] += 1
+                step[at + length : at + length + reach : size] -= 1
             mask >>= 1
             at += 1
     return [w for w, covered in zip(words, np.cumsum(step[:-1]).tolist()) if not covered], len(words)
@@ -350,7 +357,7 @@ def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row; only texts with candidates are moved between executors."""
     spans, texts = repeated_windows(docs, length)
     changed = _digests(_of_document(texts, spans), length)
-    whole = _digests(_identified(docs).withColumn("spans", F.array().cast("array<struct<first: int, mask: long>>")), length)
+    whole = _digests(_identified(docs).withColumn("spans", F.array().cast(SPANS)), length)
     kept = _of_document(whole, spans.select("doc_id", "mark"), "left_anti")
     return changed.unionByName(kept).drop("mark")
 

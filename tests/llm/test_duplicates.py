@@ -235,6 +235,21 @@ def test_repeated_rows_are_occurrences(spark):
     assert [r["n_removed"] for r in substrings.digests(docs).collect()] == [40, 40]
 
 
+@pytest.mark.parametrize("wide", [1, 256])
+def test_words_said_again_and_again_make_few_rows(spark, monkeypatch, wide):
+    monkeypatch.setattr(substrings, "WIDE", wide)
+    rng = random.Random(5)
+    cycles = [["same"], ["very", "hot"], ["a", "b", "a"], words(rng, 28), words(rng, 40)]
+    texts = [" ".join(words(rng, 9) + cycle * (n // len(cycle)) + cycle[: n % len(cycle)] + words(rng, 9)) for cycle in cycles for n in (34, 36, 71, 3000)]
+    for text in texts:
+        _, content, first, size, times = substrings.regions(text.encode())
+        assert len(content) < 500 and (first + size * times).tolist() == [*first[1:], len(text.split()) - 34]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole, kept = brute_repeats(texts, 35)
+    assert {r["doc_id"]: r["text"] for r in substrings.remove_repeats(docs).collect()} == {i: (b" ".join(k).decode() if len(k) < len(w) else t) for i, (t, w, k) in enumerate(zip(texts, whole, kept))}
+    assert sorted((r["n_words"], r["n_removed"]) for r in substrings.digests(docs).collect()) == sorted((len(w), len(w) - len(k)) for w, k in zip(whole, kept))
+
+
 def test_automaton_counts_occurrences():
     rng = random.Random(6)
     sequences = [[rng.choice("abc") for _ in range(rng.randint(1, 12))] for _ in range(12)]
