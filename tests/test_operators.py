@@ -705,3 +705,46 @@ def test_pairs_in_the_order_of_years(spark, block):
     for few in (1 << 20, 1):
         assert B.value_at(rows, 0.93, block, few).first()["value"] == pytest.approx(sorted(dot.values())[int(len(dot) * 0.93)], abs=1e-12)
     assert B.value_at(rows.limit(0), 0.93).count() == 0
+
+
+def test_groups_meet_once_in_the_order_of_years(spark):
+    """A block is copied once for each group, and of two groups only what rises in years is multiplied, each pair once."""
+    from chronoloom.operators import pairblocks as B
+
+    rng = np.random.default_rng(5)
+    rows = [(i * 3, int(rng.integers(1700, 1715)), rng.normal(size=3).tolist()) for i in range(120)]
+    packed, parts, groups = B._packed(spark.createDataFrame(rows, "id long, year int, v array<double>"), 5)
+    met = B._met(packed, groups).toPandas()
+    assert groups == B.GROUPS and len(met) == groups * packed.count()
+    found, multiplied = [], 0
+    for _, part in met.groupby(["i", "j"]):
+        for a, b in B._in_order(part):
+            for some, those, whole in B._tiles(a, b, 7, 11):
+                early, late = a.years[some][:, None] < b.years[those][None], (a.ids[some], b.ids[those])
+                assert early.all() or not whole
+                multiplied += early.size
+                i, j = np.nonzero(early)
+                found += zip(late[0][i].tolist(), late[1][j].tolist())
+    assert sorted(found) == sorted((a, b) for a, y, _ in rows for b, z, _ in rows if y < z)
+    assert multiplied < 0.75 * 120 * 120
+
+
+@pytest.mark.parametrize("margin", [0, 3])
+def test_a_value_at_a_place_takes_few_passes(spark, margin, monkeypatch):
+    """Bounds from the pairs of some rows leave few products to bin; all pairs are gone through three times at most, and again where bounds miss."""
+    from chronoloom.operators import pairblocks as B
+
+    monkeypatch.setattr(B, "TRIED", 40)
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(400, 5))
+    v[:200] += margin * (np.arange(200) % 7 == 0)[:, None]
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    years = rng.integers(0, 30, 400)
+    rows = spark.createDataFrame([(i, int(years[i]), v[i].tolist()) for i in range(400)] + [(900, 3, [None] * 5)], "id long, year int, v array<double>")
+    dots = np.sort((v @ v.T)[years[:, None] < years[None]])
+    passes, over = [], B._over_packed
+    monkeypatch.setattr(B, "_over_packed", lambda *a: passes.append(1) or over(*a))
+    for share in (0.0, 0.5, 0.93, 0.9999):
+        passes.clear()
+        assert B.value_at(rows, share, 64, 1000).first()["value"] == pytest.approx(dots[int(len(dots) * share)], abs=1e-12)
+        assert len(passes) <= 4
