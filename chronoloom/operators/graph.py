@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,31 +79,90 @@ def recurring_members(communities: DataFrame, jaccard: float = 0.5, least: int =
     communities that return across seeds, with a row for each community in a group.
 
     In the order of seeds, a community joins the first group whose core it overlaps enough, and the core shrinks to what
-    both hold; the fold depends on its order, so a resolution is one task (communities of one graph under a few seeds).
+    both hold; the fold depends on its order, so a resolution is one task (communities of one graph under a few seeds), which
+    holds the cores and one seed's communities at a time.
     """
 
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        groups: list[list] = []
-        holders: dict[int, list[int]] = {}  # groups in which a node was, so that only those that may share one are asked
-        for _, of_seed in rows.groupby("seed", sort=True):
-            for community, m in of_seed.groupby("community", sort=True):
-                own = set(m["node"].tolist())
-                if len(own) < least:
+    def work(batches):
+        folded, held, at = None, [], None
+        for batch in batches:
+            for own, part in batch.groupby(["resolution", "seed"], sort=True):
+                if held and own != at:
+                    folded.add(pd.concat(held))
+                    held = []
+                if folded is None or own[0] != at[0]:
+                    if folded is not None:
+                        yield from folded.rows()
+                    folded = _Fold(float(own[0]), jaccard, least)
+                held, at = [*held, part[["run", "community", "node"]]], own
+        if held:
+            folded.add(pd.concat(held))
+            yield from folded.rows()
+
+    rows = communities.select("resolution", "seed", "run", "community", "node").repartition("resolution").sortWithinPartitions("resolution", "seed", "community", "node")
+    return rows.mapInPandas(work, "resolution double, place int, core string, seeds_seen int, run long, community long")
+
+
+class _Fold:
+    """Groups of communities of one resolution: cores as arrays, and who is in them; one seed is taken at a time."""
+
+    def __init__(self, resolution: float, jaccard: float, least: int):
+        self.resolution, self.jaccard, self.least = resolution, jaccard, least
+        self.cores: list[np.ndarray] = []
+        self.held: list[list[tuple[int, int]]] = []
+
+    def add(self, rows: pd.DataFrame) -> None:
+        """rows: run, community, node of a seed, in the order of communities and nodes."""
+        community, node = rows["community"].to_numpy(), rows["node"].to_numpy()
+        run = int(rows["run"].iloc[0])
+        first = np.flatnonzero(np.append(True, community[1:] != community[:-1]))
+        sizes = np.diff(first, append=len(node))
+        known = len(self.cores)
+        lengths = np.array([len(c) for c in self.cores], np.int64)
+        flat, owner = np.concatenate([*self.cores, np.zeros(0, np.int64)]), np.repeat(np.arange(known), lengths)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        low = np.searchsorted(flat, node)
+        n = np.searchsorted(flat, node, "right") - low
+        of = np.repeat(np.repeat(np.arange(len(first)), sizes), n)
+        key, shared = np.unique(of * max(known, 1) + owner[np.arange(len(of)) - np.repeat(n.cumsum() - n, n) + np.repeat(low, n)], return_counts=True)
+        c, g = key // max(known, 1), key % max(known, 1)
+        apart = len(np.unique(node)) == len(node)
+        if apart:  # what one community does to a core leaves nothing in it for the others
+            enough = shared / (sizes[c] + lengths[g] - shared) >= self.jaccard
+            c, g = c[enough], g[enough]
+        bounds = np.searchsorted(c, np.arange(len(first) + 1)).tolist()
+        taken: set[int] = set()
+        for i, (s, size) in enumerate(zip(first.tolist(), sizes.tolist())):
+            if size < self.least:
+                continue
+            own = node[s : s + size]
+            asked = g[bounds[i] : bounds[i + 1]].tolist()
+            for at in asked if apart else [*asked, *range(known, len(self.cores))]:
+                if apart and at in taken:
                     continue
-                for g in map(groups.__getitem__, sorted({at for x in own for at in holders.get(x, ())})):
-                    if len(own & g[0]) / len(own | g[0]) >= jaccard:
-                        g[0] &= own
-                        break
-                else:
-                    g = [own, []]
-                    for x in own:
-                        holders.setdefault(x, []).append(len(groups))
-                    groups.append(g)
-                g[1].append((int(m["run"].iloc[0]), int(community)))
-        found = [(float(rows["resolution"].iloc[0]), place, ",".join(map(str, sorted(core))), len(held), run, community) for place, (core, held) in enumerate(groups) for run, community in held]
-        return pd.DataFrame(found, columns=["resolution", "place", "core", "seeds_seen", "run", "community"])
-
-    return communities.groupBy("resolution").applyInPandas(work, "resolution double, place int, core string, seeds_seen int, run long, community long")
+                both = np.intersect1d(own, self.cores[at], assume_unique=True)
+                if len(both) / (size + len(self.cores[at]) - len(both)) >= self.jaccard:
+                    self.cores[at] = both
+                    taken.add(at)
+                    break
+            else:
+                at = len(self.cores)
+                self.cores.append(own.copy())
+                self.held.append([])
+            self.held[at].append((run, int(community[s])))
+
+    def rows(self):
+        found, told = [], 0
+        for place, (core, held) in enumerate(zip(self.cores, self.held)):
+            name = ",".join(map(str, core.tolist()))
+            found += [(self.resolution, place, name, len(held), run, community) for run, community in held]
+            told += len(name) * len(held)
+            if told > 1 << 22:
+                yield pd.DataFrame(found, columns=["resolution", "place", "core", "seeds_seen", "run", "community"])
+                found, told = [], 0
+        if found:
+            yield pd.DataFrame(found, columns=["resolution", "place", "core", "seeds_seen", "run", "community"])
 
 
 def recurring(communities: DataFrame, seeds: int, share: float = 0.6) -> DataFrame:
