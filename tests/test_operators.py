@@ -5,6 +5,7 @@ import re
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -748,3 +749,109 @@ def test_a_value_at_a_place_takes_few_passes(spark, margin, monkeypatch):
         passes.clear()
         assert B.value_at(rows, share, 64, 1000).first()["value"] == pytest.approx(dots[int(len(dots) * share)], abs=1e-12)
         assert len(passes) <= 4
+
+
+def test_lineage_without_members_being_moved(spark):
+    """Communities and lineage followed in tasks against memberships and their joins; also where some spans, or all, go by joins."""
+    rng = random.Random(4)
+    lives = [(g, a, b, s, rng.choice([None, s + rng.randint(1, 14)])) for g in (0, 3) for a in range(40) for b in rng.sample(range(40), 3) for s in [rng.randint(-9, 24)]]
+    table = spark.createDataFrame(lives, "g int, src long, dst long, start int, stop int")
+    years = spark.createDataFrame([(y,) for y in range(-9, 28) if y % 5 and not 10 < y < 18], "year int")
+    members = D.settle(L.snapshot_communities(table, years, D.settle, by="g"))
+    names = ["g", "snapshot", "t", "prev", "curr", "jaccard"]
+    rows = lambda found, columns: sorted(map(tuple, found.select(*columns).collect()))
+    communities, links = rows(members.select("g", "snapshot", "label").distinct(), names[:2] + ["label"]), rows(L.lineage(members, years, by="g"), names)
+    assert links
+    for whole in (M.WHOLE, 120):
+        now, found = L.snapshot_lineage(table, years, D.settle, by="g", whole=whole)
+        assert rows(now, names[:2] + ["label"]) == communities and rows(found, names) == links
+    alone = L.snapshot_lineage(table.where("g = 3").drop("g"), years, D.settle)[1]
+    assert [(3, *r) for r in rows(alone, names[1:])] == [r for r in links if r[0] == 3]
+
+
+def test_lifetimes_for_several_k_come_from_one_search(spark):
+    _, table = vectors(spark, 50)
+    found = K.lifetimes_of_ks(table, "id", "v", "year", D.settle, [2, 3, 5], 13).collect()
+    for k in (2, 3, 5):
+        alone = K.lifetimes(table, "id", "v", "year", D.settle, k, 13).collect()
+        of = lambda r: (r["src"], r["dst"], r["start"], r["stop"])
+        assert sorted(map(of, alone), key=repr) == sorted((of(r) for r in found if r["k"] == k), key=repr)
+
+
+def test_moves_are_the_same_however_many_links_are_looked_at(monkeypatch):
+    """Rounds over few links at a time and over all; ids far apart and near; and what a graph takes is some 120 bytes a link."""
+    import tracemalloc
+
+    rng = np.random.default_rng(7)
+    a, b = rng.integers(0, 300, 1500) * 5, rng.integers(0, 300, 1500) * 5
+    expected = M.moved(a, b, 1.2, 3)
+    for some in (7, 100):
+        monkeypatch.setattr(M, "SOME", some)
+        for far in (1, 10**9):
+            nodes, community = M.moved(a * far, b * far, 1.2, 3) if far == 1 else M.moved(np.append(a, far), np.append(b, far), 1.2, 3)
+            assert nodes[: len(expected[0])].tolist() == expected[0].tolist() and community[: len(expected[0])].tolist() == expected[1].tolist()
+    monkeypatch.undo()
+    a = np.repeat(np.arange(200_000), 5)
+    b = (a + rng.integers(1, 2000, len(a))) % 200_000
+    tracemalloc.start()
+    M.moved(a, b, 1.0, 42, 2, 2)
+    assert tracemalloc.get_traced_memory()[1] < 200 * len(a)
+    tracemalloc.stop()
+
+
+def test_what_grows_is_not_broadcast(spark):
+    """Sets of many runs, their places in the orders and their z are merged, however small they look to the driver."""
+    rng = random.Random(2)
+    sets = spark.createDataFrame([(run, c, node) for run in range(3) for c in range(4) for node in rng.sample(range(40), 6)], "run long, community long, node long")
+    members = spark.createDataFrame([(i, 1700 + i * 7 % 90) for i in range(40)], "book_id long, year int")
+    found = N.set_concentration(sets, members, 20)
+    assert len(found.collect()) == 12
+    joins = re.findall(r"(BroadcastHashJoin|SortMergeJoin) \[([a-z]+)", found._jdf.queryExecution().executedPlan().toString())
+    assert {on for _, on in joins} >= {"key", "place", "run"} and not [on for kind, on in joins if kind == "BroadcastHashJoin" and on in ("key", "place", "run", "node")]
+
+
+def test_the_fold_of_communities_apart(spark):
+    """Communities without a common node, as graphs give them, against the fold over sets; halves of a core that both reach the bound among them."""
+    from chronoloom.operators import graph
+
+    rng = random.Random(5)
+    rows, groups = [], []
+    for seed in range(6):
+        nodes = list(range(90))
+        for _ in range(seed * 4):
+            i, j = rng.randrange(90), rng.randrange(90)
+            nodes[i], nodes[j] = nodes[j], nodes[i]
+        size = rng.choice([10, 20])
+        for c in range(0, 90, size):
+            own = set(nodes[c : c + size])
+            rows += [(seed, 1.5, seed, node, c) for node in own]
+            if len(own) >= 5:
+                for g in groups:
+                    if len(g[0] & own) / len(g[0] | own) >= 0.5:
+                        g[0] &= own
+                        g[1].append((seed, c))
+                        break
+                else:
+                    groups.append([own, [(seed, c)]])
+    found = graph.recurring_members(spark.createDataFrame(rows, "run long, resolution double, seed int, node long, community long")).collect()
+    expected = [(place, ",".join(map(str, sorted(core))), len(held), *h) for place, (core, held) in enumerate(groups) for h in held]
+    assert [(r["place"], r["core"], r["seeds_seen"], r["run"], r["community"]) for r in found] == expected
+    fold = graph._Fold(1.5, 0.5, 5)
+    fold.add(pd.DataFrame({"run": 1, "community": [0] * 9, "node": range(9)}))
+    assert fold.cores[0].nbytes == 72
+
+
+def test_detrending_by_short_rows(spark):
+    """Cosines from short rows against those of a row for each term; a document without terms, pairs that share none; no pair is joined a third time."""
+    rng = random.Random(12)
+    words = ["ab", "cd", "ef", "gh", "ij", "kl", "mn", "op", "qr"]
+    texts = [(i, " ".join(rng.choice(words[i % 3 * 3 :][: 2 + i % 5]) for _ in range(rng.randint(0, 12))), 1700 + i * 37 % 90) for i in range(40)] + [(40, None, 1711), (41, "zz zz", 1800)]
+    docs = spark.createDataFrame(texts, "id long, text string, year int")
+    pairs = spark.createDataFrame([(i, j) for i in range(42) for j in range(0, 43, 5) if i != j], "from_id long, to_id long")
+    vecs, idf = V.term_vectors(docs, "id", "text", D.settle)
+    found = V.detrended_products(vecs, idf, docs.select("id", "year"), pairs, "id", D.settle)
+    expected = V.detrended_cosine(V.weights_of(vecs, idf, "id"), docs.select("id", "year"), pairs, "id")
+    of = lambda rows: {(r["from_id"], r["to_id"]): r["cosine"] for r in rows.collect()}
+    assert of(found) == {p: pytest.approx(c, abs=1e-9) for p, c in of(expected).items()} and found.count() == expected.count()
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Join" in line and re.search("(from|to)_id", line)]
